@@ -4,11 +4,25 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, decontaminate, url_filter
+from tidewatch.llm import byte_bpe, decontaminate, licenses, token_files, url_filter, warc
 from tidewatch.llm.common import table
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archived(table(spark, sf_dir, "pages"))
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.filter_urls(pages, url_filter.listed_urls(pages)).drop("maybe")
@@ -25,6 +39,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_warc": op3_warc,
+    "op5_license_scan": op5_license_scan,
+    "op6_token_files": op6_token_files,
     "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,
     "op10_byte_bpe": op10_byte_bpe,
@@ -33,7 +50,41 @@ QUERIES = {
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS_SQL = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+TEMPLATE_ROWS = ", ".join(f"('{text}', '{label}')" for text, label in licenses.TEMPLATES)
+PHRASE_ROWS = ", ".join(f"('{text}', '{label}')" for text, label in licenses.PHRASES)
+
 ORACLE_SQL = {
+    "op3_warc": """
+WITH own AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), named AS (
+  SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(h, 5 * (k // 4) + 1, 5) AS INTEGER) >> (5 * (3 - k % 4))) & 31 AS INTEGER) + 1, 1) for k in range(32)], '') AS payload_digest
+  FROM own
+), firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first_id FROM named
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM firsts""",
+    "op5_license_scan": rf"""
+WITH docs AS (SELECT doc_id, text, {WORDS_SQL} AS w FROM documents),
+phrases AS (SELECT string_split(p, ' ') AS pw, label FROM (VALUES {PHRASE_ROWS}) AS t(p, label)),
+places AS (
+  SELECT doc_id, i - 1 AS pos, label FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM docs), phrases
+  WHERE w[i:i + len(pw) - 1] = pw
+),
+base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list_distinct(list(label))) AS base FROM places GROUP BY doc_id),
+blocks AS (
+  SELECT doc_id, list_distinct(regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS bw
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+),
+templates AS (SELECT list_distinct(string_split(t, ' ')) AS tw, label FROM (VALUES {TEMPLATE_ROWS}) AS t(t, label)),
+met AS (SELECT doc_id, label, len(list_intersect(tw, bw)) / len(tw) AS c FROM blocks, templates WHERE len(list_intersect(tw, bw)) >= ceil({licenses.THRESHOLD} * len(tw) - 1e-9)),
+found AS (SELECT doc_id, list(DISTINCT label) AS found, max(c) AS c FROM met GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(coalesce(base, []), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(found, [])))), ',') AS labels,
+       CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(c, 0) END AS DOUBLE) AS score
+FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)""",
     "op7_url_filter": rf"""
 WITH parts AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
