@@ -21,6 +21,7 @@ import hashlib
 import heapq
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -216,8 +217,6 @@ def encode_column(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
 
 def decode_column(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """All columns of ``df`` and ``out_col`` (binary), the bytes that the ids stand for; null ids give null."""
-    import pandas as pd
-
     held, key = df.sparkSession.sparkContext.broadcast((load_ranks(ranks_path), pattern)), f"{ranks_path}|{pattern}"
 
     @F.pandas_udf("binary")
