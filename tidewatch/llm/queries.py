@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, decontaminate, licenses, token_files, toxicity, url_filter, warc
+from tidewatch.llm import byte_bpe, decontaminate, licenses, nearest, token_files, toxicity, url_filter, warc
 from tidewatch.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.largest_inner_products(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_warc": op3_warc,
+    "op4_nearest": op4_nearest,
     "op5_license_scan": op5_license_scan,
     "op6_token_files": op6_token_files,
     "op7_url_filter": op7_url_filter,
