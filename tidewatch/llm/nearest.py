@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SAMPLE_ROWS = 20_000
-LIST_ROWS = 1_024
+LIST_ROWS = 4_096
 MAX_LISTS = 1_024
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 8_192
 BLOCK_QUERIES = 512
 COLUMN_BLOCK = 16
 EPSILON = 2.1
@@ -94,21 +94,24 @@ def search_block(index: ListIndex, ids: np.ndarray, vectors: np.ndarray, query_i
     repeated = len(np.unique(ids)) < len(ids)
     first = min(COLUMN_BLOCK, d)
     head = ((points[:, :first] ** 2).sum(1)[None, :] + (asked[:, :first] ** 2).sum(1)[:, None]) - 2 * asked[:, :first] @ points[:, :first].T
-    out = []
+    out, is_near = [], np.zeros(len(ids), bool)
     for q in range(len(query_ids)):
         left = np.nonzero(ids != query_ids[q])[0]
         if len(left) > 4 * k and not repeated:
             partial = head[q, left]
-            nearest = left[np.argsort(partial, kind="stable")[: 2 * k]]
-            radius = np.partition(((points[nearest] - asked[q]) ** 2).sum(1), k - 1)[k - 1]
+            near = np.nonzero(partial <= np.partition(partial, 2 * k - 1)[2 * k - 1])[0]
+            near = left[near[np.argsort(partial[near], kind="stable")[: 2 * k]]]
+            radius = np.partition(((points[near] - asked[q]) ** 2).sum(1), k - 1)[k - 1]
+            is_near[near] = True
             done = first
-            while done < d and len(left) > k:
+            while done < d and len(left) > 2 * k:
                 keep = partial <= radius * (1 + epsilon / np.sqrt(done)) ** 2 * done / d
-                keep |= np.isin(left, nearest)
+                keep |= is_near[left]
                 left, partial = left[keep], partial[keep]
                 step = slice(done, min(done + COLUMN_BLOCK, d))
                 partial = partial + ((points[left, step] - asked[q, step]) ** 2).sum(1)
                 done = step.stop
+            is_near[near] = False
         score = (vectors[left] * queries[q]).sum(1)
         best = np.lexsort((ids[left], -score))
         if repeated:
