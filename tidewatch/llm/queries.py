@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, decontaminate, licenses, nearest, token_files, toxicity, url_filter, warc
+from tidewatch.llm import byte_bpe, decontaminate, licenses, neardup, nearest, token_files, toxicity, url_filter, warc
 from tidewatch.llm.common import table
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archived(table(spark, sf_dir, "pages"))
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -48,6 +52,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op3_warc": op3_warc,
     "op4_nearest": op4_nearest,
     "op5_license_scan": op5_license_scan,
