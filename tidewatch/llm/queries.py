@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, decontaminate, licenses, neardup, nearest, token_files, toxicity, url_filter, warc
+from tidewatch.llm import byte_bpe, decontaminate, licenses, lm_score, neardup, nearest, token_files, toxicity, url_filter, warc
 from tidewatch.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archived(table(spark, sf_dir, "pages"))
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -53,6 +58,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_lm_score": op2_lm_score,
     "op3_warc": op3_warc,
     "op4_nearest": op4_nearest,
     "op5_license_scan": op5_license_scan,

@@ -284,16 +284,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """All columns of ``docs`` and ``score_col``, which replaces a column of that name."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def score_column(df: DataFrame, model: ToxicityModel, text: Column) -> Column:
+    held = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         own = held.value
         return texts.map(lambda t: own.score(own.features(t.encode() if t else b"")))
 
-    return docs.withColumn(score_col, score(F.coalesce(F.col(text_col), F.lit(""))))
+    return score(F.coalesce(text, F.lit("")))
+
+
+def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """All columns of ``docs`` and ``score_col``, which replaces a column of that name."""
+    return docs.withColumn(score_col, score_column(docs, model, F.col(text_col)))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
+    """The rows that score below 0.5, with their own columns."""
+    model = fit(docs, labels, id_col, text_col, max_rows)
+    return docs.filter(score_column(docs, model, F.col(text_col)) < 0.5)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
