@@ -1,14 +1,14 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 Each pre-token (a match of the split pattern) starts as single bytes in a linked list. Every adjacent pair that is a
-token waits in the bucket of its merge rank, which holds the positions of left partners; three levels of 64-bit words
-mark the ranks whose buckets are not empty. Find-first-set on the levels gives the lowest rank at once, the smallest
+token waits in the bucket of its merge rank, which holds the positions of left partners; bits in words of 256 mark the
+ranks whose buckets are not empty, and bits above them the words in use. Find-first-set gives the lowest rank, the smallest
 position of its bucket is merged, and the pairs that this changes enter their buckets. Entries whose pair has changed
 meanwhile are stale and skipped. The cost is O(n log n) at worst for one pre-token of n bytes.
 
 Texts are first cut in front of white space that follows other characters, where no match of the pattern can span, so
-that equal pieces share one cached result in each Python worker. The cache is emptied when it is full; this changes
-the speed only.
+that equal pieces share one cached result in each Python worker. A full cache becomes the old generation, from which
+what is asked for again is taken over; this changes the speed only.
 
 Defined results: a null text counts as empty and has no tokens; other columns may have any name; repeated rows each give
 a row; an empty table gives an empty result.
@@ -18,8 +18,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,50 +34,6 @@ CACHE_ENTRIES = 400_000
 CACHED_CHARS = 64
 
 
-class RankQueue:
-    """Positions by merge rank; the lowest rank is found through three levels of 64-bit words."""
-
-    __slots__ = ("buckets", "levels")
-
-    def __init__(self, n_ranks: int):
-        n0 = (n_ranks + 63) // 64
-        n1 = (n0 + 63) // 64
-        self.levels = ([0] * n0, [0] * n1, [0] * ((n1 + 63) // 64))
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            for words in self.levels:
-                words[rank >> 6] |= 1 << (rank & 63)
-                rank >>= 6
-        else:
-            heapq.heappush(bucket, position)
-
-    def first(self) -> int:
-        """The lowest rank that has positions, or -1."""
-        low, middle, top = self.levels
-        for i, word in enumerate(top):  # one word for up to 262,144 ranks
-            if word:
-                i = (i << 6) | ((word & -word).bit_length() - 1)
-                i = (i << 6) | ((middle[i] & -middle[i]).bit_length() - 1)
-                return (i << 6) | ((low[i] & -low[i]).bit_length() - 1)
-        return -1
-
-    def pop(self, rank: int) -> int:
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            for words in self.levels:
-                words[rank >> 6] &= ~(1 << (rank & 63))
-                if words[rank >> 6]:
-                    break
-                rank >>= 6
-        return position
-
-
 class RankedMerges:
     """Encodes and decodes by a table of byte strings and their ranks."""
 
@@ -90,88 +46,113 @@ class RankedMerges:
         for piece, rank in ranks.items():
             self.token[rank] = piece
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")).findall
-        self.single = [ranks.get(bytes([b])) for b in range(256)]
-        self.pieces: dict[str, dict[str, tuple[int, ...]]] = {lead: {} for lead in ("", " ", "\n")}
-        self.words: dict[str, tuple[int, ...]] = {}
+        # Results by what comes before: entries since the last change of generation, and those of the generation before.
+        self.known: dict[str, tuple[dict, dict]] = {lead: ({}, {}) for lead in ("", " ", "\n")}
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """The ids of one pre-token."""
-        whole = self.ranks.get(word)
+        ranks = self.ranks.get
+        whole = ranks(word)
         if whole is not None:
             return (whole,)
         n = len(word)
-        ranks = self.ranks.get
         end = list(range(1, n + 1))  # of the part that starts at a position
         before = list(range(-1, n - 1))
-        pair = [-1] * n  # rank of the part and its right neighbour
-        queue = RankQueue(self.n_ranks)
-        for i in range(n - 1):
-            rank = ranks(word[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                queue.push(rank, i)
-        while (rank := queue.first()) >= 0:
-            i = queue.pop(rank)
+        pair = [ranks(word[i : i + 2]) for i in range(n - 1)] + [None]  # rank of the part and its right neighbour
+        # The queue: positions by rank, a bit for each waiting rank in words of 256 bits, a bit for each word in use.
+        buckets: dict[int, list[int]] = {}
+        low: dict[int, int] = {}
+        top = 0
+        changed = range(n - 1)
+        while True:
+            for i in changed:
+                rank = pair[i]
+                if rank is not None:
+                    if bucket := buckets.get(rank):
+                        heappush(bucket, i)
+                    else:
+                        buckets[rank] = [i]
+                        high = rank >> 8
+                        low[high] = low.get(high, 0) | 1 << (rank & 255)
+                        top |= 1 << high
+            changed = ()
+            if not top:
+                break
+            high = (top & -top).bit_length() - 1
+            bits = low[high]
+            rank = high << 8 | (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                low[high] = bits = bits & (bits - 1)
+                if not bits:
+                    top &= top - 1
             if pair[i] != rank:
                 continue  # stale
             right = end[i]
             stop = end[i] = end[right]
-            pair[right] = -1
+            pair[right] = None
             if stop < n:
                 before[stop] = i
-                new = ranks(word[i : end[stop]])
-                pair[i] = -1 if new is None else new
-                if new is not None:
-                    queue.push(new, i)
+                pair[i] = ranks(word[i : end[stop]])
             else:
-                pair[i] = -1
+                pair[i] = None
             left = before[i]
             if left >= 0:
-                new = ranks(word[left:stop])
-                pair[left] = -1 if new is None else new
-                if new is not None:
-                    queue.push(new, left)
+                pair[left] = ranks(word[left:stop])
+                changed = (i, left)
+            else:
+                changed = (i,)
         out, i = [], 0
         while i < n:
             out.append(self.ranks[word[i : end[i]]])
             i = end[i]
         return tuple(out)
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for word in self.split(piece):
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self.merge(word.encode())
-                if len(word) <= CACHED_CHARS:
-                    if len(self.words) >= CACHE_ENTRIES:
-                        self.words.clear()
-                    self.words[word] = ids
-            out += ids
-        return tuple(out)
+    def ids_of(self, lead: str, rest: str) -> tuple[int, ...]:
+        """Ids of ``lead + rest``, a text that no match of the pattern leaves; kept under its lead."""
+        new, old = self.known[lead]
+        ids = old.get(rest)
+        if ids is None:
+            words = self.split(lead + rest)
+            if len(words) == 1:
+                ids = self.merge(words[0].encode())
+            else:
+                parts: list[int] = []
+                for word in words:
+                    parts += self.word_ids(word)
+                ids = tuple(parts)
+        if len(rest) <= CACHED_CHARS:
+            if len(new) >= CACHE_ENTRIES:
+                old.clear()
+                old.update(new)
+                new.clear()
+            new[rest] = ids
+        return ids
 
-    def piece_ids(self, known: dict[str, tuple[int, ...]], lead: str, piece: str) -> tuple[int, ...]:
-        """Ids of ``lead + piece``, kept in ``known`` by the piece."""
-        ids = self.encode_piece(lead + piece)
-        if len(piece) <= CACHED_CHARS:
-            if len(known) >= CACHE_ENTRIES:
-                known.clear()
-            known[piece] = ids
+    def word_ids(self, word: str) -> tuple[int, ...]:
+        lead, rest = (" ", word[1:]) if word[0] == " " else ("", word)
+        new, old = self.known[lead]
+        ids = new.get(rest) or old.get(rest)
+        if ids is None:
+            ids = self.merge(word.encode())
+            if len(rest) <= CACHED_CHARS and len(new) < CACHE_ENTRIES:
+                new[rest] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        bare, spaced = self.pieces[""], self.pieces[" "]
         if UNEVEN(text):
+            get = self.known[""][0].get
             for piece in PIECES(text):
-                out += bare.get(piece) or self.piece_ids(bare, "", piece)
+                out += get(piece) or self.ids_of("", piece)
             return out
-        get, lead = spaced.get, ""
+        get, lead = self.known[" "][0].get, ""
         for line in text.split("\n"):
             first, *words = line.split(" ")
-            out += self.pieces[lead].get(first) or self.piece_ids(self.pieces[lead], lead, first)
+            out += self.ids_of(lead, first) if lead or first else ()
             for word in words:
-                out += get(word) or self.piece_ids(spaced, " ", word)
+                out += get(word) or self.ids_of(" ", word)
             lead = "\n"
         return out
 
