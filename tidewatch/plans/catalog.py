@@ -1,4 +1,4 @@
-"""Registered queries of the comment-integrity operators and their SQL."""
+"""All registered queries of the comment-integrity operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidewatch.plans import analysis, landing, relational, streams  # noqa: F401
+from tidewatch.plans.registered import ORACLE_SQL, QUERIES  # noqa: F401
