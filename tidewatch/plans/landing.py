@@ -1 +1,197 @@
-"""Registered queries."""
+"""Registered queries: landed payloads and files. Payloads are derived from the tables by Spark, then read as landed data."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewatch.plans.registered import CONTENTS, TEXTS, USERS, query
+from tidewatch.sources import adapters as A
+from tidewatch.sources import files, normalize
+from tidewatch.sources.storage import shared_dir
+
+
+def landed(rows, name: str, form: str = "text") -> str:
+    """Writes rows as landed files and returns their folder."""
+    path = shared_dir(rows.sparkSession, name)
+    rows.write.format(form).save(path)
+    return path
+
+
+def content_payload():
+    return F.to_json(
+        F.struct(
+            F.concat(F.lit("BV"), F.col("content_id").cast("string")).alias("bvid"), F.col("content_id").alias("aid"), F.col("source").alias("title"), F.concat(F.lit("http://pic/"), F.col("content_id").cast("string")).alias("pic"),
+            F.struct(F.col("owner_id").alias("mid"), F.lit("owner").alias("name")).alias("owner"), F.struct(F.floor("view_count").cast("long").alias("view")).alias("stat"), F.array(F.struct(F.col("status").alias("tag_name"))).alias("tags"),
+        )
+    )
+
+
+@query(f"WITH {CONTENTS} SELECT 'BV' || content_id AS content_id, source AS title, owner_id, 'owner' AS owner_name, CAST(floor(view_count) AS BIGINT) AS view_count FROM contents")
+def read_contents(spark, sf_dir):
+    rows = A.contents(spark, sf_dir)
+    body = content_payload()
+    line = F.when(F.col("status") == "F", F.concat(F.lit('{"video_info":'), body, F.lit("}"))).otherwise(body)
+    return files.read_contents(spark, landed(rows.select(line.alias("value")), "contents-json"), lines=True)
+
+
+@query("SELECT (conv_id + 1) * 100 + turn AS comment_id, CASE WHEN turn = 0 THEN 0 ELSE (conv_id + 1) * 100 END AS root_id, text, role AS user_name FROM conversations")
+def read_comments(spark, sf_dir):
+    """One file line for each thread: an array, or an object with comments or replies."""
+    rows = A.threads(spark, sf_dir)
+    thread = F.floor(F.col("comment_id") / 100).cast("long")
+    each = F.struct(F.col("comment_id").alias("rpid"), F.col("root_id").alias("root"), F.col("parent_id").alias("parent"), F.col("text").alias("content"), F.col("user_name").alias("uname"))
+    lists = rows.groupBy(thread.alias("thread")).agg(F.to_json(F.array_sort(F.collect_list(each))).alias("list"))
+    kind = F.col("thread") % 3
+    body = F.when(kind == 0, F.col("list")).when(kind == 1, F.concat(F.lit('{"comments":'), "list", F.lit("}"))).otherwise(F.concat(F.lit('{"replies":'), "list", F.lit("}")))
+    path = landed(lists.select(body.alias("value")), "comments-json")
+    return files.read_comments(spark, path, whole_files=False).select("comment_id", "root_id", "text", "user_name")
+
+
+@query(f"WITH {USERS} SELECT user_id, name, sign, level, follower FROM users WHERE user_id IN (SELECT l_suppkey FROM lineitem)")
+def read_users(spark, sf_dir):
+    rows = A.users(spark, sf_dir).select(F.col("user_id").alias("mid"), "name", F.col("avatar").alias("face"), "sign", "level", "follower", "following")
+    wanted = A.comments_rel(spark, sf_dir).select("user_id").distinct()
+    return files.read_users(spark, landed(rows, "users-json", "json"), wanted).select("user_id", "name", "sign", "level", "follower")
+
+
+@query(f"WITH {TEXTS} SELECT CAST(comment_id AS VARCHAR) AS post_id, user_id, text, comment_id % 3 = 0 AS is_repost FROM texts WHERE content_id <> 'en'")
+def read_posts(spark, sf_dir):
+    """Files by user: the id comes from the folder name."""
+    rows = A.posts(spark, sf_dir).select(F.col("post_id").cast("string").alias("dynamic_id"), F.col("text").alias("content"), "is_repost", "user_id")
+    path = shared_dir(spark, "posts-json")
+    files.write_rows(rows, path, "json", ["user_id"])
+    return files.read_posts(spark, path)
+
+
+@query("SELECT count(*) FILTER (user_id % 7 <> 0) AS readable, count(*) FILTER (user_id % 7 = 0) AS quarantined FROM events")
+def quarantine_corrupt(spark, sf_dir):
+    """Lines that break off are set aside, the others are read."""
+    rows = A.comments_time(spark, sf_dir)
+    body = F.to_json(F.struct("comment_id", "user_id"))
+    line = F.when(F.col("user_id") % 7 == 0, F.expr("substring(to_json(struct(comment_id, user_id)), 1, 12)")).otherwise(body)
+    good, bad = files.split_corrupt(spark, landed(rows.select(line.alias("value")), "lines-json"), "comment_id long, user_id long")
+    return good.agg(F.count("*").alias("readable")).join(bad.agg(F.count("*").alias("quarantined")))
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN NULL WHEN 'O' THEN 'blocked' ELSE 'not logged in' END AS error, CASE WHEN o_orderstatus = 'F' THEN CAST(o_custkey AS VARCHAR) END AS mid FROM orders")
+def unwrap_envelope(spark, sf_dir):
+    code = F.when(F.col("status") == "F", 0).when(F.col("status") == "O", -412).otherwise(-101)
+    rows = A.contents(spark, sf_dir).select("content_id", F.to_json(F.struct(code.alias("code"), F.struct(F.col("owner_id").alias("mid")).alias("data"))).alias("payload"))
+    return normalize.unwrap_envelope(rows).select(F.col("content_id").alias("id"), "error", F.get_json_object("data", "$.mid").alias("mid"))
+
+
+@query(f"WITH {CONTENTS} SELECT 'BV' || content_id AS content_id, owner_id, CAST(floor(view_count) AS BIGINT) AS view_count, 0 AS reply_count, 'https://pic/' || content_id AS pic, status AS tag, 'hot' AS source FROM contents")
+def normalize_content(spark, sf_dir):
+    rows = normalize.normalize_content(A.contents(spark, sf_dir).select(content_payload().alias("data")))
+    return rows.select("content_id", "owner_id", "view_count", F.col("reply_count").cast("int").alias("reply_count"), "pic", F.get("tags", F.lit(0)).alias("tag"), "source")
+
+
+@query("SELECT event_id AS comment_id, 9 AS root_id, 9 AS parent_id, event_type AS text, user_id, CAST(floor(value) AS BIGINT) AS like_count, CAST(user_id % 7 AS INTEGER) AS level FROM events")
+def normalize_comments(spark, sf_dir):
+    """Pages of sub-replies: root and parent default to the given root."""
+    rows = A.comments_time(spark, sf_dir)
+    member = F.struct(F.col("user_id").alias("mid"), F.struct((F.col("user_id") % 7).alias("current_level")).alias("level_info"))
+    reply = F.struct(F.col("comment_id").alias("rpid"), F.unix_seconds("created_at").alias("ctime"), F.col("like_count").alias("like"), F.struct(F.col("content_id").alias("message")).alias("content"), member.alias("member"))
+    pages = rows.select(F.to_json(F.struct(F.array(reply).alias("replies"))).alias("data"))
+    out = normalize.normalize_comments(pages, root=F.lit(9).cast("long"))
+    return out.select("comment_id", F.col("root_id").cast("int").alias("root_id"), F.col("parent_id").cast("int").alias("parent_id"), "text", "user_id", "like_count", "level")
+
+
+@query(f"WITH {USERS} SELECT user_id, name, sign, level, follower, coalesce(post_count, -1) AS post_count FROM users")
+def normalize_user(spark, sf_dir):
+    u = A.users(spark, sf_dir)
+    payload = F.to_json(F.struct(F.col("user_id").alias("mid"), "name", F.col("avatar").alias("face"), "sign", F.col("level").cast("string").alias("level"), "follower", "following", "post_count"))
+    return normalize.normalize_user(u.select(payload.alias("data"))).select("user_id", "name", "sign", "level", "follower", "post_count")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS post_id, CASE WHEN doc_id % 2 = 0 THEN left(text, 40) ELSE lang END AS text, doc_id % 3 = 0 OR doc_id % 5 = 0 AS is_repost FROM documents")
+def normalize_posts(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents")
+    key = F.col("doc_id")
+    module = F.struct(F.when(key % 2 == 0, F.substring("text", 1, 40)).alias("text"), F.struct(F.col("lang").alias("text")).alias("desc"))
+    payload = F.to_json(F.struct(key.cast("string").alias("id_str"), F.when(key % 3 == 0, "DYNAMIC_TYPE_FORWARD").otherwise("DYNAMIC_TYPE_WORD").alias("type"), F.when(key % 5 == 0, F.struct(key.alias("id"))).alias("orig"), F.struct(module.alias("module_dynamic")).alias("modules")))
+    return normalize.normalize_posts(d.select(payload.alias("data"))).select("post_id", "text", "is_repost")
+
+
+@query("SELECT o_custkey AS owner_id, 'owner' || o_custkey AS owner_name, o_orderkey AS aid, o_orderstatus AS title, 83 AS duration_s FROM orders")
+def normalize_creator_listing(spark, sf_dir):
+    rows = A.contents(spark, sf_dir)
+    v = F.struct(F.col("content_id").alias("aid"), F.concat(F.lit("owner"), F.col("owner_id").cast("string")).alias("author"), F.col("owner_id").alias("mid"), F.col("status").alias("title"), F.lit("01:23").alias("length"))
+    payload = F.to_json(F.struct(F.struct(F.array(v).alias("vlist")).alias("list")))
+    return normalize.normalize_listing(rows.select(payload.alias("data"))).select("owner_id", "owner_name", "aid", "title", "duration_s")
+
+
+@query("""SELECT page_id, nullif(regexp_extract(html, 'var t="([^"]*)"', 1), '') AS state FROM pages""")
+def extract_page_state(spark, sf_dir):
+    return A.table(spark, sf_dir, "pages").select("page_id", normalize.page_state(F.col("html"), r'var t="([^"]*)"').alias("state"))
+
+
+@query("SELECT page_id, CAST(page_id % 7 AS INTEGER) AS level, coalesce(nullif(split_part(url, '/', 3), ''), 'x') AS sign FROM pages")
+def extract_page_fields(spark, sf_dir):
+    """Profile fields behind each page's own markup."""
+    pages = A.table(spark, sf_dir, "pages")
+    host = F.coalesce(F.nullif(F.split_part("url", F.lit("/"), F.lit(3)), F.lit("")), F.lit("x"))
+    html = F.concat("html", F.lit('<meta name="description" content="about。'), host, F.lit('"><i class="user_level_'), (F.col("page_id") % 7).cast("string"), F.lit('">'))
+    sign, level = normalize.page_fields(html)
+    return pages.select("page_id", level.alias("level"), sign.alias("sign"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'BV0123456789' WHEN 1 THEN CAST(page_id AS VARCHAR) ELSE NULL END AS content_id FROM pages")
+def extract_link_id(spark, sf_dir):
+    key = F.col("page_id")
+    link = F.when(key % 3 == 0, F.concat("url", F.lit("/BV0123456789"))).when(key % 3 == 1, F.concat(F.lit("https://x/oid="), key.cast("string"))).otherwise(F.split_part("url", F.lit("://"), F.lit(1)))
+    return A.table(spark, sf_dir, "pages").select("page_id", normalize.link_id(link).alias("content_id"))
+
+
+@query("SELECT event_id AS overlay_id, event_type AS content_id, event_type AS text, CAST(floor(event_id / 2.0 * 1000) AS BIGINT) AS progress_ms, 25 AS font_size FROM events WHERE event_id % 4 <> 0")
+def parse_overlay_xml(spark, sf_dir):
+    """Every fourth element has six attributes and is dropped."""
+    key = F.col("comment_id")
+    attributes = F.concat_ws(",", (key / 2).cast("string"), F.lit("1"), F.lit("25"), F.lit("16777215"), F.lit("1700000000"), F.lit("0"), F.when(key % 4 != 0, "abcd"), F.when(key % 4 != 0, key.cast("string")))
+    xml = F.concat(F.lit('<d p="'), attributes, F.lit('">'), F.col("content_id"), F.lit("</d>"))
+    rows = A.comments_time(spark, sf_dir).groupBy("content_id", (key % 16).alias("part")).agg(F.concat(F.lit("<i>"), F.array_join(F.collect_list(xml), ""), F.lit("</i>")).alias("xml"))
+    return normalize.parse_overlay_xml(rows).select("overlay_id", "content_id", "text", "progress_ms", "font_size")
+
+
+@query("SELECT event_id AS overlay_id, CAST(user_id AS INTEGER) AS progress_ms, event_type AS text FROM events")
+def decode_overlay_segments(spark, sf_dir):
+    """Binary segments of one element each, assembled from the events."""
+
+    def varint(value):
+        """Up to three bytes of seven bits, written in full."""
+        parts = [F.lpad(F.hex(F.shiftright(value, 7 * i).bitwiseAND(127) + (128 if i < 2 else 0)), 2, "0") for i in range(3)]
+        return F.concat(*parts)
+
+    text = F.hex(F.col("content_id").cast("binary"))
+    body = F.concat(F.lit("08"), varint(F.col("comment_id")), F.lit("10"), varint(F.col("user_id")), F.lit("3A"), F.lpad(F.hex(F.octet_length("content_id")), 2, "0"), text)
+    segment = F.unhex(F.concat(F.lit("0A"), F.lpad(F.hex(F.length(body) / 2), 2, "0"), body))
+    rows = A.comments_time(spark, sf_dir).select(F.col("comment_id").cast("string").alias("path"), segment.alias("content"))
+    return normalize.decode_overlay_segments(rows).select("overlay_id", "progress_ms", "text")
+
+
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS seen_at, o_custkey AS like_count, CAST(o_orderkey AS VARCHAR) AS content_id FROM orders")
+def parse_history_card(spark, sf_dir):
+    rows = A.contents(spark, sf_dir)
+    card = F.concat(F.date_format("published_at", "yyyy/M/d H:m:s"), F.lit(" "), F.col("owner_id").cast("string"), F.lit("\ntext\nhttps://x/av"), F.col("content_id").cast("string"))
+    when, likes, content = normalize.parse_history_card(card)
+    return rows.select(F.col("content_id").alias("id"), F.date_format(when, "yyyy-MM-dd HH:mm:ss").alias("seen_at"), likes.alias("like_count"), content.alias("content_id"))
+
+
+@query("SELECT 'search:' || n_name || ':1-' || n_regionkey + 1 AS uri, 'search' AS kind, n_name AS value, CAST(unnest(generate_series(1, n_regionkey + 1)) AS INTEGER) AS page FROM nation")
+def parse_seed_uri(spark, sf_dir):
+    uri = F.concat(F.lit("search:"), F.col("n_name"), F.lit(":1-"), (F.col("n_regionkey") + 1).cast("string"))
+    return normalize.parse_seed_uri(A.table(spark, sf_dir, "nation").select(uri.alias("uri")))
+
+
+@query("SELECT c_custkey AS row_id, CASE WHEN c_custkey % 4 = 3 THEN NULL ELSE c_custkey END AS user_id FROM customer")
+def parse_id_seed(spark, sf_dir):
+    key = F.col("user_id")
+    text = key.cast("string")
+    seed = F.when(key % 4 == 0, text).when(key % 4 == 1, F.concat(F.lit('{"mid":'), text, F.lit("}"))).when(key % 4 == 2, F.concat(F.lit('{"uid":"'), text, F.lit('"}'))).otherwise(F.concat(F.lit("x"), text))
+    return A.users(spark, sf_dir).select(key.alias("row_id"), normalize.parse_id_seed(seed).alias("user_id"))
+
+
+@query("SELECT user_id FROM (SELECT unnest([c_custkey, c_nationkey]) AS user_id FROM customer) WHERE user_id > 0")
+def split_ids(spark, sf_dir):
+    rows = A.table(spark, sf_dir, "customer").select(F.concat((F.col("c_custkey")).cast("string"), F.lit(", \n"), F.col("c_nationkey").cast("string")).alias("ids"))
+    return normalize.split_ids(rows, "ids")
