@@ -19,8 +19,10 @@ from __future__ import annotations
 import struct
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +31,12 @@ from tidewatch.llm.common import make_dir, move_file, open_file, shared_dir, wri
 MAGIC = b"TWF1"
 HEADER = "<4sQQQQ"
 BLOCK_IDS = 1 << 20
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 CACHED_CHARS = 64
 
+#: The split pattern of the tokenizer, in force on lower-case text.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+
 # Tables by control byte: bytes of the four values together, offset and mask of each.
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 TOTAL = _LENGTHS.sum(1)
@@ -62,52 +67,61 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 class WordEncoder:
     """Ids of a text by the tokenizers library, remembering those of space-separated pieces.
 
-    The tokenizer lower-cases and drops white space, and no token spans it, so a text's ids are those of its pieces. A
-    piece of Latin letters alone goes straight to the vocabulary model; all others run through the whole tokenizer."""
+    The tokenizer lower-cases and drops white space, and no token spans it, so a text's ids are those of its pieces.
+    Pieces of Latin characters are split as the tokenizer does and go straight to its vocabulary model; all others run
+    through the whole tokenizer. What is remembered is kept in two generations: a full one becomes the old one."""
 
     def __init__(self, tokenizer_json: bytes):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json.decode())
         self.model = self.tokenizer.model
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.words: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         moved = [b for b in range(256) if b not in kept]
         self.shown = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
 
     def word(self, word: str) -> bytes:
-        """Ids of a lower-case word of letters only."""
-        ids = self.words.get(word)
+        """Ids of one match of the split pattern."""
+        new, old = self.words
+        ids = new.get(word)
         if ids is None:
-            seen = word if word.isascii() else "".join(self.shown[b] for b in word.encode())
-            ids = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
-            if len(self.words) >= CACHE_ENTRIES:
-                self.words.clear()
-            self.words[word] = ids
+            ids = old.get(word)
+            if ids is None:
+                seen = word if word.isascii() else "".join([self.shown[b] for b in word.encode()])
+                ids = array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+            remember(new, old, word, ids)
         return ids
 
     def piece(self, piece: str) -> bytes:
-        if len(piece) > CACHED_CHARS:
-            return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        core = piece[:-1] if piece[-1:] in (".", ",") else piece
-        if core.isalpha() and (core.isascii() or max(core) < "ɐ" and "İ" not in core and unicodedata.is_normalized("NFC", core)):
-            ids = self.word(core.lower())
-            if len(core) < len(piece):
-                ids += self.piece(piece[-1])
-        else:
-            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.pieces) >= CACHE_ENTRIES:
-            self.pieces.clear()
-        self.pieces[piece] = ids
+        new, old = self.pieces
+        ids = old.get(piece)
+        if ids is None:
+            latin = piece.isascii() or max(piece) < "\u0250" and "\u0130" not in piece and unicodedata.is_normalized("NFC", piece)
+            if latin and len(piece) <= CACHED_CHARS and piece.isprintable() and "<|" not in piece:
+                low = piece.lower()
+                ids = self.word(low) if low.isalpha() else b"".join([self.word(w) for w in WORDS(low)])
+            else:
+                ids = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        if len(piece) <= CACHED_CHARS:
+            remember(new, old, piece, ids)
         return ids
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        known, piece = self.pieces.get, self.piece
+        known, piece = self.pieces[0].get, self.piece
         return b"".join([known(p) or piece(p) for p in text.replace("\n", " ").split(" ") if p])
 
 
+def remember(new: dict[str, bytes], old: dict[str, bytes], key: str, ids: bytes) -> None:
+    if len(new) >= CACHE_ENTRIES:
+        old.clear()
+        old.update(new)
+        new.clear()
+    new[key] = ids
+
+
 #: Per Python worker: the encoder in use, so that what it remembers lives on from task to task.
 ENCODERS: dict[str, WordEncoder] = {}
 
@@ -119,71 +133,86 @@ def encoder(key: str, held) -> WordEncoder:
     return ENCODERS[key]
 
 
-def count_ids(texts: DataFrame, key: str, held, end_id: int) -> list[int]:
-    """Token ids from the most to the least frequent in the corpus; at most one count for each entry of the vocabulary."""
+ENCODED = "id long, tie long, ids binary, tokens array<long>, counts array<long>"
+
+
+def encoded(texts: DataFrame, key: str, held, end_id: int) -> DataFrame:
+    """Rows (id, tie, ids) with the compressed ids of a text, and at the end of each task one row (tokens, counts)."""
     import pyarrow as pa
 
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names = [c.split()[0] for c in ENCODED.split(", ")]
+
     def run(batches):
-        encode, total = encoder(key, held).encode, np.zeros(0, np.int64)
+        encode, total = encoder(key, held).encode, np.zeros(end_id + 1, np.int64)
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
+            packed = []
             for text in batch.column("text").to_pylist():
-                own = np.bincount(np.frombuffer(encode(text or ""), "<u4"), minlength=end_id + 1)
-                own[end_id] += 1
+                ids = np.frombuffer(encode(text or "") + end, "<u4")
+                own = np.bincount(ids)
                 if len(own) > len(total):
-                    own[: len(total)] += total
-                    total = own
-                else:
-                    total[: len(own)] += own
-        ids = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["token", "n"])
+                    total = np.pad(total, (0, len(own) - len(total)))
+                total[: len(own)] += own
+                packed.append(zlib.compress(ids.astype("<u2").tobytes() if len(own) <= 1 << 16 else b"4" + ids.tobytes(), 1))
+            n = len(packed)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tie"), pa.array(packed, types[2]), pa.nulls(n, types[3]), pa.nulls(n, types[4])], names)
+        seen = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, None, None, seen, total[seen]), types, strict=True)], names)
+
+    return texts.mapInArrow(run, ENCODED)
 
-    counts = texts.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return [row["token"] for row in counts.orderBy(F.desc("n"), "token").collect()]
+
+def unzipped(packed: bytes) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    return np.frombuffer(raw, "<u4", offset=1) if len(raw) % 2 else np.frombuffer(raw, "<u2").astype("<u4")
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and writes all documents; returns the manifest: part, path, n_docs, n_ids of each file."""
+    """Encodes all documents once, ranks the ids, and writes the files; returns the manifest: part, path, n_docs, n_ids."""
     import pyarrow as pa
     from pyspark import TaskContext
 
     spark = docs.sparkSession
     with open(tokenizer_path, "rb") as file:
-        held, key = spark.sparkContext.broadcast(file.read()), tokenizer_path
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    by_rank = np.array(count_ids(texts, key, held, end_id), "<u4")
+        held = spark.sparkContext.broadcast(file.read())
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    rows = written(encoded(texts, tokenizer_path, held, end_id), "encoded-texts")
+    counts = rows.filter("tokens IS NOT NULL").select(F.explode(F.arrays_zip("tokens", "counts")).alias("c")).groupBy("c.tokens").agg(F.sum("c.counts").alias("n"))
+    # At most one row for each entry of the vocabulary.
+    by_rank = np.array([row["tokens"] for row in counts.orderBy(F.desc("n"), "tokens").collect()], "<u4")
     make_dir(folder)
     with open_file(f"{folder}/ranks.bin", "wb") as file:
         file.write(by_rank.tobytes())
     ranks = spark.sparkContext.broadcast(by_rank)
 
     def run(batches):
-        encode, by_rank = encoder(key, held).encode, ranks.value
+        by_rank = ranks.value
         rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, "<u4")
         rank_of[by_rank] = np.arange(len(by_rank))
-        end = np.array([end_id], "<u4").tobytes()
         task = TaskContext.get()
         path, n_docs, n_ids, file = f"{folder}/part-{task.partitionId():06d}.twf", 0, 0, None
         temporary = f"{path}.{task.taskAttemptId()}.tmp"
         ids, texts, size = [], [], 0
 
         def flush():
-            values = rank_of[np.frombuffer(b"".join(texts), "<u4")]
+            values = rank_of[np.concatenate(texts)]
             control, data = pack(values)
             file.write(struct.pack(HEADER, MAGIC, len(ids), len(values), len(control), len(data)))
             file.write(np.array([i or 0 for i in ids], "<i8").tobytes() + bytes(i is not None for i in ids))
-            file.write(np.array([len(t) // 4 for t in texts], "<u8").tobytes() + control)
+            file.write(np.array([len(t) for t in texts], "<u8").tobytes() + control)
             file.write(data)
             ids.clear()
             texts.clear()
 
         for batch in batches:
-            for id_, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for id_, packed in zip(batch.column("id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 file = file or open_file(temporary, "wb")
                 ids.append(id_)
-                texts.append(encode(text or "") + end)
-                size += len(texts[-1]) // 4
+                texts.append(unzipped(packed))
+                size += len(texts[-1])
                 n_docs += 1
-                n_ids += len(texts[-1]) // 4
+                n_ids += len(texts[-1])
                 if size >= BLOCK_IDS:
                     flush()
                     size = 0
@@ -194,9 +223,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
             move_file(temporary, path)
             yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
 
-    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
-    sorted_texts = texts.repartitionByRange(*order).sortWithinPartitions(*order)
-    return written(sorted_texts.mapInArrow(run, "part long, path string, n_docs long, n_ids long"), "token-file-manifest")
+    order = [F.col("id").asc_nulls_first(), F.col("tie")]
+    in_order = rows.filter("tokens IS NULL").select("id", "tie", "ids").repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(in_order.mapInArrow(run, "part long, path string, n_docs long, n_ids long"), "token-file-manifest")
 
 
 def read_blocks(path: str):
