@@ -62,7 +62,7 @@ def distinct_hits(text: Column, terms: list[str]) -> Column:
 
 def garbled_name(name: Column) -> Column:
     """Empty, untouched default, digits only, mostly digits without a word, a keyboard walk, or short letters and a long number."""
-    n = F.length(name)
+    n = F.greatest(F.length(name), F.lit(1))
     digits = F.length(F.regexp_replace(name, r"[^0-9]", ""))
     letters = F.length(F.regexp_extract(name, r"^([a-zA-Z]+)[0-9]{4,}$", 1))
     tail_share = (n - letters) / n

@@ -26,7 +26,7 @@ def burst_scores(comments: DataFrame, width_s: int = 600, z_limit: float = 2.0)
     """Users of windows far above their content's mean: min(1, z / 5) for each such window, divided by the content's maximum."""
     windows = burst_windows(comments, width_s)
     stats = windows.groupBy("content_id").agg(F.avg("n_users").alias("mean"), F.stddev_samp("n_users").alias("sd"), F.count("*").alias("n"))
-    hot = windows.join(stats, "content_id").filter("n >= 2 AND sd > 0").withColumn("z", (F.col("n_users") - F.col("mean")) / F.col("sd")).filter(F.col("z") > z_limit)
+    hot = windows.join(stats, "content_id").filter("n >= 2 AND sd > 0").withColumn("z", F.try_divide(F.col("n_users") - F.col("mean"), F.col("sd"))).filter(F.col("z") > z_limit)
     hot = hot.select("content_id", F.unix_micros("window_start").alias("start"), F.least(F.lit(1.0), F.col("z") / 5).alias("gain"))
     rows = comments.filter("created_at IS NOT NULL").select("content_id", "user_id", F.unix_micros("created_at").alias("at"))
     t0 = rows.groupBy("content_id").agg(F.min("at").alias("t0"))

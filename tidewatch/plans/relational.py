@@ -172,7 +172,7 @@ def content_status(spark, sf_dir):
 @query(f"WITH {COMMENTS} SELECT content_id, count(*) AS collected, sum(like_count) AS declared, round(count(*) / sum(like_count), 6) AS coverage, count(*) / sum(like_count) < 0.04 AS low FROM comments GROUP BY 1")
 def collection_coverage(spark, sf_dir):
     rows = A.comments_rel(spark, sf_dir).groupBy("content_id").agg(F.count("*").alias("collected"), F.sum("like_count").alias("declared"))
-    share = F.col("collected") / F.col("declared")
+    share = F.try_divide("collected", "declared")
     return rows.select("content_id", "collected", "declared", F.round(share, 6).alias("coverage"), (share < 0.04).alias("low"))
 
 
