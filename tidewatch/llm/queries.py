@@ -118,7 +118,7 @@ WITH parts AS (
 ), canon AS (
   SELECT *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canonical FROM split
 ), rules(rule, rule_host, rule_path, said) AS (
-  VALUES ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'), ('net/de/', 'net', '/de/', 'block'),
+  VALUES ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'), ('net/de/', 'net', '/de/', 'allow'),
          ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')
 ), best AS (
   SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(said, length(rule)) AS said
