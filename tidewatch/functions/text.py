@@ -96,6 +96,10 @@ def repair_percent(text: Column) -> Column:
     return F.when(value > 100, F.replace(text, F.concat(seen, F.lit("%")), F.concat(F.round(value / 100).cast("long").cast("string"), F.lit("%")))).otherwise(text)
 
 
+#: Labels of a profile text and of its digest.
+LEVEL, FANS, UPLOADS, AVATAR, WITHOUT, WITH_AVATAR, CUT_MARK, NO_PROFILE = "等级=Lv", "粉丝", "投稿", "头像", "无", "有头像", "...(截断)", "（无用户画像数据）"
+
+
 def profile_digest(profile: Column, limit: int = 200) -> Column:
     """Level, followers, uploads and avatar of a profile text in one line; else the text, cut."""
 
@@ -103,11 +107,11 @@ def profile_digest(profile: Column, limit: int = 200) -> Column:
         found = F.regexp_extract(profile, pattern, 1)
         return F.when(found != "", F.concat(F.lit(label), found))
 
-    avatar = F.when(profile.contains("头像") & ~profile.contains("无"), "有头像")
-    line = F.concat_ws(" | ", part(r"(?iU)Level?\s*[:：]?\s*(\d+)", "等级=Lv"), part(r"(?U)粉丝\s*[:：]?\s*(\d+)", "粉丝="), part(r"(?U)投稿\s*[:：]?\s*(\d+)", "投稿="), avatar)
+    avatar = F.when(profile.contains(AVATAR) & ~profile.contains(WITHOUT), WITH_AVATAR)
+    line = F.concat_ws(" | ", part(r"(?iU)Level?\s*[:：]?\s*(\d+)", LEVEL), part(rf"(?U){FANS}\s*[:：]?\s*(\d+)", f"{FANS}="), part(rf"(?U){UPLOADS}\s*[:：]?\s*(\d+)", f"{UPLOADS}="), avatar)
     best = F.when(line != "", line).otherwise(profile)
-    cut = F.when(F.length(best) > limit, F.concat(F.substring(best, 1, limit), F.lit("...(截断)"))).otherwise(best)
-    return F.when(F.coalesce(profile, F.lit("")) == "", "（无用户画像数据）").otherwise(cut)
+    cut = F.when(F.length(best) > limit, F.concat(F.substring(best, 1, limit), F.lit(CUT_MARK))).otherwise(best)
+    return F.when(F.coalesce(profile, F.lit("")) == "", NO_PROFILE).otherwise(cut)
 
 
 def profile_line(avatar: Column, posts: Column, uploads: Column, sign: Column) -> Column:

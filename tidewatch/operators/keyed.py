@@ -38,8 +38,8 @@ def first_n(rows: DataFrame, keys: list[str], n: int, *order: Column) -> DataFra
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """One page of the ordered rows, with the total number of rows and of pages (one at least)."""
-    totals = rows.agg(F.count("*").alias("total")).withColumn("total_pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("long"))
-    return rows.orderBy(*order).offset((number - 1) * size).limit(size).join(F.broadcast(totals))
+    total = rows.agg(F.count("*").alias("total")).scalar()
+    return rows.orderBy(*order).offset((number - 1) * size).limit(size).withColumn("total", total).withColumn("total_pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("long"))
 
 
 def pending(everything: DataFrame, done: DataFrame, queued: DataFrame, key: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.scoring import risk
@@ -82,6 +82,11 @@ def fill_avatars(registry: DataFrame, comments: DataFrame) -> DataFrame:
     return registry.join(seen, "user_id", "left").withColumn("avatar", F.coalesce(F.nullif(F.col("avatar"), F.lit("")), "seen", F.lit(""))).drop("seen")
 
 
+def reason_text(added_by: Column, score: Column) -> Column:
+    """What a registry row says where no reason was given."""
+    return F.when(added_by == "manual", "added by hand").otherwise(F.format_string("score %.1f in the analysis", score))
+
+
 def exported(registry: DataFrame) -> DataFrame:
     """Flat rows for CSV or JSON: counts in place of the nested columns."""
     return registry.select("user_id", "user_name", "score", "risk", "added_by", F.size("reasons").cast("long").alias("reasons_count"), F.size("sources").cast("long").alias("sources_count"))

@@ -57,9 +57,9 @@ def representatives(comments: DataFrame) -> DataFrame:
     return rows.groupBy("content_id", "body").agg(F.min_by("comment_id", "seq").alias("rep"), F.count("*").alias("copies"))
 
 
-def similar_pairs(comments: DataFrame, threshold: float = 0.75) -> DataFrame:
+def similar_pairs(comments: DataFrame, threshold: float = 0.75, reps: DataFrame | None = None) -> DataFrame:
     """(content_id, a, b, ratio) of candidate representatives at or above the threshold; a is the smaller id."""
-    reps = written(representatives(comments), "representatives")
+    reps = written(representatives(comments), "representatives") if reps is None else reps
     banded = reps.select("content_id", "rep", "body", F.posexplode(band_hashes("body")).alias("band", "key"))
     leaders = banded.groupBy("content_id", "band", "key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
     pairs = banded.drop("body").join(leaders, ["content_id", "band", "key"]).filter("rep <> a").select("content_id", "a", F.col("rep").alias("b")).distinct()
@@ -73,11 +73,12 @@ def similar_pairs(comments: DataFrame, threshold: float = 0.75) -> DataFrame:
 
 def cluster_members(comments: DataFrame, threshold: float = 0.75, least: int = 3) -> DataFrame:
     """(content_id, comment_id, cluster_id, size) of comments in clusters of ``least`` or more; named by their first id."""
-    pairs = written(similar_pairs(comments, threshold), "similar-pairs")
+    reps = written(representatives(comments), "representatives")
+    pairs = written(similar_pairs(comments, threshold, reps), "similar-pairs")
     # Comment ids are unique over contents, so one edge table serves all of them.
     roots = components(pairs.select("a", "b")).select(F.col("node").alias("rep"), "root")
+    # The join by text has two plain exchanges, so that the partition of a text that very many comments share is split.
     body = F.substring(preprocess(F.col("text")), 1, CUT)
-    reps = representatives(comments)
     rows = comments.select("content_id", "comment_id", body.alias("body")).join(reps, ["content_id", "body"]).join(roots, "rep", "left")
     named = rows.select("content_id", "comment_id", F.coalesce("root", "rep").alias("cluster_id"))
     sizes = named.groupBy("content_id", "cluster_id").agg(F.count("*").alias("size")).filter(F.col("size") >= least)

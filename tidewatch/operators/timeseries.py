@@ -41,10 +41,10 @@ def burst_scores(comments: DataFrame, width_s: int = 600, z_limit: float = 2.0)
 def registration_batches(registrations: DataFrame) -> DataFrame:
     """Users registered on days with more than mean + 2 sd registrations: day count / largest such count."""
     days = registrations.filter("day IS NOT NULL").groupBy("day").agg(F.count("*").alias("n"))
-    limit = days.agg((F.avg("n") + 2 * F.stddev_samp("n")).alias("threshold"))
-    peaks = days.join(F.broadcast(limit)).filter("n > threshold").drop("threshold")
-    most = peaks.agg(F.max("n").alias("most"))
-    return registrations.join(peaks.join(F.broadcast(most)), "day").select("user_id", "day", (F.col("n") / F.col("most")).alias("score"))
+    limit = days.agg((F.avg("n") + 2 * F.stddev_samp("n")).alias("threshold")).scalar()
+    peaks = days.filter(F.col("n") > limit)
+    most = peaks.agg(F.max("n").alias("most")).scalar()
+    return registrations.join(peaks, "day").select("user_id", "day", (F.col("n") / most).alias("score"))
 
 
 def timeline(comments: DataFrame, width_min: int = 30) -> DataFrame:

@@ -543,3 +543,16 @@ def registry_avatar_fill(spark, sf_dir):
 def registry_collect(spark, sf_dir):
     docs = A.table(spark, sf_dir, "documents").select(F.regexp_extract("source", r"(\d+)", 1).try_cast("long").alias("user_id"), F.col("lang").alias("content_id"), (F.col("n_chars") % 1001 / 10).alias("score"))
     return registry.collected(docs).select("user_id", "score", F.size("reasons").cast("long").alias("reasons_count"), F.size("sources").cast("long").alias("sources_count"))
+
+
+@query(REG_SQL + " SELECT user_id, CASE WHEN added_by = 'manual' THEN 'added by hand' ELSE 'score ' || printf('%.1f', score) || ' in the analysis' END AS reason FROM reg")
+def registry_reasons(spark, sf_dir):
+    return merged_registry(spark, sf_dir).select("user_id", registry.reason_text(F.col("added_by"), F.col("score")).alias("reason"))
+
+
+@query(f"WITH {SCORED} SELECT user_id, CASE WHEN user_id = (SELECT min(doc_id) FROM labels WHERE toxic = 1) THEN 99 ELSE score END AS score FROM scored")
+def report_merge_one(spark, sf_dir):
+    """The verdict on one user replaces the score of its report row only."""
+    first = A.verdicts(spark, sf_dir).filter("type_id = 1").agg(F.min("user_id").alias("user_id")).withColumn("given", F.lit(99.0))
+    rows = A.scored_users(spark, sf_dir).join(first, "user_id", "left")
+    return rows.select("user_id", F.coalesce("given", "score").alias("score"))

@@ -70,7 +70,7 @@ def quarantine_corrupt(spark, sf_dir):
     body = F.to_json(F.struct("comment_id", "user_id"))
     line = F.when(F.col("user_id") % 7 == 0, F.expr("substring(to_json(struct(comment_id, user_id)), 1, 12)")).otherwise(body)
     good, bad = files.split_corrupt(spark, landed(rows.select(line.alias("value")), "lines-json"), "comment_id long, user_id long")
-    return good.agg(F.count("*").alias("readable")).join(bad.agg(F.count("*").alias("quarantined")))
+    return good.agg(F.count("*").alias("readable")).withColumn("quarantined", bad.agg(F.count("*").alias("n")).scalar())
 
 
 @query("SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN NULL WHEN 'O' THEN 'blocked' ELSE 'not logged in' END AS error, CASE WHEN o_orderstatus = 'F' THEN CAST(o_custkey AS VARCHAR) END AS mid FROM orders")

@@ -52,7 +52,7 @@ def purge_by_category(spark, sf_dir):
     contents, comments = A.contents(spark, sf_dir), A.comments_rel(spark, sf_dir)
     gone = contents.filter("source = '5-LOW'").select("content_id")
     left = {"contents": (contents, keyed.purge(contents, F.col("source") == "5-LOW")), "comments": (comments, comments.join(gone, "content_id", "left_anti"))}
-    counts = [before.agg(F.lit(name).alias("tbl"), F.count("*").alias("n")).join(after.agg(F.count("*").alias("kept"))).select("tbl", (F.col("n") - F.col("kept")).alias("deleted")) for name, (before, after) in left.items()]
+    counts = [before.agg(F.lit(name).alias("tbl"), (F.count("*") - after.agg(F.count("*").alias("kept")).scalar()).alias("deleted")) for name, (before, after) in left.items()]
     return counts[0].union(counts[1])
 
 
