@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import binary_column, words_of
+from tidewatch.llm.common import binary_column, words_of, written
 
 FOLDS = 5
 MAX_ROWS = 30_000
@@ -130,12 +130,12 @@ class ToxicityModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows: int) -> DataFrame:
-    """(text, toxic) of at most about ``max_rows`` labelled rows of the learning folds."""
+    """(text, toxic) of at most about ``max_rows`` labelled rows of the learning folds; their ids are broadcast."""
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1) AND label_id IS NOT NULL")
     known = known.filter(fold_of("label_id") != 0).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, max_rows / max(1, known.count()))
     chosen = known.filter(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(chosen, "label_id").select("text", "toxic")
+    return docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id").select("text", "toxic")
 
 
 def mine_terms(sample: DataFrame, max_terms: int) -> tuple[list[tuple[bytes, int, int]], float]:
@@ -266,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learns from the learning folds of ``labels`` (doc_id, toxic) and the votes on all documents."""
     import pyarrow as pa
 
-    sample = labelled_sample(docs, labels, id_col, text_col, max_rows)
+    sample = written(labelled_sample(docs, labels, id_col, text_col, max_rows), "labelled-sample")
     terms, share = mine_terms(sample, max_terms)
     model = ToxicityModel(terms=[t for t, _, _ in terms], prior=share)
     model.voter_of, model.n_voters = deal_voters(terms)
