@@ -30,7 +30,7 @@ MAX_LISTS = 1_024
 BLOCK_ROWS = 8_192
 BLOCK_QUERIES = 512
 COLUMN_BLOCK = 16
-EPSILON = 2.1
+EPSILON = 1.6
 PROBE_SHARE = 0.8
 SEED = 11
 
@@ -92,8 +92,12 @@ def search_block(index: ListIndex, ids: np.ndarray, vectors: np.ndarray, query_i
     points, asked = index.rows(vectors), index.queries(queries)
     d = points.shape[1]
     repeated = len(np.unique(ids)) < len(ids)
-    first = min(COLUMN_BLOCK, d)
-    head = ((points[:, :first] ** 2).sum(1)[None, :] + (asked[:, :first] ** 2).sum(1)[:, None]) - 2 * asked[:, :first] @ points[:, :first].T
+    ends = [*range(COLUMN_BLOCK, d, COLUMN_BLOCK), d]
+    starts = [0, *ends[:-1]]
+    blocks = [np.ascontiguousarray(points[:, a:b]) for a, b in zip(starts, ends, strict=True)]
+    squares = [(block**2).sum(1) for block in blocks]
+    asked_squares = np.stack([(asked[:, a:b] ** 2).sum(1) for a, b in zip(starts, ends, strict=True)])
+    head = squares[0][None, :] + asked_squares[0][:, None] - 2 * asked[:, : ends[0]] @ blocks[0].T
     out, is_near = [], np.zeros(len(ids), bool)
     for q in range(len(query_ids)):
         left = np.nonzero(ids != query_ids[q])[0]
@@ -101,16 +105,15 @@ def search_block(index: ListIndex, ids: np.ndarray, vectors: np.ndarray, query_i
             partial = head[q, left]
             near = np.nonzero(partial <= np.partition(partial, 2 * k - 1)[2 * k - 1])[0]
             near = left[near[np.argsort(partial[near], kind="stable")[: 2 * k]]]
-            radius = np.partition(((points[near] - asked[q]) ** 2).sum(1), k - 1)[k - 1]
+            radius = np.partition(((points[near] - asked[q]) ** 2).sum(1), k - 1)[k - 1] * (1 + 1e-9) + 1e-12
             is_near[near] = True
-            done = first
-            while done < d and len(left) > 2 * k:
-                keep = partial <= radius * (1 + epsilon / np.sqrt(done)) ** 2 * done / d
-                keep |= is_near[left]
+            for n, done in enumerate(ends):
+                limit = radius * (1 + epsilon / np.sqrt(done)) ** 2 * done / d if done < d else radius
+                keep = (partial <= limit) | is_near[left]
                 left, partial = left[keep], partial[keep]
-                step = slice(done, min(done + COLUMN_BLOCK, d))
-                partial = partial + ((points[left, step] - asked[q, step]) ** 2).sum(1)
-                done = step.stop
+                if done < d:
+                    more = starts[n + 1]
+                    partial = partial + squares[n + 1][left] + asked_squares[n + 1, q] - 2 * (blocks[n + 1][left] @ asked[q, more : ends[n + 1]])
             is_near[near] = False
         score = (vectors[left] * queries[q]).sum(1)
         best = np.lexsort((ids[left], -score))
