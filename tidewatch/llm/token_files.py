@@ -48,9 +48,19 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit values; the last group is filled with zeros."""
     full = np.zeros(-(-len(values) // 4) * 4, "<u4")
     full[: len(values)] = values
-    extra = (full > 0xFF).astype(np.uint8) + (full > 0xFFFF) + (full > 0xFFFFFF)
-    control = (extra.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    data = full.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]]
+    sizes = np.ones(len(full), np.uint8)
+    for bits in (8, 16, 24):
+        longer = full >> bits != 0
+        if not longer.any():
+            break
+        sizes += longer
+    control = ((sizes - 1).reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    data, starts = np.empty(ends[-1] if len(ends) else 0, np.uint8), ends - sizes
+    data[starts] = full & 0xFF
+    for k in range(1, int(sizes.max(initial=1))):
+        wide = np.nonzero(sizes > k)[0]
+        data[starts[wide] + k] = full[wide] >> (8 * k) & 0xFF
     return control.tobytes(), data.tobytes()
 
 
@@ -60,8 +70,10 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     padded = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
     starts = np.cumsum(TOTAL[codes]) - TOTAL[codes]
     at = (starts[:, None] + OFFSET[codes]).ravel()
-    four = padded[at] | padded[at + 1] << 8 | padded[at + 2] << 16 | padded[at + 3] << 24
-    return (four & MASK[codes].ravel())[:n]
+    found = padded[at]
+    for k in range(1, int(_LENGTHS[codes].max(initial=1))):
+        found |= padded[at + k] << np.uint32(8 * k)
+    return (found & MASK[codes].ravel())[:n]
 
 
 class WordEncoder:
@@ -146,15 +158,23 @@ def encoded(texts: DataFrame, key: str, held, end_id: int) -> DataFrame:
     def run(batches):
         encode, total = encoder(key, held).encode, np.zeros(end_id + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
+
+        def count(waiting):
+            own = np.bincount(np.concatenate(waiting), minlength=len(total))
+            own[: len(total)] += total
+            return own
+
         for batch in batches:
-            packed = []
+            packed, waiting, size = [], [], 0
             for text in batch.column("text").to_pylist():
                 ids = np.frombuffer(encode(text or "") + end, "<u4")
-                own = np.bincount(ids)
-                if len(own) > len(total):
-                    total = np.pad(total, (0, len(own) - len(total)))
-                total[: len(own)] += own
-                packed.append(zlib.compress(ids.astype("<u2").tobytes() if len(own) <= 1 << 16 else b"4" + ids.tobytes(), 1))
+                waiting.append(ids)
+                size += len(ids)
+                if size >= BLOCK_IDS:
+                    total, waiting, size = count(waiting), [], 0
+                packed.append(zlib.compress(ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"4" + ids.tobytes(), 1))
+            if waiting:
+                total = count(waiting)
             n = len(packed)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tie"), pa.array(packed, types[2]), pa.nulls(n, types[3]), pa.nulls(n, types[4])], names)
         seen = np.nonzero(total)[0]
