@@ -107,6 +107,43 @@ def test_near_duplicates_of_a_large_group(spark):
     assert sum(r["is_first"] for r in found) == 1
 
 
+def test_near_duplicates_of_a_star(spark):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 3_001):
+        own = list(base)
+        for at in rng.sample(range(300), 6):
+            own[at] = f"n{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(own)))
+    grams = {i: neardup.kmers(neardup.word_hashes(words_of(t.encode()))) for i, t in rows}
+    alike = {i for i in grams if neardup.similarity(grams[0], grams[i], 0.8)}
+    some = rng.sample(range(1, 3_001), 200)
+    assert len(alike) == 3_001 and sum(neardup.similarity(grams[a], grams[b], 0.8) > 0 for a, b in combinations(some, 2)) < 20
+    found = neardup.near_duplicates(docs_of(spark, rows)).collect()
+    assert {r["doc_id"] for r in found if r["class_id"] == 0} == alike
+
+
+def test_pairs_across_components_are_all_pairs(spark):
+    rng, kept = random.Random(5), {}
+    for i in range(90):
+        common = rng.sample(range(1, 50), 3)
+        kept[b"%03d" % i] = ([rng.randint(1, 2) if k in (2, 7, 11) else common[k % 3] * 100 + k for k in range(16)], rng.randint(80, 120), b"%03d" % rng.randint(0, 60))
+    contents = spark.createDataFrame([(node, n, sketch) for node, (sketch, n, _) in kept.items()], "node binary, n int, sketch array<long>")
+    roots = spark.createDataFrame([(node, root) for node, (_, _, root) in kept.items()], "node binary, root binary")
+    large = neardup.large_set_rows(contents)
+    sizes = {(r["sketch_no"], r["key"]) for r in large.collect()}
+    wanted = set()
+    for a, b in combinations(sorted(kept), 2):
+        (s, n, r), (t, m, q) = kept[a], kept[b]
+        same = [k for k in range(16) if s[k] == t[k]]
+        if r != q and len(same) >= 2 and (same[0], s[same[0]]) in sizes and min(n, m) >= 0.8 * max(n, m):
+            wanted.add((a, b))
+    for block in (7, 1_000):
+        found = [(bytes(r["a"]), bytes(r["b"])) for r in neardup.pairs_across(neardup.mixed_set_rows(contents, large, roots), 0.8, block).collect()]
+        assert len(found) == len(wanted) > 100 and set(found) == wanted
+
+
 def test_near_duplicates_of_odd_rows(spark):
     found = neardup.near_duplicates(docs_of(spark, ODD)).collect()
     assert len(found) == len(ODD)

@@ -7,9 +7,11 @@ candidates are linked if, in the best alignment of their k-mer sequences, the al
 of all (aligned / (both - aligned), at most the Jaccard similarity); only alignments within the band that such a
 similarity allows are computed. Classes are the connected components of the links.
 
-Equal word sequences are one node throughout. Inside a set of texts with an equal sketch, rows are sorted by the next
-sketches and each is compared with the three before it, not with all: as every text stands in sixteen differently
-sorted sets, members of a class, however large, stay connected, and no set is held by one task or paired out.
+Equal word sequences are one node throughout. Every pair of texts with an equal sketch is settled. Inside a set of texts
+with an equal sketch, rows are sorted by the next sketches and each is compared with the three before it, which covers
+sets of up to four. What these links connect needs no more comparisons. In the larger sets that then hold texts of
+several components, rows meet the few that stand in the largest sets, and last all pairs across components are compared,
+in blocks of hashed rows, block against block, so that no set is held by one task.
 
 Defined results: texts without words are equal if they are the same text, null counting as empty; texts of fewer than
 five words have one k-mer; a class is named by its smallest id, null if all its ids are null; repeated rows are one
@@ -19,7 +21,7 @@ node; an empty table gives an empty result; other columns may have any name.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import binary_column, words_of, written
@@ -30,6 +32,11 @@ THRESHOLD = 0.8
 NEIGHBOURS = 3
 #: Sketches that two candidates must share; a pair at the threshold shares fewer with a chance of about 1 in 10,000.
 SHARED = 2
+#: Rows of a block of a large set, and pairs of rows that are held at once.
+BLOCK = 1_024
+HELD_PAIRS = 200_000
+#: Rows of a mixed set that all others meet before all pairs do; saves comparisons, decides nothing.
+HUBS = 16
 WORD_CACHE = 500_000
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 SEEDS = np.random.default_rng(20).integers(1, 2**63, SKETCHES, dtype=np.uint64)
@@ -250,6 +257,109 @@ def candidate_pairs(contents: DataFrame, threshold: float) -> DataFrame:
     return found.filter("kind = 0").select("a", "b").unionByName(across.select("a", "b")).distinct()
 
 
+def large_set_rows(contents: DataFrame) -> DataFrame:
+    """(sketch_no, key, node, n_set) of the sets with an equal sketch in which the sorted scan leaves pairs out."""
+    spread = contents.filter("n > 0").select("node", F.posexplode("sketch").alias("sketch_no", "key"))
+    sets = spread.groupBy("sketch_no", "key").agg(F.count("*").alias("n_set")).filter(F.col("n_set") > NEIGHBOURS + 1)
+    return written(spread.join(written(sets, "large-sets"), ["sketch_no", "key"]), "large-set-rows")
+
+
+def mixed_set_rows(contents: DataFrame, large: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of the large sets that hold texts of several roots (node, root), with n, sketch and root."""
+    rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("sketch_no", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    rows = rooted.join(written(several.select("sketch_no", "key"), "mixed-sets"), ["sketch_no", "key"])
+    return written(rows.join(contents.select("node", "n", "sketch"), "node"), "mixed-set-rows")
+
+
+def hub_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a < b) of different roots: the rows of mixed sets and their set's HUBS rows that stand in the largest
+    sets, as a text does that many others are edited copies of."""
+    weighted = rows.join(rows.groupBy("node").agg(F.sum("n_set").alias("weight")), "node")
+    rank = F.row_number().over(Window.partitionBy("sketch_no", "key").orderBy(F.desc("weight"), "node"))
+    hubs = weighted.withColumn("rank", rank).filter(F.col("rank") <= HUBS)
+    hubs = hubs.select("sketch_no", "key", *[F.col(c).alias(f"hub_{c}") for c in ("node", "root", "n", "sketch")])
+    both = rows.join(written(hubs, "hubs"), ["sketch_no", "key"]).filter("root <> hub_root")
+    shared = F.aggregate(F.zip_with("sketch", "hub_sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+    fit = both.filter((F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n") - 1e-9) & (shared >= SHARED))
+    return fit.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
+
+
+CELL = "sketch_no int, key long, i int, j int, own int, n int, node binary, root binary, sketch array<long>"
+
+
+def cell_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a < b) of different roots within each cell (sketch_no, key, i, j) of rows sorted by cell; where blocks i and
+    j differ, only pairs across them. A pair is given by the first sketch that it shares."""
+    import pyarrow as pa
+
+    names = ["sketch_no", "key", "i", "j", "own", "n", "node", "root", "sketch"]
+
+    def cells_of(table):
+        columns = [table.column(c).to_numpy() for c in ("sketch_no", "key", "i", "j")]
+        return np.cumsum(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+
+    def batch_of(left, right):
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+    def pairs_of(table, cell):
+        no, i, j, own, n = (table.column(c).to_numpy() for c in ("sketch_no", "i", "j", "own", "n"))
+        root = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
+        nodes = table.column("node").to_pylist()
+        left: list[bytes] = []
+        right: list[bytes] = []
+        at, back = np.arange(len(nodes)), 1
+        while True:
+            at = at[at + back < len(nodes)]
+            at = at[cell[at] == cell[at + back]]
+            if not len(at):
+                break
+            for start in range(0, len(at), HELD_PAIRS):
+                x = at[start : start + HELD_PAIRS]
+                y = x + back
+                fit = (root[x] != root[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
+                fit &= np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9
+                x, y = x[fit], y[fit]
+                same = sketch[x] == sketch[y]
+                fit = (same.argmax(1) == no[x]) & (same.sum(1) >= SHARED)
+                for p, q in zip(x[fit].tolist(), y[fit].tolist(), strict=True):
+                    left.append(min(nodes[p], nodes[q]))
+                    right.append(max(nodes[p], nodes[q]))
+                if len(left) >= HELD_PAIRS:
+                    yield batch_of(left, right)
+                    left, right = [], []
+            back += 1
+        yield batch_of(left, right)
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch.select(names)])
+            table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
+            cell = cells_of(table)
+            open_at = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
+            if open_at:
+                yield from pairs_of(table.slice(0, open_at), cell[:open_at])
+            rest = table.slice(open_at)
+        if rest is not None:
+            yield from pairs_of(rest, cells_of(rest))
+
+    return rows.mapInArrow(run, "a binary, b binary")
+
+
+def pairs_across(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """All pairs (a < b) of different roots in the mixed sets that share SHARED sketches."""
+    n_blocks = F.ceil(F.col("n_set") / block).cast("int")
+    own = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    cell = ["sketch_no", "key", "i", "j"]
+    return cell_pairs(dealt.select(*[c.split()[0] for c in CELL.split(", ")]).repartition(*cell).sortWithinPartitions(*cell), threshold)
+
+
 def hashed_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, words) of the wanted nodes (node, rep): 32-bit hashes of the words, from the rows whose id is ``rep``."""
     import pyarrow as pa
@@ -281,10 +391,18 @@ def verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(run, "a binary, b binary, similarity double").filter(F.col("similarity") >= threshold)
 
 
+def linked(rows: DataFrame, contents: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose alignment reaches the threshold."""
+    in_pairs = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = written(hashed_words(rows, contents.join(in_pairs, "node", "left_semi").select("node", "rep")), "hashed-words")
+    sided = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
+    sided = sided.join(texts.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
+    return written(verified(sided.select("a", "b", "words_a", "words_b"), threshold), "links")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of all linked nodes: the smallest node of their component. Each round takes the smallest label among
-    neighbours and then the label's own label; a node has at most 2 * NEIGHBOURS * SKETCHES neighbours, so no key is hot in
-    the first join, and the second joins two written tables, whose hot partitions are split at run time."""
+    neighbours and then the label's own label; both join two written tables, whose hot partitions are split at run time."""
     edges = written(links.select("a", "b").union(links.select("b", "a")), "component-edges")
     labels = written(edges.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "component-labels")
     while True:
@@ -306,13 +424,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         prints.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")),
         "contents",
     )
-    pairs = written(candidate_pairs(contents, threshold), "candidate-pairs")
-    in_pairs = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = written(hashed_words(rows, contents.join(in_pairs, "node", "left_semi").select("node", "rep")), "hashed-words")
-    sided = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
-    sided = sided.join(texts.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
-    links = written(verified(sided.select("a", "b", "words_a", "words_b"), threshold), "links")
-    rooted = contents.select("node", "rep", "copies").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    large = large_set_rows(contents)
+    done = written(candidate_pairs(contents, threshold), "candidate-pairs")
+    links = linked(rows, contents, done, threshold)
+    roots = written(components(links), "roots")
+    for pairs_of in (hub_pairs, pairs_across):
+        mixed_rows = mixed_set_rows(contents, large, roots)
+        more = written(pairs_of(mixed_rows, threshold).join(done, ["a", "b"], "left_anti"), "more-pairs")
+        if more.limit(1).count():
+            found = linked(rows, contents, more, threshold)
+            done, links = done.unionByName(more), links.unionByName(found)
+            if found.limit(1).count():
+                roots = written(components(links), "roots")
+    rooted = contents.select("node", "rep", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = written(rooted, "rooted-nodes")
     first = F.min(F.struct(F.col("rep").isNull().alias("unnamed"), F.col("rep").alias("id"), "node")).alias("first")
     classes = written(named.groupBy("root").agg(first, F.sum("copies").alias("class_size")), "classes")
