@@ -200,6 +200,18 @@ def test_similar_pairs_recall(spark):
     assert found >= 0.95 * len(wanted)
 
 
+def comments_of(spark, texts):
+    return spark.createDataFrame([("c", i, 1, t, i) for i, t in enumerate(texts)], "content_id string, comment_id long, user_id long, text string, seq long")
+
+
+def test_similarity_of_whole_texts(spark):
+    head, one, other = ("".join(chr(97 + (i * i * k + i // 7) % 26) for i in range(n)) for k, n in ((1, 600), (3, 900), (5, 900)))
+    rows = comments_of(spark, [head + one, head + other, "ok", "ok", None, head + one])
+    assert sorted(r["comment_id"] for r in similarity.near_dup_dedup(rows).collect()) == [0, 1, 2, 3, 4]
+    shared = "the same opening of two hundred characters ".replace(" ", "") * 8
+    assert similarity.templating(comments_of(spark, [shared + one, shared + other])).count() == 0
+
+
 def test_overlay_xml(spark):
     xml = '<i><d p="1.5,1,25,16777215,1700000000,0,abcd1234,99">hi</d><d p="1,1,25,1,1,0">short</d></i>'
     rows = normalize.parse_overlay_xml(spark.createDataFrame([("c", xml)], "content_id string, xml string")).collect()

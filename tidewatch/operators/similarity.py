@@ -1,7 +1,7 @@
 """Near-duplicate comments of one content, their clusters, and digests of a user's texts.
 
 Texts are compared by the matching-blocks ratio of the standard library, 2 * matches / total length, after
-``preprocess`` and a cut at 500 characters. Equal texts are one representative. Candidates among representatives share a
+``preprocess``, whole. Equal texts are one representative. Candidates among representatives share a
 band of a MinHash signature over runs of five characters; each is compared with the band's first text, never all with
 all, and clusters are the connected components of the pairs found.
 """
@@ -22,7 +22,7 @@ from tidewatch.sources.storage import written
 
 GRAM = 5
 BANDS, ROWS = 32, 4
-MIN_LENGTH, CUT = 5, 500
+MIN_LENGTH, SLICE = 5, 8_192
 
 
 @F.pandas_udf(T.DoubleType())
@@ -41,8 +41,12 @@ def band_hashes(texts: pd.Series) -> pd.Series:
         grams = np.zeros(max(1, len(codes) - GRAM + 1), np.uint64)
         for i in range(min(GRAM, len(codes))):
             grams = grams * np.uint64(1_099_511_628_211) + codes[i : i + len(grams)]
-        mixed = (grams[None, :] ^ (grams[None, :] >> np.uint64(31))) * seeds[:, None]
-        least = (mixed ^ (mixed >> np.uint64(32))).min(1).reshape(BANDS, ROWS)
+        least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+        for start in range(0, len(grams), SLICE):  # bounds the memory of a long text
+            part = grams[None, start : start + SLICE]
+            mixed = (part ^ (part >> np.uint64(31))) * seeds[:, None]
+            least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(1))
+        least = least.reshape(BANDS, ROWS)
         total = np.zeros(BANDS, np.uint64)
         for r in range(ROWS):
             total = (total ^ least[:, r]) * np.uint64(0x9E3779B97F4A7C15)
@@ -53,7 +57,7 @@ def band_hashes(texts: pd.Series) -> pd.Series:
 def representatives(comments: DataFrame) -> DataFrame:
     """(content_id, body, rep): the first comment of each compared text."""
     body = preprocess(F.col("text"))
-    rows = comments.select("content_id", "comment_id", "seq", F.substring(body, 1, CUT).alias("body"), F.length(body).alias("full")).filter(F.col("full") >= MIN_LENGTH)
+    rows = comments.select("content_id", "comment_id", "seq", body.alias("body")).filter(F.length("body") >= MIN_LENGTH)
     return rows.groupBy("content_id", "body").agg(F.min_by("comment_id", "seq").alias("rep"), F.count("*").alias("copies"))
 
 
@@ -78,8 +82,7 @@ def cluster_members(comments: DataFrame, threshold: float = 0.75, least: int = 3
     # Comment ids are unique over contents, so one edge table serves all of them.
     roots = components(pairs.select("a", "b")).select(F.col("node").alias("rep"), "root")
     # The join by text has two plain exchanges, so that the partition of a text that very many comments share is split.
-    body = F.substring(preprocess(F.col("text")), 1, CUT)
-    rows = comments.select("content_id", "comment_id", body.alias("body")).join(reps, ["content_id", "body"]).join(roots, "rep", "left")
+    rows = comments.select("content_id", "comment_id", preprocess(F.col("text")).alias("body")).join(reps, ["content_id", "body"]).join(roots, "rep", "left")
     named = rows.select("content_id", "comment_id", F.coalesce("root", "rep").alias("cluster_id"))
     sizes = named.groupBy("content_id", "cluster_id").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
     return named.join(sizes, ["content_id", "cluster_id"])
@@ -116,11 +119,13 @@ def exact_text_dedup(comments: DataFrame, keys: list[str]) -> DataFrame:
 
 def near_dup_dedup(comments: DataFrame, threshold: float = 0.80) -> DataFrame:
     """Comments without those whose text is close to the first text of its band: a text goes if it is similar to an earlier
-    representative of its content."""
+    representative of its content. Texts below MIN_LENGTH are not compared and all stay."""
     pairs = similar_pairs(comments, threshold)
     later = pairs.select("content_id", F.greatest("a", "b").alias("comment_id")).distinct()
     reps = representatives(comments).select("content_id", F.col("rep").alias("comment_id"))
-    return reps.join(later, ["content_id", "comment_id"], "left_anti")
+    length = F.length(preprocess(F.col("text")))
+    short = comments.filter(F.coalesce(length, F.lit(0)) < MIN_LENGTH).select("content_id", "comment_id")
+    return reps.join(later, ["content_id", "comment_id"], "left_anti").unionByName(short)
 
 
 def top_topics(comments: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
@@ -137,9 +142,10 @@ def sentiment_share(comments: DataFrame, keys: list[str], positive: list[str], n
     return comments.groupBy(*keys).agg(share(good & ~bad).alias("positive"), share(bad & ~good).alias("negative"), share(good == bad).alias("neutral"))
 
 
-def templating(comments: DataFrame, threshold: float = 0.60, flag_at: float = 0.70, ahead: int = 9, cut: int = 200) -> DataFrame:
+def templating(comments: DataFrame, threshold: float = 0.60, flag_at: float = 0.70, ahead: int = 9, cut: int | None = None) -> DataFrame:
     """Mean ratio of a user's texts and their next ``ahead`` ones that reach the threshold, and whether it speaks of a template."""
-    body = F.substring(preprocess(F.col("text")), 1, cut)
+    body = preprocess(F.col("text"))
+    body = body if cut is None else F.substring(body, 1, cut)
     rows = comments.select("content_id", "user_id", "seq", body.alias("body")).filter(F.length("body") >= MIN_LENGTH)
     own = Window.partitionBy("content_id", "user_id").orderBy("seq")
     following = rows.withColumn("following", F.array(*[F.lead("body", k).over(own) for k in range(1, ahead + 1)]))
