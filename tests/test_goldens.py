@@ -212,6 +212,14 @@ def test_similarity_of_whole_texts(spark):
     assert similarity.templating(comments_of(spark, [shared + one, shared + other])).count() == 0
 
 
+def test_similar_pairs_are_all_pairs_of_a_band(spark):
+    base = "".join(chr(97 + (i * i * 3 + i // 7) % 26) for i in range(180))
+    rows = comments_of(spark, [base[:90] + chr(65 + i) + base[90:] for i in range(10)])
+    for block in (3, 1_000):
+        found = [(r["a"], r["b"]) for r in similarity.similar_pairs(rows, block=block).collect()]
+        assert sorted(found) == [(a, b) for a in range(10) for b in range(a + 1, 10)]
+
+
 def test_overlay_xml(spark):
     xml = '<i><d p="1.5,1,25,16777215,1700000000,0,abcd1234,99">hi</d><d p="1,1,25,1,1,0">short</d></i>'
     rows = normalize.parse_overlay_xml(spark.createDataFrame([("c", xml)], "content_id string, xml string")).collect()

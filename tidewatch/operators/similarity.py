@@ -2,8 +2,8 @@
 
 Texts are compared by the matching-blocks ratio of the standard library, 2 * matches / total length, after
 ``preprocess``, whole. Equal texts are one representative. Candidates among representatives share a
-band of a MinHash signature over runs of five characters; each is compared with the band's first text, never all with
-all, and clusters are the connected components of the pairs found.
+band of a MinHash signature over runs of five characters; all of a band are compared with all, large bands in blocks of
+hashed rows, block against block, and clusters are the connected components of the pairs found.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from tidewatch.sources.storage import written
 GRAM = 5
 BANDS, ROWS = 32, 4
 MIN_LENGTH, SLICE = 5, 8_192
+BLOCK = 1_024
 
 
 @F.pandas_udf(T.DoubleType())
@@ -31,6 +32,21 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def ratio_from(threshold: float):
+    """As ``ratio``, but null where the bounds by length and by bags of characters are below the threshold."""
+
+    @F.pandas_udf(T.DoubleType())
+    def bounded(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            matcher = difflib.SequenceMatcher(None, x, y)
+            fits = matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold
+            out.append(matcher.ratio() if fits else None)
+        return pd.Series(out, dtype="float64")
+
+    return bounded
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def band_hashes(texts: pd.Series) -> pd.Series:
     """One hash for each band of the signature over runs of GRAM characters."""
@@ -61,18 +77,31 @@ def representatives(comments: DataFrame) -> DataFrame:
     return rows.groupBy("content_id", "body").agg(F.min_by("comment_id", "seq").alias("rep"), F.count("*").alias("copies"))
 
 
-def similar_pairs(comments: DataFrame, threshold: float = 0.75, reps: DataFrame | None = None) -> DataFrame:
+def band_pairs(reps: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Distinct (content_id, a, b) of all representatives, a < b, that share a band and whose lengths allow the threshold."""
+    band = ["content_id", "band", "key"]
+    banded = written(reps.select("content_id", "rep", F.length("body").alias("n"), F.posexplode(band_hashes("body")).alias("band", "key")), "bands")
+    sizes = written(banded.groupBy(*band).agg(F.count("*").alias("n_band")).filter("n_band > 1"), "shared-bands")
+    n_blocks = F.ceil(F.col("n_band") / block).cast("int")
+    own = F.pmod(F.xxhash64("rep"), n_blocks).cast("int")
+    dealt = banded.join(sizes, band).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    cells = dealt.select(*band, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n")
+    cells = written(cells, "band-cells")
+    left = cells.withColumnsRenamed({"rep": "a", "own": "own_a", "n": "n_a"})
+    right = cells.withColumnsRenamed({"rep": "b", "own": "own_b", "n": "n_b"})
+    both = left.join(right, [*band, "i", "j"]).filter((F.col("a") < F.col("b")) & ((F.col("i") == F.col("j")) | (F.col("own_a") != F.col("own_b"))))
+    # No ratio of shorter lengths can reach the threshold.
+    return both.filter(F.least("n_a", "n_b") * (2 - threshold) >= threshold * F.greatest("n_a", "n_b")).select("content_id", "a", "b").distinct()
+
+
+def similar_pairs(comments: DataFrame, threshold: float = 0.75, reps: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """(content_id, a, b, ratio) of candidate representatives at or above the threshold; a is the smaller id."""
     reps = written(representatives(comments), "representatives") if reps is None else reps
-    banded = reps.select("content_id", "rep", "body", F.posexplode(band_hashes("body")).alias("band", "key"))
-    leaders = banded.groupBy("content_id", "band", "key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = banded.drop("body").join(leaders, ["content_id", "band", "key"]).filter("rep <> a").select("content_id", "a", F.col("rep").alias("b")).distinct()
+    pairs = written(band_pairs(reps, threshold, block), "band-pairs")
     left = reps.select("content_id", F.col("rep").alias("a"), F.col("body").alias("body_a"))
     right = reps.select("content_id", F.col("rep").alias("b"), F.col("body").alias("body_b"))
     both = pairs.join(left, ["content_id", "a"]).join(right, ["content_id", "b"])
-    la, lb = F.length("body_a"), F.length("body_b")
-    bounded = both.filter(F.least(la, lb) * (2 - threshold) >= threshold * F.greatest(la, lb))  # no ratio below can reach the threshold
-    return bounded.select("content_id", "a", "b", ratio("body_a", "body_b").alias("ratio")).filter(F.col("ratio") >= threshold)
+    return both.select("content_id", "a", "b", ratio_from(threshold)("body_a", "body_b").alias("ratio")).filter(F.col("ratio") >= threshold)
 
 
 def cluster_members(comments: DataFrame, threshold: float = 0.75, least: int = 3) -> DataFrame:
@@ -118,7 +147,7 @@ def exact_text_dedup(comments: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def near_dup_dedup(comments: DataFrame, threshold: float = 0.80) -> DataFrame:
-    """Comments without those whose text is close to the first text of its band: a text goes if it is similar to an earlier
+    """Comments without those whose text is similar to an earlier one that shares a band: a text goes if it is similar to an earlier
     representative of its content. Texts below MIN_LENGTH are not compared and all stay."""
     pairs = similar_pairs(comments, threshold)
     later = pairs.select("content_id", F.greatest("a", "b").alias("comment_id")).distinct()
