@@ -1,7 +1,8 @@
 """WARC archives through a table of payload chunks.
 
 A page's payload becomes rows of record key, chunk number and at most ``CHUNK_BYTES`` bytes; each row carries the SHA-1
-of the payload up to its end, so that no task ever holds or hashes an oversized payload as a whole copy. Writer tasks get
+of the payload up to its end, which neither writer nor reader uses: a record's digest is the SHA-1 of its whole payload,
+taken from a view of it before it is cut. Writer tasks get
 the chunks of a record in order and stream them into ``.warc.gz`` files (one gzip member per record); readers stream the
 files the same way and hash again.
 
