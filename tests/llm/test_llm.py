@@ -4,7 +4,6 @@ import base64
 import hashlib
 import random
 import zlib
-from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.oracle import assert_same, connect
-from tidewatch.llm import byte_bpe, decontaminate, licenses, lm_score, neardup, nearest, queries, token_files, toxicity, url_filter, warc
+from tidewatch.llm import byte_bpe, decontaminate, licenses, lm_score, nearest, queries, token_files, toxicity, url_filter, warc
 from tidewatch.llm.common import words_of
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -38,133 +37,6 @@ def test_same_as_sql(spark, con, name):
     assert_same(spark, con, queries.QUERIES[name], queries.ORACLE_SQL[name], SF_DIR)
 
 
-# 1: near duplicates
-
-
-def longest_common(a, b):
-    row = [0] * (len(b) + 1)
-    for x in a:
-        new = [0]
-        for j, y in enumerate(b):
-            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
-        row = new
-    return row[-1]
-
-
-def brute_classes(rows, threshold=0.8):
-    """Smallest id of each text's component, by all pairs and a full alignment."""
-    words = {i: words_of((t or "").encode()) for i, t in rows}
-    grams = {i: neardup.kmers(neardup.word_hashes(w)).tolist() for i, w in words.items()}
-    root = {i: i for i in words}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    text = dict(rows)
-    for a, b in combinations(sorted(words), 2):
-        total = len(grams[a]) + len(grams[b])
-        if words[a] == words[b]:
-            same = bool(words[a]) or (text[a] or "") == (text[b] or "")
-        elif not total or min(len(grams[a]), len(grams[b])) < threshold * max(len(grams[a]), len(grams[b])) or not set(grams[a]) & set(grams[b]):
-            same = False
-        else:
-            common = longest_common(grams[a], grams[b])
-            same = common / (total - common) >= threshold
-        if same:
-            x, y = sorted((find(a), find(b)))
-            root[y] = x
-    return {i: find(i) for i in words}
-
-
-def near_copies(seed=3, groups=12, size=9):
-    rng, rows = random.Random(seed), []
-    for g in range(groups):
-        base = [f"w{rng.randint(0, 400)}" for _ in range(rng.choice((3, 30, 90)))]
-        for _ in range(size):
-            own = list(base)
-            for _ in range(rng.randint(0, 3)):
-                at = rng.randrange(len(own))
-                own[at : at + rng.randint(0, 1)] = [f"n{rng.randint(0, 999)}"] * rng.randint(0, 2)
-                own = own or ["w"]
-            rows.append((len(rows), " ".join(own)))
-    return rows
-
-
-def test_near_duplicates_like_brute_force(spark):
-    rows = near_copies()
-    found = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs_of(spark, rows)).collect()}
-    assert found == brute_classes(rows)
-
-
-def test_near_duplicates_of_a_large_group(spark):
-    rng = random.Random(1)
-    base = [f"w{i}" for i in range(120)]
-    rows = [(i, " ".join(base[:60] + [f"n{rng.randint(0, 10**6)}"] + base[60:])) for i in range(600)] + [(1000 + i, " ".join(base)) for i in range(300)]
-    found = neardup.near_duplicates(docs_of(spark, rows)).collect()
-    assert {r["class_id"] for r in found} == {0} and {r["class_size"] for r in found} == {900}
-    assert sum(r["is_first"] for r in found) == 1
-
-
-def test_near_duplicates_of_a_star(spark):
-    rng = random.Random(4)
-    base = [f"w{i}" for i in range(300)]
-    rows = [(0, " ".join(base))]
-    for i in range(1, 3_001):
-        own = list(base)
-        for at in rng.sample(range(300), 6):
-            own[at] = f"n{rng.randint(0, 10**6)}"
-        rows.append((i, " ".join(own)))
-    grams = {i: neardup.kmers(neardup.word_hashes(words_of(t.encode()))) for i, t in rows}
-    alike = {i for i in grams if neardup.similarity(grams[0], grams[i], 0.8)}
-    some = rng.sample(range(1, 3_001), 200)
-    assert len(alike) == 3_001 and sum(neardup.similarity(grams[a], grams[b], 0.8) > 0 for a, b in combinations(some, 2)) < 20
-    found = neardup.near_duplicates(docs_of(spark, rows)).collect()
-    assert {r["doc_id"] for r in found if r["class_id"] == 0} == alike
-
-
-def test_pairs_across_components_are_all_pairs(spark):
-    rng, kept = random.Random(5), {}
-    for i in range(90):
-        common = rng.sample(range(1, 50), 3)
-        kept[b"%03d" % i] = ([rng.randint(1, 2) if k in (2, 7, 11) else common[k % 3] * 100 + k for k in range(16)], rng.randint(80, 120), b"%03d" % rng.randint(0, 60))
-    contents = spark.createDataFrame([(node, n, sketch) for node, (sketch, n, _) in kept.items()], "node binary, n int, sketch array<long>")
-    roots = spark.createDataFrame([(node, root) for node, (_, _, root) in kept.items()], "node binary, root binary")
-    large = neardup.large_set_rows(contents)
-    sizes = {(r["sketch_no"], r["key"]) for r in large.collect()}
-    wanted = set()
-    for a, b in combinations(sorted(kept), 2):
-        (s, n, r), (t, m, q) = kept[a], kept[b]
-        same = [k for k in range(16) if s[k] == t[k]]
-        if r != q and len(same) >= 2 and (same[0], s[same[0]]) in sizes and min(n, m) >= 0.8 * max(n, m):
-            wanted.add((a, b))
-    for block in (7, 1_000):
-        found = [(bytes(r["a"]), bytes(r["b"])) for r in neardup.pairs_across(neardup.mixed_set_rows(contents, large, roots), 0.8, block).collect()]
-        assert len(found) == len(wanted) > 100 and set(found) == wanted
-
-
-def test_near_duplicates_of_odd_rows(spark):
-    found = neardup.near_duplicates(docs_of(spark, ODD)).collect()
-    assert len(found) == len(ODD)
-    classes = {r["doc_id"]: r["class_id"] for r in found}
-    assert classes[1] == classes[2] == 1 and classes[3] == 3 and classes[5] == 5
-    kept = neardup.drop_near_duplicates(docs_of(spark, ODD))
-    assert kept.columns == docs_of(spark, ODD).columns and kept.count() == len(ODD) - 2
-    assert neardup.near_duplicates(docs_of(spark, [])).count() == 0
-
-
-def test_alignment_in_a_band():
-    rng = random.Random(2)
-    for _ in range(300):
-        a = [rng.randint(0, 6) for _ in range(rng.randint(1, 40))]
-        b = [x for x in a if rng.random() > 0.1] + [rng.randint(0, 6)]
-        common = longest_common(a, b)
-        wanted = common / (len(a) + len(b) - common)
-        found = neardup.similarity(np.array(a, np.uint64), np.array(b, np.uint64), 0.7)
-        assert found == pytest.approx(wanted if wanted >= 0.7 - 1e-12 else 0.0)
-
-
 # 2: cross-entropy difference
 
 

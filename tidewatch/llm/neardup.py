@@ -2,20 +2,21 @@
 
 A text's k-mers are its runs of five words, each labelled with its occurrence number. A sketch takes, under one of
 ``SKETCHES`` hash functions, the two smallest labelled k-mers and keeps them in the order in which the text has them, so
-equal sketches speak for a small edit distance, not only for equal sets. Texts with an equal sketch are candidates. Two
-candidates are linked if, in the best alignment of their k-mer sequences, the aligned k-mers are at least ``threshold``
-of all (aligned / (both - aligned), at most the Jaccard similarity); only alignments within the band that such a
-similarity allows are computed. Classes are the connected components of the links.
+equal sketches speak for a small edit distance, not only for equal sets. Texts that have ``SHARED`` equal sketches or more
+are candidates. Two candidates are linked if, in the best alignment of their word sequences, the aligned words are at
+least ``threshold`` of all (aligned / (both - aligned)); only alignments within the band that such a similarity allows are
+computed. Classes are the connected components of the links.
 
-Equal word sequences are one node throughout. Every pair of texts with an equal sketch is settled. Inside a set of texts
-with an equal sketch, rows are sorted by the next sketches and each is compared with the three before it, which covers
-sets of up to four. What these links connect needs no more comparisons. In the larger sets that then hold texts of
-several components, rows meet the few that stand in the largest sets, and last all pairs across components are compared,
-in blocks of hashed rows, block against block, so that no set is held by one task.
+Equal word sequences are one node throughout. The nodes with an equal sketch are a set. Classes need no more links than
+connect them, so sets are settled in rounds: first every node meets its set's hub, the node that stands in the largest
+sets, as a text does that many others are edited copies of; then, in the sets that still hold several components, the
+next ``HUBS`` nodes; and last, in the sets that are mixed even then, all candidates of different components, in blocks of
+hashed nodes, block against block. No set is held by one task, and no candidate pair of different components stays open.
 
 Defined results: texts without words are equal if they are the same text, null counting as empty; texts of fewer than
-five words have one k-mer; a class is named by its smallest id, null if all its ids are null; repeated rows are one
-node; an empty table gives an empty result; other columns may have any name.
+five words have one k-mer, and so are equal or apart; very long texts are sketched and aligned whole; a class is named by
+its smallest id, null if all its ids are null; repeated rows are one node; ties between hubs go to the smaller node; an
+empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,23 +25,24 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import binary_column, words_of, written
+from tidewatch.llm.common import Workspace, binary_column, words_of
 
 K = 5
-SKETCHES = 16
+SKETCHES = 32
 THRESHOLD = 0.8
-NEIGHBOURS = 3
-#: Sketches that two candidates must share; a pair at the threshold shares fewer with a chance of about 1 in 10,000.
+#: Equal sketches of two candidates. Of pairs whose k-mers have a similarity of 0.8 one in 10 ** 12 has fewer; of pairs with
+#: one word in ten replaced, 4 in 100.
 SHARED = 2
+#: Nodes of a mixed set that its others meet before all candidates do; saves comparisons, decides nothing.
+HUBS = 8
 #: Rows of a block of a large set, and pairs of rows that are held at once.
-BLOCK = 1_024
+BLOCK = 4_096
 HELD_PAIRS = 200_000
-#: Rows of a mixed set that all others meet before all pairs do; saves comparisons, decides nothing.
-HUBS = 16
 WORD_CACHE = 500_000
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 SEEDS = np.random.default_rng(20).integers(1, 2**63, SKETCHES, dtype=np.uint64)
-WIDE = 1 << 16
+#: Hash values that are held at once.
+WIDE = 1 << 18
 STEPS = 1_024
 
 _word_hashes: dict[bytes, int] = {}
@@ -97,12 +99,14 @@ def labelled(grams: np.ndarray) -> np.ndarray:
 def sketches(grams: np.ndarray) -> np.ndarray:
     """SKETCHES 64-bit values: the two smallest labelled k-mers under each hash function, in text order."""
     own = labelled(grams)
-    if len(own) < 2:
-        pairs = np.zeros((SKETCHES, 2), int)
-    elif len(own) <= WIDE:
-        pairs = np.argpartition(mixed(own[None, :] ^ SEEDS[:, None]), 1, axis=1)[:, :2]
-    else:
-        pairs = np.array([np.argpartition(mixed(own ^ seed), 1)[:2] for seed in SEEDS])
+    pairs = np.zeros((SKETCHES, 2), int)
+    if len(own) > 1:
+        rows_at_once = max(1, WIDE // len(own))
+        for start in range(0, SKETCHES, rows_at_once):
+            values = mixed(own[None, :] ^ SEEDS[start : start + rows_at_once, None])
+            at, first = np.arange(len(values)), values.argmin(1)
+            values[at, first] = np.iinfo(np.uint64).max
+            pairs[start : start + rows_at_once] = np.stack([first, values.argmin(1)], 1)
     pairs.sort(1)
     return mixed(own[pairs[:, 0]] * MULTIPLIERS[2] + own[pairs[:, 1]] + SEEDS).view(np.int64)
 
@@ -140,7 +144,7 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
-    """Aligned k-mers as a share of all k-mers of both, or 0 where it is surely below ``threshold``."""
+    """Aligned words as a share of all words of both, or 0 where it is surely below ``threshold``."""
     total = len(a) + len(b)
     if not total:
         return 0.0
@@ -174,123 +178,65 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             nodes, sizes, found = [], [], []
             for text in binary_column(batch, "text"):
                 words = words_of(text)
-                grams = kmers(word_hashes(words))
                 nodes.append(content_key(words, text))
-                sizes.append(len(grams))
-                found.append(sketches(grams) if len(grams) else [])
+                sizes.append(len(words))
+                found.append(sketches(kmers(word_hashes(words))) if words else [])
             arrays = [batch.column("id"), batch.column("text_hash"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "text_hash", "node", "n", "sketch"])
 
     return docs.mapInArrow(run, "id long, text_hash long, node binary, n int, sketch array<long>")
 
 
-ROW = "sketch int, key long, sort1 long, sort2 long, n int, node binary, low binary"
+def set_rows(contents: DataFrame, space: Workspace) -> DataFrame:
+    """(sketch_no, key, node, n_set) of the sets of several nodes with an equal sketch."""
+    spread = contents.filter("n > 0").select("node", F.posexplode("sketch").alias("sketch_no", "key"))
+    sets = spread.groupBy("sketch_no", "key").agg(F.count("*").alias("n_set")).filter("n_set > 1")
+    return spread.join(space.write(sets, "sets"), ["sketch_no", "key"])
 
 
-def neighbour_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Rows (kind 0: a, b of a candidate pair; kind 1: a row at an end of its partition) from rows sorted within partitions."""
-    import pyarrow as pa
+def close_pairs(pairs: DataFrame, contents: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes that share SHARED sketches and whose lengths allow the threshold."""
+    sides = [contents.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    shared = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+    return both.filter((F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9) & (shared >= SHARED)).select("a", "b")
 
-    names = [c.split()[0] for c in ROW.split(", ")]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
-    def run(batches):
-        first, last, none = True, None, pa.nulls
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch.select(names)])
-            if first:
-                yield edge(table.slice(0, NEIGHBOURS))
-                first = False
-            old = last.num_rows if last is not None else 0
-            both = pa.concat_tables([last, table]).combine_chunks() if old else table.combine_chunks()
-            sketch, key, n = (both.column(c).to_numpy() for c in ("sketch", "key", "n"))
-            low = np.frombuffer(b"".join(both.column("low").to_pylist()), np.uint8).reshape(-1, SKETCHES)
-            nodes = both.column("node").to_pylist()
-            left: list[bytes] = []
-            right: list[bytes] = []
-            for back in range(1, min(NEIGHBOURS, both.num_rows - 1) + 1):
-                fit = (sketch[back:] == sketch[:-back]) & (key[back:] == key[:-back])
-                fit &= np.minimum(n[back:], n[:-back]) >= threshold * np.maximum(n[back:], n[:-back]) - 1e-9
-                fit &= (low[back:] == low[:-back]).sum(1) >= SHARED
-                for i in np.nonzero(fit)[0].tolist():
-                    if i + back >= old:
-                        a, b = nodes[i], nodes[i + back]
-                        if a != b:
-                            left.append(min(a, b))
-                            right.append(max(a, b))
-            size = len(left)
-            rest = [none(size, t) for t in types]
-            yield pa.RecordBatch.from_arrays([pa.array([0] * size, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary()), *rest], ["kind", "a", "b", *names])
-            last = both.slice(max(0, both.num_rows - NEIGHBOURS))
-        if last is not None:
-            yield edge(last)
-
-    def edge(table):
-        batch = table.combine_chunks().to_batches()[0]
-        size = batch.num_rows
-        return pa.RecordBatch.from_arrays([pa.array([1] * size, pa.int32()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary()), *[batch.column(c) for c in names]], ["kind", "a", "b", *names])
-
-    return rows.mapInArrow(run, "kind int, a binary, b binary, " + ROW)
-
-
-def candidate_pairs(contents: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a < b) of nodes that stand near each other in a set of equal sketches."""
-    at = F.col("sketch_no")
-    low = F.unhex(F.array_join(F.transform("sketch", lambda s: F.lpad(F.hex(s.bitwiseAND(255)), 2, "0")), ""))
-    spread = contents.filter("n > 0").select("node", "n", "sketch", low.alias("low"), F.posexplode("sketch").alias("sketch_no", "key"))
-    rows = spread.select(
-        at.cast("int").alias("sketch"),
-        "key",
-        F.get("sketch", (at + 1) % SKETCHES).alias("sort1"),
-        F.get("sketch", (at + 2) % SKETCHES).alias("sort2"),
-        "n",
-        "node",
-        "low",
-    )
-    order = ["sketch", "key", "sort1", "sort2", "node"]
-    found = written(neighbour_pairs(rows.repartitionByRange(*order).sortWithinPartitions(*order), threshold), "neighbour-pairs")
-    # The first and last rows of the partitions, few for each, meet once more in one sorted run.
-    ends = found.filter("kind = 1").drop("kind", "a", "b").distinct().coalesce(1).sortWithinPartitions(*order)
-    across = neighbour_pairs(ends, threshold).filter("kind = 0")
-    return found.filter("kind = 0").select("a", "b").unionByName(across.select("a", "b")).distinct()
-
-
-def large_set_rows(contents: DataFrame) -> DataFrame:
-    """(sketch_no, key, node, n_set) of the sets with an equal sketch in which the sorted scan leaves pairs out."""
-    spread = contents.filter("n > 0").select("node", F.posexplode("sketch").alias("sketch_no", "key"))
-    sets = spread.groupBy("sketch_no", "key").agg(F.count("*").alias("n_set")).filter(F.col("n_set") > NEIGHBOURS + 1)
-    return written(spread.join(written(sets, "large-sets"), ["sketch_no", "key"]), "large-set-rows")
+def weighted_rows(rows: DataFrame) -> DataFrame:
+    """The set rows with the node's weight, the sum of the sizes of its sets."""
+    return rows.join(rows.groupBy("node").agg(F.sum("n_set").alias("weight")), "node")
+
+
+def hub_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of each node and the hub of each of its sets."""
+    ranked = weighted_rows(rows).groupBy("sketch_no", "key").agg(F.min(F.struct(-F.col("weight"), F.col("node"))).alias("hub"))
+    both = rows.join(ranked.select("sketch_no", "key", F.col("hub.node").alias("hub")), ["sketch_no", "key"]).filter("node <> hub")
+    return both.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def mixed_set_rows(contents: DataFrame, large: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of the large sets that hold texts of several roots (node, root), with n, sketch and root."""
-    rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def mixed_set_rows(rows: DataFrame, roots: DataFrame, space: Workspace) -> DataFrame:
+    """The rows, with their root, of the sets that hold nodes of several roots."""
+    rooted = space.write(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted-rows")
     several = rooted.groupBy("sketch_no", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    rows = rooted.join(written(several.select("sketch_no", "key"), "mixed-sets"), ["sketch_no", "key"])
-    return written(rows.join(contents.select("node", "n", "sketch"), "node"), "mixed-set-rows")
+    return rooted.join(space.write(several.select("sketch_no", "key"), "mixed-sets"), ["sketch_no", "key"])
 
 
-def hub_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a < b) of different roots: the rows of mixed sets and their set's HUBS rows that stand in the largest
-    sets, as a text does that many others are edited copies of."""
-    weighted = rows.join(rows.groupBy("node").agg(F.sum("n_set").alias("weight")), "node")
+def more_hub_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of different roots: the nodes of mixed sets and the HUBS of their set."""
     rank = F.row_number().over(Window.partitionBy("sketch_no", "key").orderBy(F.desc("weight"), "node"))
-    hubs = weighted.withColumn("rank", rank).filter(F.col("rank") <= HUBS)
-    hubs = hubs.select("sketch_no", "key", *[F.col(c).alias(f"hub_{c}") for c in ("node", "root", "n", "sketch")])
-    both = rows.join(written(hubs, "hubs"), ["sketch_no", "key"]).filter("root <> hub_root")
-    shared = F.aggregate(F.zip_with("sketch", "hub_sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-    fit = both.filter((F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n") - 1e-9) & (shared >= SHARED))
-    return fit.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
+    hubs = weighted_rows(rows).withColumn("rank", rank).filter(F.col("rank") <= HUBS)
+    hubs = hubs.select("sketch_no", "key", F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    both = rows.join(hubs, ["sketch_no", "key"]).filter("root <> hub_root")
+    return both.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 CELL = "sketch_no int, key long, i int, j int, own int, n int, node binary, root binary, sketch array<long>"
 
 
 def cell_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a < b) of different roots within each cell (sketch_no, key, i, j) of rows sorted by cell; where blocks i and
-    j differ, only pairs across them. A pair is given by the first sketch that it shares."""
+    """Candidate pairs (a < b) of different roots within each cell (sketch_no, key, i, j) of rows sorted by cell; where
+    blocks i and j differ, only pairs across them. Rows of a cell meet where a further sketch is equal, and a pair is given
+    by the first two sketches that it shares, so once."""
     import pyarrow as pa
 
     names = ["sketch_no", "key", "i", "j", "own", "n", "node", "root", "sketch"]
@@ -299,38 +245,32 @@ def cell_pairs(rows: DataFrame, threshold: float) -> DataFrame:
         columns = [table.column(c).to_numpy() for c in ("sketch_no", "key", "i", "j")]
         return np.cumsum(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
 
-    def batch_of(left, right):
-        return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
-
-    def pairs_of(table, cell):
-        no, i, j, own, n = (table.column(c).to_numpy() for c in ("sketch_no", "i", "j", "own", "n"))
+    def pairs_of(table):
+        no, i, j = (int(table.column(c)[0].as_py()) for c in ("sketch_no", "i", "j"))
+        own, n = (table.column(c).to_numpy() for c in ("own", "n"))
         root = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
         sketch = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
         nodes = table.column("node").to_pylist()
-        left: list[bytes] = []
-        right: list[bytes] = []
-        at, back = np.arange(len(nodes)), 1
-        while True:
-            at = at[at + back < len(nodes)]
-            at = at[cell[at] == cell[at + back]]
-            if not len(at):
-                break
-            for start in range(0, len(at), HELD_PAIRS):
-                x = at[start : start + HELD_PAIRS]
-                y = x + back
-                fit = (root[x] != root[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
-                fit &= np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9
-                x, y = x[fit], y[fit]
-                same = sketch[x] == sketch[y]
-                fit = (same.argmax(1) == no[x]) & (same.sum(1) >= SHARED)
-                for p, q in zip(x[fit].tolist(), y[fit].tolist(), strict=True):
-                    left.append(min(nodes[p], nodes[q]))
-                    right.append(max(nodes[p], nodes[q]))
-                if len(left) >= HELD_PAIRS:
-                    yield batch_of(left, right)
-                    left, right = [], []
-            back += 1
-        yield batch_of(left, right)
+        for other in range(no + 1, SKETCHES):
+            at = np.argsort(sketch[:, other], kind="stable")
+            values, back = sketch[at, other], 1
+            left = np.arange(len(at))
+            while True:
+                left = left[left + back < len(at)]
+                left = left[values[left] == values[left + back]]
+                if not len(left):
+                    break
+                for start in range(0, len(left), HELD_PAIRS):
+                    x = at[left[start : start + HELD_PAIRS]]
+                    y = at[left[start : start + HELD_PAIRS] + back]
+                    fit = (root[x] != root[y]) & ((i == j) | (own[x] != own[y]))
+                    fit &= np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9
+                    x, y = x[fit], y[fit]
+                    same = sketch[x, : other + 1] == sketch[y, : other + 1]
+                    fit = (same.argmax(1) == no) & (same.sum(1) == SHARED)
+                    met = [(nodes[p], nodes[q]) for p, q in zip(x[fit].tolist(), y[fit].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in met], pa.binary()), pa.array([max(p) for p in met], pa.binary())], ["a", "b"])
+                back += 1
 
     def run(batches):
         rest = None
@@ -340,28 +280,29 @@ def cell_pairs(rows: DataFrame, threshold: float) -> DataFrame:
             table = pa.Table.from_batches([batch.select(names)])
             table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
             cell = cells_of(table)
-            open_at = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
-            if open_at:
-                yield from pairs_of(table.slice(0, open_at), cell[:open_at])
-            rest = table.slice(open_at)
+            cuts = np.r_[0, np.nonzero(cell[1:] != cell[:-1])[0] + 1]
+            for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                yield from pairs_of(table.slice(start, stop - start))
+            rest = table.slice(int(cuts[-1]))  # the last cell may go on in the next batch
         if rest is not None:
-            yield from pairs_of(rest, cells_of(rest))
+            yield from pairs_of(rest)
 
     return rows.mapInArrow(run, "a binary, b binary")
 
 
-def pairs_across(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """All pairs (a < b) of different roots in the mixed sets that share SHARED sketches."""
+def pairs_across(rows: DataFrame, contents: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """All candidate pairs (a < b) of different roots in the mixed sets."""
     n_blocks = F.ceil(F.col("n_set") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    dealt = rows.join(contents.select("node", "n", "sketch"), "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     cell = ["sketch_no", "key", "i", "j"]
     return cell_pairs(dealt.select(*[c.split()[0] for c in CELL.split(", ")]).repartition(*cell).sortWithinPartitions(*cell), threshold)
 
 
 def hashed_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, words) of the wanted nodes (node, rep): 32-bit hashes of the words, from the rows whose id is ``rep``."""
+    """(node, words) of the wanted nodes (node, rep, rep_hash): 32-bit hashes of the words, from the rows whose id is
+    ``rep`` and whose text's hash is ``rep_hash``. A text has one node, so a row meets one wanted node at most."""
     import pyarrow as pa
 
     def run(batches):
@@ -373,7 +314,7 @@ def hashed_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 packed.append(word_hashes(words).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(packed, pa.binary()), batch.column("node")], ["own", "words", "node"])
 
-    rows = docs.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("text", "node")
+    rows = docs.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select("text", "node")
     return rows.mapInArrow(run, "own binary, words binary, node binary").filter("own = node").select("node", "words").dropDuplicates(["node"])
 
 
@@ -385,63 +326,79 @@ def verified(pairs: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             found = []
             for left, right in zip(batch.column("words_a").to_pylist(), batch.column("words_b").to_pylist(), strict=True):
-                found.append(similarity(kmers(np.frombuffer(left, "<u4")), kmers(np.frombuffer(right, "<u4")), threshold))
+                found.append(similarity(np.frombuffer(left, "<u4"), np.frombuffer(right, "<u4"), threshold))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
     return pairs.mapInArrow(run, "a binary, b binary, similarity double").filter(F.col("similarity") >= threshold)
 
 
-def linked(rows: DataFrame, contents: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose alignment reaches the threshold."""
+def linked(rows: DataFrame, contents: DataFrame, pairs: DataFrame, threshold: float, space: Workspace) -> DataFrame:
+    """(a, b, similarity) of the pairs whose alignment reaches the threshold."""
     in_pairs = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = written(hashed_words(rows, contents.join(in_pairs, "node", "left_semi").select("node", "rep")), "hashed-words")
+    wanted = contents.join(in_pairs, "node", "left_semi").select("node", "rep", "rep_hash")
+    texts = space.write(hashed_words(rows, wanted), "hashed-words")
     sided = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
     sided = sided.join(texts.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
-    return written(verified(sided.select("a", "b", "words_a", "words_b"), threshold), "links")
+    links = space.write(verified(sided.select("a", "b", "words_a", "words_b"), threshold), "links")
+    space.drop("hashed-words")
+    return links
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, space: Workspace) -> DataFrame:
     """(node, root) of all linked nodes: the smallest node of their component. Each round takes the smallest label among
     neighbours and then the label's own label; both join two written tables, whose hot partitions are split at run time."""
-    edges = written(links.select("a", "b").union(links.select("b", "a")), "component-edges")
-    labels = written(edges.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "component-labels")
+    edges = space.write(links.select("a", "b").union(links.select("b", "a")), "component-edges")
+    labels = space.write(edges.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "component-labels")
     while True:
         near = edges.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = written(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "component-labels")
+        lower = space.write(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "component-labels")
         jump = lower.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        new = written(lower.join(jump, F.col("label") == F.col("at")).select("node", "old", F.col("further").alias("label")), "component-labels")
+        new = space.write(lower.join(jump, F.col("label") == F.col("at")).select("node", "old", F.col("further").alias("label")), "component-labels")
+        space.drop("component-labels*")
         if not new.filter("label <> old").limit(1).count():
+            space.drop("component-edges")
             return new.select("node", F.col("label").alias("root"))
         labels = new.select("node", "label")
 
 
+def merged_roots(roots: DataFrame, links: DataFrame, space: Workspace) -> DataFrame:
+    """The roots (node, root) after further links between nodes, joined at the level of roots."""
+    own = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
+    lifted = links.join(own[0], "a", "left").join(own[1], "b", "left")
+    lifted = lifted.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a <> b").distinct()
+    lifted = space.write(lifted, "root-links")
+    found = components(lifted, space).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    known = roots.unionByName(found.select(F.col("old").alias("node"), F.col("old").alias("root")).join(roots.select("node"), "node", "left_anti"))
+    return space.write(known.join(found, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per document row: id, text_hash, class_id (smallest id of the class), class_size (rows) and is_first (the row, or
     its equals, that stands for the class)."""
+    space = Workspace(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    prints = written(fingerprints(rows), "fingerprints")
-    contents = written(
-        prints.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")),
-        "contents",
-    )
-    large = large_set_rows(contents)
-    done = written(candidate_pairs(contents, threshold), "candidate-pairs")
-    links = linked(rows, contents, done, threshold)
-    roots = written(components(links), "roots")
-    for pairs_of in (hub_pairs, pairs_across):
-        mixed_rows = mixed_set_rows(contents, large, roots)
-        more = written(pairs_of(mixed_rows, threshold).join(done, ["a", "b"], "left_anti"), "more-pairs")
+    prints = space.write(fingerprints(rows), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), F.col("id"), F.col("text_hash"))).alias("first")
+    grouped = prints.groupBy("node").agg(first, F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
+    contents = space.write(grouped.select("node", F.col("first.id").alias("rep"), F.col("first.text_hash").alias("rep_hash"), "copies", "n", "sketch"), "contents")
+    in_sets = space.write(set_rows(contents, space), "set-rows")
+    done = space.write(close_pairs(hub_pairs(in_sets), contents, threshold), "pairs")
+    roots = space.write(components(linked(rows, contents, done, threshold, space), space), "roots")
+    for last in (False, True):
+        mixed_rows = space.write(mixed_set_rows(in_sets, roots, space), "mixed-set-rows")
+        pairs = pairs_across(mixed_rows, contents, threshold) if last else close_pairs(more_hub_pairs(mixed_rows), contents, threshold)
+        more = space.write(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         if more.limit(1).count():
-            found = linked(rows, contents, more, threshold)
-            done, links = done.unionByName(more), links.unionByName(found)
-            if found.limit(1).count():
-                roots = written(components(links), "roots")
+            roots = merged_roots(roots, linked(rows, contents, more, threshold, space), space)
+            done = done.unionByName(more)
+        space.drop("rooted-rows", "mixed-sets", "mixed-set-rows", "root-links")
     rooted = contents.select("node", "rep", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = written(rooted, "rooted-nodes")
+    named = space.write(rooted, "rooted-nodes")
     first = F.min(F.struct(F.col("rep").isNull().alias("unnamed"), F.col("rep").alias("id"), "node")).alias("first")
-    classes = written(named.groupBy("root").agg(first, F.sum("copies").alias("class_size")), "classes")
-    nodes = written(named.select("node", "root").join(classes, "root").select("node", "first", "class_size"), "node-classes")
-    keys = prints.select("id", "text_hash", "node")
+    classes = space.write(named.groupBy("root").agg(first, F.sum("copies").alias("class_size")), "classes")
+    nodes = space.write(named.select("node", "root").join(classes, "root").select("node", "first", "class_size"), "node-classes")
+    keys = space.write(prints.select("id", "text_hash", "node"), "keys")
+    space.drop("fingerprints", "contents", "sets", "set-rows", "pairs", "links", "roots", "component-labels", "rooted-nodes", "classes")
     joined = keys.join(nodes, "node")
     is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node"))
     return joined.select(F.col("id").alias(id_col), "text_hash", F.col("first.id").alias("class_id"), "class_size", is_first.alias("is_first"))
@@ -450,7 +407,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, with the columns of ``docs``: that of the smallest id."""
     kept = near_duplicates(docs, id_col, text_col, threshold).filter("is_first").select(F.col(id_col).alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
-    kept = written(kept, "kept-rows")
+    kept = Workspace(docs.sparkSession).write(kept, "kept-rows")
     hashed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(text_col).alias("own_hash"))
     met = hashed.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash")), "left_semi")
     once = met.dropDuplicates(["own_id", "own_hash"])
