@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -40,30 +41,88 @@ def test_same_as_sql(spark, con, name):
 # 2: cross-entropy difference
 
 
-def test_lm_score_like_plain_counts(spark):
-    rows = [(i, t) for i, t in enumerate(["a b c a b", "a b a", "c c c d", "d a b", "x y z", "", None, "a a a a"])]
-    found = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(docs_of(spark, rows), spark.createDataFrame([(0,), (1,)], "t long"), vocabulary=4, table_bits=20).collect()}
-    words = {i: [w.decode() for w in words_of((t or "").encode())] for i, t in rows}
-    every = [w for own in words.values() for w in own]
-    vocabulary = sorted(set(every), key=lambda w: (-every.count(w), w))[:4]
-    for i, own in words.items():
-        if not own:
-            assert found[i]["score"] is None and found[i]["n_tokens"] == 0
-            continue
+def plain_losses(rows, targets, mu=lm_score.MU, alpha=lm_score.ALPHA):
+    """Mean losses of each row under both models, by counting all other rows anew for it."""
+    words = [(i, [w.decode() for w in words_of((t or "").encode())]) for i, t in rows]
+    n_words, n_all = len({w for _, own in words for w in own}), sum(len(w) for _, w in words)
+    n_target = sum(len(w) for i, w in words if i in targets)
+    out = []
+    for k, (_, own) in enumerate(words):
         losses = []
-        for ids in ((0, 1), tuple(words)):
-            texts = [["<s>"] + [w if w in vocabulary else "<other>" for w in words[j]] for j in ids]
-            single = [w for t in texts for w in t[1:]]
-            pairs = [p for t in texts for p in zip(t, t[1:], strict=False)]
-            loss, before = 0.0, "<s>"
-            for w in (w if w in vocabulary else "<other>" for w in own):
-                p1 = (single.count(w) + 0.5) / (len(single) + 0.5 * 5)
-                n = single.count(before)
-                p2 = min(1, pairs.count((before, w)) / n) if n else 0
-                loss -= np.log((0.7 if n else 0) * p2 + (0.3 if n else 1) * p1)
-                before = w
-            losses.append(loss / len(own))
-        assert found[i]["score"] == pytest.approx(losses[0] - losses[1], abs=1e-4)
+        for members, scale in ([(i, w) for i, w in words if i in targets], 1.0), (words, n_target / n_all if n_target else 1.0):
+            others = [w for n, (i, w) in enumerate(words) if n != k and (i, w) in members]
+            single, context, pairs = Counter(), Counter(), Counter()
+            for text in others:
+                single.update(text)
+                context.update(["<s>", *text[:-1]] if text else [])
+                pairs.update(zip(["<s>", *text[:-1]], text, strict=True) if text else [])
+            loss = 0.0
+            for before, w in zip(["<s>", *own[:-1]], own, strict=True) if own else ():
+                alone = (scale * single[w] + alpha) / (scale * sum(single.values()) + alpha * (n_words + 1))
+                loss -= np.log((scale * pairs[before, w] + mu * alone) / (scale * context[before] + mu))
+            losses.append(loss / len(own) if own else None)
+        out.append(losses)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [(1 << 20, 1 << 20), (5, 3)])
+def test_lm_score_like_plain_counts(spark, sizes):
+    rows = [(i, t) for i, t in enumerate(["a b c a b", "a b a", "c c c d", "d a b", "x y z", "", None, "a a a a", "a b a"])]
+    scored = lm_score.cross_entropy_difference(docs_of(spark, rows), spark.createDataFrame([(0,), (1,), (99,), (None,)], "t long"), shard_tokens=sizes[0], bucket_keys=sizes[1])
+    found = {r["doc_id"]: r for r in scored.collect()}
+    assert len(found) == len(rows)
+    for (i, _), (target, background) in zip(rows, plain_losses(rows, {0, 1}), strict=True):
+        if target is None:
+            assert found[i]["score"] is None and found[i]["n_tokens"] == 0
+        else:
+            assert (found[i]["target_loss"], found[i]["background_loss"]) == pytest.approx((target, background), abs=1e-9)
+
+
+def test_lm_score_of_all_documents(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    good = [r["doc_id"] for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").filter("quality = 1").collect()]
+    rows = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect()]
+    found = {r["doc_id"]: (r["target_loss"], r["background_loss"]) for r in queries.op2_lm_score(spark, SF_DIR).collect()}
+    some = rows[::9]
+    words = [(i, words_of((t or "").encode())) for i, t in rows]
+    totals = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
+    for i, own in words:
+        for side in (0, 1) if i in set(good) else (0,):
+            totals[side][0].update(own)
+            totals[side][1].update([b"", *own[:-1]] if own else [])
+            totals[side][2].update(zip([b"", *own[:-1]], own, strict=True) if own else [])
+    n = [sum(t[0].values()) for t in totals]
+    by_id = dict(words)
+    for i, _ in some:
+        own, less = by_id[i], (Counter(by_id[i]), Counter([b"", *by_id[i][:-1]]), Counter(zip([b"", *by_id[i][:-1]], by_id[i], strict=True)))
+        for side, scale, minus in ((1, 1.0, i in set(good)), (0, n[1] / n[0], 1)):
+            loss = 0.0
+            for before, w in zip([b"", *own[:-1]], own, strict=True):
+                word, context, pair = (scale * (totals[side][k][key] - minus * less[k][key]) for k, key in enumerate((w, before, (before, w))))
+                alone = (word + lm_score.ALPHA) / (scale * (n[side] - minus * len(own)) + lm_score.ALPHA * (len(totals[0][0]) + 1))
+                loss -= np.log((pair + lm_score.MU * alone) / (context + lm_score.MU))
+            assert found[i][0 if side else 1] == pytest.approx(loss / len(own), abs=1e-9)
+
+
+def test_lm_score_does_not_remember_targets(spark):
+    """Target documents that were counted score as those of their kind that were not."""
+    rng, rows = random.Random(12), []
+    for i in range(400):
+        kind = i % 2
+        rows.append((i, " ".join(f"w{min(rng.randint(0, 200), rng.randint(0, 200)) + 100 * kind}" for _ in range(60))))
+    targets = spark.createDataFrame([(i,) for i in range(0, 400, 4)], "t long")
+    found = {r["doc_id"]: r["score"] for r in lm_score.cross_entropy_difference(docs_of(spark, rows), targets).collect()}
+    counted, left_out, other = ([found[i] for i in range(400) if i % 4 == k or (k == 1 and i % 2)] for k in (0, 2, 1))
+    above = lambda a, b: np.mean([x > y for x in a for y in b])
+    assert 0.4 < above(counted, left_out) < 0.6 and above(other, left_out) > 0.99
+
+
+def test_lm_score_of_a_very_long_text(spark):
+    rng = random.Random(13)
+    rows = [(0, " ".join(f"w{rng.randint(0, 999)}" for _ in range(50_000))), (1, "w1 w2"), (2, None)]
+    clash = docs_of(spark, rows).withColumns({"SHARD": F.lit(1), "Words": F.lit(2)})
+    found = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(clash, spark.createDataFrame([(1,)], "t long"), shard_tokens=1000).collect()}
+    assert found[0]["n_tokens"] == 50_000 and found[0]["score"] is not None and found[2]["score"] is None
 
 
 def test_lm_score_of_odd_rows(spark):

@@ -1,155 +1,292 @@
 """Cross-entropy difference: how much more a target model expects a text than a background model does.
 
-Two word-bigram models are counted: the background model on all documents, the target model on those named as target.
-They share one vocabulary, the ``vocabulary`` most frequent words of all documents (all other words are one class), and
-one table of 2 ** ``table_bits`` bigram cells, to which pairs of words are hashed alike. A word's probability after
-another is interpolated from the bigram and the smoothed unigram counts. A document's score is the mean over its words of
-target loss - background loss; the lower, the closer to the target.
-
-Every document is counted: word counts and cell counts are summed by Spark and grow with the corpus until all words or
-cells of the tables are in use. The models that tasks receive are bounded by the two parameters.
-
-Defined results: a null or wordless text has no tokens and null losses and score; rows of null id are background only;
-repeated rows are counted as often as they stand there; without target documents the target model is uniform; an empty
-table gives an empty result; other columns may have any name.
+Two word-bigram models share one vocabulary, all distinct words of all documents and one class for unseen ones: the
+background model counts all documents, the target model those named as target. A score never meets its own evidence: the
+counts of the document that is scored are taken out of both models first, whether it is a target or not. A word's
+probability after another is (pairs + mu * q) / (contexts + mu), q = (words + alpha) / (tokens + alpha * classes) being that
+of the word alone; both sum to one. The models are matched in size: background counts are scaled by the target's share of
+all tokens, so that the same evidence weighs the same against mu and alpha in both. A document's score is the mean over its
+words of target loss - background loss; the lower, the closer to the target.
+
+Counts are exact (of 64-bit hashes of words and pairs), cover every document and are nowhere held as a whole:
+
+* documents become shards of about ``SHARD_TOKENS`` tokens, one row each;
+* every shard asks for its distinct words, contexts and pairs, with its own sums, by ranges of the hash (buckets);
+* a bucket adds up what all shards sent and answers each of them. A key comes once from each shard, however frequent;
+* each shard scores its documents with the answers.
+
+Buckets grow in number with the corpus, not in size.
+
+Defined results: a null or wordless text has no tokens and null losses and score; a very long text is a shard of its own;
+rows of null id are background only; repeated rows are counted as often as they stand there, and each is scored against
+the others; words of equal frequency need no order; without target documents the target model is uniform; an empty table
+gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import binary_column, words_of
+from tidewatch.llm.common import Workspace, binary_column, words_of
 
-VOCABULARY = 1 << 16
-TABLE_BITS = 21
-BIGRAM_SHARE = 0.7
+MU = 20.0
 ALPHA = 0.5
-FLUSH_TOKENS = 4_000_000
-
-
-class Bigrams:
-    """Vocabulary and counts of both models (row 0: background, row 1: target)."""
-
-    def __init__(self, words: list[bytes], table_bits: int):
-        self.ids = {w: i for i, w in enumerate(words)}
-        self.other, self.start = len(words), len(words) + 1
-        self.bits = table_bits
-        self.words = np.zeros((2, len(words) + 1))
-        self.cells = np.zeros((2, 1 << table_bits), np.float32)
-
-    def tokens(self, text: bytes | None) -> np.ndarray:
-        other, get = self.other, self.ids.get
-        return np.array([get(w, other) for w in words_of(text)], np.int64)
-
-    def cells_of(self, tokens: np.ndarray) -> np.ndarray:
-        """The table cell of each token and the one before it."""
-        before = np.r_[self.start, tokens[:-1]].astype(np.uint64)
-        mixed = (before * np.uint64(0x9E3779B97F4A7C15) + tokens.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def losses(self, tokens: np.ndarray, share: float) -> np.ndarray:
-        """Mean negative log-probability of the tokens under both models."""
-        cells, out = self.cells_of(tokens), np.zeros(2)
-        for m in (0, 1):
-            counts = self.words[m]
-            single = (counts[tokens] + ALPHA) / (counts.sum() + ALPHA * len(counts))
-            context = np.r_[0.0, counts[tokens[:-1]]]
-            pair = np.minimum(self.cells[m][cells] / np.maximum(context, 1), 1)
-            weight = np.where(context > 0, share, 0.0)
-            out[m] = -np.log(weight * pair + (1 - weight) * single).mean()
-        return out
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n) over all documents."""
-    import pyarrow as pa
+SHARD_TOKENS = 1 << 21
+BUCKET_KEYS = 1 << 21
+WORD_CACHE = 500_000
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+#: Stands before the first word of a document.
+START = np.uint64(0x27D4EB2F165667C5)
+#: Kinds of keys, in the order in which a shard lists them.
+WORD, CONTEXT, PAIR = 0, 1, 2
 
-    def run(batches):
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in binary_column(batch, "text"):
-                counts.update(words_of(text))
-            if len(counts) > 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-                counts = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+_word_hashes: dict[bytes, int] = {}
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def word_hashes(words: list[bytes]) -> list[int]:
+    import xxhash
 
-def count_model(docs: DataFrame, model: Bigrams) -> None:
-    """Fills the counts of both models from rows (text, target)."""
-    import pyarrow as pa
+    known, out = _word_hashes, []
+    if len(known) > WORD_CACHE:
+        known.clear()
+    get, add = known.get, out.append
+    for word in words:
+        value = get(word)
+        if value is None:
+            value = known[word] = xxhash.xxh3_64_intdigest(word)
+        add(value)
+    return out
 
-    held, n_words = docs.sparkSession.sparkContext.broadcast(model), len(model.ids) + 1
 
-    def run(batches):
-        own, waiting, size = held.value, ([], []), 0
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * MIX[1]
+    return x ^ (x >> np.uint64(32))
 
-        def rows():
-            total, target = (np.concatenate(w) if w else np.zeros(0, np.int64) for w in waiting)
-            codes, n = np.unique(total, return_counts=True)
-            target_codes, target_n = np.unique(target, return_counts=True)
-            in_target = np.zeros(len(codes), np.int64)
-            in_target[np.searchsorted(codes, target_codes)] = target_n
-            return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n, pa.int64()), pa.array(in_target, pa.int64())], ["code", "n", "n_target"])
 
-        for batch in batches:
-            for text, target in zip(binary_column(batch, "text"), batch.column("target").to_pylist(), strict=True):
-                tokens = own.tokens(text)
-                if len(tokens):
-                    codes = np.r_[tokens, own.cells_of(tokens) + n_words]  # words first, then cells
-                    waiting[0].append(codes)
-                    if target:
-                        waiting[1].append(codes)
-                    size += len(tokens)
-                if size >= FLUSH_TOKENS:
-                    yield rows()
-                    waiting, size = ([], []), 0
-        yield rows()
-
-    sums = docs.mapInArrow(run, "code long, n long, n_target long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    # At most one row for each word and cell of the model; packed by range before they go to the driver.
-    packed = sums.groupBy(F.expr("code DIV 65536").alias("part")).agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("n"), F.collect_list("n_target").alias("n_target"))
-    for row in packed.toLocalIterator():
-        codes, counts = np.array(row["codes"]), np.array([row["n"], row["n_target"]], float)
-        is_word = codes < n_words
-        model.words[:, codes[is_word]] = counts[:, is_word]
-        model.cells[:, codes[~is_word] - n_words] = counts[:, ~is_word]
-
-
-def score(docs: DataFrame, model: Bigrams, share: float = BIGRAM_SHARE) -> DataFrame:
-    """(id, n_tokens, target_loss, background_loss, score) of rows (id, text)."""
+def squeeze(values: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+
+
+def expand(packed: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), kind)
+
+
+def planes(keys: np.ndarray) -> bytes:
+    """Sorted keys as compressed byte planes of their differences."""
+    return squeeze(np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def from_planes(packed: bytes) -> np.ndarray:
+    found = expand(packed, "u1").reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(found.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+SHARD = "shard long, ids array<{id}>, sizes array<long>, words binary, tokens binary"
+
+
+def shards_of(docs: DataFrame, shard_tokens: int) -> DataFrame:
+    """Rows of about ``shard_tokens`` tokens: the documents' ids and sizes, the distinct word hashes, and each token's place
+    among these."""
     import pyarrow as pa
+    from pyspark import TaskContext
 
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    names = [c.split()[0] for c in SHARD.split(", ")]
+
+    def run(batches):
+        partition, n_shards = TaskContext.get().partitionId(), 0
+        ids, sizes, hashes, id_type = [], [], [], None
+
+        def row(number):
+            words, tokens = np.unique(np.concatenate([np.array(h, np.uint64) for h in hashes]), return_inverse=True)
+            arrays = [
+                pa.array([partition << 32 | number], pa.int64()),
+                pa.array([ids], pa.list_(id_type)),
+                pa.array([sizes], pa.list_(pa.int64())),
+                pa.array([words.astype("<u8").tobytes()], pa.binary()),
+                pa.array([squeeze(tokens.astype("<u4"))], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(arrays, names)
+
+        held = 0
+        for batch in batches:
+            id_type = batch.schema.field("id").type
+            for id_, text in zip(batch.column("id").to_pylist(), binary_column(batch, "text"), strict=True):
+                own = word_hashes(words_of(text))
+                if held and held + len(own) > shard_tokens:
+                    yield row(n_shards)
+                    ids, sizes, hashes, held, n_shards = [], [], [], 0, n_shards + 1
+                ids.append(id_)
+                sizes.append(len(own))
+                hashes.append(own)
+                held += len(own)
+        if ids:
+            yield row(n_shards)
+
+    return docs.select("id", "text").mapInArrow(run, SHARD.format(id=docs.schema["id"].dataType.simpleString()))
+
+
+class Shard:
+    """The tokens of a shard, and the distinct keys of each kind with the place of each token's key among them."""
+
+    def __init__(self, sizes: np.ndarray, words: bytes, tokens: bytes, flags: list[int] | None):
+        self.sizes = sizes
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        in_target = np.zeros(len(sizes), bool)
+        in_target[flags or []] = True
+        self.in_target = in_target
+        vocabulary, at = np.frombuffer(words, "<u8").astype(np.uint64), expand(tokens, "<u4").astype(np.int64)
+        # Contexts are the words before, and place 0 for the start of a document.
+        before = np.r_[0, at[:-1] + 1] if len(at) else at
+        ends = np.cumsum(sizes)
+        starts = (ends - sizes)[sizes > 0]
+        before[starts] = 0
+        contexts = mixed(np.r_[START, vocabulary] * MIX[2])
+        used = np.unique(before)
+        pairs, pair_at = np.unique(mixed(contexts[before] + vocabulary[at] * MIX[0]), return_inverse=True)
+        order = np.argsort(contexts[used])
+        place = np.zeros(len(contexts), np.int64)
+        place[used[order]] = np.arange(len(used))
+        #: Sorted keys of each kind, and each token's place among them.
+        self.keys = [vocabulary, contexts[used][order], pairs]
+        self.at = [at, place[before], pair_at]
+
+    def sums(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """How often each key stands in the shard, and in its target documents."""
+        at, n = self.at[kind], len(self.keys[kind])
+        return np.bincount(at, minlength=n), np.bincount(at[self.in_target[self.doc]], minlength=n)
+
+    def own(self, kind: int) -> np.ndarray:
+        """For each token, how often its document holds its key."""
+        _, inverse, counts = np.unique(self.doc * len(self.keys[kind]) + self.at[kind], return_inverse=True, return_counts=True)
+        return counts[inverse]
+
+    def losses(self, counts: list[tuple[np.ndarray, np.ndarray]], facts: dict, mu: float, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+        """Mean target and background loss of each document; ``counts`` of each kind are those of all documents."""
+        own = [self.own(kind) for kind in (WORD, CONTEXT, PAIR)]
+        n_own, flag = self.sizes[self.doc], self.in_target[self.doc]
+        out = []
+        for side, scale, less, total in ((1, 1.0, flag, facts["n_target"]), (0, facts["scale"], 1, facts["n_tokens"])):
+            word, context, pair = (scale * (counts[kind][side][self.at[kind]] - less * own[kind]) for kind in (WORD, CONTEXT, PAIR))
+            alone = (word + alpha) / (scale * (total - less * n_own) + alpha * (facts["n_words"] + 1))
+            loss = -np.log((pair + mu * alone) / (context + mu))
+            out.append(np.bincount(self.doc, loss, len(self.sizes)) / np.maximum(self.sizes, 1))
+        return out[0], out[1]
+
+
+def shard_rows(batch):
+    """The shards of an Arrow batch, with their number and ids."""
+    for k in range(batch.num_rows):
+        row = {c: batch.column(c)[k] for c in ("shard", "ids", "sizes", "words", "tokens", "flags")}
+        sizes = np.array(row["sizes"].as_py(), np.int64)
+        yield row["shard"].as_py(), row["ids"].values, sizes, Shard(sizes, row["words"].as_py(), row["tokens"].as_py(), row["flags"].as_py())
+
+
+def flagged(shards: DataFrame, targets: DataFrame) -> DataFrame:
+    """The shards with ``flags``, the places of their target documents. Only ids are shuffled to meet the targets."""
+    named = targets.toDF("target_id").filter("target_id IS NOT NULL").distinct()
+    places = shards.select("shard", F.posexplode("ids").alias("place", "target_id"))
+    flags = places.join(named.hint("merge"), "target_id").groupBy("shard").agg(F.collect_list("place").alias("flags"))
+    return shards.join(flags.hint("merge"), "shard", "left")
+
+
+def bucket_edges(n_buckets: int) -> np.ndarray:
+    """Keys at which the buckets after the first begin."""
+    return np.array([(k << 64) // n_buckets for k in range(1, n_buckets)], np.uint64)
+
+
+def requests(shards: DataFrame, n_buckets: int) -> DataFrame:
+    """(kind, bucket, shard, keys, n, n_target): what each shard holds and asks for, by ranges of the keys."""
+    import pyarrow as pa
 
     def run(batches):
-        own = held.value
+        edges = bucket_edges(n_buckets)
         for batch in batches:
-            sizes, found = [], []
-            for text in binary_column(batch, "text"):
-                tokens = own.tokens(text)
-                sizes.append(len(tokens))
-                found.append(own.losses(tokens, share) if len(tokens) else (None, None))
-            background, target = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(target, pa.float64()), pa.array(background, pa.float64())], ["id", "n_tokens", "target_loss", "background_loss"])
+            for number, _, _, shard in shard_rows(batch):
+                rows = []
+                for kind in (WORD, CONTEXT, PAIR):
+                    keys, (n, n_target) = shard.keys[kind], shard.sums(kind)
+                    cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                    for bucket, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                        if b > a:
+                            rows.append((kind, bucket, number, planes(keys[a:b]), squeeze(n[a:b].astype("<u4")), squeeze(n_target[a:b].astype("<u4"))))
+                if rows:
+                    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["kind", "bucket", "shard", "keys", "n", "n_target"])
+
+    return shards.mapInArrow(run, "kind int, bucket int, shard long, keys binary, n binary, n_target binary")
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """(kind, bucket, shard, n, n_target): the sums over all shards of the keys that a shard asked for, in its order; and
+    for each kind and bucket a row of shard null whose ``n_keys`` counts the distinct keys."""
+    import pyarrow as pa
 
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, n_tokens long, target_loss double, background_loss double"
-    return docs.select("id", "text").mapInArrow(run, schema).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    def run(table: pa.Table) -> pa.Table:
+        kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+        keys = [from_planes(k) for k in table.column("keys").to_pylist()]
+        ends = np.cumsum([len(k) for k in keys])
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        out = []
+        for column in ("n", "n_target"):
+            sums = np.bincount(at, np.concatenate([expand(p, "<u4") for p in table.column(column).to_pylist()]), len(distinct))[at]
+            out.append([squeeze(sums[e - len(k) : e].astype("<u8")) for e, k in zip(ends, keys, strict=True)] + [None])
+        n = len(keys)
+        columns = [pa.array([kind] * (n + 1), pa.int32()), pa.array([bucket] * (n + 1), pa.int32()), pa.array([*table.column("shard").to_pylist(), None], pa.int64())]
+        return pa.table([*columns, pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array([None] * n + [len(distinct)], pa.int64())], ["kind", "bucket", "shard", "n", "n_target", "n_keys"])
 
+    return asked.groupBy("kind", "bucket").applyInArrow(run, "kind int, bucket int, shard long, n binary, n_target binary, n_keys long")
 
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, table_bits: int = TABLE_BITS) -> DataFrame:
+
+def scored(shards: DataFrame, facts: dict, mu: float, alpha: float) -> DataFrame:
+    """(id, n_tokens, target_loss, background_loss, score) of shards with their ``answers``."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for k, (_, ids, sizes, shard) in enumerate(shard_rows(batch)):
+                given = sorted(batch.column("answers")[k].as_py() or [], key=lambda a: (a["kind"], a["bucket"]))
+                counts = []
+                for kind in (WORD, CONTEXT, PAIR):
+                    own = [a for a in given if a["kind"] == kind]
+                    counts.append(tuple(np.concatenate([expand(a[c], "<u8") for a in own] or [np.zeros(0)]).astype(float) for c in ("n", "n_target")))
+                target, background = shard.losses(counts, facts, mu, alpha)
+                empty = sizes == 0
+                columns = [ids, pa.array(sizes, pa.int64()), *[pa.array(x, pa.float64(), mask=empty) for x in (target, background)]]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "target_loss", "background_loss"])
+
+    id_type = shards.schema["ids"].dataType.elementType.simpleString()
+    found = shards.mapInArrow(run, f"id {id_type}, n_tokens long, target_loss double, background_loss double")
+    return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
+def cross_entropy_difference(
+    docs: DataFrame,
+    targets: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    mu: float = MU,
+    alpha: float = ALPHA,
+    shard_tokens: int = SHARD_TOKENS,
+    bucket_keys: int = BUCKET_KEYS,
+) -> DataFrame:
     """Scores every row of ``docs``; ``targets`` has one column, the ids of the target documents."""
+    space = Workspace(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    named = targets.toDF("target_id").filter("target_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
-    # Target ids grow with the corpus, so they are never broadcast: the plan is the same at every size.
-    marked = own.join(named.hint("merge"), F.col("id") == F.col("target_id"), "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    words = count_words(own).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    model = Bigrams([bytes(r["word"]) for r in words], table_bits)
-    count_model(marked, model)
-    return score(own, model).withColumnRenamed("id", id_col)
+    shards = space.write(shards_of(own, shard_tokens), "token-shards")
+    marked = space.write(flagged(shards, targets), "marked-shards")
+    space.drop("token-shards")
+    in_target = F.aggregate(F.transform("flags", lambda i: F.get("sizes", i)), F.lit(0).cast("long"), lambda s, x: s + x)
+    totals = marked.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"), F.sum(in_target).alias("n_target")).first()
+    n_tokens, n_target = totals["n"] or 0, totals["n_target"] or 0
+    given = space.write(answers(requests(marked, max(1, -(-n_tokens // bucket_keys)))), "answers")
+    n_words = given.filter(f"kind = {WORD}").agg(F.sum("n_keys")).first()[0] or 0
+    facts = {"n_tokens": n_tokens, "n_target": n_target, "n_words": n_words, "scale": n_target / n_tokens if n_target else 1.0}
+    # All answers to one shard, as many bytes as its keys ask for.
+    own_answers = given.filter("shard IS NOT NULL").groupBy("shard").agg(F.collect_list(F.struct("kind", "bucket", "n", "n_target")).alias("answers"))
+    return scored(marked.join(own_answers.hint("merge"), "shard", "left"), facts, mu, alpha).withColumnRenamed("id", id_col)
