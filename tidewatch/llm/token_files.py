@@ -9,15 +9,15 @@ document ids with a validity byte each, the ids per document, the control run an
 files lists the token ids by rank. Files are written in ascending document order, one per partition of a range
 partitioning, under a temporary name that is moved in place when it is complete: a repeated task writes the same file.
 
-Defined results: a null text counts as empty and has the end id alone; null document ids come first; documents of equal
-id follow each other in the order of a hash of their texts; repeated rows each give a document; an empty table gives no
+Defined results: a null text counts as empty and has the end id alone; a very long text is one document of one block,
+however many ids it has; null document ids come first; documents of equal id follow each other in the order of a hash of
+their texts; ids of equal frequency are ranked by their number; repeated rows each give a document; an empty table gives no
 file and no row; other columns are ignored and may have any name.
 """
 
 from __future__ import annotations
 
 import struct
-import unicodedata
 import zlib
 from array import array
 
@@ -80,19 +80,21 @@ class WordEncoder:
     """Ids of a text by the tokenizers library, remembering those of space-separated pieces.
 
     The tokenizer lower-cases and drops white space, and no token spans it, so a text's ids are those of its pieces.
-    Pieces of Latin characters are split as the tokenizer does and go straight to its vocabulary model; all others run
-    through the whole tokenizer. What is remembered is kept in two generations: a full one becomes the old one."""
+    Pieces of characters below U+0250 (all of which are composed) are split as the tokenizer does and go straight to its
+    vocabulary model; all others run through the whole tokenizer. What is remembered is kept in two generations: a full one
+    becomes the old one."""
 
     def __init__(self, tokenizer_json: bytes):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json.decode())
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.pieces: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.words: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         moved = [b for b in range(256) if b not in kept]
-        self.shown = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
+        self.shown = {b: chr(256 + i) for i, b in enumerate(moved)}
+        self.ends = {c: self.word(c) for c in ".,;:!?"}
 
     def word(self, word: str) -> bytes:
         """Ids of one match of the split pattern."""
@@ -101,20 +103,25 @@ class WordEncoder:
         if ids is None:
             ids = old.get(word)
             if ids is None:
-                seen = word if word.isascii() else "".join([self.shown[b] for b in word.encode()])
-                ids = array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
-            remember(new, old, word, ids)
+                seen = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+                ids = array("I", [t.id for t in self.tokenize(seen)]).tobytes()
+            if len(word) <= CACHED_CHARS:
+                remember(new, old, word, ids)
         return ids
 
     def piece(self, piece: str) -> bytes:
         new, old = self.pieces
         ids = old.get(piece)
         if ids is None:
-            latin = piece.isascii() or max(piece) < "\u0250" and "\u0130" not in piece and unicodedata.is_normalized("NFC", piece)
-            if latin and len(piece) <= CACHED_CHARS and piece.isprintable() and "<|" not in piece:
+            if piece.isascii() or max(piece) < "\u0250" and "\u0130" not in piece:
                 low = piece.lower()
-                ids = self.word(low) if low.isalpha() else b"".join([self.word(w) for w in WORDS(low)])
-            else:
+                if low.isalpha():
+                    ids = self.word(low)
+                elif (end := self.ends.get(low[-1])) and low[:-1].isalpha():
+                    ids = self.word(low[:-1]) + end
+                elif len(piece) <= CACHED_CHARS and piece.isprintable() and "<|" not in piece:
+                    ids = b"".join([self.word(w) for w in WORDS(low)])
+            if ids is None:
                 ids = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
         if len(piece) <= CACHED_CHARS:
             remember(new, old, piece, ids)
@@ -151,13 +158,14 @@ ENCODED = "id long, tie long, ids binary, tokens array<long>, counts array<long>
 def encoded(texts: DataFrame, key: str, held, end_id: int) -> DataFrame:
     """Rows (id, tie, ids) with the compressed ids of a text, and at the end of each task one row (tokens, counts)."""
     import pyarrow as pa
+    import zstandard
 
     types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     names = [c.split()[0] for c in ENCODED.split(", ")]
 
     def run(batches):
         encode, total = encoder(key, held).encode, np.zeros(end_id + 1, np.int64)
-        end = np.array([end_id], "<u4").tobytes()
+        end, zipped = np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(level=1).compress
 
         def count(waiting):
             own = np.bincount(np.concatenate(waiting), minlength=len(total))
@@ -172,7 +180,7 @@ def encoded(texts: DataFrame, key: str, held, end_id: int) -> DataFrame:
                 size += len(ids)
                 if size >= BLOCK_IDS:
                     total, waiting, size = count(waiting), [], 0
-                packed.append(zlib.compress(ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"4" + ids.tobytes(), 1))
+                packed.append(zipped(ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"4" + ids.tobytes()))
             if waiting:
                 total = count(waiting)
             n = len(packed)
@@ -184,7 +192,9 @@ def encoded(texts: DataFrame, key: str, held, end_id: int) -> DataFrame:
 
 
 def unzipped(packed: bytes) -> np.ndarray:
-    raw = zlib.decompress(packed)
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(packed)
     return np.frombuffer(raw, "<u4", offset=1) if len(raw) % 2 else np.frombuffer(raw, "<u2").astype("<u4")
 
 
