@@ -181,14 +181,54 @@ def test_nearest_recall(spark):
     assert hits >= 0.9 * 20 * len(asked)
 
 
-def test_adaptive_scan_recall():
+def recall(spark, df, asked, k=20):
+    """Recall of the operator against brute force, for a table of vectors with the ids 0, 1, ..."""
+    rows = df.orderBy("vec_id").collect()
+    ids, vectors = [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], float)
+    found = {}
+    for r in nearest.largest_inner_products(df, df.filter(F.col("vec_id").isin(asked)), k=k).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    return sum(len(set(exact_nearest(ids, vectors, q, k)) & found[q]) for q in asked) / (k * len(asked))
+
+
+def test_nearest_recall_over_many_lists_and_units(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "UNIT_ROWS", 400)
+    monkeypatch.setattr(nearest, "CHUNK_QUERIES", 30)
+    rng = np.random.default_rng(2)
+    scattered = rng.standard_normal((3000, 32)) * rng.uniform(0.8, 1.2, (3000, 1))
+    gathered = np.repeat(rng.standard_normal((30, 32)) * 3, 100, 0) + rng.standard_normal((3000, 32)) * 0.5
+    for vectors in (scattered, gathered):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+        assert recall(spark, df, list(range(0, 3000, 40))) >= 0.9
+
+
+def index_of(vectors, n_lists):
+    index = nearest.ListIndex(vectors[:: max(1, len(vectors) // 2000)], float(np.sqrt((vectors**2).sum(1).max())), n_lists)
+    points = index.rows(vectors)
+    distance = index.distances(points)
+    lists = distance.argmin(1)
+    off = distance.min(1) + (points**2).sum(1)
+    index.measured(*[np.bincount(lists, w, n_lists) for w in (np.ones(len(vectors)), off, off**2)])
+    return index, lists
+
+
+@pytest.mark.parametrize(("gathered", "most_rows", "most_components"), [(False, 0.8, 0.6), (True, 0.1, 0.1)])
+def test_adaptive_scan_reads_a_part_of_rows_and_components(gathered, most_rows, most_components):
+    """40 lists: recall, and the shares of rows compared and of components read."""
     rng = np.random.default_rng(0)
-    vectors = rng.standard_normal((3000, 64)) * rng.uniform(0.5, 2, (3000, 1))
-    index = nearest.ListIndex(vectors[:500], float(np.sqrt((vectors**2).sum(1).max())), 4)
-    ids = np.arange(3000)
-    found = nearest.search_block(index, ids, vectors, ids[:50], vectors[:50], 20, nearest.EPSILON)
-    hits = sum(len(set(exact_nearest(ids, vectors, q, 20)) & set(found[1][found[0] == q])) for q in range(50))
-    assert hits >= 0.95 * 20 * 50
+    vectors = rng.standard_normal((6000, 64))
+    if gathered:
+        vectors = np.repeat(rng.standard_normal((60, 64)), 100, 0) + 0.3 * vectors
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    index, lists = index_of(vectors, 40)
+    ids, asked = np.arange(6000), rng.permutation(6000)[:60]
+    near = np.isin(lists, np.unique(lists[asked])[:20])
+    radius = nearest.first_radius(index, ids[near], vectors[near], asked, vectors[asked], 20)
+    if gathered:
+        radius = nearest.first_radius(index, ids, vectors, asked, vectors[asked], 20)
+    found, rows, components = nearest.scan_unit(index, lists, ids, vectors, asked, vectors[asked], radius, 20, nearest.EPSILON, nearest.LOSS)
+    hits = sum(len(set(exact_nearest(ids, vectors, q, 20)) & set(found[1][found[0] == q])) for q in asked)
+    assert hits >= 0.9 * 20 * len(asked) and rows <= most_rows and components <= most_components
 
 
 def test_nearest_of_odd_rows(spark):
