@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,8 +155,16 @@ def test_pairs_across_components_are_all_pairs(spark):
         if r != q and sum(u == v for u, v in zip(s, t, strict=True)) >= neardup.SHARED and min(x, y) >= 0.8 * max(x, y):
             wanted.add((a, b))
     for block in (7, 1_000):
-        found = [(bytes(r["a"]), bytes(r["b"])) for r in neardup.pairs_across(rows, contents, 0.8, block).collect()]
-        assert len(found) == len(wanted) > 100 and set(found) == wanted
+        found = set()
+        cells = {}
+        for r in neardup.candidate_rows(rows, contents, 0.8, block).collect():
+            cells.setdefault((r["sketch_no"], r["key"], r["i"], r["j"]), []).append(r)
+        for own in cells.values():
+            cell = neardup.Cell(pa.Table.from_pylist([{c: r[c] for c in ("sketch_no", "key", "i", "j", "own", "n", "node", "root", "sketch")} for r in own]), 0.8)
+            pairs = [tuple(sorted((bytes(own[p]["node"]), bytes(own[q]["node"])))) for x, y in cell.candidates() for p, q in zip(x.tolist(), y.tolist(), strict=True)]
+            assert not found & set(pairs) and len(pairs) == len(set(pairs))
+            found |= set(pairs)
+        assert len(wanted) > 100 and found == wanted
 
 
 def test_odd_rows(spark):

@@ -8,10 +8,11 @@ least ``threshold`` of all (aligned / (both - aligned)); only alignments within
 computed. Classes are the connected components of the links.
 
 Equal word sequences are one node throughout. The nodes with an equal sketch are a set. Classes need no more links than
-connect them, so sets are settled in rounds: first every node meets its set's hub, the node that stands in the largest
-sets, as a text does that many others are edited copies of; then, in the sets that still hold several components, the
-next ``HUBS`` nodes; and last, in the sets that are mixed even then, all candidates of different components, in blocks of
-hashed nodes, block against block. No set is held by one task, and no candidate pair of different components stays open.
+connect them, so sets are settled in two rounds: first every node meets its set's hub, the node that stands in the largest
+sets, as a text does that many others are edited copies of; then, in the sets that still hold several components, all
+candidates of different components meet, in blocks of hashed nodes, block against block. A task that holds a cell of two
+blocks compares bags of words before it aligns, skips what its own links have connected meanwhile, and returns links, not
+pairs. No set is held by one task, and no candidate pair of different components stays open.
 
 Defined results: texts without words are equal if they are the same text, null counting as empty; texts of fewer than
 five words have one k-mer, and so are equal or apart; very long texts are sketched and aligned whole; a class is named by
@@ -22,7 +23,7 @@ empty table gives an empty result; other columns may have any name.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import Workspace, binary_column, words_of
@@ -33,10 +34,8 @@ THRESHOLD = 0.8
 #: Equal sketches of two candidates. Of pairs whose k-mers have a similarity of 0.8 one in 10 ** 12 has fewer; of pairs with
 #: one word in ten replaced, 4 in 100.
 SHARED = 2
-#: Nodes of a mixed set that its others meet before all candidates do; saves comparisons, decides nothing.
-HUBS = 8
 #: Rows of a block of a large set, and pairs of rows that are held at once.
-BLOCK = 4_096
+BLOCK = 1_024
 HELD_PAIRS = 200_000
 WORD_CACHE = 500_000
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
@@ -143,6 +142,21 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return found + width - state.bit_count()
 
 
+def bag(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words, sorted, and how often each stands."""
+    ordered = np.sort(words)
+    starts = np.nonzero(np.r_[True, ordered[1:] != ordered[:-1]])[0] if len(ordered) else np.zeros(0, int)
+    return ordered[starts], np.diff(np.r_[starts, len(ordered)])
+
+
+def common_words(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """Size of the intersection of two bags, which no alignment exceeds."""
+    if not len(a[0]) or not len(b[0]):
+        return 0
+    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    return int(np.minimum(a[1][at], b[1])[a[0][at] == b[0]].sum())
+
+
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     """Aligned words as a share of all words of both, or 0 where it is surely below ``threshold``."""
     total = len(a) + len(b)
@@ -157,7 +171,7 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     differ = np.nonzero(a[::-1][: short - head] != b[::-1][: short - head])[0]
     tail = int(differ[0]) if len(differ) else short - head
     a, b = a[head : len(a) - tail], b[head : len(b) - tail]
-    if head + tail + int(np.isin(b, a).sum()) < need:
+    if head + tail + common_words(bag(a), bag(b)) < need:
         return 0.0
     common = head + tail + (aligned(a, b, total - 2 * need) if len(a) and len(b) else 0)
     return common / (total - common) if common >= need else 0.0
@@ -194,66 +208,79 @@ def set_rows(contents: DataFrame, space: Workspace) -> DataFrame:
     return spread.join(space.write(sets, "sets"), ["sketch_no", "key"])
 
 
-def close_pairs(pairs: DataFrame, contents: DataFrame, threshold: float) -> DataFrame:
+def hashed_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, n, sketch, words) of the wanted nodes (node, rep, rep_hash, n, sketch): 32-bit hashes of the words, from the
+    rows whose id is ``rep`` and whose text's hash is ``rep_hash``. A text has one node, so a row meets one at most."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            nodes, packed = [], []
+            for text in binary_column(batch, "text"):
+                words = words_of(text)
+                nodes.append(content_key(words, text))
+                packed.append(word_hashes(words).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(packed, pa.binary()), *[batch.column(c) for c in ("node", "n", "sketch")]], ["own", "words", "node", "n", "sketch"])
+
+    rows = docs.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select("text", "node", "n", "sketch")
+    return rows.mapInArrow(run, "own binary, words binary, node binary, n int, sketch array<long>").filter("own = node").select("node", "n", "sketch", "words").dropDuplicates(["node"])
+
+
+def hub_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of each node and the hub of each of its sets; of equal weights, the smaller node's is more."""
+    weighted = rows.join(rows.groupBy("node").agg(F.sum("n_set").alias("weight")), "node")
+    hubs = weighted.groupBy("sketch_no", "key").agg(F.min(F.struct(-F.col("weight"), F.col("node"))).alias("hub"))
+    both = rows.join(hubs.select("sketch_no", "key", F.col("hub.node").alias("hub")), ["sketch_no", "key"]).filter("node <> hub")
+    return both.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def close_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes that share SHARED sketches and whose lengths allow the threshold."""
-    sides = [contents.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in ("a", "b")]
+    sides = [texts.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in ("a", "b")]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
     shared = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
     return both.filter((F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9) & (shared >= SHARED)).select("a", "b")
 
 
-def weighted_rows(rows: DataFrame) -> DataFrame:
-    """The set rows with the node's weight, the sum of the sizes of its sets."""
-    return rows.join(rows.groupBy("node").agg(F.sum("n_set").alias("weight")), "node")
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs (a, b) whose alignment reaches the threshold."""
+    import pyarrow as pa
 
+    def run(batches):
+        for batch in batches:
+            found = []
+            for left, right in zip(batch.column("words_a").to_pylist(), batch.column("words_b").to_pylist(), strict=True):
+                found.append(similarity(np.frombuffer(left, "<u4"), np.frombuffer(right, "<u4"), threshold))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
-def hub_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of each node and the hub of each of its sets."""
-    ranked = weighted_rows(rows).groupBy("sketch_no", "key").agg(F.min(F.struct(-F.col("weight"), F.col("node"))).alias("hub"))
-    both = rows.join(ranked.select("sketch_no", "key", F.col("hub.node").alias("hub")), ["sketch_no", "key"]).filter("node <> hub")
-    return both.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    sides = [texts.select(F.col("node").alias(c), F.col("words").alias(f"words_{c}")) for c in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "words_a", "words_b")
+    return both.mapInArrow(run, "a binary, b binary, similarity double").filter(F.col("similarity") >= threshold)
 
 
 def mixed_set_rows(rows: DataFrame, roots: DataFrame, space: Workspace) -> DataFrame:
     """The rows, with their root, of the sets that hold nodes of several roots."""
     rooted = space.write(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted-rows")
     several = rooted.groupBy("sketch_no", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    return rooted.join(space.write(several.select("sketch_no", "key"), "mixed-sets"), ["sketch_no", "key"])
-
-
-def more_hub_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of different roots: the nodes of mixed sets and the HUBS of their set."""
-    rank = F.row_number().over(Window.partitionBy("sketch_no", "key").orderBy(F.desc("weight"), "node"))
-    hubs = weighted_rows(rows).withColumn("rank", rank).filter(F.col("rank") <= HUBS)
-    hubs = hubs.select("sketch_no", "key", F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    both = rows.join(hubs, ["sketch_no", "key"]).filter("root <> hub_root")
-    return both.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-
-
-CELL = "sketch_no int, key long, i int, j int, own int, n int, node binary, root binary, sketch array<long>"
+    return rooted.join(several.select("sketch_no", "key"), ["sketch_no", "key"])
 
 
-def cell_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs (a < b) of different roots within each cell (sketch_no, key, i, j) of rows sorted by cell; where
-    blocks i and j differ, only pairs across them. Rows of a cell meet where a further sketch is equal, and a pair is given
-    by the first two sketches that it shares, so once."""
-    import pyarrow as pa
-
-    names = ["sketch_no", "key", "i", "j", "own", "n", "node", "root", "sketch"]
+class Cell:
+    """Rows of two blocks of a set (or of one), and the candidates among them."""
 
-    def cells_of(table):
-        columns = [table.column(c).to_numpy() for c in ("sketch_no", "key", "i", "j")]
-        return np.cumsum(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+    def __init__(self, table, threshold: float):
+        self.no, i, j = (int(table.column(c)[0].as_py()) for c in ("sketch_no", "i", "j"))
+        self.one_block, self.threshold = i == j, threshold
+        self.own, self.n = (table.column(c).to_numpy() for c in ("own", "n"))
+        self.root = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+        self.sketch = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
 
-    def pairs_of(table):
-        no, i, j = (int(table.column(c)[0].as_py()) for c in ("sketch_no", "i", "j"))
-        own, n = (table.column(c).to_numpy() for c in ("own", "n"))
-        root = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
-        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
-        nodes = table.column("node").to_pylist()
-        for other in range(no + 1, SKETCHES):
-            at = np.argsort(sketch[:, other], kind="stable")
-            values, back = sketch[at, other], 1
+    def candidates(self):
+        """Arrays of rows x and y of different roots, and in cells of two blocks of different blocks. Rows meet where a
+        further sketch is equal, and a pair is given by the first two sketches that it shares, so by one set and once."""
+        for other in range(self.no + 1, SKETCHES):
+            at = np.argsort(self.sketch[:, other], kind="stable")
+            values, back = self.sketch[at, other], 1
             left = np.arange(len(at))
             while True:
                 left = left[left + back < len(at)]
@@ -263,15 +290,46 @@ def cell_pairs(rows: DataFrame, threshold: float) -> DataFrame:
                 for start in range(0, len(left), HELD_PAIRS):
                     x = at[left[start : start + HELD_PAIRS]]
                     y = at[left[start : start + HELD_PAIRS] + back]
-                    fit = (root[x] != root[y]) & ((i == j) | (own[x] != own[y]))
-                    fit &= np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9
+                    fit = (self.root[x] != self.root[y]) & (self.one_block | (self.own[x] != self.own[y]))
+                    fit &= np.minimum(self.n[x], self.n[y]) >= self.threshold * np.maximum(self.n[x], self.n[y]) - 1e-9
                     x, y = x[fit], y[fit]
-                    same = sketch[x, : other + 1] == sketch[y, : other + 1]
-                    fit = (same.argmax(1) == no) & (same.sum(1) == SHARED)
-                    met = [(nodes[p], nodes[q]) for p, q in zip(x[fit].tolist(), y[fit].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in met], pa.binary()), pa.array([max(p) for p in met], pa.binary())], ["a", "b"])
+                    same = self.sketch[x, : other + 1] == self.sketch[y, : other + 1]
+                    fit = (same.argmax(1) == self.no) & (same.sum(1) == SHARED)
+                    yield x[fit], y[fit]
                 back += 1
 
+    def links(self, words: list[bytes]):
+        """Pairs of rows with a similarity of the threshold or more, as many as connect what the cell can connect."""
+        texts = [np.frombuffer(w, "<u4") for w in words]
+        bags: dict[int, tuple] = {}
+        above = list(range(int(self.root.max()) + 1))
+
+        def top(r):
+            while above[r] != r:
+                above[r] = r = above[above[r]]
+            return r
+
+        def bag_of(p):
+            if p not in bags:
+                bags[p] = bag(texts[p])
+            return bags[p]
+
+        share = self.threshold / (1 + self.threshold)
+        for x, y in self.candidates():
+            for p, q in zip(x.tolist(), y.tolist(), strict=True):
+                r, s = top(self.root[p]), top(self.root[q])
+                if r != s and common_words(bag_of(p), bag_of(q)) >= share * (len(texts[p]) + len(texts[q])) - 1e-9 and similarity(texts[p], texts[q], self.threshold):
+                    above[r] = s
+                    yield p, q
+
+
+CELL = "sketch_no int, key long, i int, j int, own int, n int, node binary, root binary, sketch array<long>"
+
+
+def by_cell(rows: DataFrame, names: list[str], schema: str, found) -> DataFrame:
+    """What ``found`` (a table of one cell to a record batch) gives for each cell (sketch_no, key, i, j) of the rows."""
+    import pyarrow as pa
+
     def run(batches):
         rest = None
         for batch in batches:
@@ -279,84 +337,63 @@ def cell_pairs(rows: DataFrame, threshold: float) -> DataFrame:
                 continue
             table = pa.Table.from_batches([batch.select(names)])
             table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
-            cell = cells_of(table)
-            cuts = np.r_[0, np.nonzero(cell[1:] != cell[:-1])[0] + 1]
-            for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                yield from pairs_of(table.slice(start, stop - start))
-            rest = table.slice(int(cuts[-1]))  # the last cell may go on in the next batch
+            columns = [table.column(c).to_numpy() for c in ("sketch_no", "key", "i", "j")]
+            cuts = np.nonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])[0].tolist()
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                yield found(table.slice(start, stop - start))
+            rest = table.slice(cuts[-1])  # the last cell may go on in the next batch
         if rest is not None:
-            yield from pairs_of(rest)
+            yield found(rest)
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    cell = ["sketch_no", "key", "i", "j"]
+    return rows.select(*names).repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, schema)
 
 
-def pairs_across(rows: DataFrame, contents: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """All candidate pairs (a < b) of different roots in the mixed sets."""
+def candidate_rows(rows: DataFrame, texts: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """The rows of mixed sets, dealt to cells, that have a candidate of another root in their cell."""
+    import pyarrow as pa
+
+    names = [c.split()[0] for c in CELL.split(", ")]
     n_blocks = F.ceil(F.col("n_set") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
-    dealt = rows.join(contents.select("node", "n", "sketch"), "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    dealt = rows.join(texts.select("node", "n", "sketch"), "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    cell = ["sketch_no", "key", "i", "j"]
-    return cell_pairs(dealt.select(*[c.split()[0] for c in CELL.split(", ")]).repartition(*cell).sortWithinPartitions(*cell), threshold)
-
 
-def hashed_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, words) of the wanted nodes (node, rep, rep_hash): 32-bit hashes of the words, from the rows whose id is
-    ``rep`` and whose text's hash is ``rep_hash``. A text has one node, so a row meets one wanted node at most."""
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            nodes, packed = [], []
-            for text in binary_column(batch, "text"):
-                words = words_of(text)
-                nodes.append(content_key(words, text))
-                packed.append(word_hashes(words).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(packed, pa.binary()), batch.column("node")], ["own", "words", "node"])
+    def found(table):
+        keep = np.zeros(table.num_rows, bool)
+        for x, y in Cell(table, threshold).candidates():
+            keep[x] = keep[y] = True
+        return table.combine_chunks().to_batches()[0].filter(pa.array(keep))
 
-    rows = docs.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select("text", "node")
-    return rows.mapInArrow(run, "own binary, words binary, node binary").filter("own = node").select("node", "words").dropDuplicates(["node"])
+    return by_cell(dealt, names, CELL, found)
 
 
-def verified(pairs: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs (a, b, words_a, words_b) whose alignment reaches the threshold."""
+def links_across(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of links between different roots that connect what the candidates of the rows' cells connect."""
     import pyarrow as pa
 
-    def run(batches):
-        for batch in batches:
-            found = []
-            for left, right in zip(batch.column("words_a").to_pylist(), batch.column("words_b").to_pylist(), strict=True):
-                found.append(similarity(np.frombuffer(left, "<u4"), np.frombuffer(right, "<u4"), threshold))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"])
-
-    return pairs.mapInArrow(run, "a binary, b binary, similarity double").filter(F.col("similarity") >= threshold)
+    names = [*[c.split()[0] for c in CELL.split(", ")], "words"]
 
+    def found(table):
+        nodes = table.column("node").to_pylist()
+        met = [sorted((nodes[p], nodes[q])) for p, q in Cell(table, threshold).links(table.column("words").to_pylist())]
+        return pa.RecordBatch.from_arrays([pa.array([m[k] for m in met], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-def linked(rows: DataFrame, contents: DataFrame, pairs: DataFrame, threshold: float, space: Workspace) -> DataFrame:
-    """(a, b, similarity) of the pairs whose alignment reaches the threshold."""
-    in_pairs = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = contents.join(in_pairs, "node", "left_semi").select("node", "rep", "rep_hash")
-    texts = space.write(hashed_words(rows, wanted), "hashed-words")
-    sided = pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
-    sided = sided.join(texts.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b")
-    links = space.write(verified(sided.select("a", "b", "words_a", "words_b"), threshold), "links")
-    space.drop("hashed-words")
-    return links
+    return by_cell(rows.join(texts.select("node", "words"), "node"), names, "a binary, b binary", found)
 
 
 def components(links: DataFrame, space: Workspace) -> DataFrame:
     """(node, root) of all linked nodes: the smallest node of their component. Each round takes the smallest label among
-    neighbours and then the label's own label; both join two written tables, whose hot partitions are split at run time."""
-    edges = space.write(links.select("a", "b").union(links.select("b", "a")), "component-edges")
-    labels = space.write(edges.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "component-labels")
+    neighbours and then that label's own label; hot partitions of both joins are split at run time."""
+    edges = links.select("a", "b").union(links.select("b", "a"))
+    labels = space.write(edges.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")), "component-labels")
     while True:
         near = edges.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = space.write(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "component-labels")
-        jump = lower.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        new = space.write(lower.join(jump, F.col("label") == F.col("at")).select("node", "old", F.col("further").alias("label")), "component-labels")
+        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("low"))
+        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
+        new = space.write(lower.join(jump, F.col("low") == F.col("at")).select("node", "old", F.least("low", "further").alias("label")), "component-labels")
         space.drop("component-labels*")
         if not new.filter("label <> old").limit(1).count():
-            space.drop("component-edges")
             return new.select("node", F.col("label").alias("root"))
         labels = new.select("node", "label")
 
@@ -365,8 +402,7 @@ def merged_roots(roots: DataFrame, links: DataFrame, space: Workspace) -> DataFr
     """The roots (node, root) after further links between nodes, joined at the level of roots."""
     own = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
     lifted = links.join(own[0], "a", "left").join(own[1], "b", "left")
-    lifted = lifted.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a <> b").distinct()
-    lifted = space.write(lifted, "root-links")
+    lifted = space.write(lifted.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a <> b").distinct(), "root-links")
     found = components(lifted, space).select(F.col("node").alias("old"), F.col("root").alias("new"))
     known = roots.unionByName(found.select(F.col("old").alias("node"), F.col("old").alias("root")).join(roots.select("node"), "node", "left_anti"))
     return space.write(known.join(found, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")), "roots")
@@ -382,23 +418,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = prints.groupBy("node").agg(first, F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
     contents = space.write(grouped.select("node", F.col("first.id").alias("rep"), F.col("first.text_hash").alias("rep_hash"), "copies", "n", "sketch"), "contents")
     in_sets = space.write(set_rows(contents, space), "set-rows")
-    done = space.write(close_pairs(hub_pairs(in_sets), contents, threshold), "pairs")
-    roots = space.write(components(linked(rows, contents, done, threshold, space), space), "roots")
-    for last in (False, True):
-        mixed_rows = space.write(mixed_set_rows(in_sets, roots, space), "mixed-set-rows")
-        pairs = pairs_across(mixed_rows, contents, threshold) if last else close_pairs(more_hub_pairs(mixed_rows), contents, threshold)
-        more = space.write(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        if more.limit(1).count():
-            roots = merged_roots(roots, linked(rows, contents, more, threshold, space), space)
-            done = done.unionByName(more)
-        space.drop("rooted-rows", "mixed-sets", "mixed-set-rows", "root-links")
+    wanted = contents.join(in_sets.select("node").distinct(), "node", "left_semi").select("node", "rep", "rep_hash", "n", "sketch")
+    texts = space.write(hashed_words(rows, wanted), "texts")
+    pairs = space.write(close_pairs(hub_pairs(in_sets), texts, threshold), "pairs")
+    links = space.write(verified(pairs, texts, threshold), "links")
+    roots = components(links, space)
+    mixed = space.write(candidate_rows(mixed_set_rows(in_sets, roots, space), texts, threshold), "candidate-rows")
+    more = space.write(links_across(mixed, texts, threshold), "links")
+    if more.limit(1).count():
+        roots = merged_roots(roots, more, space)
     rooted = contents.select("node", "rep", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = space.write(rooted, "rooted-nodes")
     first = F.min(F.struct(F.col("rep").isNull().alias("unnamed"), F.col("rep").alias("id"), "node")).alias("first")
-    classes = space.write(named.groupBy("root").agg(first, F.sum("copies").alias("class_size")), "classes")
+    classes = named.groupBy("root").agg(first, F.sum("copies").alias("class_size"))
     nodes = space.write(named.select("node", "root").join(classes, "root").select("node", "first", "class_size"), "node-classes")
     keys = space.write(prints.select("id", "text_hash", "node"), "keys")
-    space.drop("fingerprints", "contents", "sets", "set-rows", "pairs", "links", "roots", "component-labels", "rooted-nodes", "classes")
+    space.drop("fingerprints", "contents", "sets", "set-rows", "texts", "pairs", "links", "roots", "root-links", "component-labels", "rooted-rows", "candidate-rows", "rooted-nodes")
     joined = keys.join(nodes, "node")
     is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node"))
     return joined.select(F.col("id").alias(id_col), "text_hash", F.col("first.id").alias("class_id"), "class_size", is_first.alias("is_first"))
