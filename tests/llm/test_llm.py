@@ -41,25 +41,30 @@ def test_same_as_sql(spark, con, name):
 # 2: cross-entropy difference
 
 
-def plain_losses(rows, targets, mu=lm_score.MU, alpha=lm_score.ALPHA):
-    """Mean losses of each row under both models, by counting all other rows anew for it."""
-    words = [(i, [w.decode() for w in words_of((t or "").encode())]) for i, t in rows]
-    n_words, n_all = len({w for _, own in words for w in own}), sum(len(w) for _, w in words)
-    n_target = sum(len(w) for i, w in words if i in targets)
+def plain_losses(rows, targets, every=None, mu=lm_score.MU, alpha=lm_score.ALPHA):
+    """Mean losses of each row (or of ``every`` n-th) under both models, its own counts taken out of those of all rows."""
+    words = [(i, words_of((t or "").encode())) for i, t in rows]
+    n_words = len({w for _, own in words for w in own})
+
+    def counts(texts):
+        single, pairs = Counter(), Counter()
+        for own in filter(None, texts):
+            single.update([*own, "<end>"])
+            pairs.update(zip(["<start>", *own], [*own, "<end>"], strict=True))
+        return single, pairs
+
+    models = counts([w for i, w in words if i in targets]), counts([w for _, w in words])
+    sizes = [sum(n for w, n in single.items() if w != "<end>") for single, _ in models]
     out = []
-    for k, (_, own) in enumerate(words):
-        losses = []
-        for members, scale in ([(i, w) for i, w in words if i in targets], 1.0), (words, n_target / n_all if n_target else 1.0):
-            others = [w for n, (i, w) in enumerate(words) if n != k and (i, w) in members]
-            single, context, pairs = Counter(), Counter(), Counter()
-            for text in others:
-                single.update(text)
-                context.update(["<s>", *text[:-1]] if text else [])
-                pairs.update(zip(["<s>", *text[:-1]], text, strict=True) if text else [])
+    for i, own in words[::every]:
+        less, losses = counts([own]), []
+        for (single, pairs), scale, minus in ((models[0], 1.0, i in targets), (models[1], sizes[0] / sizes[1] if sizes[0] else 1.0, 1)):
             loss = 0.0
-            for before, w in zip(["<s>", *own[:-1]], own, strict=True) if own else ():
-                alone = (scale * single[w] + alpha) / (scale * sum(single.values()) + alpha * (n_words + 1))
-                loss -= np.log((scale * pairs[before, w] + mu * alone) / (scale * context[before] + mu))
+            for before, w in zip(["<start>", *own[:-1]], own, strict=True) if own else ():
+                last = "<end>" if before == "<start>" else before
+                word, context, pair = single[w] - minus * less[0][w], single[last] - minus * less[0][last], pairs[before, w] - minus * less[1][before, w]
+                total = sum(single.values()) - minus * sum(less[0].values())
+                loss -= np.log((scale * pair + mu * (scale * word + alpha) / (scale * total + alpha * (n_words + 2))) / (scale * context + mu))
             losses.append(loss / len(own) if own else None)
         out.append(losses)
     return out
@@ -83,25 +88,8 @@ def test_lm_score_of_all_documents(spark):
     good = [r["doc_id"] for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").filter("quality = 1").collect()]
     rows = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect()]
     found = {r["doc_id"]: (r["target_loss"], r["background_loss"]) for r in queries.op2_lm_score(spark, SF_DIR).collect()}
-    some = rows[::9]
-    words = [(i, words_of((t or "").encode())) for i, t in rows]
-    totals = [Counter(), Counter(), Counter()], [Counter(), Counter(), Counter()]
-    for i, own in words:
-        for side in (0, 1) if i in set(good) else (0,):
-            totals[side][0].update(own)
-            totals[side][1].update([b"", *own[:-1]] if own else [])
-            totals[side][2].update(zip([b"", *own[:-1]], own, strict=True) if own else [])
-    n = [sum(t[0].values()) for t in totals]
-    by_id = dict(words)
-    for i, _ in some:
-        own, less = by_id[i], (Counter(by_id[i]), Counter([b"", *by_id[i][:-1]]), Counter(zip([b"", *by_id[i][:-1]], by_id[i], strict=True)))
-        for side, scale, minus in ((1, 1.0, i in set(good)), (0, n[1] / n[0], 1)):
-            loss = 0.0
-            for before, w in zip([b"", *own[:-1]], own, strict=True):
-                word, context, pair = (scale * (totals[side][k][key] - minus * less[k][key]) for k, key in enumerate((w, before, (before, w))))
-                alone = (word + lm_score.ALPHA) / (scale * (n[side] - minus * len(own)) + lm_score.ALPHA * (len(totals[0][0]) + 1))
-                loss -= np.log((pair + lm_score.MU * alone) / (context + lm_score.MU))
-            assert found[i][0 if side else 1] == pytest.approx(loss / len(own), abs=1e-9)
+    for (i, _), wanted in zip(rows[::20], plain_losses(rows, set(good), 20), strict=True):
+        assert found[i] == pytest.approx(wanted, abs=1e-9)
 
 
 def test_lm_score_does_not_remember_targets(spark):

@@ -3,15 +3,16 @@
 Two word-bigram models share one vocabulary, all distinct words of all documents and one class for unseen ones: the
 background model counts all documents, the target model those named as target. A score never meets its own evidence: the
 counts of the document that is scored are taken out of both models first, whether it is a target or not. A word's
-probability after another is (pairs + mu * q) / (contexts + mu), q = (words + alpha) / (tokens + alpha * classes) being that
-of the word alone; both sum to one. The models are matched in size: background counts are scaled by the target's share of
+probability after another is (pairs + mu * q) / (words before + mu), q = (words + alpha) / (tokens + alpha * classes) being
+that of the word alone; both sum to one over the words, the class of unseen ones, and the end of a document, which follows
+its last word and is not scored. The models are matched in size: background counts are scaled by the target's share of
 all tokens, so that the same evidence weighs the same against mu and alpha in both. A document's score is the mean over its
 words of target loss - background loss; the lower, the closer to the target.
 
-Counts are exact (of 64-bit hashes of words and pairs), cover every document and are nowhere held as a whole:
+Counts are exact (of 56-bit hashes of words and pairs), cover every document and are nowhere held as a whole:
 
 * documents become shards of about ``SHARD_TOKENS`` tokens, one row each;
-* every shard asks for its distinct words, contexts and pairs, with its own sums, by ranges of the hash (buckets);
+* every shard asks for its distinct words and pairs, with its own sums, by ranges of the hash (buckets);
 * a bucket adds up what all shards sent and answers each of them. A key comes once from each shard, however frequent;
 * each shard scores its documents with the answers.
 
@@ -29,18 +30,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Workspace, binary_column, words_of
+from tidewatch.llm.common import Workspace, binary_column, rows_per_batch, words_of
 
 MU = 20.0
 ALPHA = 0.5
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
 BUCKET_KEYS = 1 << 21
 WORD_CACHE = 500_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 #: Stands before the first word of a document.
 START = np.uint64(0x27D4EB2F165667C5)
+#: Bits of a key.
+KEY_BITS = 56
 #: Kinds of keys, in the order in which a shard lists them.
-WORD, CONTEXT, PAIR = 0, 1, 2
+WORD, PAIR = 0, 1
 
 _word_hashes: dict[bytes, int] = {}
 
@@ -55,7 +58,7 @@ def word_hashes(words: list[bytes]) -> list[int]:
     for word in words:
         value = get(word)
         if value is None:
-            value = known[word] = xxhash.xxh3_64_intdigest(word)
+            value = known[word] = xxhash.xxh3_64_intdigest(word) >> 64 - KEY_BITS
         add(value)
     return out
 
@@ -77,14 +80,23 @@ def expand(packed: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), kind)
 
 
-def planes(keys: np.ndarray) -> bytes:
-    """Sorted keys as compressed byte planes of their differences."""
-    return squeeze(np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+def planes(values: np.ndarray) -> bytes:
+    """Integers as compressed byte planes."""
+    return squeeze(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
 
 
 def from_planes(packed: bytes) -> np.ndarray:
     found = expand(packed, "u1").reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(found.T).view("<u8").ravel(), dtype=np.uint64)
+    return np.ascontiguousarray(found.T).view("<u8").ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys, as their differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(packed), dtype=np.uint64)
 
 
 SHARD = "shard long, ids array<{id}>, sizes array<long>, words binary, tokens binary"
@@ -108,8 +120,8 @@ def shards_of(docs: DataFrame, shard_tokens: int) -> DataFrame:
                 pa.array([partition << 32 | number], pa.int64()),
                 pa.array([ids], pa.list_(id_type)),
                 pa.array([sizes], pa.list_(pa.int64())),
-                pa.array([words.astype("<u8").tobytes()], pa.binary()),
-                pa.array([squeeze(tokens.astype("<u4"))], pa.binary()),
+                pa.array([packed_keys(words)], pa.binary()),
+                pa.array([squeeze(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T)], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(arrays, names)
 
@@ -132,48 +144,51 @@ def shards_of(docs: DataFrame, shard_tokens: int) -> DataFrame:
 
 
 class Shard:
-    """The tokens of a shard, and the distinct keys of each kind with the place of each token's key among them."""
+    """The tokens of a shard, and its distinct words and pairs with the place of each token's own among them."""
 
     def __init__(self, sizes: np.ndarray, words: bytes, tokens: bytes, flags: list[int] | None):
         self.sizes = sizes
-        self.doc = np.repeat(np.arange(len(sizes)), sizes)
-        in_target = np.zeros(len(sizes), bool)
-        in_target[flags or []] = True
-        self.in_target = in_target
-        vocabulary, at = np.frombuffer(words, "<u8").astype(np.uint64), expand(tokens, "<u4").astype(np.int64)
-        # Contexts are the words before, and place 0 for the start of a document.
-        before = np.r_[0, at[:-1] + 1] if len(at) else at
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.in_target = np.zeros(len(sizes), bool)
+        self.in_target[flags or []] = True
+        vocabulary = unpacked_keys(words)
+        at = np.ascontiguousarray(expand(tokens, "u1").reshape(4, -1).T).view("<u4").ravel().astype(np.int32)
         ends = np.cumsum(sizes)
-        starts = (ends - sizes)[sizes > 0]
-        before[starts] = 0
-        contexts = mixed(np.r_[START, vocabulary] * MIX[2])
-        used = np.unique(before)
-        pairs, pair_at = np.unique(mixed(contexts[before] + vocabulary[at] * MIX[0]), return_inverse=True)
-        order = np.argsort(contexts[used])
-        place = np.zeros(len(contexts), np.int64)
-        place[used[order]] = np.arange(len(used))
+        self.starts = (ends - sizes)[sizes > 0]
+        self.before = np.r_[np.int32(0), at[:-1]] if len(at) else at
+        context = mixed(vocabulary * MIX[2])[self.before] if len(at) else np.zeros(0, np.uint64)
+        context[self.starts] = START
+        pairs, pair_at = np.unique(mixed(context + vocabulary[at] * MIX[0]) >> np.uint64(64 - KEY_BITS), return_inverse=True)
         #: Sorted keys of each kind, and each token's place among them.
-        self.keys = [vocabulary, contexts[used][order], pairs]
-        self.at = [at, place[before], pair_at]
+        self.keys = [vocabulary, pairs]
+        self.at = [at, pair_at.astype(np.int32)]
 
     def sums(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
         """How often each key stands in the shard, and in its target documents."""
         at, n = self.at[kind], len(self.keys[kind])
         return np.bincount(at, minlength=n), np.bincount(at[self.in_target[self.doc]], minlength=n)
 
-    def own(self, kind: int) -> np.ndarray:
-        """For each token, how often its document holds its key."""
-        _, inverse, counts = np.unique(self.doc * len(self.keys[kind]) + self.at[kind], return_inverse=True, return_counts=True)
-        return counts[inverse]
+    def own(self, kind: int, at: np.ndarray) -> np.ndarray:
+        """How often a token's document holds the key at a place, for each token's place."""
+        n = len(self.keys[kind])
+        codes, counts = np.unique(self.doc.astype(np.int64) * n + self.at[kind], return_counts=True)
+        return counts[np.searchsorted(codes, self.doc.astype(np.int64) * n + at)] if len(codes) else counts
 
     def losses(self, counts: list[tuple[np.ndarray, np.ndarray]], facts: dict, mu: float, alpha: float) -> tuple[np.ndarray, np.ndarray]:
         """Mean target and background loss of each document; ``counts`` of each kind are those of all documents."""
-        own = [self.own(kind) for kind in (WORD, CONTEXT, PAIR)]
+        before = self.before.copy()
+        before[self.starts] = self.at[WORD][self.starts]  # any word of the document; replaced below
+        own = self.own(WORD, self.at[WORD]), self.own(WORD, before), self.own(PAIR, self.at[PAIR])
         n_own, flag = self.sizes[self.doc], self.in_target[self.doc]
         out = []
-        for side, scale, less, total in ((1, 1.0, flag, facts["n_target"]), (0, facts["scale"], 1, facts["n_tokens"])):
-            word, context, pair = (scale * (counts[kind][side][self.at[kind]] - less * own[kind]) for kind in (WORD, CONTEXT, PAIR))
-            alone = (word + alpha) / (scale * (total - less * n_own) + alpha * (facts["n_words"] + 1))
+        for side, scale, less in ((1, 1.0, flag), (0, facts["scale"], np.True_)):
+            n_tokens, n_docs = facts["tokens"][side], facts["docs"][side]
+            given = counts[WORD][side][self.at[WORD]], counts[WORD][side][before], counts[PAIR][side][self.at[PAIR]]
+            word, context, pair = (scale * (n - less * k) for n, k in zip(given, own, strict=True))
+            if len(self.starts):
+                context[self.starts] = scale * (n_docs - (less[self.starts] if side else 1))
+            # Tokens include an end for each document, and classes the end and unseen words.
+            alone = (word + alpha) / (scale * (n_tokens + n_docs - less * (n_own + 1)) + alpha * (facts["n_words"] + 2))
             loss = -np.log((pair + mu * alone) / (context + mu))
             out.append(np.bincount(self.doc, loss, len(self.sizes)) / np.maximum(self.sizes, 1))
         return out[0], out[1]
@@ -197,7 +212,7 @@ def flagged(shards: DataFrame, targets: DataFrame) -> DataFrame:
 
 def bucket_edges(n_buckets: int) -> np.ndarray:
     """Keys at which the buckets after the first begin."""
-    return np.array([(k << 64) // n_buckets for k in range(1, n_buckets)], np.uint64)
+    return np.array([(k << KEY_BITS) // n_buckets for k in range(1, n_buckets)], np.uint64)
 
 
 def requests(shards: DataFrame, n_buckets: int) -> DataFrame:
@@ -209,12 +224,12 @@ def requests(shards: DataFrame, n_buckets: int) -> DataFrame:
         for batch in batches:
             for number, _, _, shard in shard_rows(batch):
                 rows = []
-                for kind in (WORD, CONTEXT, PAIR):
+                for kind in (WORD, PAIR):
                     keys, (n, n_target) = shard.keys[kind], shard.sums(kind)
                     cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
                     for bucket, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                         if b > a:
-                            rows.append((kind, bucket, number, planes(keys[a:b]), squeeze(n[a:b].astype("<u4")), squeeze(n_target[a:b].astype("<u4"))))
+                            rows.append((kind, bucket, number, packed_keys(keys[a:b]), planes(n[a:b]), planes(n_target[a:b])))
                 if rows:
                     types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["kind", "bucket", "shard", "keys", "n", "n_target"])
@@ -229,13 +244,13 @@ def answers(asked: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-        keys = [from_planes(k) for k in table.column("keys").to_pylist()]
+        keys = [unpacked_keys(k) for k in table.column("keys").to_pylist()]
         ends = np.cumsum([len(k) for k in keys])
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         out = []
         for column in ("n", "n_target"):
-            sums = np.bincount(at, np.concatenate([expand(p, "<u4") for p in table.column(column).to_pylist()]), len(distinct))[at]
-            out.append([squeeze(sums[e - len(k) : e].astype("<u8")) for e, k in zip(ends, keys, strict=True)] + [None])
+            sums = np.bincount(at, np.concatenate([from_planes(p) for p in table.column(column).to_pylist()]), len(distinct))[at]
+            out.append([planes(sums[e - len(k) : e]) for e, k in zip(ends, keys, strict=True)] + [None])
         n = len(keys)
         columns = [pa.array([kind] * (n + 1), pa.int32()), pa.array([bucket] * (n + 1), pa.int32()), pa.array([*table.column("shard").to_pylist(), None], pa.int64())]
         return pa.table([*columns, pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array([None] * n + [len(distinct)], pa.int64())], ["kind", "bucket", "shard", "n", "n_target", "n_keys"])
@@ -252,9 +267,9 @@ def scored(shards: DataFrame, facts: dict, mu: float, alpha: float) -> DataFrame
             for k, (_, ids, sizes, shard) in enumerate(shard_rows(batch)):
                 given = sorted(batch.column("answers")[k].as_py() or [], key=lambda a: (a["kind"], a["bucket"]))
                 counts = []
-                for kind in (WORD, CONTEXT, PAIR):
+                for kind in (WORD, PAIR):
                     own = [a for a in given if a["kind"] == kind]
-                    counts.append(tuple(np.concatenate([expand(a[c], "<u8") for a in own] or [np.zeros(0)]).astype(float) for c in ("n", "n_target")))
+                    counts.append(tuple(np.concatenate([from_planes(a[c]) for a in own] or [np.zeros(0)]).astype(float) for c in ("n", "n_target")))
                 target, background = shard.losses(counts, facts, mu, alpha)
                 empty = sizes == 0
                 columns = [ids, pa.array(sizes, pa.int64()), *[pa.array(x, pa.float64(), mask=empty) for x in (target, background)]]
@@ -276,17 +291,24 @@ def cross_entropy_difference(
     bucket_keys: int = BUCKET_KEYS,
 ) -> DataFrame:
     """Scores every row of ``docs``; ``targets`` has one column, the ids of the target documents."""
-    space = Workspace(docs.sparkSession)
+    spark = docs.sparkSession
+    space = Workspace(spark)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shards = space.write(shards_of(own, shard_tokens), "token-shards")
     marked = space.write(flagged(shards, targets), "marked-shards")
     space.drop("token-shards")
-    in_target = F.aggregate(F.transform("flags", lambda i: F.get("sizes", i)), F.lit(0).cast("long"), lambda s, x: s + x)
-    totals = marked.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"), F.sum(in_target).alias("n_target")).first()
-    n_tokens, n_target = totals["n"] or 0, totals["n_target"] or 0
-    given = space.write(answers(requests(marked, max(1, -(-n_tokens // bucket_keys)))), "answers")
+    total = lambda column: F.sum(F.aggregate(column, F.lit(0).cast("long"), lambda s, x: s + x))
+    in_target = F.filter(F.transform("flags", lambda i: F.get("sizes", i)), lambda n: n > 0)
+    written = F.filter("sizes", lambda n: n > 0)
+    sums = marked.agg(total(written).alias("n"), total(in_target).alias("n_target"), F.sum(F.size(written)).alias("docs"), F.sum(F.when(F.col("flags").isNotNull(), F.size(in_target))).alias("target_docs")).first()
+    tokens, texts = [sums["n"] or 0, sums["n_target"] or 0], [sums["docs"] or 0, sums["target_docs"] or 0]
+    with rows_per_batch(spark, 1):  # a row is a whole shard
+        given = space.write(answers(requests(marked, max(1, -(-tokens[0] // bucket_keys)))), "answers")
     n_words = given.filter(f"kind = {WORD}").agg(F.sum("n_keys")).first()[0] or 0
-    facts = {"n_tokens": n_tokens, "n_target": n_target, "n_words": n_words, "scale": n_target / n_tokens if n_target else 1.0}
+    facts = {"tokens": tokens, "docs": texts, "n_words": n_words, "scale": tokens[1] / tokens[0] if tokens[1] else 1.0}
     # All answers to one shard, as many bytes as its keys ask for.
     own_answers = given.filter("shard IS NOT NULL").groupBy("shard").agg(F.collect_list(F.struct("kind", "bucket", "n", "n_target")).alias("answers"))
-    return scored(marked.join(own_answers.hint("merge"), "shard", "left"), facts, mu, alpha).withColumnRenamed("id", id_col)
+    with rows_per_batch(spark, 1):
+        out = space.write(scored(marked.join(own_answers.hint("merge"), "shard", "left"), facts, mu, alpha), "lm-scores")
+    space.drop("marked-shards", "answers")
+    return out.withColumnRenamed("id", id_col)
