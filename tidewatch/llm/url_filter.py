@@ -1,11 +1,14 @@
 """URL filter: host and path rules first, then a list of blocked canonical URLs.
 
 The list is tested by a blocked Bloom filter: an URL's hash picks one block of 256 bits, and eight bits inside it must be
-set. The few possible hits then go through an exact hash join with the list, which removes the false positives. The
-filter is broadcast only while it is at most ``max_filter_bytes``; a longer list is joined exactly without it.
-
-Defined results: an url that is null or has no ``://`` has an empty host and path, no rule and the verdict allow; repeated
-urls each give a row; an empty list blocks nothing; other columns may have any name and are not returned.
+set. The filter is a table of blocks that pages meet by block number, at every length of the list; Spark sends it to all
+tasks only while it knows it to be small. The few possible hits then go through an exact hash join with the list, which
+removes the false positives. Pages are read once.
+
+Defined results: an url that is null or has no ``://`` has an empty host and path, no rule and the verdict allow; very long
+urls are taken whole; null ids are kept; repeated rows each give a row; of rules of equal length the longer host's holds,
+then the first by text; an empty list blocks nothing; an empty table gives an empty result; other columns may have any name
+and are not returned.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import ascii_lower, written
+from tidewatch.llm.common import Workspace, ascii_lower
 
 #: (host, path, verdict) of the rules in force.
 RULES = [
@@ -26,7 +29,6 @@ RULES = [
 BITS_PER_URL = 16
 PROBES = 8
 BLOCK_BITS = 256
-MAX_FILTER_BYTES = 64 << 20
 SEED = 7_919
 
 
@@ -101,11 +103,11 @@ def filter_urls(
     rules: list[tuple[str, str, str]] = RULES,
     id_col: str = "page_id",
     url_col: str = "url",
-    max_filter_bytes: int = MAX_FILTER_BYTES,
 ) -> DataFrame:
     """Per page row: id, host, path, rule, verdict, canonical url, and whether the filter and the list hold that url.
 
     ``listed`` has one column, the canonical URLs to block; repeated and null entries count once or not at all."""
+    space = Workspace(pages.sparkSession)
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     rule, said = rule_columns(F.col("host"), F.col("path"), rules)
     judged = (
@@ -113,20 +115,17 @@ def filter_urls(
         .withColumn("rule", rule)
         .withColumn("said", said)
     )
-    block_list = written(listed.toDF("url").filter("url IS NOT NULL").distinct(), "listed-urls")
+    block_list = space.write(listed.toDF("url").filter("url IS NOT NULL").distinct(), "listed-urls")
     n_blocks = max(1, -(-block_list.count() * BITS_PER_URL // BLOCK_BITS))
-    judged = judged.withColumn("block", F.pmod(F.xxhash64("url"), F.lit(n_blocks)))
-    if n_blocks * (8 + BLOCK_BITS // 8) <= max_filter_bytes:
-        blocks = F.broadcast(bloom_blocks(block_list, n_blocks))
-        tested = judged.join(blocks, "block", "left").withColumn("maybe", F.coalesce(possible(probes(F.col("url"))), F.lit(False)))
-    else:
-        tested = judged.withColumn("maybe", F.col("url").isNotNull())
-    # Only possible hits carry a key; the others take no part in the join. Both sides are plain exchanges, so that a hot
-    # URL's partition is split at run time.
-    keyed = tested.withColumn("key", F.when(F.col("maybe"), F.col("url")))
-    hits, rest = keyed.filter("maybe"), keyed.filter("NOT maybe").withColumn("listed", F.lit(False))
-    found = hits.join(block_list.select(F.col("url").alias("key"), F.lit(True).alias("on_list")), "key", "left")
-    out = found.withColumn("listed", F.coalesce("on_list", F.lit(False))).drop("on_list").unionByName(rest)
+    blocks = space.write(bloom_blocks(block_list, n_blocks), "bloom-blocks")
+    tested = judged.withColumn("block", F.pmod(F.xxhash64("url"), F.lit(n_blocks))).join(blocks, "block", "left")
+    maybe = F.coalesce(possible(probes(F.col("url"))), F.lit(False))
+    tested = space.write(tested.select("id", "host", "path", "url", "rule", "said", maybe.alias("maybe")), "tested-urls")
+    space.drop("bloom-blocks")
+    # Only possible hits meet the list. Both sides are plain exchanges, so that a hot URL's partition is split at run time.
+    found = tested.filter("maybe").join(block_list.withColumn("on_list", F.lit(True)), "url", "left")
+    listed_or_not = found.withColumn("listed", F.coalesce("on_list", F.lit(False))).drop("on_list")
+    out = listed_or_not.unionByName(tested.filter("NOT maybe").withColumn("listed", F.lit(False)))
     return out.select(
         F.col("id").alias(id_col),
         "host",
