@@ -311,10 +311,11 @@ def test_url_rules(spark):
 def test_bloom_filter_has_no_false_negative(spark):
     listed = spark.range(2000).select(F.concat(F.lit("h/"), F.col("id").cast("string")).alias("url"))
     pages = spark.range(4000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), F.col("id").cast("string")).alias("url"))
-    for most in (url_filter.MAX_FILTER_BYTES, 0):
-        rows = url_filter.filter_urls(pages, listed, [], max_filter_bytes=most).collect()
-        assert all(r["listed"] == (r["page_id"] < 2000) and (r["maybe"] or not r["listed"]) for r in rows)
-    assert sum(r["maybe"] for r in url_filter.filter_urls(pages, listed, []).collect()) < 2200
+    rows = url_filter.filter_urls(pages.withColumns({"Host": F.lit(1), "URL_": F.lit("x"), "BLOCK": F.lit(2)}), listed, []).collect()
+    assert all(r["listed"] == (r["page_id"] < 2000) and (r["maybe"] or not r["listed"]) for r in rows)
+    assert len(rows) == 4000 and sum(r["maybe"] for r in rows) < 2200
+    long = spark.createDataFrame([(None, "http://h/" + "x" * 200_000), (None, "http://h/1")], "page_id long, url string")
+    assert sorted((len(r["path"]), r["listed"]) for r in url_filter.filter_urls(long, listed, []).collect()) == [(2, True), (200_001, False)]
 
 
 # 8: decontamination
@@ -351,6 +352,28 @@ def test_decontamination_like_brute_force(spark):
     assert decontaminate.find_benchmark_spans(docs_of(spark, []), bench).count() == 0
 
 
+def test_decontamination_of_a_very_long_text(spark):
+    rng = random.Random(15)
+    words = [f"w{rng.randint(0, 50)}" for _ in range(50_000)]
+    items = [(1, " ".join(words[31_000:31_020])), (2, " ".join(words[49_987:])), (3, "never there " * 8), (4, " ".join(words[31_000:31_020]))]
+    clash = docs_of(spark, [(1, " ".join(words)), (1, None)]).withColumns({"SPANS": F.lit(1), "Items": F.lit(2)})
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for most in (1 << 20, 200):
+        found = sorted(decontaminate.find_benchmark_spans(clash, bench, max_block_bytes=most).collect(), key=lambda r: r["n_words"])
+        assert found[0]["n_words"] == 0 and found[1]["n_words"] == 50_000 and found[1]["items"] == ["1", "2", "4"]
+        assert [(s["start"], s["end"]) for s in found[1]["spans"]] == [(31_000, 31_020), (49_987, 50_000)]
+
+
+def test_search_tables_are_small():
+    rng = random.Random(16)
+    items = [(str(i), [b"%d" % rng.randint(0, 20_000) for _ in range(60)]) for i in range(4_000)]
+    size = sum(len(b" ".join(words)) for _, words in items)
+    search = decontaminate.WindowSearch(items)
+    table = search.tables[0]
+    held = sum(a.nbytes for a in (search.numbers, table.keys, table.starts, table.order, table.items, table.item_ends)) + len(table.shifts) + sum(60 + len(w) for w in search.words)
+    assert held < 9 * size
+
+
 # 9: toxicity
 
 
@@ -421,6 +444,8 @@ def test_bpe_columns(spark):
 
 
 def test_pipeline_like_its_parts(spark):
+    from tests.llm.test_neardup import brute_classes
+
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     benchmark = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
     predicted = {r["doc_id"]: r["predicted"] for r in queries.op9_toxicity(spark, SF_DIR).collect()}
