@@ -382,17 +382,17 @@ def links_across(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     return by_cell(rows.join(texts.select("node", "words"), "node"), names, "a binary, b binary", found)
 
 
-def components(links: DataFrame, space: Workspace) -> DataFrame:
-    """(node, root) of all linked nodes: the smallest node of their component. Each round takes the smallest label among
+def components(links: DataFrame, space: Workspace, name: str) -> DataFrame:
+    """(node, root) of all linked nodes: the smallest node of their component, as a table ``name``. Each round takes the smallest label among
     neighbours and then that label's own label; hot partitions of both joins are split at run time."""
     edges = links.select("a", "b").union(links.select("b", "a"))
-    labels = space.write(edges.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")), "component-labels")
+    labels = space.write(edges.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")), name)
     while True:
         near = edges.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        new = space.write(lower.join(jump, F.col("low") == F.col("at")).select("node", "old", F.least("low", "further").alias("label")), "component-labels")
-        space.drop("component-labels*")
+        new = space.write(lower.join(jump, F.col("low") == F.col("at")).select("node", "old", F.least("low", "further").alias("label")), name)
+        space.drop(f"{name}*")
         if not new.filter("label <> old").limit(1).count():
             return new.select("node", F.col("label").alias("root"))
         labels = new.select("node", "label")
@@ -403,7 +403,7 @@ def merged_roots(roots: DataFrame, links: DataFrame, space: Workspace) -> DataFr
     own = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
     lifted = links.join(own[0], "a", "left").join(own[1], "b", "left")
     lifted = space.write(lifted.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a <> b").distinct(), "root-links")
-    found = components(lifted, space).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    found = components(lifted, space, "root-labels").select(F.col("node").alias("old"), F.col("root").alias("new"))
     known = roots.unionByName(found.select(F.col("old").alias("node"), F.col("old").alias("root")).join(roots.select("node"), "node", "left_anti"))
     return space.write(known.join(found, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")), "roots")
 
@@ -422,7 +422,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = space.write(hashed_words(rows, wanted), "texts")
     pairs = space.write(close_pairs(hub_pairs(in_sets), texts, threshold), "pairs")
     links = space.write(verified(pairs, texts, threshold), "links")
-    roots = components(links, space)
+    roots = components(links, space, "labels")
     mixed = space.write(candidate_rows(mixed_set_rows(in_sets, roots, space), texts, threshold), "candidate-rows")
     more = space.write(links_across(mixed, texts, threshold), "links")
     if more.limit(1).count():
@@ -433,7 +433,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = named.groupBy("root").agg(first, F.sum("copies").alias("class_size"))
     nodes = space.write(named.select("node", "root").join(classes, "root").select("node", "first", "class_size"), "node-classes")
     keys = space.write(prints.select("id", "text_hash", "node"), "keys")
-    space.drop("fingerprints", "contents", "sets", "set-rows", "texts", "pairs", "links", "roots", "root-links", "component-labels", "rooted-rows", "candidate-rows", "rooted-nodes")
+    space.drop("fingerprints", "contents", "sets", "set-rows", "texts", "pairs", "links", "roots", "root-links", "labels", "root-labels", "rooted-rows", "candidate-rows", "rooted-nodes")
     joined = keys.join(nodes, "node")
     is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.node"))
     return joined.select(F.col("id").alias(id_col), "text_hash", F.col("first.id").alias("class_id"), "class_size", is_first.alias("is_first"))
