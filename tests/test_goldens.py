@@ -180,46 +180,6 @@ def test_ratio_pairs(spark):
     assert all(r["x"] == pytest.approx(r["w"]) for r in rows.select(similarity.ratio("a", "b").alias("x"), "w").collect())
 
 
-def test_similar_pairs_recall(spark):
-    """All pairs of the smallest table's English texts at the threshold, by plain Python on the longest-common-run bound."""
-    import difflib
-
-    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("lang = 'en'").selectExpr("doc_id AS comment_id", "lang AS content_id", "1L AS user_id", "text", "doc_id AS seq")
-    reps = [(r["rep"], r["body"]) for r in similarity.representatives(rows).collect()]
-    bags = [{b[i : i + 5] for i in range(len(b) - 4)} for _, b in reps]
-    wanted = set()
-    for i in range(len(reps)):
-        for j in range(i):
-            small = min(len(bags[i]), len(bags[j]))
-            if small and len(bags[i] & bags[j]) >= 0.3 * small:
-                (a, x), (b, y) = sorted((reps[i], reps[j]))
-                if difflib.SequenceMatcher(None, x, y).ratio() >= 0.75:
-                    wanted.add((a, b))
-    roots = {r["comment_id"]: r["cluster_id"] for r in similarity.cluster_members(rows, least=2).collect()}
-    found = sum(roots.get(a) == roots.get(b) and a in roots for a, b in wanted)
-    assert found >= 0.95 * len(wanted)
-
-
-def comments_of(spark, texts):
-    return spark.createDataFrame([("c", i, 1, t, i) for i, t in enumerate(texts)], "content_id string, comment_id long, user_id long, text string, seq long")
-
-
-def test_similarity_of_whole_texts(spark):
-    head, one, other = ("".join(chr(97 + (i * i * k + i // 7) % 26) for i in range(n)) for k, n in ((1, 600), (3, 900), (5, 900)))
-    rows = comments_of(spark, [head + one, head + other, "ok", "ok", None, head + one])
-    assert sorted(r["comment_id"] for r in similarity.near_dup_dedup(rows).collect()) == [0, 1, 2, 3, 4]
-    shared = "the same opening of two hundred characters ".replace(" ", "") * 8
-    assert similarity.templating(comments_of(spark, [shared + one, shared + other])).count() == 0
-
-
-def test_similar_pairs_are_all_pairs_of_a_band(spark):
-    base = "".join(chr(97 + (i * i * 3 + i // 7) % 26) for i in range(180))
-    rows = comments_of(spark, [base[:90] + chr(65 + i) + base[90:] for i in range(10)])
-    for block in (3, 1_000):
-        found = [(r["a"], r["b"]) for r in similarity.similar_pairs(rows, block=block).collect()]
-        assert sorted(found) == [(a, b) for a in range(10) for b in range(a + 1, 10)]
-
-
 def test_overlay_xml(spark):
     xml = '<i><d p="1.5,1,25,16777215,1700000000,0,abcd1234,99">hi</d><d p="1,1,25,1,1,0">short</d></i>'
     rows = normalize.parse_overlay_xml(spark.createDataFrame([("c", xml)], "content_id string, xml string")).collect()

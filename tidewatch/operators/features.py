@@ -130,14 +130,34 @@ def like_ratio(avg_like: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - avg_like / 10)
 
 
+def lexicon_flags(positive: list[str], negative: list[str], hard: list[str], soft: list[str]) -> list[Column]:
+    """What a comment's text holds, in columns without the text."""
+    text, long = F.col("text"), F.coalesce(F.length("text") >= 3, F.lit(False))
+    flags = {"is_long": long, "is_positive": long & any_hit(text, positive), "is_negative": long & any_hit(text, negative), "is_hard": any_hit(text, hard), "is_soft": any_hit(text, soft)}
+    return [flag.alias(name) for name, flag in flags.items()]
+
+
+def lexicon_counts() -> list[Column]:
+    """Aggregates of ``lexicon_flags`` that ``sentiment_score`` and ``spam_score`` read."""
+    counts = [F.count_if(F.col(flag)).alias(name) for flag, name in (("is_long", "n_long"), ("is_positive", "n_positive"), ("is_negative", "n_negative"), ("is_soft", "n_soft"))]
+    return [*counts, F.max("is_hard").alias("is_hard"), F.count("*").alias("cc")]
+
+
+def sentiment_score() -> Column:
+    share = F.greatest("n_positive", "n_negative") / F.col("n_long")
+    return F.when(F.col("n_long") < 3, 0.0).otherwise(F.greatest(F.lit(0.0), (share - 0.5) * 2))
+
+
+def spam_score() -> Column:
+    share = F.col("n_soft") / F.col("cc")
+    return F.when(F.col("is_hard"), 1.0).when(F.col("n_soft") == 0, 0.0).when(share >= 0.5, 0.9).when(F.col("n_soft") >= 3, 0.85).when(F.col("n_soft") == 2, 0.7).otherwise(0.5)
+
+
 def sentiment_extreme(comments: DataFrame, positive: list[str], negative: list[str]) -> DataFrame:
     """How one-sided a user's comments of three characters or more are; 0 below three of them."""
-    rows = comments.filter(F.length("text") >= 3)
-    counts = rows.groupBy("content_id", "user_id").agg(
-        F.count("*").alias("n"), F.count_if(any_hit(F.col("text"), positive)).alias("pos"), F.count_if(any_hit(F.col("text"), negative)).alias("neg")
-    )
-    share = F.greatest("pos", "neg") / F.col("n")
-    return counts.select("content_id", "user_id", F.when(F.col("n") < 3, 0.0).otherwise(F.greatest(F.lit(0.0), (share - 0.5) * 2)).alias("f7"))
+    flagged = comments.select("content_id", "user_id", *lexicon_flags(positive, negative, [], [])).filter("is_long")
+    counts = flagged.groupBy("content_id", "user_id").agg(*lexicon_counts())
+    return counts.select("content_id", "user_id", sentiment_score().alias("f7"))
 
 
 def post_lexicon(posts: DataFrame, terms: list[str]) -> DataFrame:
@@ -147,8 +167,5 @@ def post_lexicon(posts: DataFrame, terms: list[str]) -> DataFrame:
 
 def spam_lexicon(comments: DataFrame, hard: list[str], soft: list[str]) -> DataFrame:
     """1 with a hard term; else by the number and share of comments with soft terms."""
-    counts = comments.groupBy("content_id", "user_id").agg(
-        F.count("*").alias("n"), F.max(any_hit(F.col("text"), hard)).alias("is_hard"), F.count_if(any_hit(F.col("text"), soft)).alias("h")
-    )
-    score = F.when(F.col("is_hard"), 1.0).when(F.col("h") == 0, 0.0).when(F.col("h") / F.col("n") >= 0.5, 0.9).when(F.col("h") >= 3, 0.85).when(F.col("h") == 2, 0.7).otherwise(0.5)
-    return counts.select("content_id", "user_id", score.alias("f15"))
+    counts = comments.select("content_id", "user_id", *lexicon_flags([], [], hard, soft)).groupBy("content_id", "user_id").agg(*lexicon_counts())
+    return counts.select("content_id", "user_id", spam_score().alias("f15"))

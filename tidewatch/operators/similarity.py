@@ -1,9 +1,16 @@
 """Near-duplicate comments of one content, their clusters, and digests of a user's texts.
 
 Texts are compared by the matching-blocks ratio of the standard library, 2 * matches / total length, after
-``preprocess``, whole. Equal texts are one representative. Candidates among representatives share a
-band of a MinHash signature over runs of five characters; all of a band are compared with all, large bands in blocks of
-hashed rows, block against block, and clusters are the connected components of the pairs found.
+``preprocess``, whole. Equal texts are one representative. Two nets find the pairs of representatives:
+
+* pairs whose shorter text has at most ``SHORT`` characters, as comments have: all pairs of a content, in blocks of hashed
+  rows, block against block. Inside a task the length band min / max >= t / (2 - t), the bags of characters and the longest
+  common subsequence, none of which a pair at the threshold fails, come before the ratio. No pair is lost, and only pairs at
+  the threshold leave the task;
+* longer texts share a band of a MinHash signature over runs of five characters; all of a band are compared with all, in
+  the same blocks. A pair that shares no band is lost.
+
+Clusters are the connected components of the pairs found.
 """
 
 from __future__ import annotations
@@ -18,12 +25,16 @@ from pyspark.sql import types as T
 
 from tidewatch.functions.text import any_hit, preprocess, topic_runs
 from tidewatch.operators.graph import components
-from tidewatch.sources.storage import written
+from tidewatch.sources.storage import Workspace, written
 
 GRAM = 5
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 48, 3
 MIN_LENGTH, SLICE = 5, 8_192
+#: Characters of a text whose similar texts are all found; from here on the ratio passes over frequent characters.
+SHORT = 199
 BLOCK = 1_024
+#: Columns of the character bags; several characters may share one.
+BAG = 64
 
 
 @F.pandas_udf(T.DoubleType())
@@ -32,21 +43,6 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def ratio_from(threshold: float):
-    """As ``ratio``, but null where the bounds by length and by bags of characters are below the threshold."""
-
-    @F.pandas_udf(T.DoubleType())
-    def bounded(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            matcher = difflib.SequenceMatcher(None, x, y)
-            fits = matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold
-            out.append(matcher.ratio() if fits else None)
-        return pd.Series(out, dtype="float64")
-
-    return bounded
-
-
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def band_hashes(texts: pd.Series) -> pd.Series:
     """One hash for each band of the signature over runs of GRAM characters."""
@@ -70,49 +66,123 @@ def band_hashes(texts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def representatives(comments: DataFrame) -> DataFrame:
-    """(content_id, body, rep): the first comment of each compared text."""
+def bodies(comments: DataFrame) -> DataFrame:
+    """(content_id, comment_id, seq, key, body) of the comments that are long enough to compare; the key stands for the body."""
     body = preprocess(F.col("text"))
     rows = comments.select("content_id", "comment_id", "seq", body.alias("body")).filter(F.length("body") >= MIN_LENGTH)
-    return rows.groupBy("content_id", "body").agg(F.min_by("comment_id", "seq").alias("rep"), F.count("*").alias("copies"))
-
-
-def band_pairs(reps: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Distinct (content_id, a, b) of all representatives, a < b, that share a band and whose lengths allow the threshold."""
-    band = ["content_id", "band", "key"]
-    banded = written(reps.select("content_id", "rep", F.length("body").alias("n"), F.posexplode(band_hashes("body")).alias("band", "key")), "bands")
-    sizes = written(banded.groupBy(*band).agg(F.count("*").alias("n_band")).filter("n_band > 1"), "shared-bands")
-    n_blocks = F.ceil(F.col("n_band") / block).cast("int")
-    own = F.pmod(F.xxhash64("rep"), n_blocks).cast("int")
-    dealt = banded.join(sizes, band).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    cells = dealt.select(*band, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n")
-    cells = written(cells, "band-cells")
-    left = cells.withColumnsRenamed({"rep": "a", "own": "own_a", "n": "n_a"})
-    right = cells.withColumnsRenamed({"rep": "b", "own": "own_b", "n": "n_b"})
-    both = left.join(right, [*band, "i", "j"]).filter((F.col("a") < F.col("b")) & ((F.col("i") == F.col("j")) | (F.col("own_a") != F.col("own_b"))))
-    # No ratio of shorter lengths can reach the threshold.
-    return both.filter(F.least("n_a", "n_b") * (2 - threshold) >= threshold * F.greatest("n_a", "n_b")).select("content_id", "a", "b").distinct()
+    return rows.withColumn("key", F.md5(F.encode("body", "UTF-8")))
+
+
+def representatives(rows: DataFrame) -> DataFrame:
+    """(content_id, key, body, rep, seq, copies): the first comment of each compared text, from ``bodies``."""
+    return rows.groupBy("content_id", "key", "body").agg(F.min_by("comment_id", "seq").alias("rep"), F.min("seq").alias("seq"), F.count("*").alias("copies"))
+
+
+def character_bags(texts: list[str]) -> np.ndarray:
+    """Numbers of characters by code modulo BAG; the overlap of two rows is at least that of the texts' characters."""
+    out = np.zeros((len(texts), BAG), np.int16)
+    for row, text in zip(out, texts, strict=True):
+        row += np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % BAG, minlength=BAG).astype(np.int16)
+    return out
+
+
+def common_subsequence(a: str, places: dict[str, int], n: int) -> int:
+    """Length of the longest common subsequence of ``a`` and a text of ``n`` characters whose ``places`` are given as bits."""
+    full = state = (1 << n) - 1
+    for c in a:
+        hit = state & places.get(c, 0)
+        state = (state + hit | state - hit) & full
+    return n - state.bit_count()
+
+
+def places_of(text: str) -> dict[str, int]:
+    places: dict[str, int] = {}
+    for i, c in enumerate(text):
+        places[c] = places.get(c, 0) | 1 << i
+    return places
+
+
+def cell_pairs(reps: list[int], texts: list[str], sides: np.ndarray, threshold: float, short: int | None):
+    """(a, b, ratio), a < b, of the pairs of a cell at the threshold; ``sides`` are the blocks of the rows, and where a cell
+    has two, only pairs across them count. With ``short``, the shorter text of a pair has at most so many characters."""
+    n = np.array([len(t) for t in texts])
+    bags = character_bags(texts)
+    across = len(np.unique(sides)) > 1
+    for i in range(len(texts) - 1):
+        rest = slice(i + 1, None)
+        low, high = np.minimum(n[rest], n[i]), np.maximum(n[rest], n[i])
+        fit = low * (2 - threshold) >= threshold * high - 1e-9
+        if short is not None:
+            fit &= low <= short
+        if across:
+            fit &= sides[rest] != sides[i]
+        near = np.nonzero(fit)[0] + i + 1
+        near = near[2 * np.minimum(bags[near], bags[i]).sum(1) >= threshold * (n[near] + n[i]) - 1e-9]
+        if not len(near):
+            continue
+        places = places_of(texts[i])
+        for j in near.tolist():
+            if 2 * common_subsequence(texts[j], places, len(texts[i])) < threshold * (n[i] + n[j]) - 1e-9:
+                continue
+            a, b = (i, j) if reps[i] < reps[j] else (j, i)
+            found = difflib.SequenceMatcher(None, texts[a], texts[b]).ratio()
+            if found >= threshold:
+                yield reps[a], reps[b], found
+
+
+CELL = ["content_id", "band", "key", "i", "j"]
+
+
+def pairs_in_sets(rows: DataFrame, n_set: DataFrame, threshold: float, short: int | None, block: int) -> DataFrame:
+    """(content_id, a, b, ratio) of the rows (content_id, band, key, rep, body) that share a set (content_id, band, key)
+    with ``n_set`` rows; large sets are dealt to cells of two blocks. A pair that shares several sets comes from each."""
+    import pyarrow as pa
+
+    n_blocks = F.ceil(F.col("n_set") / block).cast("int")
+    dealt = rows.join(n_set, ["content_id", "band", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), n_blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    dealt = dealt.select("content_id", "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "body")
+    content_type = rows.schema["content_id"].dataType.simpleString()
+
+    def compare(table: pa.Table) -> pa.Table:
+        # Cells of two blocks hold the rows of both; where one of them is empty there is nothing to compare.
+        sides = table.column("own").to_numpy()
+        two = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        found = [] if two and len(np.unique(sides)) < 2 else list(cell_pairs(table.column("rep").to_pylist(), table.column("body").to_pylist(), sides, threshold, short))
+        content = table.column("content_id").combine_chunks().slice(0, 1).take(pa.array([0] * len(found), pa.int32()))
+        columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+        return pa.table([content, *columns], ["content_id", "a", "b", "ratio"])
+
+    return dealt.groupBy(*CELL).applyInArrow(compare, f"content_id {content_type}, a long, b long, ratio double")
 
 
 def similar_pairs(comments: DataFrame, threshold: float = 0.75, reps: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
-    """(content_id, a, b, ratio) of candidate representatives at or above the threshold; a is the smaller id."""
-    reps = written(representatives(comments), "representatives") if reps is None else reps
-    pairs = written(band_pairs(reps, threshold, block), "band-pairs")
-    left = reps.select("content_id", F.col("rep").alias("a"), F.col("body").alias("body_a"))
-    right = reps.select("content_id", F.col("rep").alias("b"), F.col("body").alias("body_b"))
-    both = pairs.join(left, ["content_id", "a"]).join(right, ["content_id", "b"])
-    return both.select("content_id", "a", "b", ratio_from(threshold)("body_a", "body_b").alias("ratio")).filter(F.col("ratio") >= threshold)
+    """(content_id, a, b, ratio) of representatives at or above the threshold; a is the smaller id."""
+    space = Workspace(comments.sparkSession)
+    reps = space.write(representatives(bodies(comments)), "representatives") if reps is None else reps
+    length = F.length("body")
+    # Short texts and those that a short one can resemble are one set of their content.
+    short = reps.filter(length * threshold <= SHORT * (2 - threshold)).select("content_id", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("key"), "rep", "body")
+    short_sizes = short.groupBy("content_id", "band", "key").agg(F.count("*").alias("n_set"))
+    found = pairs_in_sets(short, short_sizes, threshold, SHORT, block)
+    banded = space.write(reps.filter(length > SHORT).select("content_id", "rep", F.posexplode(band_hashes("body")).alias("band", "key")), "bands")
+    sizes = space.write(banded.groupBy("content_id", "band", "key").agg(F.count("*").alias("n_set")).filter("n_set > 1"), "band-sizes")
+    held = banded.join(sizes.drop("n_set"), ["content_id", "band", "key"]).join(reps.select("content_id", "rep", "body"), ["content_id", "rep"])
+    long = pairs_in_sets(held, sizes, threshold, None, block).dropDuplicates(["content_id", "a", "b"])
+    return found.unionByName(long)
 
 
 def cluster_members(comments: DataFrame, threshold: float = 0.75, least: int = 3) -> DataFrame:
     """(content_id, comment_id, cluster_id, size) of comments in clusters of ``least`` or more; named by their first id."""
-    reps = written(representatives(comments), "representatives")
-    pairs = written(similar_pairs(comments, threshold, reps), "similar-pairs")
+    space = Workspace(comments.sparkSession)
+    rows = space.write(bodies(comments), "bodies")
+    reps = space.write(representatives(rows), "representatives")
+    pairs = space.write(similar_pairs(comments, threshold, reps), "similar-pairs")
     # Comment ids are unique over contents, so one edge table serves all of them.
     roots = components(pairs.select("a", "b")).select(F.col("node").alias("rep"), "root")
-    # The join by text has two plain exchanges, so that the partition of a text that very many comments share is split.
-    rows = comments.select("content_id", "comment_id", preprocess(F.col("text")).alias("body")).join(reps, ["content_id", "body"]).join(roots, "rep", "left")
-    named = rows.select("content_id", "comment_id", F.coalesce("root", "rep").alias("cluster_id"))
+    # The join by key has two plain exchanges, so that the partition of a text that very many comments share is split.
+    keyed = rows.select("content_id", "comment_id", "key").join(reps.select("content_id", "key", "rep"), ["content_id", "key"]).join(roots, "rep", "left")
+    named = keyed.select("content_id", "comment_id", F.coalesce("root", "rep").alias("cluster_id"))
     sizes = named.groupBy("content_id", "cluster_id").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
     return named.join(sizes, ["content_id", "cluster_id"])
 
@@ -146,15 +216,39 @@ def exact_text_dedup(comments: DataFrame, keys: list[str]) -> DataFrame:
     return comments.withColumn("body", body).groupBy(*keys, "body").agg(F.min("seq").alias("seq")).drop("body")
 
 
+def kept_in_order(pairs: DataFrame) -> DataFrame:
+    """(node, kept) for the nodes of pairs (earlier, later): in order, a node goes if it resembles a kept earlier one.
+
+    Each round settles the nodes whose earlier ones are settled enough: one of them kept, or all of them gone."""
+    space = Workspace(pairs.sparkSession)
+    edges = space.write(pairs.select("earlier", "later").distinct(), "ordered-pairs")
+    nodes = edges.select(F.col("earlier").alias("node")).union(edges.select("later")).distinct()
+    first = nodes.join(edges.select(F.col("later").alias("node")).distinct().withColumn("waits", F.lit(True)), "node", "left")
+    state = space.write(first.select("node", F.when(F.col("waits").isNull(), True).alias("kept")), "kept-nodes")
+    while state.filter("kept IS NULL").limit(1).count():
+        met = edges.join(state.select(F.col("node").alias("earlier"), F.col("kept").alias("known")), "earlier")
+        said = met.groupBy(F.col("later").alias("node")).agg(F.max(F.coalesce("known", F.lit(False))).alias("any_kept"), F.min(F.coalesce(~F.col("known"), F.lit(False))).alias("all_gone"))
+        new = state.join(said, "node", "left").select("node", F.coalesce("kept", F.when(F.col("any_kept"), False).when(F.col("all_gone"), True)).alias("kept"))
+        state = space.write(new, "kept-nodes")
+        space.drop("kept-nodes*")
+    return state
+
+
 def near_dup_dedup(comments: DataFrame, threshold: float = 0.80) -> DataFrame:
-    """Comments without those whose text is similar to an earlier one that shares a band: a text goes if it is similar to an earlier
-    representative of its content. Texts below MIN_LENGTH are not compared and all stay."""
-    pairs = similar_pairs(comments, threshold)
-    later = pairs.select("content_id", F.greatest("a", "b").alias("comment_id")).distinct()
-    reps = representatives(comments).select("content_id", F.col("rep").alias("comment_id"))
+    """Comments without those whose text resembles a kept earlier one of their content, in order of arrival. Texts below
+    MIN_LENGTH are not compared and all stay."""
+    space = Workspace(comments.sparkSession)
+    reps = space.write(representatives(bodies(comments)), "representatives")
+    order = reps.select("content_id", "rep", "seq")
+    sides = [order.select("content_id", F.col("rep").alias(c), F.col("seq").alias(f"seq_{c}")) for c in ("a", "b")]
+    pairs = similar_pairs(comments, threshold, reps).join(sides[0], ["content_id", "a"]).join(sides[1], ["content_id", "b"])
+    first = F.col("seq_a") < F.col("seq_b")
+    pairs = pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("later"))
+    gone = kept_in_order(pairs).filter("NOT kept").select(F.col("node").alias("comment_id"))
+    kept = reps.select("content_id", F.col("rep").alias("comment_id")).join(gone, "comment_id", "left_anti").select("content_id", "comment_id")
     length = F.length(preprocess(F.col("text")))
     short = comments.filter(F.coalesce(length, F.lit(0)) < MIN_LENGTH).select("content_id", "comment_id")
-    return reps.join(later, ["content_id", "comment_id"], "left_anti").unionByName(short)
+    return kept.unionByName(short)
 
 
 def top_topics(comments: DataFrame, keys: list[str], n: int = 10) -> DataFrame:

@@ -2,38 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.sources.storage import written
+
+
+def window_spans(rows: DataFrame, width: int) -> DataFrame:
+    """Per content: its first comment's time and its number of windows, for rows (content_id, user_id, at)."""
+    spans = rows.groupBy("content_id").agg(F.min("at").alias("t0"), F.max("at").alias("t1"))
+    return spans.select("content_id", "t0", F.ceil((F.col("t1") - F.col("t0")) / width).cast("long").alias("n_windows")).filter("n_windows > 0")
+
+
+def window_users(comments: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """The spans of all contents, and the distinct users of each window that has any."""
+    rows = comments.filter("created_at IS NOT NULL").select("content_id", "user_id", F.unix_micros("created_at").alias("at"))
+    spans = window_spans(rows, width)
+    placed = rows.join(spans, "content_id").withColumn("slot", F.floor((F.col("at") - F.col("t0")) / width).cast("long")).filter("slot < n_windows")
+    return spans, placed.select("content_id", "user_id", "slot").distinct()
+
 
 def burst_windows(comments: DataFrame, width_s: int = 600) -> DataFrame:
     """Distinct users in tumbling windows that start at a content's first comment; empty windows count 0.
 
     Windows start before the last comment only, so a comment exactly on the last boundary is in none."""
-    rows = comments.filter("created_at IS NOT NULL").select("content_id", "user_id", F.unix_micros("created_at").alias("at"))
     width = width_s * 1_000_000
-    spans = rows.groupBy("content_id").agg(F.min("at").alias("t0"), F.max("at").alias("t1"))
-    spans = spans.withColumn("n_windows", F.ceil((F.col("t1") - F.col("t0")) / width).cast("long")).filter("n_windows > 0")
+    spans, users = window_users(comments, width)
     slots = spans.select("content_id", "t0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_windows") - 1)).alias("slot"))
-    placed = rows.join(spans, "content_id").withColumn("slot", F.floor((F.col("at") - F.col("t0")) / width).cast("long")).filter("slot < n_windows")
-    counts = placed.groupBy("content_id", "slot").agg(F.countDistinct("user_id").alias("n_users"))
+    counts = users.groupBy("content_id", "slot").agg(F.count("*").alias("n_users"))
     return slots.join(counts, ["content_id", "slot"], "left").select(
         "content_id", "slot", F.timestamp_micros(F.col("t0") + F.col("slot") * width).alias("window_start"), F.coalesce("n_users", F.lit(0)).cast("long").alias("n_users")
     )
 
 
 def burst_scores(comments: DataFrame, width_s: int = 600, z_limit: float = 2.0) -> DataFrame:
-    """Users of windows far above their content's mean: min(1, z / 5) for each such window, divided by the content's maximum."""
-    windows = burst_windows(comments, width_s)
-    stats = windows.groupBy("content_id").agg(F.avg("n_users").alias("mean"), F.stddev_samp("n_users").alias("sd"), F.count("*").alias("n"))
-    hot = windows.join(stats, "content_id").filter("n >= 2 AND sd > 0").withColumn("z", F.try_divide(F.col("n_users") - F.col("mean"), F.col("sd"))).filter(F.col("z") > z_limit)
-    hot = hot.select("content_id", F.unix_micros("window_start").alias("start"), F.least(F.lit(1.0), F.col("z") / 5).alias("gain"))
-    rows = comments.filter("created_at IS NOT NULL").select("content_id", "user_id", F.unix_micros("created_at").alias("at"))
-    t0 = rows.groupBy("content_id").agg(F.min("at").alias("t0"))
-    width = width_s * 1_000_000
-    start = F.col("t0") + F.floor((F.col("at") - F.col("t0")) / width).cast("long") * width
-    seen = rows.join(t0, "content_id").select("content_id", "user_id", start.alias("start")).distinct()
-    raw = seen.join(hot, ["content_id", "start"]).groupBy("content_id", "user_id").agg(F.sum("gain").alias("raw"))
+    """Users of windows far above their content's mean: min(1, z / 5) for each such window, divided by the content's maximum.
+
+    Empty windows enter the mean and the deviation by their number only and are never made."""
+    spans, users = window_users(comments, width_s * 1_000_000)
+    users = written(users, "window-users")
+    counts = users.groupBy("content_id", "slot").agg(F.count("*").alias("n_users"))
+    sums = counts.groupBy("content_id").agg(F.sum("n_users").alias("s"), F.sum(F.col("n_users") * F.col("n_users")).alias("q"))
+    n, total = F.col("n_windows"), F.col("s")
+    variance = F.try_divide(F.col("q") - F.try_divide(total * total, n), n - 1)
+    stats = sums.join(spans, "content_id").select("content_id", F.try_divide(total, n).alias("mean"), F.sqrt(variance).alias("sd"))
+    hot = counts.join(stats, "content_id").filter("sd > 0").withColumn("z", F.try_divide(F.col("n_users") - F.col("mean"), F.col("sd"))).filter(F.col("z") > z_limit)
+    hot = hot.select("content_id", "slot", F.least(F.lit(1.0), F.col("z") / 5).alias("gain"))
+    raw = users.join(hot, ["content_id", "slot"]).groupBy("content_id", "user_id").agg(F.sum("gain").alias("raw"))
     most = raw.groupBy("content_id").agg(F.max("raw").alias("most"))
     return raw.join(most, "content_id").select("content_id", "user_id", (F.col("raw") / F.col("most")).alias("score"))
 
@@ -90,11 +105,23 @@ def daily_activity(comments: DataFrame, days: int = 30) -> DataFrame:
     return counts.withColumn("rank", rank).filter(F.col("rank") <= days).select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
 
 
-def time_regularity(comments: DataFrame) -> DataFrame:
-    """Coefficient of variation of the gaps between a user's comments on a content, and its score; three comments at least."""
+def gap_statistics(comments: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """The comments with the gap to the one before of the same user and content, and aggregates of these gaps."""
     own = Window.partitionBy("content_id", "user_id").orderBy("created_at")
     gap = (F.unix_micros("created_at") - F.unix_micros(F.lag("created_at").over(own))) / 1e6
-    stats = comments.filter("created_at IS NOT NULL").withColumn("gap", gap).groupBy("content_id", "user_id").agg(F.count("gap").alias("n_gaps"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("sd"))
-    cv = F.when((F.col("n_gaps") >= 2) & (F.col("mean") > 0), F.col("sd") / F.col("mean"))
-    score = F.when(F.col("cv") < 0.3, 0.9).when(F.col("cv") < 0.5, 0.6).when(F.col("cv") < 0.8, 0.3).otherwise(0.0)
-    return stats.withColumn("cv", cv).select("content_id", "user_id", "cv", score.alias("f16"))
+    return comments.withColumn("gap", gap), [F.count("gap").alias("n_gaps"), F.avg("gap").alias("mean_gap"), F.stddev_pop("gap").alias("sd_gap")]
+
+
+def variation() -> Column:
+    return F.when((F.col("n_gaps") >= 2) & (F.col("mean_gap") > 0), F.col("sd_gap") / F.col("mean_gap"))
+
+
+def regularity_score(cv: Column) -> Column:
+    return F.when(cv < 0.3, 0.9).when(cv < 0.5, 0.6).when(cv < 0.8, 0.3).otherwise(0.0)
+
+
+def time_regularity(comments: DataFrame) -> DataFrame:
+    """Coefficient of variation of the gaps between a user's comments on a content, and its score; three comments at least."""
+    rows, sums = gap_statistics(comments.filter("created_at IS NOT NULL").select("content_id", "user_id", "created_at"))
+    stats = rows.groupBy("content_id", "user_id").agg(*sums).withColumn("cv", variation())
+    return stats.select("content_id", "user_id", "cv", regularity_score(F.col("cv")).alias("f16"))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.text import any_hit
 from tidewatch.operators import features, scoring, similarity, timeseries
 from tidewatch.sources.storage import written
 
@@ -28,9 +29,13 @@ class Lexicons:
 def user_features(comments: DataFrame, users: DataFrame, posts: DataFrame, lexicons: Lexicons, as_of: str, members: DataFrame | None = None, burst_width_s: int = 600) -> DataFrame:
     """One row for each content and user with the thirteen features; without ``members`` (clusters) f5 is 0."""
     keys = ["content_id", "user_id"]
-    stats = features.comment_stats(comments)
-    n_posts = posts.groupBy("user_id").agg(F.count("*").alias("n_posts"))
-    rows = stats.join(users.withColumn("profile_present", F.lit(True)), "user_id", "left").join(n_posts, "user_id", "left")
+    # One aggregation of the comments, without their texts, gives all that needs no other table.
+    flags = features.lexicon_flags(lexicons.positive, lexicons.negative, lexicons.spam_hard, lexicons.spam_soft)
+    gaps, gap_sums = timeseries.gap_statistics(comments.select(*keys, "created_at", "like_count", *flags))
+    stats = gaps.groupBy(*keys).agg(*features.lexicon_counts(), *gap_sums, F.avg("like_count").alias("avg_like"))
+    stats = stats.select(*keys, "cc", "avg_like", features.sentiment_score().alias("f7"), features.spam_score().alias("f15"), timeseries.regularity_score(timeseries.variation()).alias("f16"))
+    by_post = posts.groupBy("user_id").agg(F.count("*").alias("n_posts"), F.max(any_hit(F.col("text"), lexicons.posts).cast("int")).cast("double").alias("f14"))
+    rows = stats.join(users.withColumn("profile_present", F.lit(True)), "user_id", "left").join(by_post, "user_id", "left")
     has = F.coalesce("profile_present", F.lit(False))
     rows = rows.select(
         *keys,
@@ -40,18 +45,17 @@ def user_features(comments: DataFrame, users: DataFrame, posts: DataFrame, lexic
         features.follow_ratio(F.col("follower"), F.col("following"), has).alias("f2"),
         features.level_score(F.coalesce("level", F.lit(3)), F.col("cc")).alias("f3"),
         features.avatar_verify(F.col("avatar"), F.col("verify_type"), has).alias("f4"),
+        "f7",
         features.like_ratio(F.col("avg_like")).alias("f8"),
         (features.skeleton_hits(F.col("avatar"), F.col("name"), F.col("post_count"), F.coalesce("n_posts", F.lit(0)), F.col("upload_count"), F.col("sign")) / 5).alias("f12"),
         features.signature_score(F.col("sign"), has, lexicons.sign_direct, lexicons.sign_defensive, lexicons.sign_provoking).alias("f18"),
+        "f14",
+        "f15",
+        "f16",
     )
     f5 = similarity.participation(comments, members) if members is not None else stats.select(*keys, F.lit(0.0).alias("f5"))
     f6 = timeseries.burst_scores(comments, burst_width_s).withColumnRenamed("score", "f6")
-    f7 = features.sentiment_extreme(comments, lexicons.positive, lexicons.negative)
-    f15 = features.spam_lexicon(comments, lexicons.spam_hard, lexicons.spam_soft)
-    f16 = timeseries.time_regularity(comments).drop("cv")
-    for part in (f5, f6, f7, f15, f16):
-        rows = rows.join(part, keys, "left")
-    rows = rows.join(features.post_lexicon(posts, lexicons.posts), "user_id", "left")
+    rows = rows.join(f5, keys, "left").join(f6, keys, "left")
     return rows.select(*keys, "cc", "profile_present", *[F.coalesce(F.col(f), F.lit(0.0)).alias(f) for f in scoring.WEIGHTS])
 
 
