@@ -134,18 +134,30 @@ def test_warc_round_trip(spark):
     kinds = {r["id"]: (r["record_type"], r["refers_to"]) for r in found}
     assert kinds[1] == ("response", None) and kinds[None] == ("revisit", 1)
     assert kinds[2] == ("response", None) and kinds[3] == kinds[6] == ("revisit", 2) and kinds[7] == ("revisit", 4)
+    assert len({r["record_id"] for r in found}) == len(found)
     assert {r["record_type"] for r in warc.archived(pages, min_bytes=10**6).collect()} == {"response"}
     assert warc.archived(pages.limit(0)).count() == 0
 
 
 def test_chunks_carry_digests(spark):
-    rows = spark.createDataFrame([(1, "u", "z" * 600_000)], "id long, uri string, payload string").withColumn("payload", F.col("payload").cast("binary"))
-    chunks = warc.chunk_table(rows).orderBy("chunk_no").collect()
-    data = b""
-    for c in chunks:
-        data += bytes(c["data"])
-        assert c["digest_so_far"] == base64.b32encode(hashlib.sha1(data).digest()).decode() and c["bytes_so_far"] == len(data)
-    assert len(chunks) == 3 and data == b"z" * 600_000 and [c["last"] for c in chunks] == [False, False, True]
+    rows = spark.createDataFrame([(1, "u", "z" * 600_000), (2, "v", "é" * 10), (None, None, None)], "id long, uri string, payload string").withColumn("payload", F.col("payload").cast("binary"))
+    chunks = warc.chunk_table(rows).orderBy("id", "chunk_no").collect()
+    for payload, own in ((b"z" * 600_000, [c for c in chunks if c["id"] == 1]), ("é".encode() * 10, [c for c in chunks if c["id"] == 2]), (b"", [c for c in chunks if c["id"] is None])):
+        data = b""
+        for c in own:
+            assert len(c["data"]) <= warc.CHUNK_BYTES
+            data += bytes(c["data"])
+            assert c["digest_so_far"] == base64.b32encode(hashlib.sha1(data).digest()).decode() and c["bytes_so_far"] == len(data)
+        assert data == payload and [c["last"] for c in own] == [False] * (len(own) - 1) + [True]
+    assert len(chunks) == 5 and "data" not in warc.chunk_table(rows, with_data=False).columns
+
+
+def test_a_large_payload_in_small_batches(spark):
+    html = ["".join(chr(97 + i % 26) for i in range(9_000_000)), "other", "other"]
+    pages = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").withColumn("DATA", F.lit(1))
+    found = {r["id"]: r for r in warc.archived(pages).collect()}
+    assert found[0]["payload_bytes"] == 9_000_000 and found[2]["refers_to"] == 1
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
 
 
 # 4: nearest neighbours

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.sources.storage import Workspace, shared_dir, written
+
+__all__ = ["Workspace", "ascii_lower", "binary_column", "make_dir", "move_file", "open_file", "rows_per_batch", "shared_dir", "table", "words_of", "written"]
+
 #: Lower-cases A-Z, keeps digits, a-z and every byte of a non-ASCII character, turns the rest into spaces.
 WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -32,28 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where that setting is unset (tests, local mode) a temporary folder is made and set as checkpoint folder; on a
-    cluster, whose executors would not see it, an unset folder is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @contextlib.contextmanager
 def rows_per_batch(spark: SparkSession, n: int):
     """While it lasts, Arrow batches have at most ``n`` rows; for tables whose rows are large."""
@@ -66,31 +46,6 @@ def rows_per_batch(spark: SparkSession, n: int):
         spark.conf.set(key, before)
 
 
-class Workspace:
-    """Written tables of one run, of which those that nothing reads any more are removed."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.paths: dict[str, list[str]] = {}
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """As ``written``; a name may be used again."""
-        path = shared_dir(self.spark, name)
-        df.write.parquet(path)
-        self.paths.setdefault(name, []).append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Removes all tables of these names but the last written one of a name that ends in ``*``."""
-        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in names:
-            paths = self.paths.get(name.rstrip("*"), [])
-            for path in paths[: len(paths) - name.endswith("*")]:
-                folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                folder.getFileSystem(hadoop).delete(folder, True)
-                paths.remove(path)
-
-
 def open_file(path: str, mode: str):
     """Opens a file of the shared folder: local and mounted paths directly, other stores through pyarrow."""
     if "://" not in path and not path.startswith("file:"):
