@@ -261,19 +261,45 @@ def test_license_labels(spark):
     assert licenses.scan_licenses(docs_of(spark, [])).count() == 0
 
 
+def brute_notices(text):
+    """Labels of all templates that some window meets."""
+    words, found = [w.decode() for w in words_of(text.encode())], set()
+    for template, label in licenses.TEMPLATES:
+        own, step = set(template.split()), licenses.step_of(template)
+        for i in range(0, max(len(words) - step, 1), step):
+            if len(own & set(words[i : i + 2 * step])) >= licenses.THRESHOLD * len(own) - 1e-9:
+                found.add(label)
+    return found
+
+
 def test_license_join_is_exact(spark):
-    """Random blocks against all templates: the filters lose no pair."""
+    """Random windows against all templates: the filters lose no pair."""
     rng = random.Random(4)
     pool = sorted({w for t, _ in licenses.TEMPLATES for w in t.split()}) + ["zz", "yy"]
     rows = []
     for i in range(300):
         words = rng.choice(licenses.TEMPLATES)[0].split()
-        rows.append((i, " ".join(rng.sample(words, rng.randint(len(words) // 2, len(words))) + rng.choices(pool, k=4))))
-    found = {r["id"]: set(r["found"]) for r in licenses.notice_labels(spark.createDataFrame(rows, "id long, text string")).collect()}
+        rows.append((i, " ".join(rng.choices(pool[-30:], k=rng.randint(0, 150)) + rng.sample(words, rng.randint(len(words) // 2, len(words))) + rng.choices(pool, k=4))))
+    found = {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in licenses.scan_licenses(docs_of(spark, rows)).collect()}
+    bases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
     for i, text in rows:
-        own = set(text.split())
-        wanted = {label for t, label in licenses.TEMPLATES if len(own & set(t.split())) >= licenses.THRESHOLD * len(set(t.split())) - 1e-9}
-        assert found.get(i, set()) == wanted
+        assert found[i] == brute_notices(text) | {label for phrase, label in bases.items() if f" {phrase} " in f" {text} "}
+
+
+def test_license_notices_as_usually_wrapped(spark):
+    """Notices broken at 80 columns and at 40, and behind comment signs, in the middle of other text."""
+    import textwrap
+
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    rows = []
+    for text in (bsd, gpl):
+        for width, sign in ((80, ""), (40, "# "), (72, " * ")):
+            notice = "\n".join(sign + line for line in textwrap.wrap(text, width))
+            rows.append((len(rows), "Some words stand before.\n" * 20 + notice + "\nand after. " * 50))
+    rows.append((len(rows), "nothing of that kind " * 50_000))
+    found = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(docs_of(spark, rows).withColumn("WORDS", F.lit(1))).collect()}
+    assert [found[i] for i in range(7)] == ["bsd"] * 3 + ["gpl"] * 3 + [""]
 
 
 # 6: token files

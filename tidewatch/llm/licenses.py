@@ -1,7 +1,9 @@
 """License scan: exact phrases, and an exact set-similarity join of text blocks with license notices.
 
-A block is one line of a text, a template one license notice; both are sets of words. A block meets a template when it
-holds at least ``threshold`` of the template's words. The join finds every such pair:
+A block is a window of words, whatever lines they stand on: windows of twice ``step`` words begin at every ``step``-th word,
+so that each run of up to ``step`` words is whole in one of them; a template, one license notice, is compared with the
+windows of the smallest step that holds it. Both are sets of words. A block meets a template when it holds at least
+``threshold`` of the template's words. The join finds every such pair:
 
 * all template words are ordered by the number of documents that hold them, rarest first;
 * prefix filter: a block that meets a template of n words, of which it needs k, holds one of the first n - k + 1;
@@ -9,10 +11,12 @@ holds at least ``threshold`` of the template's words. The join finds every such
 * positional filter: from the place of the first common word on, block and template must have k words left;
 * what remains is compared exactly.
 
-Everything runs in DataFrame functions. The templates are a fixed list in code, so their index is broadcast.
+Everything runs in DataFrame functions. Texts are read twice, for the word counts and for the rest. The templates are a
+fixed list in code, so their index is broadcast.
 
-Defined results: a null or empty text has no words, no labels and score 0; null ids are kept; rows that repeat an id and a
-text each give the same row; an empty table gives an empty result; other columns are ignored and may have any name.
+Defined results: a null or empty text has no words, no labels and score 0; very long texts are scanned whole; null ids are
+kept; rows that repeat an id and a text each give the same row; words in equally many documents are ordered by text; an
+empty table gives an empty result; other columns are ignored and may have any name.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import ascii_lower
+from tidewatch.llm.common import Workspace, ascii_lower
 
 #: Words that must stand consecutively, and the label they give.
 PHRASES = [
@@ -30,8 +34,18 @@ PHRASES = [
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 ]
-#: License notices in the words of their authors' usual statements, and the label they give.
+#: License notices in the words of their authors' usual statements, and the label they give.
 TEMPLATES = [
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "mit"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "mit"),
+    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd"),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "bsd"),
+    ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "apache-2"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "gpl"),
+    ("you should have received a copy of the gnu general public license along with this program if not see", "gpl"),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mpl-2"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "isc"),
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
     ("licensed under the apache license version 2 0", "apache-2"),
@@ -45,6 +59,8 @@ TEMPLATES = [
     ("all rights reserved no part of this publication may be reproduced without permission", "all-rights-reserved"),
 ]
 THRESHOLD = 0.8
+#: Words between the starts of windows; the longest template has at most as many words as the last.
+STEPS = (32, 128)
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -70,11 +86,14 @@ def starts_of(words: Column, phrase: list[str]) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(words) - 1), stands)
 
 
-def with_phrases(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES) -> DataFrame:
-    """id, text_hash, n_words, n_base, first_word, last_word and base (sorted labels) of rows (id, text)."""
-    any_phrase = "(?i)(?:^| )(?:" + "|".join(p for p, _ in phrases) + ")(?: |$)"
+def with_phrases(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, also: list[str] | None = None) -> DataFrame:
+    """id, text_hash, n_words, n_base, first_word, last_word and base (sorted labels) of rows (id, text); and ``candidate``,
+    the words of the texts that hold one of the words ``also``."""
+    any_of = lambda terms: "(?i)(?:^| )(?:" + "|".join(terms) + ")(?: |$)" if terms else "(?!)"
     base = docs.select("id", F.xxhash64("text").alias("text_hash"), spaced_words(F.col("text")).alias("spaced"))
-    base = base.select("id", "text_hash", count_words(F.col("spaced")).alias("n_words"), F.when(F.col("spaced").rlike(any_phrase), F.split(ascii_lower(F.col("spaced")), " ")).alias("words"))
+    held, wanted = F.col("spaced").rlike(any_of([p for p, _ in phrases])), F.col("spaced").rlike(any_of(also))
+    words = F.split(ascii_lower(F.col("spaced")), " ")
+    base = base.select("id", "text_hash", count_words(F.col("spaced")).alias("n_words"), F.when(held, words).alias("words"), F.when(wanted, words).alias("candidate"))
     empty = F.array().cast("array<int>")
     for k, (phrase, _) in enumerate(phrases):
         base = base.withColumn(f"at{k}", F.when(F.col("words").isNull(), empty).otherwise(starts_of(F.col("words"), phrase.split())))
@@ -88,9 +107,15 @@ def with_phrases(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES) -> D
         F.array_min(every).cast("long").alias("first_word"),
         F.array_max(every).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(F.array_compact(labels))).alias("base"),
+        "candidate",
     )
 
 
+def step_of(template: str, steps: tuple[int, ...] = STEPS) -> int:
+    """The smallest step whose windows hold any run of as many words as the template has."""
+    return next(s for s in steps if len(template.split()) <= s)
+
+
 def document_frequencies(docs: DataFrame, words: list[str]) -> dict[str, int]:
     """In how many rows of (text) each word occurs, over all rows; one number for each word of the templates."""
     seen = F.array_intersect(F.split(F.lower(spaced_words(F.col("text"))), " "), F.array(*map(F.lit, words)))
@@ -106,24 +131,30 @@ def template_index(spark: SparkSession, order: list[str], templates: list[tuple[
         words = sorted({place[w] for w in text.split()})
         need = math.ceil(threshold * len(words) - 1e-9)
         prefix = words[: len(words) - need + 1]
-        rows += [(word, at, prefix, words, need, label) for at, word in enumerate(prefix, 1)]
-    return spark.createDataFrame(rows, "word int, at int, prefix array<int>, words array<int>, need int, label string")
+        rows += [(step_of(text), word, at, prefix, words, need, label) for at, word in enumerate(prefix, 1)]
+    return spark.createDataFrame(rows, "step int, word int, at int, prefix array<int>, words array<int>, need int, label string")
 
 
-def notice_labels(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """id, text_hash, found (labels) and containment (largest) of the rows (id, text) with a block that meets a template."""
+def word_order(docs: DataFrame, templates: list[tuple[str, str]]) -> list[str]:
+    """The templates' words, those in the fewest documents first."""
     vocabulary = sorted({w for text, _ in templates for w in text.split()})
     counts = document_frequencies(docs, vocabulary)
-    order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
-    index = template_index(docs.sparkSession, order, templates, threshold)
-    prefix_words = sorted({order[r["word"] - 1] for r in index.select("word").distinct().collect()})
-    holds_prefix = "(?i)(?<![0-9a-z\\x{80}-\\x{10FFFF}])(?:" + "|".join(prefix_words) + ")(?![0-9a-z\\x{80}-\\x{10FFFF}])"
-    words_in_order = F.array(*map(F.lit, order))
+    return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
-    lines = docs.filter(F.col("text").rlike(holds_prefix)).select("id", F.xxhash64("text").alias("text_hash"), F.explode(F.split("text", "\n")).alias("line"))
-    own = F.array_intersect(F.split(ascii_lower(spaced_words(F.col("line"))), " "), words_in_order)
-    blocks = lines.filter(F.col("line").rlike(holds_prefix)).select("id", "text_hash", F.array_sort(F.transform(own, lambda w: F.array_position(words_in_order, w).cast("int"))).alias("block"))
-    pairs = blocks.withColumn("word", F.explode("block")).join(F.broadcast(index), "word")
+
+def notice_labels(candidates: DataFrame, index: DataFrame, order: list[str]) -> DataFrame:
+    """id, text_hash, found (labels) and containment (largest) of the rows (id, text_hash, candidate) with a block that
+    meets a template of the index."""
+    words_in_order = F.array(*map(F.lit, order))
+    # Words become their places in the order, others 0.
+    coded = candidates.filter("candidate IS NOT NULL").select("id", "text_hash", F.transform("candidate", lambda w: F.array_position(words_in_order, w).cast("int")).alias("codes"))
+    steps = F.array(*[F.lit(s) for s in sorted({r["step"] for r in index.select("step").distinct().collect()})])
+    stepped = coded.withColumn("step", F.explode(steps))
+    start = F.sequence(F.lit(0), F.greatest(F.size("codes") - F.col("step") - 1, F.lit(0)), F.col("step"))
+    windows = stepped.withColumn("start", F.explode(start))
+    own = F.filter(F.slice("codes", F.col("start") + 1, 2 * F.col("step")), lambda c: c > 0)
+    blocks = windows.select("id", "text_hash", "step", F.array_sort(F.array_distinct(own)).alias("block"))
+    pairs = blocks.withColumn("word", F.explode("block")).join(F.broadcast(index), ["step", "word"])
     first_common = F.element_at(F.array_intersect("prefix", "block"), 1) == F.col("word")
     length_filter = F.size("block") >= F.col("need")
     left_in_both = F.least(F.size("words") - F.col("at"), F.size("block") - F.array_position("block", F.col("word")).cast("int")) + 1
@@ -135,10 +166,15 @@ def notice_labels(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Per document row: id, n_words, n_base, first_word, last_word, base_labels, labels, score (1 with a phrase, else the
     largest containment of a template met, else 0)."""
+    space = Workspace(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    base, found = with_phrases(own), notice_labels(own, templates, threshold)
+    order = word_order(own, templates)
+    index = template_index(docs.sparkSession, order, templates, threshold)
+    prefix_words = sorted({order[r["word"] - 1] for r in index.select("word").distinct().collect()})
+    base = space.write(with_phrases(own, also=prefix_words), "license-candidates")
+    found = notice_labels(base.select("id", "text_hash", "candidate"), index, order)
     found = found.select(F.col("id").alias("found_id"), F.col("text_hash").alias("found_hash"), "found", "containment")
-    joined = base.join(found, F.col("id").eqNullSafe(F.col("found_id")) & (F.col("text_hash") == F.col("found_hash")), "left")
+    joined = base.drop("candidate").join(found, F.col("id").eqNullSafe(F.col("found_id")) & (F.col("text_hash") == F.col("found_hash")), "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
     return joined.select(
         F.col("id").alias(id_col),

@@ -72,7 +72,7 @@ QUERIES = {
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS_SQL = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-TEMPLATE_ROWS = ", ".join(f"('{text}', '{label}')" for text, label in licenses.TEMPLATES)
+TEMPLATE_ROWS = ", ".join(f"('{text}', '{label}', {licenses.step_of(text)})" for text, label in licenses.TEMPLATES)
 PHRASE_ROWS = ", ".join(f"('{text}', '{label}')" for text, label in licenses.PHRASES)
 
 ORACLE_SQL = {
@@ -96,12 +96,12 @@ places AS (
   WHERE w[i:i + len(pw) - 1] = pw
 ),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list_distinct(list(label))) AS base FROM places GROUP BY doc_id),
+templates AS (SELECT list_distinct(string_split(t, ' ')) AS tw, label, step FROM (VALUES {TEMPLATE_ROWS}) AS t(t, label, step)),
 blocks AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS bw
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+  SELECT doc_id, step, list_distinct(w[i:i + 2 * step - 1]) AS bw
+  FROM (SELECT doc_id, w, step, unnest(generate_series(1, greatest(len(w) - step, 1), step)) AS i FROM docs, (SELECT DISTINCT step FROM templates))
 ),
-templates AS (SELECT list_distinct(string_split(t, ' ')) AS tw, label FROM (VALUES {TEMPLATE_ROWS}) AS t(t, label)),
-met AS (SELECT doc_id, label, len(list_intersect(tw, bw)) / len(tw) AS c FROM blocks, templates WHERE len(list_intersect(tw, bw)) >= ceil({licenses.THRESHOLD} * len(tw) - 1e-9)),
+met AS (SELECT doc_id, label, len(list_intersect(tw, bw)) / len(tw) AS c FROM blocks JOIN templates USING (step) WHERE len(list_intersect(tw, bw)) >= ceil({licenses.THRESHOLD} * len(tw) - 1e-9)),
 found AS (SELECT doc_id, list(DISTINCT label) AS found, max(c) AS c FROM met GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(coalesce(base, []), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(found, [])))), ',') AS labels,
