@@ -169,3 +169,13 @@ def spam_lexicon(comments: DataFrame, hard: list[str], soft: list[str]) -> DataF
     """1 with a hard term; else by the number and share of comments with soft terms."""
     counts = comments.select("content_id", "user_id", *lexicon_flags([], [], hard, soft)).groupBy("content_id", "user_id").agg(*lexicon_counts())
     return counts.select("content_id", "user_id", spam_score().alias("f15"))
+
+
+def refreshed(report: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Report rows (user_id, f4, f12, ...) whose user has a profile with that profile's features; others keep theirs.
+    ``verify`` is JSON text whose ``type`` is the verify state, -1 where it cannot be read."""
+    verify = F.coalesce(F.get_json_object("verify", "$.type").try_cast("int"), F.lit(-1))
+    hits = refreshed_skeleton_hits(F.lower("avatar"), F.col("name"), F.col("post_count"), F.col("upload_count"), F.col("sign"))
+    new = profiles.select("user_id", (hits / 5).alias("new_f12"), avatar_verify(F.col("avatar"), verify, F.lit(True)).alias("new_f4"))
+    rows = report.join(new, "user_id", "left")
+    return rows.withColumns({f: F.coalesce(f"new_{f}", f) for f in ("f4", "f12")}).drop("new_f4", "new_f12")

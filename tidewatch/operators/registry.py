@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.scoring import risk
+from tidewatch.operators.keyed import page
+from tidewatch.operators.scoring import WEIGHTS, risk
 
 REASON = "array<struct<type:string,content_id:string,score:double>>"
 
@@ -37,8 +38,16 @@ def merge(old: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def collected(scored: DataFrame, limit: float = 70, added_by: str = "auto") -> DataFrame:
-    """The delta of an analysis: one row for each user at or above the limit, with a reason for each content."""
-    reason = F.struct(F.lit("engine").alias("type"), F.col("content_id").cast("string").alias("content_id"), F.col("score").cast("double").alias("score"))
+    """The delta of an analysis: one row for each user at or above the limit, with a reason for each content; where the rows
+    have features, a reason's type names the three largest."""
+    known = [f for f in WEIGHTS if f in scored.columns]
+    if known:
+        entries = F.array_sort(F.array(*[F.struct((-F.coalesce(F.col(f), F.lit(0.0))).alias("minus"), F.lit(f).alias("name")) for f in known]))
+        best = F.filter(F.slice(entries, 1, 3), lambda e: -e["minus"] > 0.3)
+        scored = scored.withColumn("kind", F.concat_ws(": ", F.lit("engine"), F.nullif(F.array_join(F.transform(best, lambda e: e["name"]), ", "), F.lit(""))))
+    else:
+        scored = scored.withColumn("kind", F.lit("engine"))
+    reason = F.struct(F.col("kind").alias("type"), F.col("content_id").cast("string").alias("content_id"), F.col("score").cast("double").alias("score"))
     rows = scored.filter(F.col("score") >= limit)
     return rows.groupBy("user_id").agg(F.max("score").alias("score"), F.array_sort(F.collect_list(reason)).alias("reasons"), F.array_sort(F.collect_set(F.col("content_id").cast("string"))).alias("sources")).select(
         "user_id", F.lit("").alias("user_name"), F.lit("").alias("avatar"), F.col("score").cast("double").alias("score"), F.lit(added_by).alias("added_by"), F.expr(f"CAST(reasons AS {REASON})").alias("reasons"), "sources", F.lit("").alias("notes")
@@ -56,6 +65,12 @@ def listing(registry: DataFrame, risk_is: str | None = None, added_by: str | Non
     return registry
 
 
+def listing_page(registry: DataFrame, number: int, size: int, by: str = "score", descending: bool = True) -> DataFrame:
+    """A page of the rows by score, time (``updated_at``) or number of reasons, either way, ties by id; with total and total_pages."""
+    column = {"score": F.col("score"), "time": F.col("updated_at") if "updated_at" in registry.columns else None, "reasons": F.size("reasons")}[by]
+    return page(registry, [column.desc() if descending else column.asc(), F.col("user_id")], number, size)
+
+
 def stats(registry: DataFrame) -> DataFrame:
     return registry.agg(
         F.count("*").alias("total"),
@@ -72,6 +87,12 @@ def remove(registry: DataFrame, gone: DataFrame) -> DataFrame:
     return registry.join(gone.select("user_id"), "user_id", "left_anti")
 
 
+def removed_count(registry: DataFrame, gone: DataFrame) -> DataFrame:
+    """One row: how many registry rows the ids of ``gone`` remove, and how many stay."""
+    marked = registry.select("user_id").join(gone.select("user_id").distinct().withColumn("hit", F.lit(True)), "user_id", "left")
+    return marked.agg(F.count("hit").alias("removed"), (F.count("*") - F.count("hit")).alias("kept"))
+
+
 def with_notes(registry: DataFrame, user_id: int, notes: str) -> DataFrame:
     return registry.withColumn("notes", F.when(F.col("user_id") == user_id, notes).otherwise(F.col("notes")))
 

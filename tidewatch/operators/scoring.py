@@ -106,10 +106,47 @@ def clamp_threshold(value: Column) -> Column:
     return F.greatest(F.lit(10), F.least(F.lit(70), value))
 
 
-def batches(rows: DataFrame, size: int, *order: Column) -> DataFrame:
-    """Numbers rows of each content in groups of ``size``."""
+def batches(rows: DataFrame, size: int, *order: Column, most: int = 10) -> DataFrame:
+    """The first ``most`` groups of ``size`` rows of each content, numbered; the limit keeps a task's rows few."""
     position = F.row_number().over(Window.partitionBy("content_id").orderBy(*order))
-    return rows.withColumn("batch", F.floor((position - 1) / size).cast("long"))
+    numbered = rows.withColumn("position", position).filter(F.col("position") <= size * most)
+    return numbered.withColumn("batch", F.floor((F.col("position") - 1) / size).cast("long"))
+
+
+def shown_features(least: float = 0.3) -> Column:
+    """The features that reach ``least``, largest first, as a line of names and percents."""
+    entries = F.array_sort(F.array(*[F.struct((-F.coalesce(F.col(f), F.lit(0.0))).alias("minus"), F.lit(f).alias("name")) for f in WEIGHTS]))
+    kept = F.filter(entries, lambda e: -e["minus"] >= least)
+    return F.array_join(F.transform(kept, lambda e: F.format_string("%s %d%%", e["name"], F.round(-e["minus"] * 100).cast("int"))), ", ")
+
+
+def review_packets(scored: DataFrame, comments: DataFrame, profiles: DataFrame, size: int = 5, most: int = 10, n_comments: int = 3, cut: int = 100) -> DataFrame:
+    """(content_id, batch, packet): a text for each group of candidates, with score, features, profile and first comments.
+
+    ``profiles`` has user_id and line; comments are gathered for the candidates only."""
+    chosen = batches(scored, size, F.desc("score"), F.col("user_id"), most=most).select("content_id", "user_id", "score", "position", "batch", shown_features().alias("shown"))
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("seq"))
+    first = comments.join(chosen.select("user_id").distinct(), "user_id", "left_semi").withColumn("k", rank).filter(F.col("k") <= n_comments)
+    said = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("k", F.substring(F.coalesce("text", F.lit("")), 1, cut).alias("text")))).alias("said"))
+    rows = chosen.join(profiles.select("user_id", "line"), "user_id", "left").join(said, "user_id", "left")
+    parts = F.concat_ws(
+        "\n",
+        F.format_string("user %d: score %.1f", "user_id", "score"),
+        F.when(F.col("shown") != "", F.concat(F.lit("features: "), "shown")),
+        F.concat(F.lit("profile: "), "line"),
+        F.concat(F.lit("comments: "), F.array_join(F.transform("said", lambda x: x["text"]), " | ")),
+    )
+    lines = rows.groupBy("content_id", "batch").agg(F.array_sort(F.collect_list(F.struct("position", parts.alias("part")))).alias("parts"))
+    return lines.select("content_id", "batch", F.array_join(F.transform("parts", lambda x: x["part"]), "\n\n").alias("packet"))
+
+
+def merged_verdicts(report: DataFrame, verdicts: DataFrame, key: str = "user_id") -> DataFrame:
+    """Report rows with the columns of newer verdicts (for many users or one); a verdict without a value keeps the old one."""
+    new = verdicts.select(key, *[F.col(c).alias(f"new_{c}") for c in verdicts.columns if c != key])
+    rows = report.join(new, key, "left")
+    kept = [F.coalesce(f"new_{c}", c).alias(c) if c in verdicts.columns and c != key else F.col(c) for c in report.columns]
+    added = [F.col(f"new_{c}").alias(c) for c in verdicts.columns if c not in report.columns]
+    return rows.select(*kept, *added)
 
 
 def unit(value: Column) -> Column:
@@ -128,14 +165,16 @@ def fuse_first(scored: DataFrame, verdicts: DataFrame, rule_share: float = 0.75)
     return out.withColumn("fused_risk", risk(F.col("fused")))
 
 
-def fuse_second(scored: DataFrame, first: DataFrame, deep: DataFrame) -> DataFrame:
-    """Engine score, first and deep verdict; the deep verdict counts where its type is positive, its row is marked analysed."""
+def fuse_second(scored: DataFrame, first: DataFrame, deep: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Engine score, first and deep verdict; the deep verdict counts where its type is positive, its row is marked analysed.
+    With ``history`` (user_id, n_history, last_at), each user's own goes with its row; without one there are 0 entries."""
     one = first.select("user_id", F.col("confidence").alias("confidence1"))
     two = deep.select("user_id", F.col("type_id").alias("deep_type"), F.col("confidence").alias("confidence2"))
     rows = scored.join(one, "user_id", "left").join(two, "user_id", "left")
     fused = 0.50 * unit(F.col("score")) + 0.25 * unit(F.coalesce("confidence1", F.lit(0.0))) + 0.25 * unit(F.coalesce("confidence2", F.lit(0.0)))
     out = rows.withColumn("deep_analysed", F.col("deep_type").isNotNull()).withColumn("fused", F.round(F.when(F.col("deep_type") > 0, fused).otherwise(unit(F.col("score"))) * 100, 6))
-    return out.withColumn("fused_risk", risk(F.col("fused")))
+    out = out.withColumn("fused_risk", risk(F.col("fused")))
+    return out if history is None else out.join(history, "user_id", "left").withColumn("n_history", F.coalesce("n_history", F.lit(0)).cast("long"))
 
 
 def verdict_defaults(scored: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -144,7 +183,9 @@ def verdict_defaults(scored: DataFrame, verdicts: DataFrame) -> DataFrame:
     return rows.select("user_id", F.coalesce("type_id", F.lit(0)).alias("type_id"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.when(F.col("type_id").isNull(), "not analysed").otherwise("analysed").alias("status"))
 
 
-VERDICT = "mid long, type_id int, type_name string, confidence double, reasoning string"
+VERDICT = "mid long, type_id int, type_name string, confidence double, reasoning string, deep_type_id int, deep_type_name string, deep_confidence double, deep_reasoning string, risk_confirmed boolean, key_evidence array<string>"
+#: Names under which a deep verdict gives the fields of a plain one.
+ALIASES = {"type_id": "deep_type_id", "type_name": "deep_type_name", "confidence": "deep_confidence", "reasoning": "deep_reasoning"}
 
 
 def parse_verdicts(replies: DataFrame, key: str, text: str = "reply") -> DataFrame:
@@ -160,4 +201,6 @@ def parse_verdicts(replies: DataFrame, key: str, text: str = "reply") -> DataFra
         return F.coalesce(held, many, F.when(one["mid"].isNotNull(), F.array(one)))
 
     tried = F.filter(F.transform(bodies, read), lambda r: r.isNotNull() & (F.size(r) > 0))
-    return replies.select(key, F.explode(F.get(tried, F.lit(0))).alias("v")).select(key, "v.*").filter("mid IS NOT NULL")
+    rows = replies.select(key, F.explode(F.get(tried, F.lit(0))).alias("v")).select(key, "v.*").filter("mid IS NOT NULL")
+    rows = rows.withColumns({name: F.coalesce(deep, name) for name, deep in ALIASES.items()}).drop(*ALIASES.values())
+    return rows.withColumns({"risk_confirmed": F.coalesce("risk_confirmed", F.lit(False)), "key_evidence": F.coalesce("key_evidence", F.array().cast("array<string>"))})

@@ -98,6 +98,13 @@ def activity_hours(comments: DataFrame, top: int = 5) -> DataFrame:
     return hours.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
+def history_habits(comments: DataFrame) -> DataFrame:
+    """Each user's most active hour (the earlier of equal ones) and mean text length to one decimal."""
+    hours = comments.groupBy("user_id", F.hour("created_at").alias("hour")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    best = F.min(F.struct(-F.col("n"), F.col("hour").alias("hour")))["hour"]
+    return hours.groupBy("user_id").agg(best.alias("active_hour"), F.round(F.sum("chars") / F.sum("n"), 1).alias("avg_length"))
+
+
 def daily_activity(comments: DataFrame, days: int = 30) -> DataFrame:
     """Counts of each user's most recent active days."""
     counts = comments.groupBy("user_id", F.to_date("created_at").alias("day")).agg(F.count("*").alias("n"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tidewatch.functions import text as X
 from tidewatch.operators import features, keyed, registry, scoring, similarity, timeseries
 from tidewatch.plans import flagship
-from tidewatch.plans.registered import COMMENTS, POSTS, SCORED, TEXTS, TIMED, USERS, VERDICTS, query
+from tidewatch.plans.registered import COMMENTS, POSTS, SCORED, TEXTS, THREADS, TIMED, USERS, VERDICTS, query
 from tidewatch.sources import adapters as A
+from tidewatch.sources import files
+from tidewatch.sources.storage import shared_dir
 
 AS_OF = "2024-02-01"
 #: Neutral terms of the test texts; real lists come from the user.
@@ -93,16 +95,13 @@ def cluster_details(spark, sf_dir):
     return similarity.cluster_details(rows, similarity.cluster_members(rows))
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_custkey AS a, o_custkey + 3000 + date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS b FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 480000),
-s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, seen) AS (SELECT a, a FROM s UNION SELECT s.b, r.seen FROM r JOIN s ON s.a = r.node)
-SELECT node, min(seen) AS root FROM r GROUP BY 1""")
+@query(f"WITH {THREADS} SELECT comment_id AS node, min(comment_id) OVER (PARTITION BY comment_id // 100) AS root FROM threads WHERE comment_id // 100 IN (SELECT comment_id // 100 FROM threads GROUP BY 1 HAVING count(*) > 1)")
 def components_edges(spark, sf_dir):
-    """Owners and the days of their dearest contents, connected."""
+    """Comments of all threads, connected with what they answer."""
     from tidewatch.operators.graph import components
 
-    day = F.date_diff(F.to_date("published_at"), F.lit("1992-01-01").cast("date")).cast("long")
-    edges = A.contents(spark, sf_dir).filter("status = 'F' AND view_count > 480000").select(F.col("owner_id").alias("a"), (F.col("owner_id") + 3000 + day).alias("b"))
-    return components(edges)
+    answers = A.threads(spark, sf_dir).filter("parent_id <> 0")
+    return components(answers.select(F.col("comment_id").alias("a"), F.col("parent_id").cast("long").alias("b")))
 
 
 @query(f"WITH {TEXTS}, t AS (SELECT user_id, unnest(regexp_extract_all(text, '([一-鿿]{{2,}}|[a-zA-Z0-9]{{2,}})')) AS topic FROM texts), c AS (SELECT user_id, topic, count(*) AS n FROM t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, encode(topic)) AS rank FROM c) SELECT user_id, topic, n, rank FROM r WHERE rank <= 10")
@@ -222,6 +221,12 @@ def activity_hours(spark, sf_dir):
     return timeseries.activity_hours(A.comments_time(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long")).withColumn("hour", F.col("hour").cast("long"))
 
 
+@query(f"WITH {TIMED}, h AS (SELECT user_id, hour(created_at) AS hour, count(*) AS n, sum(length(content_id)) AS chars FROM timed GROUP BY 1, 2) SELECT user_id, arg_max(hour, n * 100 - hour) AS active_hour, round(sum(chars) / sum(n), 1) AS avg_length FROM h GROUP BY 1")
+def history_habits(spark, sf_dir):
+    rows = A.comments_time(spark, sf_dir).withColumn("text", F.col("content_id"))
+    return timeseries.history_habits(rows).withColumn("active_hour", F.col("active_hour").cast("long"))
+
+
 @query(f"WITH {TIMED}, d AS (SELECT user_id, CAST(created_at AS DATE) AS day, count(*) AS n FROM timed GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS k FROM d) SELECT user_id, strftime(day, '%Y-%m-%d') AS day, n FROM r WHERE k <= 30")
 def daily_activity(spark, sf_dir):
     return timeseries.daily_activity(A.comments_time(spark, sf_dir))
@@ -302,10 +307,14 @@ def edit_similarity(spark, sf_dir):
     return A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), X.edit_similarity(F.col("p_name"), F.col("p_type")).alias("similarity"))
 
 
-@query(f"WITH {USERS} SELECT user_id, ((avatar = '')::INT + (coalesce(post_count, -1) = 0)::INT + (upload_count = 0)::INT) / 5 AS f12, CAST(CASE WHEN avatar = '' THEN 0.5 ELSE 0 END + CASE WHEN verify_type = -1 THEN 0.5 ELSE 0 END AS DOUBLE) AS f4 FROM users")
+@query(f"""WITH {USERS}, r AS (SELECT doc_id AS user_id, CAST(n_chars % 7 / 7 AS DOUBLE) AS f4, CAST(n_chars % 6 / 5 AS DOUBLE) AS f12 FROM documents)
+SELECT r.user_id, CASE WHEN u.user_id IS NULL THEN f4 ELSE CAST(CASE WHEN avatar = '' THEN 0.5 ELSE 0 END + CASE WHEN verify_type = -1 THEN 0.5 ELSE 0 END AS DOUBLE) END AS f4,
+ CASE WHEN u.user_id IS NULL THEN f12 ELSE ((avatar = '')::INT + (coalesce(post_count, -1) = 0)::INT + (upload_count = 0)::INT) / 5 END AS f12 FROM r LEFT JOIN users u USING (user_id)""")
 def refresh_profile_features(spark, sf_dir):
-    hits = features.refreshed_skeleton_hits(F.col("avatar"), F.col("name"), F.col("post_count"), F.col("upload_count"), F.col("sign"))
-    return A.users(spark, sf_dir).select("user_id", (hits / 5).alias("f12"), features.avatar_verify(F.col("avatar"), F.col("verify_type"), F.lit(True)).alias("f4"))
+    """Report rows whose user has a fresh profile take its features, the others keep theirs; the verify state is JSON text."""
+    report = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("user_id"), (F.col("n_chars") % 7 / 7).alias("f4"), (F.col("n_chars") % 6 / 5).alias("f12"))
+    profiles = A.users(spark, sf_dir).withColumn("verify", F.to_json(F.struct(F.col("verify_type").alias("type")))).drop("verify_type")
+    return features.refreshed(report, profiles).select("user_id", "f4", "f12")
 
 
 @query(f"WITH {USERS} SELECT user_id, CASE WHEN avatar = '' THEN 'avatar no' ELSE 'avatar yes' END || ' | posts ' || coalesce(CAST(post_count AS VARCHAR), '?') || ' | uploads ' || CASE WHEN upload_count >= 0 THEN CAST(upload_count AS VARCHAR) ELSE '?' END || ' | sign ' || left(sign, 30) AS line FROM users")
@@ -403,7 +412,7 @@ def deep_candidates(spark, sf_dir):
     return scoring.candidates(rows, 0, 10).select("content_id", "user_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {SCORED} SELECT content_id, user_id, (row_number() OVER (PARTITION BY content_id ORDER BY score DESC, user_id) - 1) // 5 AS batch FROM scored WHERE score >= 20")
+@query(f"WITH {SCORED} SELECT content_id, user_id, (row_number() OVER (PARTITION BY content_id ORDER BY score DESC, user_id) - 1) // 5 AS batch FROM scored WHERE score >= 20 QUALIFY batch < 10")
 def candidate_batches(spark, sf_dir):
     rows = A.scored_users(spark, sf_dir).filter("score >= 20")
     return scoring.batches(rows, 5, F.desc("score"), F.col("user_id")).select("content_id", "user_id", "batch")
@@ -416,11 +425,13 @@ def fuse_stage1(spark, sf_dir):
     return rows.select("user_id", F.round("fused", 4).alias("fused"), review.alias("review"))
 
 
-@query(f"WITH {SCORED}, {VERDICTS}, d AS (SELECT user_id, type_id, confidence - 10 AS c2 FROM verdicts WHERE user_id % 2 = 0), u AS (SELECT user_id, CASE WHEN score > 1 THEN score / 100 ELSE score END AS e FROM scored) SELECT user_id, round(CAST(100 * CASE WHEN d.type_id > 0 THEN 0.5 * e + 0.25 * v.confidence / 100 + 0.25 * c2 / 100 ELSE e END AS DOUBLE), 4) AS fused, d.type_id IS NOT NULL AS deep_analysed FROM u LEFT JOIN verdicts v USING (user_id) LEFT JOIN d USING (user_id)")
+@query(f"WITH {SCORED}, {VERDICTS}, d AS (SELECT user_id, type_id, confidence - 10 AS c2 FROM verdicts WHERE user_id % 2 = 0), u AS (SELECT user_id, CASE WHEN score > 1 THEN score / 100 ELSE score END AS e FROM scored) SELECT user_id, round(CAST(100 * CASE WHEN d.type_id > 0 THEN 0.5 * e + 0.25 * v.confidence / 100 + 0.25 * c2 / 100 ELSE e END AS DOUBLE), 4) AS fused, d.type_id IS NOT NULL AS deep_analysed, coalesce(h.n, 0) AS n_history, h.last_at FROM u LEFT JOIN verdicts v USING (user_id) LEFT JOIN d USING (user_id) LEFT JOIN (SELECT user_id, count(*) AS n, strftime(max(ts), '%Y-%m-%d') AS last_at FROM events GROUP BY 1) h USING (user_id)")
 def fuse_stage2(spark, sf_dir):
+    """With each user's history: number of entries and day of the last."""
     first = A.verdicts(spark, sf_dir)
+    history = A.comments_time(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n_history"), F.date_format(F.max("created_at"), "yyyy-MM-dd").alias("last_at"))
     deep = first.filter("user_id % 2 = 0").withColumn("confidence", F.col("confidence") - 10)
-    return scoring.fuse_second(A.scored_users(spark, sf_dir), first, deep).select("user_id", F.round("fused", 4).alias("fused"), "deep_analysed")
+    return scoring.fuse_second(A.scored_users(spark, sf_dir), first, deep, history).select("user_id", F.round("fused", 4).alias("fused"), "deep_analysed", "n_history", "last_at")
 
 
 @query(f"WITH {SCORED}, {VERDICTS} SELECT user_id, coalesce(type_id, 0) AS type_id, coalesce(confidence, 0) AS confidence, CASE WHEN type_id IS NULL THEN 'not analysed' ELSE 'analysed' END AS status FROM scored LEFT JOIN verdicts USING (user_id)")
@@ -430,28 +441,41 @@ def verdict_defaults(spark, sf_dir):
 
 @query(f"WITH {SCORED}, {VERDICTS} SELECT user_id, coalesce(confidence, score) AS score, type_id FROM scored LEFT JOIN verdicts USING (user_id)")
 def report_merge_verdicts(spark, sf_dir):
-    rows = A.scored_users(spark, sf_dir).join(A.verdicts(spark, sf_dir), "user_id", "left")
-    return rows.select("user_id", F.coalesce("confidence", "score").alias("score"), "type_id")
+    new = A.verdicts(spark, sf_dir).withColumnRenamed("confidence", "score")
+    return scoring.merged_verdicts(A.scored_users(spark, sf_dir), new).select("user_id", "score", "type_id")
 
 
-@query(f"WITH {VERDICTS} SELECT user_id AS doc, user_id AS mid, type_id, confidence FROM verdicts")
+@query(f"WITH {VERDICTS} SELECT user_id AS doc, user_id AS mid, type_id, confidence, user_id % 4 = 3 AS risk_confirmed, CASE WHEN user_id % 4 = 3 THEN 'deep' ELSE 'plain' END AS reasoning FROM verdicts")
 def parse_verdicts(spark, sf_dir):
-    """Replies in three wrappings: an object with results in a fence, one bare object, an array inside prose."""
+    """Replies in four wrappings: an object with results in a fence, one bare object, an array inside prose, and a deep
+    verdict with names of its own."""
     v = A.verdicts(spark, sf_dir)
-    one = F.to_json(F.struct(F.col("user_id").alias("mid"), "type_id", "confidence"))
-    kind = F.col("user_id") % 3
-    reply = F.when(kind == 0, F.concat(F.lit("Here:\n```json\n{\"results\": ["), one, F.lit("]}\n```"))).when(kind == 1, one).otherwise(F.concat(F.lit("["), one, F.lit("]")))
+    mid = F.col("user_id").alias("mid")
+    one = F.to_json(F.struct(mid, "type_id", "confidence", F.lit("plain").alias("reasoning")))
+    deep = F.to_json(F.struct(mid, F.col("type_id").alias("deep_type_id"), F.col("confidence").alias("deep_confidence"), F.lit("deep").alias("deep_reasoning"), F.lit(True).alias("risk_confirmed")))
+    kind = F.col("user_id") % 4
+    reply = F.when(kind == 0, F.concat(F.lit("Here:\n```json\n{\"results\": ["), one, F.lit("]}\n```"))).when(kind == 1, one).when(kind == 2, F.concat(F.lit("So: ["), one, F.lit("] - done"))).otherwise(deep)
     rows = scoring.parse_verdicts(v.select(F.col("user_id").alias("doc"), reply.alias("reply")), "doc")
-    return rows.select("doc", "mid", "type_id", "confidence")
+    return rows.select("doc", "mid", "type_id", "confidence", "risk_confirmed", "reasoning")
 
 
-@query()
+PROFILE_SQL = "CASE WHEN avatar = '' THEN 'avatar no' ELSE 'avatar yes' END || ' | posts ' || coalesce(CAST(post_count AS VARCHAR), '?') || ' | uploads ' || CASE WHEN upload_count >= 0 THEN CAST(upload_count AS VARCHAR) ELSE '?' END || ' | sign ' || left(sign, 30)"
+
+
+@query(SCORE_SQL.replace("WITH ", f"WITH {TEXTS}, ", 1) + f""", c AS (SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY score DESC, user_id) AS position FROM s),
+m AS (SELECT user_id, text, row_number() OVER (PARTITION BY user_id ORDER BY comment_id) AS k FROM texts),
+said AS (SELECT user_id, string_agg(left(coalesce(text, ''), 100), ' | ' ORDER BY k) AS said FROM m WHERE k <= 3 GROUP BY 1),
+g AS (SELECT user_id, unnest([{{'n': 'f12', 'v': k / 5}}, {{'n': 'f15', 'v': CAST(f15 AS DOUBLE)}}, {{'n': 'f3', 'v': CAST(f3 AS DOUBLE)}}, {{'n': 'f4', 'v': CAST(f4 AS DOUBLE)}}]) AS e FROM s),
+shown AS (SELECT user_id, string_agg(e.n || ' ' || CAST(round(e.v * 100) AS INTEGER) || '%', ', ' ORDER BY e.v DESC, e.n) AS shown FROM g WHERE e.v >= 0.3 GROUP BY 1),
+p AS (SELECT user_id, {PROFILE_SQL} AS line FROM users),
+l AS (SELECT content_id, position, (position - 1) // 5 AS batch, concat_ws(chr(10), 'user ' || user_id || ': score ' || printf('%.1f', score), 'features: ' || shown, 'profile: ' || line, 'comments: ' || said) AS part
+  FROM c LEFT JOIN shown USING (user_id) LEFT JOIN p USING (user_id) LEFT JOIN said USING (user_id) WHERE position <= 50)
+SELECT content_id, batch, string_agg(part, chr(10) || chr(10) ORDER BY position) AS packet FROM l GROUP BY 1, 2""")
 def review_packets(spark, sf_dir):
     """A text for each batch of five candidates, for an outside reviewer or model."""
-    rows = scoring.batches(A.scored_users(spark, sf_dir).filter("score >= 20"), 5, F.desc("score"), F.col("user_id"))
-    line = F.format_string("user %d: score %.1f", F.col("user_id"), F.col("score"))
-    lines = rows.groupBy("content_id", "batch").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "user_id", line.alias("line")))).alias("l"))
-    return lines.select("content_id", "batch", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("packet"))
+    u = A.users(spark, sf_dir)
+    profiles = u.select("user_id", X.profile_line(F.col("avatar"), F.col("post_count"), F.col("upload_count"), F.col("sign")).alias("line"))
+    return scoring.review_packets(scored_profiles(spark, sf_dir), A.comments_text(spark, sf_dir), profiles)
 
 
 @query(f"WITH {SCORED}, s AS (SELECT content_id, count(*) AS t, count(*) FILTER (score >= 60) AS h, count(*) FILTER (score >= 30 AND score < 60) AS m FROM scored GROUP BY 1) SELECT content_id, t || ' users commented. ' || h || ' are high risk (' || printf('%.1f', round(h / t * 100, 1)) || '%), ' || m || ' medium (' || printf('%.1f', round(m / t * 100, 1)) || '%).' AS summary FROM s")
@@ -460,6 +484,14 @@ def summary_text(spark, sf_dir):
     return flagship.summary_text(stats).select("content_id", "summary")
 
 
+@query(f"""WITH {SCORED}, {VERDICTS}, k AS (SELECT content_id, type_id, count(*) AS n FROM scored JOIN verdicts USING (user_id) GROUP BY 1, 2), t AS (SELECT content_id, sum(n) AS total, coalesce(sum(n) FILTER (type_id > 0), 0) AS found FROM k GROUP BY 1)
+SELECT content_id, total || ' users reviewed, ' || found || ' confirmed.' || coalesce(' By type: ' || (SELECT string_agg('type ' || type_id || ' ' || n, ', ' ORDER BY n DESC, type_id) FROM k WHERE k.content_id = t.content_id AND type_id > 0) || '.', '') AS sentence FROM t""")
+def verdict_sentences(spark, sf_dir):
+    """What the verdicts say of each content: users reviewed, confirmed, and by type."""
+    rows = A.scored_users(spark, sf_dir).join(A.verdicts(spark, sf_dir), "user_id")
+    return flagship.verdict_sentences(rows).select("content_id", "sentence")
+
+
 @query()
 def analyze_all(spark, sf_dir):
     """The flagship: every content's comments analysed in one job."""
@@ -468,9 +500,13 @@ def analyze_all(spark, sf_dir):
 
 @query()
 def report_document(spark, sf_dir):
-    """The report of each content as one JSON document."""
-    rows = analyze_all(spark, sf_dir)
-    return rows.select("content_id", F.to_json(F.struct(*[c for c in rows.columns if c != "content_id"])).alias("report"))
+    """The report of each content, written as JSON by content and read back."""
+    comments = with_times(spark, sf_dir)
+    meta = A.table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("content_id")).agg(F.countDistinct("source").alias("n_sources"), F.count("*").alias("n_rows"))
+    reports = flagship.report_documents(comments, A.users(spark, sf_dir), A.posts(spark, sf_dir), meta, LEXICONS, AS_OF)
+    path = shared_dir(spark, "reports")
+    files.write_rows(reports, path, "json", ["content_id"])
+    return spark.read.schema(reports.schema).json(path)
 
 
 REG_SQL = """WITH old AS (SELECT c_custkey AS user_id, c_name AS user_name, '' AS avatar, CAST(c_custkey % 101 AS DOUBLE) AS score, CASE WHEN c_custkey % 4 = 0 THEN 'manual' ELSE 'auto' END AS added_by, 1 AS nr, ['old'] AS sources, CASE WHEN c_custkey % 3 = 0 THEN 'seen' ELSE '' END AS notes FROM customer WHERE c_custkey % 3 <> 1),
@@ -503,7 +539,14 @@ def registry_merge(spark, sf_dir):
 
 @query(REG_SQL + " SELECT user_id, user_name, score, risk, added_by, reasons_count, sources_count FROM reg")
 def registry_export(spark, sf_dir):
-    return registry.exported(merged_registry(spark, sf_dir))
+    """Written as CSV with a header and as JSON, and read back from both: each gives every second row."""
+    rows = registry.exported(merged_registry(spark, sf_dir))
+    back = []
+    for k, form in enumerate(("csv", "json")):
+        path = shared_dir(spark, f"registry-{form}")
+        files.write_rows(rows, path, form)
+        back.append(files.read_rows(spark, path, form, rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")).filter(F.col("user_id") % 2 == k))
+    return back[0].unionByName(back[1])
 
 
 @query(REG_SQL + " SELECT count(*) AS total, count(*) FILTER (added_by = 'auto') AS auto, count(*) FILTER (added_by = 'manual') AS manual, count(*) FILTER (risk = 'high') AS high, count(*) FILTER (risk = 'medium') AS medium, count(*) FILTER (risk = 'low') AS low, round(avg(score), 1) AS avg_score FROM reg")
@@ -517,6 +560,28 @@ def registry_list(spark, sf_dir):
     return keyed.page(rows, [F.desc("score"), F.col("user_id")], 1, 20).select("user_id", "score", "total")
 
 
+@query(REG_SQL + ", r AS (SELECT user_id, reasons_count, row_number() OVER (ORDER BY reasons_count DESC, user_id) AS k FROM reg), t AS (SELECT user_id, row_number() OVER (ORDER BY user_id * 7919 % 1000, user_id) AS k FROM reg), n AS (SELECT count(*) AS total, CAST(ceil(count(*) / 25) AS BIGINT) AS total_pages FROM reg) SELECT 'reasons' AS sorted_by, user_id, total, total_pages FROM r, n WHERE k BETWEEN 26 AND 50 UNION ALL SELECT 'time', user_id, total, total_pages FROM t, n WHERE k <= 25")
+def registry_pages(spark, sf_dir):
+    """The second page by number of reasons, and the first by time, oldest first."""
+    rows = merged_registry(spark, sf_dir).withColumn("updated_at", F.timestamp_seconds(F.col("user_id") * 7919 % 1000))
+    pages = {"reasons": registry.listing_page(rows, 2, 25, "reasons"), "time": registry.listing_page(rows, 1, 25, "time", descending=False)}
+    found = [page.select(F.lit(name).alias("sorted_by"), "user_id", "total", "total_pages") for name, page in pages.items()]
+    return found[0].unionByName(found[1])
+
+
+@query(REG_SQL + " SELECT count(*) FILTER (o.k IS NOT NULL) AS removed, count(*) FILTER (o.k IS NULL) AS kept FROM reg LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P') o ON user_id = k")
+def registry_removed(spark, sf_dir):
+    gone = A.contents(spark, sf_dir).filter("status = 'P'").select(F.col("owner_id").alias("user_id"))
+    return registry.removed_count(merged_registry(spark, sf_dir), gone)
+
+
+@query(SCORE_SQL + ", e AS (SELECT user_id, unnest([{'f': 'f12', 'v': k / 5}, {'f': 'f15', 'v': CAST(f15 AS DOUBLE)}, {'f': 'f3', 'v': CAST(f3 AS DOUBLE)}, {'f': 'f4', 'v': CAST(f4 AS DOUBLE)}]) AS e FROM s WHERE score >= 70), r AS (SELECT user_id, e.f AS f, e.v AS v, row_number() OVER (PARTITION BY user_id ORDER BY e.v DESC, e.f) AS rank FROM e) SELECT user_id, s.score, 'engine: ' || string_agg(r.f, ', ' ORDER BY rank) AS reason FROM r JOIN s USING (user_id) WHERE rank <= 3 AND v > 0.3 GROUP BY 1, 2")
+def registry_reasons_named(spark, sf_dir):
+    """What the registry keeps of an analysis: the score and its three largest features."""
+    rows = registry.collected(scored_profiles(spark, sf_dir))
+    return rows.select("user_id", "score", F.get("reasons", F.lit(0))["type"].alias("reason"))
+
+
 @query(REG_SQL + " SELECT user_id, user_name, score, notes FROM reg WHERE user_id = 12")
 def registry_get(spark, sf_dir):
     return merged_registry(spark, sf_dir).filter("user_id = 12").select("user_id", "user_name", "score", "notes")
@@ -553,6 +618,5 @@ def registry_reasons(spark, sf_dir):
 @query(f"WITH {SCORED} SELECT user_id, CASE WHEN user_id = (SELECT min(doc_id) FROM labels WHERE toxic = 1) THEN 99 ELSE score END AS score FROM scored")
 def report_merge_one(spark, sf_dir):
     """The verdict on one user replaces the score of its report row only."""
-    first = A.verdicts(spark, sf_dir).filter("type_id = 1").agg(F.min("user_id").alias("user_id")).withColumn("given", F.lit(99.0))
-    rows = A.scored_users(spark, sf_dir).join(first, "user_id", "left")
-    return rows.select("user_id", F.coalesce("given", "score").alias("score"))
+    one = A.verdicts(spark, sf_dir).filter("type_id = 1").agg(F.min("user_id").alias("user_id")).withColumn("score", F.lit(99.0))
+    return scoring.merged_verdicts(A.scored_users(spark, sf_dir), one).select("user_id", "score")

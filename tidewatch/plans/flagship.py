@@ -70,10 +70,42 @@ def summary_text(stats: DataFrame) -> DataFrame:
     return stats.withColumn("summary", F.trim(text))
 
 
+def verdict_sentences(rows: DataFrame) -> DataFrame:
+    """A sentence for each content on its users' verdicts (content_id, type_id)."""
+    kinds = rows.filter("type_id IS NOT NULL").groupBy("content_id", "type_id").agg(F.count("*").alias("n"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("type_id") > 0, F.struct(-F.col("n"), F.col("type_id").alias("type_id"), F.col("n").alias("n")))))
+    sums = kinds.groupBy("content_id").agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("type_id") > 0, F.col("n"))), F.lit(0)).alias("found"), listed.alias("kinds"))
+    names = F.array_join(F.transform("kinds", lambda k: F.format_string("type %d %d", k["type_id"], k["n"])), ", ")
+    return sums.withColumn("sentence", F.concat(F.format_string("%d users reviewed, %d confirmed.", "total", "found"), F.when(F.size("kinds") > 0, F.concat(F.lit(" By type: "), names, F.lit("."))).otherwise("")))
+
+
+def report_documents(comments: DataFrame, users: DataFrame, posts: DataFrame, meta: DataFrame, lexicons: Lexicons, as_of: str, export_at: float = 70) -> DataFrame:
+    """One row for each content: meta, statistics, summary, suspects, cluster details, timeline, and the users to export.
+    ``meta`` has content_id and what is known of the content."""
+    members = written(similarity.cluster_members(comments), "cluster-members")
+    scored = written(scoring.with_scores(user_features(comments, users, posts, lexicons, as_of, members)), "scored-users")
+    rows = analysed(members, scored)
+    details = similarity.cluster_details(comments, members)
+    detail = F.struct("cluster_rank", "member_rank", "cluster_id", "size", "comment_id", "user_id", "text")
+    clusters = details.groupBy("content_id").agg(F.array_sort(F.collect_list(detail)).alias("clusters"))
+    times = timeseries.timeline(comments).groupBy("content_id").agg(F.array_sort(F.collect_list(F.struct("bin_start", "n"))).alias("timeline"))
+    export = scoring.ranked(scored, "content_id", "user_id").filter((F.col("score") >= export_at) & (F.col("rank") <= 500))
+    export = export.groupBy("content_id").agg(F.array_sort(F.collect_list(F.struct("rank", "user_id", "score"))).alias("export"))
+    known = meta.select("content_id", F.struct(*[c for c in meta.columns if c != "content_id"]).alias("meta"))
+    for part in (known, clusters, times, export):
+        rows = rows.join(part, "content_id", "left")
+    return rows
+
+
 def analyze_all(comments: DataFrame, users: DataFrame, posts: DataFrame, lexicons: Lexicons, as_of: str) -> DataFrame:
     """A row for each content: statistics, summary, and its twenty highest users as structs (a top-k report)."""
     members = written(similarity.cluster_members(comments), "cluster-members")
     scored = written(scoring.with_scores(user_features(comments, users, posts, lexicons, as_of, members)), "scored-users")
+    return analysed(members, scored)
+
+
+def analysed(members: DataFrame, scored: DataFrame) -> DataFrame:
+    """The analysis of each content from its cluster members and scored users."""
     stats = scoring.risk_statistics(scored, ["content_id"])
     clusters = members.groupBy("content_id").agg(F.countDistinct("cluster_id").alias("n_clusters"))
     best = scoring.ranked(scored, "content_id", "user_id").filter("rank <= 20")

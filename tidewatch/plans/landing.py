@@ -63,6 +63,16 @@ def read_posts(spark, sf_dir):
     return files.read_posts(spark, path)
 
 
+@query(f"WITH {USERS} SELECT 'BV' || user_id AS content_id, user_id AS owner_id, name AS title FROM users")
+def read_named_contents(spark, sf_dir):
+    """Files that do not name their content: the key comes from the file name."""
+    rows = A.users(spark, sf_dir)
+    path = shared_dir(spark, "named-contents")
+    keyed = rows.select(F.to_json(F.struct(F.col("user_id").alias("owner_mid"), F.col("name").alias("title"))).alias("value"), F.concat(F.lit("BV"), F.col("user_id").cast("string")).alias("name"))
+    files.write_named(keyed, path)
+    return files.read_contents(spark, path).select("content_id", "owner_id", "title")
+
+
 @query("SELECT count(*) FILTER (user_id % 7 <> 0) AS readable, count(*) FILTER (user_id % 7 = 0) AS quarantined FROM events")
 def quarantine_corrupt(spark, sf_dir):
     """Lines that break off are set aside, the others are read."""
@@ -104,15 +114,26 @@ def normalize_user(spark, sf_dir):
     return normalize.normalize_user(u.select(payload.alias("data"))).select("user_id", "name", "sign", "level", "follower", "post_count")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS post_id, CASE WHEN doc_id % 2 = 0 THEN left(text, 40) ELSE lang END AS text, doc_id % 3 = 0 OR doc_id % 5 = 0 AS is_repost FROM documents")
+@query("SELECT CAST(doc_id AS VARCHAR) AS post_id, coalesce(text, '') AS text, doc_id % 3 = 0 OR doc_id % 5 = 0 AS is_repost FROM documents")
 def normalize_posts(spark, sf_dir):
+    """Whole texts, in the module or in its description."""
     d = A.table(spark, sf_dir, "documents")
     key = F.col("doc_id")
-    module = F.struct(F.when(key % 2 == 0, F.substring("text", 1, 40)).alias("text"), F.struct(F.col("lang").alias("text")).alias("desc"))
+    module = F.struct(F.when(key % 2 == 0, F.col("text")).alias("text"), F.struct(F.when(key % 2 == 1, F.col("text")).alias("text")).alias("desc"))
     payload = F.to_json(F.struct(key.cast("string").alias("id_str"), F.when(key % 3 == 0, "DYNAMIC_TYPE_FORWARD").otherwise("DYNAMIC_TYPE_WORD").alias("type"), F.when(key % 5 == 0, F.struct(key.alias("id"))).alias("orig"), F.struct(module.alias("module_dynamic")).alias("modules")))
     return normalize.normalize_posts(d.select(payload.alias("data"))).select("post_id", "text", "is_repost")
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS post_id, CASE WHEN doc_id % 4 = 0 THEN source ELSE coalesce(text, '') END AS text, doc_id % 3 = 0 AS is_repost FROM documents")
+def normalize_posts_archive(spark, sf_dir):
+    """The variant in which the archive's title comes first and a label names reposts."""
+    d = A.table(spark, sf_dir, "documents")
+    key = F.col("doc_id")
+    archive = F.when(key % 4 == 0, F.struct(F.struct(F.col("source").alias("title")).alias("archive")))
+    payload = F.to_json(F.struct(key.cast("string").alias("id_str"), F.when(key % 3 == 0, "转发了").otherwise("投稿了").alias("action"), F.struct(F.struct("text", archive.alias("major")).alias("module_dynamic")).alias("modules")))
+    return normalize.normalize_posts(d.select(payload.alias("data")), archive_first=True).select("post_id", "text", "is_repost")
+
+
 @query("SELECT o_custkey AS owner_id, 'owner' || o_custkey AS owner_name, o_orderkey AS aid, o_orderstatus AS title, 83 AS duration_s FROM orders")
 def normalize_creator_listing(spark, sf_dir):
     rows = A.contents(spark, sf_dir)
@@ -126,6 +147,16 @@ def extract_page_state(spark, sf_dir):
     return A.table(spark, sf_dir, "pages").select("page_id", normalize.page_state(F.col("html"), r'var t="([^"]*)"').alias("state"))
 
 
+@query("SELECT page_id, CASE WHEN page_id % 4 <> 3 THEN '{\"url\":\"' || replace(url, '/', '/') || '\",\"note\":\"a }; b\"}' END AS state FROM pages WHERE NOT contains(url, '\"')")
+def extract_initial_state(spark, sf_dir):
+    """The default pattern, on a state whose strings hold what ends it elsewhere; every fourth page has none."""
+    pages = A.table(spark, sf_dir, "pages").filter(~F.col("url").contains('"'))
+    kind = F.col("page_id") % 4
+    state = F.concat(F.lit('<script>window.__INITIAL_STATE__ = {"url":"'), "url", F.lit('","note":"a }; b"}'))
+    end = F.when(kind == 0, ";(function(){var s;}());</script>").when(kind == 1, ";</script><p>};</p>").otherwise("</script>")
+    return pages.select("page_id", normalize.page_state(F.concat("html", F.when(kind != 3, F.concat(state, end)).otherwise(""))).alias("state"))
+
+
 @query("SELECT page_id, CAST(page_id % 7 AS INTEGER) AS level, coalesce(nullif(split_part(url, '/', 3), ''), 'x') AS sign FROM pages")
 def extract_page_fields(spark, sf_dir):
     """Profile fields behind each page's own markup."""
@@ -143,17 +174,17 @@ def extract_link_id(spark, sf_dir):
     return A.table(spark, sf_dir, "pages").select("page_id", normalize.link_id(link).alias("content_id"))
 
 
-@query("SELECT event_id AS overlay_id, event_type AS content_id, event_type AS text, CAST(floor(event_id / 2.0 * 1000) AS BIGINT) AS progress_ms, 25 AS font_size FROM events WHERE event_id % 4 <> 0")
+@query("SELECT event_id AS overlay_id, event_type AS content_id, event_type || ' <3' AS text, CAST(floor(event_id / 2.0 * 1000) AS BIGINT) AS progress_ms, 25 AS font_size FROM events WHERE event_id % 4 <> 0")
 def parse_overlay_xml(spark, sf_dir):
-    """Every fourth element has six attributes and is dropped."""
+    """Files of up to 500 elements; every fourth element has six attributes and is dropped, some carry further ones."""
     key = F.col("comment_id")
     attributes = F.concat_ws(",", (key / 2).cast("string"), F.lit("1"), F.lit("25"), F.lit("16777215"), F.lit("1700000000"), F.lit("0"), F.when(key % 4 != 0, "abcd"), F.when(key % 4 != 0, key.cast("string")))
-    xml = F.concat(F.lit('<d p="'), attributes, F.lit('">'), F.col("content_id"), F.lit("</d>"))
-    rows = A.comments_time(spark, sf_dir).groupBy("content_id", (key % 16).alias("part")).agg(F.concat(F.lit("<i>"), F.array_join(F.collect_list(xml), ""), F.lit("</i>")).alias("xml"))
+    xml = F.concat(F.when(key % 3 == 0, '<d id="1" p="').otherwise('<d p="'), attributes, F.when(key % 5 == 0, '" user="x">').otherwise('">'), F.col("content_id"), F.lit(" <3</d>"))
+    rows = A.comments_time(spark, sf_dir).groupBy("content_id", F.floor(key / 500).alias("part")).agg(F.concat(F.lit("<i>"), F.array_join(F.collect_list(xml), ""), F.lit("</i>")).alias("xml"))
     return normalize.parse_overlay_xml(rows).select("overlay_id", "content_id", "text", "progress_ms", "font_size")
 
 
-@query("SELECT event_id AS overlay_id, CAST(user_id AS INTEGER) AS progress_ms, event_type AS text FROM events")
+@query("SELECT event_id AS overlay_id, CAST(user_id AS INTEGER) AS progress_ms, event_type AS text, CAST(user_id % 11 AS INTEGER) AS weight, CAST(event_id % 3 AS INTEGER) AS pool, CAST(event_id AS VARCHAR) AS id_text, 5 AS attributes FROM events")
 def decode_overlay_segments(spark, sf_dir):
     """Binary segments of one element each, assembled from the events."""
 
@@ -162,19 +193,23 @@ def decode_overlay_segments(spark, sf_dir):
         parts = [F.lpad(F.hex(F.shiftright(value, 7 * i).bitwiseAND(127) + (128 if i < 2 else 0)), 2, "0") for i in range(3)]
         return F.concat(*parts)
 
-    text = F.hex(F.col("content_id").cast("binary"))
-    body = F.concat(F.lit("08"), varint(F.col("comment_id")), F.lit("10"), varint(F.col("user_id")), F.lit("3A"), F.lpad(F.hex(F.octet_length("content_id")), 2, "0"), text)
+    def text_field(tag, value):
+        return F.concat(F.lit(tag), F.lpad(F.hex(F.octet_length(value)), 2, "0"), F.hex(value.cast("binary")))
+
+    numbers = [("08", F.col("comment_id")), ("10", F.col("user_id")), ("48", F.col("user_id") % 11), ("58", F.col("comment_id") % 3), ("68", F.lit(5).cast("long"))]
+    body = F.concat(*[F.concat(F.lit(tag), varint(value)) for tag, value in numbers], text_field("3A", F.col("content_id")), text_field("62", F.col("comment_id").cast("string")))
     segment = F.unhex(F.concat(F.lit("0A"), F.lpad(F.hex(F.length(body) / 2), 2, "0"), body))
     rows = A.comments_time(spark, sf_dir).select(F.col("comment_id").cast("string").alias("path"), segment.alias("content"))
-    return normalize.decode_overlay_segments(rows).select("overlay_id", "progress_ms", "text")
+    return normalize.decode_overlay_segments(rows).select("overlay_id", "progress_ms", "text", "weight", "pool", "id_text", "attributes")
 
 
-@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS seen_at, o_custkey AS like_count, CAST(o_orderkey AS VARCHAR) AS content_id FROM orders")
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS seen_at, o_custkey AS like_count, CAST(o_orderkey AS VARCHAR) AS content_id, CASE WHEN o_orderkey % 3 <> 0 THEN left('said ' || o_orderstatus || repeat(' x', CAST(o_orderkey % 300 AS INTEGER)), 500) END AS body FROM orders")
 def parse_history_card(spark, sf_dir):
     rows = A.contents(spark, sf_dir)
-    card = F.concat(F.date_format("published_at", "yyyy/M/d H:m:s"), F.lit(" "), F.col("owner_id").cast("string"), F.lit("\ntext\nhttps://x/av"), F.col("content_id").cast("string"))
+    said = F.when(F.col("content_id") % 3 != 0, F.concat(F.lit("said\n"), "status", F.repeat(F.lit(" x"), (F.col("content_id") % 300).cast("int")))).otherwise("y")
+    card = F.concat(F.date_format("published_at", "yyyy/M/d H:m:s"), F.lit(" "), F.col("owner_id").cast("string"), F.lit("\n"), said, F.lit("\nhttps://x/av"), F.col("content_id").cast("string"))
     when, likes, content = normalize.parse_history_card(card)
-    return rows.select(F.col("content_id").alias("id"), F.date_format(when, "yyyy-MM-dd HH:mm:ss").alias("seen_at"), likes.alias("like_count"), content.alias("content_id"))
+    return rows.select(F.col("content_id").alias("id"), F.date_format(when, "yyyy-MM-dd HH:mm:ss").alias("seen_at"), likes.alias("like_count"), content.alias("content_id"), normalize.history_text(card).alias("body"))
 
 
 @query("SELECT 'search:' || n_name || ':1-' || n_regionkey + 1 AS uri, 'search' AS kind, n_name AS value, CAST(unnest(generate_series(1, n_regionkey + 1)) AS INTEGER) AS page FROM nation")

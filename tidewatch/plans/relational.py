@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidewatch.operators import features, keyed, scoring
 from tidewatch.plans.registered import COMMENTS, CONTENTS, POSTS, SEQ, SEQ_DESC, TEXTS, THREADS, TIMED, USERS, VERDICTS, query
 from tidewatch.sources import adapters as A
+from tidewatch.sources import files
+from tidewatch.sources.storage import shared_dir
 
 KEPT = ["comment_id", "content_id", "user_id", "like_count", "reply_count"]
 
@@ -169,11 +171,17 @@ def content_status(spark, sf_dir):
     return A.contents(spark, sf_dir).join(counts, "content_id", "left").select("content_id", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("status") == "F", "analysed").otherwise("waiting").alias("state"))
 
 
-@query(f"WITH {COMMENTS} SELECT content_id, count(*) AS collected, sum(like_count) AS declared, round(count(*) / sum(like_count), 6) AS coverage, count(*) / sum(like_count) < 0.04 AS low FROM comments GROUP BY 1")
+@query(f"WITH {COMMENTS} SELECT content_id, count(*) AS collected, sum(like_count) AS declared, round(count(*) / sum(like_count), 6) AS coverage, count(*) / sum(like_count) < 0.3 AS low FROM comments GROUP BY 1")
 def collection_coverage(spark, sf_dir):
     rows = A.comments_rel(spark, sf_dir).groupBy("content_id").agg(F.count("*").alias("collected"), F.sum("like_count").alias("declared"))
-    share = F.try_divide("collected", "declared")
-    return rows.select("content_id", "collected", "declared", F.round(share, 6).alias("coverage"), (share < 0.04).alias("low"))
+    return keyed.coverage(rows).withColumn("coverage", F.round("coverage", 6))
+
+
+@query(f"WITH {COMMENTS} SELECT CASE WHEN reply_count = 0 THEN -404 WHEN reply_count < 3 THEN -412 ELSE 12002 END AS code, count(*) AS n, count(DISTINCT content_id) AS n_contents FROM comments WHERE reply_count <> 5 GROUP BY 1")
+def failure_codes(spark, sf_dir):
+    """How often each code stands for a failed request; a code of 0 is none."""
+    code = F.when(F.col("reply_count") == 0, -404).when(F.col("reply_count") < 3, -412).when(F.col("reply_count") == 5, 0).otherwise(12002)
+    return keyed.failure_codes(A.comments_rel(spark, sf_dir).withColumn("code", code))
 
 
 @query(f"WITH {TEXTS}, {POSTS} SELECT user_id, count(*) FILTER (is_repost) AS reposts, count(*) AS n_posts FROM posts GROUP BY 1")
@@ -191,14 +199,12 @@ def overlays_page(spark, sf_dir):
     return keyed.page(A.comments_time(spark, sf_dir), [F.col("seq")], 1, 50).select("comment_id", "content_id", "total")
 
 
-@query(f"WITH {THREADS}, pg AS (SELECT comment_id FROM threads WHERE root_id = 0 ORDER BY comment_id DESC LIMIT 20) SELECT p.comment_id AS root, count(t.comment_id) AS n_replies, coalesce(string_agg(CAST(t.comment_id AS VARCHAR), ',' ORDER BY t.seq), '') AS replies FROM pg p LEFT JOIN threads t ON t.root_id = p.comment_id GROUP BY 1")
+@query(f"WITH {THREADS}, pg AS (SELECT comment_id FROM threads WHERE root_id = 0 ORDER BY comment_id DESC LIMIT 20 OFFSET 20) SELECT p.comment_id AS root, count(t.comment_id) AS n_replies, coalesce(string_agg(CAST(t.comment_id AS VARCHAR) || ' ' || t.user_name, ',' ORDER BY t.seq), '') AS replies, (SELECT count(*) FROM threads WHERE root_id = 0) AS total FROM pg p LEFT JOIN threads t ON t.root_id = p.comment_id GROUP BY 1")
 def comment_tree(spark, sf_dir):
-    """A page of roots, newest first, each with its replies in order; replies are gathered for the page's roots only."""
-    rows = A.threads(spark, sf_dir)
-    roots = rows.filter("root_id = 0").orderBy(F.desc("comment_id")).limit(20).select(F.col("comment_id").alias("root"))
-    replies = rows.join(F.broadcast(roots), F.col("root_id") == F.col("root")).groupBy("root").agg(F.array_sort(F.collect_list(F.struct("seq", "comment_id"))).alias("r"))
-    ids = F.array_join(F.transform("r", lambda x: x["comment_id"].cast("string")), ",")
-    return roots.join(replies, "root", "left").select("root", F.coalesce(F.size("r"), F.lit(0)).cast("long").alias("n_replies"), F.coalesce(ids, F.lit("")).alias("replies"))
+    """The second page of roots, newest first, each with its replies in order."""
+    tree = keyed.comment_tree(A.threads(spark, sf_dir), 2, 20)
+    said = F.array_join(F.transform("replies", lambda x: F.concat_ws(" ", x["comment_id"].cast("string"), x["user_name"])), ",")
+    return tree.select(F.col("comment_id").alias("root"), F.coalesce(F.size("replies"), F.lit(0)).cast("long").alias("n_replies"), F.coalesce(said, F.lit("")).alias("replies"), "total")
 
 
 @query(f"WITH {COMMENTS} SELECT comment_id, user_id, like_count FROM comments WHERE content_id = 42 ORDER BY created_at DESC, comment_id, user_id, like_count LIMIT 10")
@@ -251,6 +257,32 @@ def total_high_risk(spark, sf_dir):
     return A.scored_users(spark, sf_dir).agg(F.count_if(F.col("score") >= scoring.HIGH).alias("total_high_risk"), F.countDistinct("content_id").alias("reports"))
 
 
-@query(f"WITH {TIMED} SELECT user_id, count(*) AS n_comments, count(DISTINCT content_id) AS n_contents, max(like_count) AS most_likes FROM timed WHERE user_id = 7 GROUP BY 1")
+@query(f"""WITH {TIMED}, {USERS}, c AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, comment_id) AS k FROM timed WHERE user_id = 7)
+SELECT c.user_id, 7.5 AS score, u.user_id IS NOT NULL AS profile_present, CAST(CASE WHEN registered_raw LIKE '20__-%' THEN left(registered_raw, 4) ELSE '{features.YEAR_BANDS[0][1]}' END AS INTEGER) AS year, count(*) AS n_comments, string_agg(CAST(comment_id AS VARCHAR), ',' ORDER BY k) FILTER (k <= 5) AS latest
+FROM c LEFT JOIN users u USING (user_id) GROUP BY ALL""")
 def user_detail(spark, sf_dir):
-    return A.comments_time(spark, sf_dir).filter("user_id = 7").groupBy("user_id").agg(F.count("*").alias("n_comments"), F.countDistinct("content_id").alias("n_contents"), F.max("like_count").alias("most_likes"))
+    """One user's report row, latest comments, profile flag and year of registration (from the id where none is known)."""
+    comments = A.comments_time(spark, sf_dir)
+    report = spark.range(1).select(F.lit(7).cast("long").alias("user_id"), F.lit(7.5).alias("score"))
+    detail = keyed.user_detail(7, report, comments, A.users(spark, sf_dir))
+    latest = F.array_join(F.transform("latest", lambda x: x["comment_id"].cast("string")), ",")
+    return detail.select("user_id", "score", "profile_present", "year", "n_comments", latest.alias("latest"))
+
+
+@query(f"WITH {CONTENTS} SELECT owner_id, content_id, CAST(row_number() OVER (PARTITION BY owner_id ORDER BY published_at DESC, content_id) AS BIGINT) AS place FROM (SELECT DISTINCT owner_id, content_id, published_at FROM contents)")
+def creator_listing_files(spark, sf_dir):
+    """The listing written by owner bucket, rows in order within each file, and read back."""
+    rows = A.contents(spark, sf_dir).dropDuplicates(["owner_id", "content_id"]).select("owner_id", "content_id", "published_at")
+    path = shared_dir(spark, "creator-listing")
+    files.write_bucketed(rows, path, "owner_id", 16, F.desc("published_at"), F.col("content_id"))
+    back = files.read_bucketed(spark, path)
+    place = F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc("published_at"), "content_id"))
+    return back.select("owner_id", "content_id", place.cast("long").alias("place"))
+
+
+@query(f"WITH {COMMENTS} SELECT comment_id, content_id, user_id, like_count FROM comments WHERE content_id IN (7, 32, 99)")
+def store_lookup(spark, sf_dir):
+    """A typed table stored by content bucket; the lookup reads the buckets of its keys only."""
+    path = shared_dir(spark, "comment-store")
+    files.write_bucketed(A.comments_rel(spark, sf_dir).drop("seq"), path, "content_id", 32, F.col("created_at"))
+    return files.lookup_bucketed(spark, path, "content_id", [7, 32, 99], 32).select("comment_id", "content_id", "user_id", "like_count")

@@ -93,8 +93,8 @@ def normalize_listing(payloads: DataFrame, text: str = "data") -> DataFrame:
     )
 
 
-def page_state(html: Column, pattern: str = r"(?s)window\.__INITIAL_STATE__\s*=\s*(\{.*?\});") -> Column:
-    """The state object that a page embeds; null without one."""
+def page_state(html: Column, pattern: str = r"(?s)window\.__INITIAL_STATE__\s*=\s*(\{.*?\})\s*;?\s*(?:\(function|</script>|\z)") -> Column:
+    """The state object that a page embeds, up to what may follow it: a function, the script's end or the text's; null without one."""
     return F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
 
 
@@ -113,7 +113,7 @@ def link_id(url: Column) -> Column:
 def parse_overlay_xml(files: DataFrame, xml: str = "xml") -> DataFrame:
     """Timed comments of an overlay file; elements with fewer than seven attributes or unreadable numbers are left out.
     Rows without an id get the hash of their content as id."""
-    pattern = r"<d p=\"([^\"]*)\">([^<]*)</d>"
+    pattern = r"(?s)<d\b[^>]*?\bp=\"([^\"]*)\"[^>]*>(.*?)</d>"
     both = F.arrays_zip(F.regexp_extract_all(xml, F.lit(pattern), 1).alias("p"), F.regexp_extract_all(xml, F.lit(pattern), 2).alias("text"))
     rows = files.select("content_id", F.explode(both).alias("d")).select("content_id", F.split("d.p", ",").alias("p"), F.col("d.text").alias("text")).filter(F.size("p") >= 7)
     at = lambda i: F.get("p", F.lit(i))
@@ -139,6 +139,13 @@ def parse_history_card(text: Column) -> tuple[Column, Column, Column]:
     return when, F.regexp_extract(text, head, 2).try_cast("long"), content
 
 
+def history_text(text: Column, most: int = 500) -> Column:
+    """What a history card says beside its head and its links, cut; null below two characters."""
+    body = F.regexp_replace(text, r"(?m)^.*\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\s+\d+.*$|https?://\S+", "")
+    body = F.trim(F.regexp_replace(body, r"\s+", " "))
+    return F.when(F.length(body) >= 2, F.substring(body, 1, most))
+
+
 def parse_seed_uri(seeds: DataFrame, uri: str = "uri") -> DataFrame:
     """kind, value and page of seeds like ``hot``, ``bvid:x``, ``search:word:1-3``; a page range gives a row for each page."""
     kind, value, pages = (F.split_part(uri, F.lit(":"), F.lit(i)) for i in (1, 2, 3))
@@ -158,9 +165,9 @@ def split_ids(rows: DataFrame, text: str) -> DataFrame:
     return rows.select(F.explode(F.split(text, r"[,\s]+")).alias("part")).select(F.col("part").try_cast("long").alias("user_id")).filter("user_id > 0")
 
 
-OVERLAY_SEGMENT = "path string, overlay_id long, progress_ms int, mode int, font_size int, color long, sender_hash string, text string, sent_s long"
+OVERLAY_SEGMENT = "path string, overlay_id long, progress_ms int, mode int, font_size int, color long, sender_hash string, text string, sent_s long, weight int, action string, pool int, id_text string, attributes int"
 #: Field numbers of an overlay element in a segment.
-SEGMENT_FIELDS = {1: "overlay_id", 2: "progress_ms", 3: "mode", 4: "font_size", 5: "color", 6: "sender_hash", 7: "text", 8: "sent_s"}
+SEGMENT_FIELDS = {1: "overlay_id", 2: "progress_ms", 3: "mode", 4: "font_size", 5: "color", 6: "sender_hash", 7: "text", 8: "sent_s", 9: "weight", 10: "action", 11: "pool", 12: "id_text", 13: "attributes"}
 
 
 def varint(data: bytes, at: int) -> tuple[int, int]:
