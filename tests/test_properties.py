@@ -40,3 +40,41 @@ def test_formats(spark, form):
     path = shared_dir(spark, f"rows-{form}")
     write_rows(rows, path, form)
     assert sorted(map(tuple, read_rows(spark, path, form, "user_id long, name string, level int").collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_named_stores(spark, tmp_path):
+    from tidewatch.sources import files
+
+    files.register_store("by_user", "json", ["user_id"], timestampFormat="yyyy")
+    rows = spark.range(6).selectExpr("id", "id % 2 AS user_id")
+    for store in ("parquet", "csv", "by_user"):
+        files.save_to(store, rows, f"{tmp_path}/{store}")
+        back = files.load_from(spark, store, f"{tmp_path}/{store}", "id long, user_id long")
+        assert sorted(map(tuple, back.select("id", "user_id").collect())) == [(i, i % 2) for i in range(6)]
+
+
+def test_all_features_are_the_single_ones(spark):
+    """One aggregation gives what the functions for single features give, and the report counts these users."""
+    from tidewatch.operators import features
+
+    sf_dir = "/root/testdata/sf0.001"
+    comments, lexicons = analysis.with_times(spark, sf_dir), analysis.LEXICONS
+    rows = {(r["content_id"], r["user_id"]): r.asDict() for r in analysis.all_features(spark, sf_dir).collect()}
+    parts = {
+        "f6": timeseries.burst_scores(comments).withColumnRenamed("score", "f6"),
+        "f7": features.sentiment_extreme(comments, lexicons.positive, lexicons.negative),
+        "f15": features.spam_lexicon(comments, lexicons.spam_hard, lexicons.spam_soft),
+        "f16": timeseries.time_regularity(comments),
+        "f8": features.comment_stats(comments).select("content_id", "user_id", features.like_ratio(F.col("avg_like")).alias("f8")),
+    }
+    for name, part in parts.items():
+        single = {(r["content_id"], r["user_id"]): r[name] for r in part.collect()}
+        assert single.keys() <= rows.keys()
+        assert all(row[name] == pytest.approx(single.get(key) or 0.0, abs=1e-9) for key, row in rows.items())
+    posts = {r["user_id"]: r["f14"] for r in features.post_lexicon(A.posts(spark, sf_dir), lexicons.posts).collect()}
+    assert all(row["f14"] == posts.get(user, 0.0) for (_, user), row in rows.items())
+    scores = {key: r["score"] for r in scoring.with_scores(analysis.all_features(spark, sf_dir)).collect() if (key := (r["content_id"], r["user_id"]))}
+    for report in analysis.analyze_all(spark, sf_dir).collect():
+        own = {u: s for (c, u), s in scores.items() if c == report["content_id"]}
+        assert report["total_users"] == len(own) and report["high"] + report["medium"] + report["low"] == len(own)
+        assert [x["rank"] for x in report["suspects"]] == list(range(1, min(20, len(own)) + 1)) and {x["user_id"] for x in report["suspects"]} <= own.keys()

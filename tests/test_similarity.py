@@ -151,16 +151,33 @@ def test_whole_texts_are_compared(spark):
 
 def test_templating_like_a_loop(spark):
     rows = short_comments(4)
-    found = {(r["content_id"], r["user_id"]): (r["n_pairs"], r["mean_ratio"], r["templated"]) for r in similarity.templating(spark.createDataFrame(rows, COMMENTS)).collect()}
+    found = {(r["content_id"], r["user_id"]): (r["n_pairs"], r["mean_ratio"], r["templated"], r["examples"]) for r in similarity.templating(spark.createDataFrame(rows, COMMENTS)).collect()}
     wanted = {}
     for key in {(r[0], r[2]) for r in rows}:
         texts = [r[3] for r in rows if (r[0], r[2]) == key and r[3] and len(r[3]) >= similarity.MIN_LENGTH]
-        ratios = [v for i in range(len(texts)) for j in range(i + 1, min(i + 10, len(texts))) if (v := difflib.SequenceMatcher(None, texts[i], texts[j]).ratio()) >= 0.60]
-        if ratios:
-            wanted[key] = (len(ratios), pytest.approx(round(sum(ratios) / len(ratios), 6), abs=2e-6), sum(ratios) / len(ratios) >= 0.70)
+        pairs = [(texts[i], texts[j]) for i in range(len(texts)) for j in range(i + 1, min(i + 10, len(texts)))]
+        near = [(v, a[:50] + " / " + b[:50]) for a, b in pairs if (v := difflib.SequenceMatcher(None, a, b).ratio()) >= 0.60]
+        if near:
+            mean = sum(v for v, _ in near) / len(near)
+            wanted[key] = (len(near), pytest.approx(round(mean, 6), abs=2e-6), mean >= 0.70, [t for _, t in near[:2]])
     assert found.keys() == wanted.keys() and all(found[k] == wanted[k] for k in wanted)
 
 
+def test_digest_like_a_loop(spark):
+    rows = short_comments(5)
+    frame = spark.createDataFrame(rows, COMMENTS)
+    found = {r["user_id"]: r for r in similarity.comment_digest(frame, ["a"], ["b"]).collect()}
+    kept = {r["comment_id"] for r in similarity.near_dup_dedup(frame).collect()}
+    for user in {r[2] for r in rows}:
+        own = [r for r in rows if r[2] == user]
+        lengths = [len(r[3]) for r in own if r[3] is not None]
+        r = found[user]
+        assert (r["n"], r["n_kept"]) == (len(own), sum(o[1] in kept for o in own))
+        assert r["avg_length"] == pytest.approx(round(sum(lengths) / len(lengths), 1), abs=0.051)
+        assert r["examples"] == [None if o[3] is None else o[3][:50] for o in own[:3]]
+        assert r["n_unique"] == len({None if o[3] is None else o[3].strip() for o in own})
+
+
 def test_empty_comments(spark):
     none = spark.createDataFrame([], COMMENTS)
     for df in (similarity.similar_pairs(none), similarity.cluster_members(none), similarity.near_dup_dedup(none), similarity.templating(none)):

@@ -265,13 +265,34 @@ def sentiment_share(comments: DataFrame, keys: list[str], positive: list[str], n
     return comments.groupBy(*keys).agg(share(good & ~bad).alias("positive"), share(bad & ~good).alias("negative"), share(good == bad).alias("neutral"))
 
 
-def templating(comments: DataFrame, threshold: float = 0.60, flag_at: float = 0.70, ahead: int = 9, cut: int | None = None) -> DataFrame:
-    """Mean ratio of a user's texts and their next ``ahead`` ones that reach the threshold, and whether it speaks of a template."""
+def templating(comments: DataFrame, threshold: float = 0.60, flag_at: float = 0.70, ahead: int = 9, cut: int | None = None, most: int = 2, example_cut: int = 50) -> DataFrame:
+    """Mean ratio of a user's texts and their next ``ahead`` ones that reach the threshold, whether it speaks of a template,
+    and the first ``most`` such pairs, cut."""
     body = preprocess(F.col("text"))
     body = body if cut is None else F.substring(body, 1, cut)
     rows = comments.select("content_id", "user_id", "seq", body.alias("body")).filter(F.length("body") >= MIN_LENGTH)
     own = Window.partitionBy("content_id", "user_id").orderBy("seq")
     following = rows.withColumn("following", F.array(*[F.lead("body", k).over(own) for k in range(1, ahead + 1)]))
-    pairs = following.select("content_id", "user_id", "body", F.explode(F.array_compact("following")).alias("other"))
-    near = pairs.select("content_id", "user_id", ratio("body", "other").alias("ratio")).filter(F.col("ratio") >= threshold)
-    return near.groupBy("content_id", "user_id").agg(F.count("*").alias("n_pairs"), F.round(F.avg("ratio"), 6).alias("mean_ratio")).withColumn("templated", F.col("mean_ratio") >= flag_at)
+    pairs = following.select("content_id", "user_id", "seq", "body", F.posexplode(F.array_compact("following")).alias("k", "other"))
+    near = pairs.withColumn("ratio", ratio("body", "other")).filter(F.col("ratio") >= threshold)
+    near = near.select("content_id", "user_id", "ratio", *[F.substring(c, 1, example_cut).alias(c) for c in ("body", "other")], F.row_number().over(Window.partitionBy("content_id", "user_id").orderBy("seq", "k")).alias("place"))
+    example = F.when(F.col("place") <= most, F.struct("place", F.concat_ws(" / ", "body", "other").alias("texts")))
+    sums = near.groupBy("content_id", "user_id").agg(F.count("*").alias("n_pairs"), F.round(F.avg("ratio"), 6).alias("mean_ratio"), F.array_sort(F.collect_list(example)).alias("examples"))
+    return sums.withColumn("templated", F.col("mean_ratio") >= flag_at).withColumn("examples", F.transform("examples", lambda e: e["texts"]))
+
+
+def comment_digest(comments: DataFrame, positive: list[str], negative: list[str], n_topics: int = 5, n_examples: int = 3, cut: int = 50) -> DataFrame:
+    """One row for each user: numbers of comments, of different ones and of those left by ``near_dup_dedup``, mean length,
+    sentiment shares, topics, template flag, and the first comments, cut."""
+    sizes = comments.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg(F.length("text")), 1).alias("avg_length"))
+    unique = exact_text_dedup(comments, ["user_id"]).groupBy("user_id").agg(F.count("*").alias("n_unique"))
+    kept = near_dup_dedup(comments).join(comments.select("comment_id", "user_id"), "comment_id").groupBy("user_id").agg(F.count("*").alias("n_kept"))
+    topics = top_topics(comments, ["user_id"], n_topics).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", "topic", "n"))).alias("topics"))
+    flags = templating(comments).groupBy("user_id").agg(F.max("templated").alias("templated"))
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("seq"))
+    first = comments.select("user_id", rank.alias("k"), F.substring("text", 1, cut).alias("text")).filter(F.col("k") <= n_examples)
+    examples = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("examples")).withColumn("examples", F.transform("examples", lambda e: e["text"]))
+    rows = sizes
+    for part in (unique, kept, sentiment_share(comments, ["user_id"], positive, negative), topics, flags, examples):
+        rows = rows.join(part, "user_id", "left")
+    return rows.withColumns({"templated": F.coalesce("templated", F.lit(False)), "n_kept": F.coalesce("n_kept", F.lit(0))})

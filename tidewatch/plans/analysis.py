@@ -121,13 +121,18 @@ def templating_indicator(spark, sf_dir):
 
 @query()
 def comment_digest(spark, sf_dir):
-    """Sizes, sentiment, topics and template flag of each user's texts."""
+    """Sizes, sentiment, topics, template flag and examples of each user's texts."""
+    return similarity.comment_digest(A.comments_text(spark, sf_dir), LEXICONS.positive, LEXICONS.negative)
+
+
+@query("SELECT count(*) AS n_rows, count(text) AS n_texts, max(length(text)) AS longest, count(*) FILTER (lang = 'en') AS n_en FROM documents")
+def run_metrics(spark, sf_dir):
+    """Numbers that a run reports of what it read, taken while its comments are cleaned."""
     rows = A.comments_text(spark, sf_dir)
-    sizes = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg(F.length("text")), 1).alias("avg_length"))
-    unique = similarity.exact_text_dedup(rows, ["user_id"]).groupBy("user_id").agg(F.count("*").alias("n_unique"))
-    topics = similarity.top_topics(rows, ["user_id"], 5).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", "topic", "n"))).alias("topics"))
-    flags = similarity.templating(rows).groupBy("user_id").agg(F.max("templated").alias("templated"))
-    return sizes.join(unique, "user_id", "left").join(similarity.sentiment_share(rows, ["user_id"], LEXICONS.positive, LEXICONS.negative), "user_id", "left").join(topics, "user_id", "left").join(flags, "user_id", "left").withColumn("templated", F.coalesce("templated", F.lit(False)))
+    counted = {"n_rows": F.count("*"), "n_texts": F.count("text"), "longest": F.max(F.length("text")), "n_en": F.count_if(F.col("content_id") == "en")}
+    watched, metrics = flagship.observed(rows, counted)
+    watched.select("comment_id", X.clean_comment(F.col("text")).alias("body")).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([tuple(metrics.get[c] for c in counted)], "n_rows long, n_texts long, longest long, n_en long")
 
 
 YEAR_SQL = "CASE " + " ".join(f"WHEN x < {int(b)} THEN {y}" for b, y in features.YEAR_BANDS) + f" ELSE {features.LAST_YEAR} END"

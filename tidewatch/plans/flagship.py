@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import any_hit
@@ -70,6 +70,12 @@ def summary_text(stats: DataFrame) -> DataFrame:
     return stats.withColumn("summary", F.trim(text))
 
 
+def observed(rows: DataFrame, counted: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """The rows, and the metrics that the first action on them gives."""
+    metrics = Observation()
+    return rows.observe(metrics, *[c.alias(name) for name, c in counted.items()]), metrics
+
+
 def verdict_sentences(rows: DataFrame) -> DataFrame:
     """A sentence for each content on its users' verdicts (content_id, type_id)."""
     kinds = rows.filter("type_id IS NOT NULL").groupBy("content_id", "type_id").agg(F.count("*").alias("n"))
