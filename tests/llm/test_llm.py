@@ -448,6 +448,43 @@ def test_label_model_finds_rates():
     assert ((model.posterior(votes) > 0.5) == truth).mean() > 0.96
 
 
+def test_classifier_learns_the_posterior():
+    """On rows of few terms, the classifier separates what the label model does, and its score is the plain formula."""
+    rng = np.random.default_rng(5)
+    model = toxicity.ToxicityModel(terms=[b"t%d " % i for i in range(8)], prior=0.3)
+    model.voter_of, model.n_voters = toxicity.deal_voters([(t, 10, 0) for t in model.terms])
+    rows = [sorted(rng.choice(8, rng.integers(*((4, 8) if i % 10 < 3 else (0, 2))), replace=False).tolist()) for i in range(600)]
+    votes = np.array([model.votes(r) for r in rows])
+    toxicity.fit_label_model(model, len(rows), votes.sum(0), votes.T @ votes)
+    toxicity.fit_classifier(model, rows)
+    posterior = model.posterior(votes)
+    scores = np.array([model.score(r) for r in rows])
+    for r, score in zip(rows[:50], scores, strict=False):
+        assert score == pytest.approx(1 / (1 + np.exp(-(model.bias + sum(model.weights[i] for i in r)))))
+    high, low = scores[posterior > 0.5], scores[posterior <= 0.5]
+    assert len(high) and len(low) and np.mean(high[:, None] > low[None, :]) > 0.9
+    # The optimum of the same weighted loss by plain, slow gradient steps.
+    counts = Counter(map(tuple, rows))
+    distinct = list(counts)
+    x = np.array([[i in r for i in range(len(model.weights))] for r in distinct], float)
+    goal = model.posterior(np.array([model.votes(list(r)) for r in distinct]))
+    weight = np.array([counts[r] for r in distinct], float)
+    weight *= goal / (weight * goal).sum() + (1 - goal) / (weight * (1 - goal)).sum()
+    loss = lambda w, b: -(weight * (goal * np.log(1e-12 + 1 / (1 + np.exp(-(x @ w + b)))) + (1 - goal) * np.log(1e-12 + 1 / (1 + np.exp(x @ w + b))))).sum()
+    w, b = np.zeros(x.shape[1]), 0.0
+    for _ in range(20_000):
+        error = weight * (1 / (1 + np.exp(-(x @ w + b))) - goal)
+        w, b = w - 0.3 * x.T @ error, b - 0.3 * error.sum()
+    assert loss(model.weights, model.bias) <= 1.05 * loss(w, b) + 0.01
+
+
+def test_toxicity_of_a_very_long_text(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    rows = [(i, "calm words here " * 5 + (f"vileword{i % 3} " * 3 if i % 2 else "")) for i in range(200)] + [(1_000, "calm words here " * 20_000 + "vileword1 vileword2"), (1_001, "calm words here " * 20_000)]
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs_of(spark, rows).withColumns({"Held_Out": F.lit(1), "SCORE": F.lit(2)}).drop("score"), labels).collect()}
+    assert found[1_000] >= found[1_001] and len(found) == 202
+
+
 # 10: byte-level BPE
 
 
@@ -472,6 +509,40 @@ def test_bpe_like_tiktoken(spark):
     assert byte_bpe.digests(docs_of(spark, []), BPE, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_all_documents(spark):
+    import tiktoken
+
+    d = "/root/testdata/sf0.01"
+    wanted = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(BPE), special_tokens={})
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    found = queries.op10_byte_bpe(spark, d).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        ids = wanted.encode_ordinary(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_token_files_of_all_documents(spark):
+    from tokenizers import Tokenizer
+
+    d, tokenizer, start = "/root/testdata/sf0.01", Tokenizer.from_file(WORDS), 0
+    found = {r["doc_id"]: r for r in queries.op6_token_files(spark, d).collect()}
+    for row in spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").collect():
+        ids = [*tokenizer.encode(row["text"] or "", add_special_tokens=False).ids, 1]
+        r = found[row["doc_id"]]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_coders_of_a_very_long_text(spark):
+    rows = [(1, "word, and more; " * 20_000), (None, "ab" * 50_000)]
+    clash = docs_of(spark, rows, extra=False).withColumns({"IDS": F.lit(1), "Start": F.lit(2), "N_TOKENS": F.lit(3)})
+    decoded = {r["doc_id"]: r["decoded_sha256"] for r in byte_bpe.digests(clash, BPE, public_tokenizers.PATTERN).collect()}
+    assert decoded == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows}
+    assert {r["doc_id"]: r["start"] for r in token_files.token_file_digests(clash, WORDS, 1).collect()}[None] == 0
+
+
 def test_bpe_columns(spark):
     coded = byte_bpe.decode_column(byte_bpe.encode_column(docs_of(spark, ODD), BPE, public_tokenizers.PATTERN), BPE, public_tokenizers.PATTERN)
     assert coded.columns == [c for c in docs_of(spark, ODD).columns if c != "ids"] + ["ids", "decoded"]

@@ -10,8 +10,9 @@ Texts are first cut in front of white space that follows other characters, where
 that equal pieces share one cached result in each Python worker. A full cache becomes the old generation, from which
 what is asked for again is taken over; this changes the speed only.
 
-Defined results: a null text counts as empty and has no tokens; other columns may have any name; repeated rows each give
-a row; an empty table gives an empty result.
+Defined results: a null text counts as empty and has no tokens; null ids are kept; very long texts and pre-tokens are
+coded whole; of equal ranks in a pre-token the leftmost pair is merged first; repeated rows each give a row; an empty table
+gives an empty result; other columns may have any name, names that differ in case only included.
 """
 
 from __future__ import annotations

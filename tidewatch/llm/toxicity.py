@@ -6,15 +6,16 @@
    insults and some patterns of spelling. A voter votes toxic for a text in which it finds something.
 3. Label model: means and covariances of the votes over all documents give each voter's rates on toxic and clean texts
    (method of moments over triplets of voters), and the excess covariance of a pair gives their correlation, by which
-   correlated voters count for less. No label enters but the share of toxic rows.
+   correlated voters count for less. Labels enter through the mined terms and the share of toxic rows only.
 4. A logistic regression on the terms of a bounded sample of rows learns the posterior of the label model.
 
-The labelled sample has at most about ``max_rows`` rows, chosen by a hash of the id; the statistics of step 3 and the
-scores cover all documents.
+The labelled sample has at most about ``max_rows`` rows, chosen by a hash of the id, and at most ``max_terms`` terms are
+kept, those of the most toxic rows; rows of the sample that share their smallest shingle hash count once. Both bounds are
+parameters; the statistics of step 3 and the scores cover all documents.
 
-Defined results: a null text counts as empty; an empty text gets the score of a text without any term; ids that are null
-have no label and are held out if the checksum of the empty text is divisible; repeated rows each give a row; without
-labels, or without toxic ones, nothing is mined and only the general lexicon and the patterns speak; other columns of
+Defined results: a null text counts as empty; an empty text gets the score of a text without any term; a very long text is
+scored whole; ids that are null have no label and are held out if the checksum of the empty text is divisible; repeated
+rows each give a row and are one row of the sample; terms of equal counts are ranked by text; without labels, or without toxic ones, nothing is mined and only the general lexicon and the patterns speak; other columns of
 either table are ignored and may have any name.
 """
 
@@ -135,7 +136,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     known = known.filter(fold_of("label_id") != 0).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, max_rows / max(1, known.count()))
     chosen = known.filter(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id").select("text", "toxic")
+    return docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id").dropDuplicates(["label_id", "text"]).select("text", "toxic")
 
 
 def mine_terms(sample: DataFrame, max_terms: int) -> tuple[list[tuple[bytes, int, int]], float]:
