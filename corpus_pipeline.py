@@ -4,8 +4,11 @@ Each stage takes the rows that the stage before kept, drops what it rejects and
 last one returns a row of token counts and digests for each document left. Between stages the rows are written as Parquet
 in the shared folder and read again.
 
-Defined results: documents with null texts count as empty and pass; exactly repeated rows leave one row at the near
-duplicate stage; an empty table gives an empty result.
+Defined results: documents with null texts count as empty and pass; of documents without words one of each text stays;
+very long texts are judged whole; rows of null id are kept and never have a label; exactly repeated rows leave one row at the
+near duplicate stage, and of rows with equal ids and different texts each is judged by its own text; further columns, also
+of names that the stages use themselves or that differ in case only, go through unchanged; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
