@@ -32,7 +32,8 @@ BANDS, ROWS = 48, 3
 MIN_LENGTH, SLICE = 5, 8_192
 #: Characters of a text whose similar texts are all found; from here on the ratio passes over frequent characters.
 SHORT = 199
-BLOCK = 1_024
+#: Rows of a block of a large set, of long and of short texts.
+BLOCK, SHORT_BLOCK = 1_024, 8_192
 #: Columns of the character bags; several characters may share one.
 BAG = 64
 
@@ -156,7 +157,7 @@ def pairs_in_sets(rows: DataFrame, n_set: DataFrame, threshold: float, short: in
     return dealt.groupBy(*CELL).applyInArrow(compare, f"content_id {content_type}, a long, b long, ratio double")
 
 
-def similar_pairs(comments: DataFrame, threshold: float = 0.75, reps: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def similar_pairs(comments: DataFrame, threshold: float = 0.75, reps: DataFrame | None = None, block: int | None = None) -> DataFrame:
     """(content_id, a, b, ratio) of representatives at or above the threshold; a is the smaller id."""
     space = Workspace(comments.sparkSession)
     reps = space.write(representatives(bodies(comments)), "representatives") if reps is None else reps
@@ -164,11 +165,11 @@ def similar_pairs(comments: DataFrame, threshold: float = 0.75, reps: DataFrame
     # Short texts and those that a short one can resemble are one set of their content.
     short = reps.filter(length * threshold <= SHORT * (2 - threshold)).select("content_id", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("key"), "rep", "body")
     short_sizes = short.groupBy("content_id", "band", "key").agg(F.count("*").alias("n_set"))
-    found = pairs_in_sets(short, short_sizes, threshold, SHORT, block)
+    found = pairs_in_sets(short, short_sizes, threshold, SHORT, block or SHORT_BLOCK)
     banded = space.write(reps.filter(length > SHORT).select("content_id", "rep", F.posexplode(band_hashes("body")).alias("band", "key")), "bands")
     sizes = space.write(banded.groupBy("content_id", "band", "key").agg(F.count("*").alias("n_set")).filter("n_set > 1"), "band-sizes")
     held = banded.join(sizes.drop("n_set"), ["content_id", "band", "key"]).join(reps.select("content_id", "rep", "body"), ["content_id", "rep"])
-    long = pairs_in_sets(held, sizes, threshold, None, block).dropDuplicates(["content_id", "a", "b"])
+    long = pairs_in_sets(held, sizes, threshold, None, block or BLOCK).dropDuplicates(["content_id", "a", "b"])
     return found.unionByName(long)
 
 
