@@ -28,12 +28,12 @@ from tidewatch.operators.graph import components
 from tidewatch.sources.storage import Workspace, written
 
 GRAM = 5
-BANDS, ROWS = 48, 3
+BANDS, ROWS = 64, 4
 MIN_LENGTH, SLICE = 5, 8_192
 #: Characters of a text whose similar texts are all found; from here on the ratio passes over frequent characters.
 SHORT = 199
-#: Rows of a block of a large set, of long and of short texts.
-BLOCK, SHORT_BLOCK = 1_024, 8_192
+#: Rows of a block of a large set.
+BLOCK = 1_024
 #: Columns of the character bags; several characters may share one.
 BAG = 64
 
@@ -103,9 +103,10 @@ def places_of(text: str) -> dict[str, int]:
     return places
 
 
-def cell_pairs(reps: list[int], texts: list[str], sides: np.ndarray, threshold: float, short: int | None):
+def cell_pairs(reps: list[int], texts: list[str], sides: np.ndarray, threshold: float, short: int | None, keys: np.ndarray, band: int):
     """(a, b, ratio), a < b, of the pairs of a cell at the threshold; ``sides`` are the blocks of the rows, and where a cell
-    has two, only pairs across them count. With ``short``, the shorter text of a pair has at most so many characters."""
+    has two, only pairs across them count. With ``short``, the shorter text of a pair has at most so many characters. With
+    ``keys``, the keys of all bands of each row, a pair counts in the first band that it shares, so once."""
     n = np.array([len(t) for t in texts])
     bags = character_bags(texts)
     across = len(np.unique(sides)) > 1
@@ -118,6 +119,8 @@ def cell_pairs(reps: list[int], texts: list[str], sides: np.ndarray, threshold:
         if across:
             fit &= sides[rest] != sides[i]
         near = np.nonzero(fit)[0] + i + 1
+        if keys.shape[1]:
+            near = near[(keys[near] == keys[i]).argmax(1) == band]
         near = near[2 * np.minimum(bags[near], bags[i]).sum(1) >= threshold * (n[near] + n[i]) - 1e-9]
         if not len(near):
             continue
@@ -134,22 +137,25 @@ def cell_pairs(reps: list[int], texts: list[str], sides: np.ndarray, threshold:
 CELL = ["content_id", "band", "key", "i", "j"]
 
 
-def pairs_in_sets(rows: DataFrame, n_set: DataFrame, threshold: float, short: int | None, block: int) -> DataFrame:
-    """(content_id, a, b, ratio) of the rows (content_id, band, key, rep, body) that share a set (content_id, band, key)
-    with ``n_set`` rows; large sets are dealt to cells of two blocks. A pair that shares several sets comes from each."""
+def pairs_in_sets(rows: DataFrame, n_set: DataFrame, threshold: float, short: int | None, block: int | None) -> DataFrame:
+    """(content_id, a, b, ratio) of the rows (content_id, band, key, keys, rep, body) that share a set (content_id, band, key)
+    with ``n_set`` rows; large sets are dealt to cells of two blocks of ``block`` rows, or of 8 times the square root of
+    their number, so that both the cells and the rows of a cell grow slowly."""
     import pyarrow as pa
 
-    n_blocks = F.ceil(F.col("n_set") / block).cast("int")
+    n_blocks = F.ceil(F.col("n_set") / block if block else F.sqrt("n_set") / 8).cast("int")
     dealt = rows.join(n_set, ["content_id", "band", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), n_blocks).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    dealt = dealt.select("content_id", "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "body")
+    dealt = dealt.select("content_id", "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "keys", "rep", "body")
     content_type = rows.schema["content_id"].dataType.simpleString()
 
     def compare(table: pa.Table) -> pa.Table:
         # Cells of two blocks hold the rows of both; where one of them is empty there is nothing to compare.
         sides = table.column("own").to_numpy()
         two = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        found = [] if two and len(np.unique(sides)) < 2 else list(cell_pairs(table.column("rep").to_pylist(), table.column("body").to_pylist(), sides, threshold, short))
+        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        rows_of_cell = table.column("rep").to_pylist(), table.column("body").to_pylist(), sides
+        found = [] if two and len(np.unique(sides)) < 2 else list(cell_pairs(*rows_of_cell, threshold, short, keys, table.column("band")[0].as_py()))
         content = table.column("content_id").combine_chunks().slice(0, 1).take(pa.array([0] * len(found), pa.int32()))
         columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
         return pa.table([content, *columns], ["content_id", "a", "b", "ratio"])
@@ -163,13 +169,16 @@ def similar_pairs(comments: DataFrame, threshold: float = 0.75, reps: DataFrame
     reps = space.write(representatives(bodies(comments)), "representatives") if reps is None else reps
     length = F.length("body")
     # Short texts and those that a short one can resemble are one set of their content.
-    short = reps.filter(length * threshold <= SHORT * (2 - threshold)).select("content_id", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("key"), "rep", "body")
+    short = reps.filter(length * threshold <= SHORT * (2 - threshold)).select("content_id", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("key"), F.array().cast("array<long>").alias("keys"), "rep", "body")
     short_sizes = short.groupBy("content_id", "band", "key").agg(F.count("*").alias("n_set"))
-    found = pairs_in_sets(short, short_sizes, threshold, SHORT, block or SHORT_BLOCK)
-    banded = space.write(reps.filter(length > SHORT).select("content_id", "rep", F.posexplode(band_hashes("body")).alias("band", "key")), "bands")
+    found = pairs_in_sets(short, short_sizes, threshold, SHORT, block)
+    sketched = space.write(reps.filter(length > SHORT).select("content_id", "rep", "body", band_hashes("body").alias("keys")), "sketched-texts")
+    banded = sketched.select("content_id", "rep", F.posexplode("keys").alias("band", "key"))
     sizes = space.write(banded.groupBy("content_id", "band", "key").agg(F.count("*").alias("n_set")).filter("n_set > 1"), "band-sizes")
-    held = banded.join(sizes.drop("n_set"), ["content_id", "band", "key"]).join(reps.select("content_id", "rep", "body"), ["content_id", "rep"])
-    long = pairs_in_sets(held, sizes, threshold, None, block or BLOCK).dropDuplicates(["content_id", "a", "b"])
+    # Only what shares a band meets its text again.
+    shared = banded.join(sizes.drop("n_set"), ["content_id", "band", "key"])
+    held = shared.join(sketched, ["content_id", "rep"])
+    long = pairs_in_sets(held, sizes, threshold, None, block or BLOCK)
     return found.unionByName(long)
 
 
