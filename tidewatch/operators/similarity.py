@@ -160,7 +160,9 @@ def pairs_in_sets(rows: DataFrame, n_set: DataFrame, threshold: float, short: in
         columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
         return pa.table([content, *columns], ["content_id", "a", "b", "ratio"])
 
-    return dealt.groupBy(*CELL).applyInArrow(compare, f"content_id {content_type}, a long, b long, ratio double")
+    # Cells are small and slow, so they are not merged into few tasks by their size.
+    n_tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n_tasks, *CELL).groupBy(*CELL).applyInArrow(compare, f"content_id {content_type}, a long, b long, ratio double")
 
 
 def similar_pairs(comments: DataFrame, threshold: float = 0.75, reps: DataFrame | None = None, block: int | None = None) -> DataFrame:
@@ -172,7 +174,8 @@ def similar_pairs(comments: DataFrame, threshold: float = 0.75, reps: DataFrame
     short = reps.filter(length * threshold <= SHORT * (2 - threshold)).select("content_id", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("key"), F.array().cast("array<long>").alias("keys"), "rep", "body")
     short_sizes = short.groupBy("content_id", "band", "key").agg(F.count("*").alias("n_set"))
     found = pairs_in_sets(short, short_sizes, threshold, SHORT, block)
-    sketched = space.write(reps.filter(length > SHORT).select("content_id", "rep", "body", band_hashes("body").alias("keys")), "sketched-texts")
+    n_tasks = int(comments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sketched = space.write(reps.filter(length > SHORT).repartition(n_tasks, "rep").select("content_id", "rep", "body", band_hashes("body").alias("keys")), "sketched-texts")
     banded = sketched.select("content_id", "rep", F.posexplode("keys").alias("band", "key"))
     sizes = space.write(banded.groupBy("content_id", "band", "key").agg(F.count("*").alias("n_set")).filter("n_set > 1"), "band-sizes")
     # Only what shares a band meets its text again.
