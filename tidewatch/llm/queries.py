@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import byte_bpe, decontaminate, licenses, lm_score, neardup, nearest, token_files, toxicity, url_filter, warc
-from tidewatch.llm.common import table
+from tidewatch.llm import bisector_means, byte_bpe, chat_format, decontaminate, filter_audit, licenses, lm_score, neardup, nearest, token_files, toxicity, url_filter, warc
+from tidewatch.llm.common import table, written
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(tricky, rows.schema))
+    return chat_format.digests(written(chat_format.format_chats(rows), "formatted-chats"))
+
+
+def op13_bisector_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisector_means.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_lm_score": op2_lm_score,
@@ -67,6 +82,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_chat_format": op12_chat_format,
+    "op13_bisector_means": op13_bisector_means,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,7 +93,64 @@ WORDS_SQL = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOW
 TEMPLATE_ROWS = ", ".join(f"('{text}', '{label}', {licenses.step_of(text)})" for text, label in licenses.TEMPLATES)
 PHRASE_ROWS = ", ".join(f"('{text}', '{label}')" for text, label in licenses.PHRASES)
 
+ORDER_ROWS = ", ".join(f"('{o}')" for o in filter_audit.ORDERS)
+FAILS = ["len(w) < 50", "100 * len(list_distinct(w)) < 65 * len(w)", "100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t)", "regexp_matches(t, '[#$%&*|]')", "coalesce(doc_id > first_id, false)"]
+BITS = " + ".join(f"CASE WHEN {c} THEN {1 << i} ELSE 0 END" for i, c in enumerate(FAILS))
+BEFORE = " + ".join(f"CASE WHEN instr(filter_order, '{c}') < step THEN {1 << i} ELSE 0 END" for i, c in enumerate(filter_audit.LETTERS))
+
+
+def escaped_sql(column: str) -> str:
+    return rf"regexp_replace(regexp_replace({column}, '(\[\\*)(/?(INST|ROLE)\])', '\1\\\2', 'g'), '(<\\*)(/?s>)', '\1\\\2', 'g')"
+
+
+def means_sql(k: int, rounds: int) -> str:
+    """Each round in common table expressions of its own: distances to all centroids, the nearest one, floors of the means."""
+    steps = [f"c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, v FROM kept ORDER BY h, v LIMIT {k}))"]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT id, vec_id, v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+          SELECT id, vec_id, kept.v, c, CAST(list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(kept.v, c{r}.v)]) AS BIGINT) AS d FROM kept, c{r}) GROUP BY ALL_KEYS)""".replace("ALL_KEYS", "id, vec_id, v"))
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n.v, c{r}.v) AS v FROM c{r} LEFT JOIN (
+          SELECT c, list(m ORDER BY i) AS v FROM (SELECT c, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS m FROM (
+            SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY c, i)) GROUP BY c) n USING (c))""")
+    return ", ".join(steps)
+
+
 ORACLE_SQL = {
+    "op11_filter_audit": rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents
+), marks AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS q, max(CAST(toxic = 1 AS INTEGER)) AS x FROM labels GROUP BY doc_id),
+counts AS (
+  SELECT part, {BITS} AS mask, count(*) AS n, sum(coalesce(q, 0)) AS good, sum(coalesce(x, 0)) AS toxic FROM docs LEFT JOIN marks USING (doc_id) GROUP BY ALL
+), steps AS (
+  SELECT filter_order, step, {BEFORE} AS before, 1 << CAST(instr('ABCDE', substr(filter_order, step, 1)) - 1 AS INTEGER) AS own
+  FROM (VALUES {ORDER_ROWS}) AS t(filter_order), (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)
+), sums AS (
+  SELECT part, filter_order, step, own, sum(n) FILTER (mask & (before | own) = 0) AS kept, sum(n) FILTER (mask & before = 0 AND mask & own > 0) AS removed,
+         sum(n) FILTER (mask & before > 0 AND mask & own > 0) AS redundant, sum(n) FILTER (mask = own) AS unique_fails,
+         sum(good) FILTER (mask & before = 0 AND mask & own > 0) AS good_lost, sum(toxic) FILTER (mask & before = 0 AND mask & own > 0) AS toxic_lost
+  FROM counts, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM sums""",
+    "op12_chat_format": rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length({escaped_sql("text")}) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 4 ELSE 20 + length({escaped_sql("role")}) END) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id""",
+    "op13_bisector_means": f"""
+WITH finite AS (SELECT vec_id, [CAST(x AS DOUBLE) for x in embedding] AS e FROM embeddings WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+kept AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, [CAST(floor(1024 * x) AS BIGINT) for x in e] AS v FROM finite),
+{means_sql(bisector_means.K, bisector_means.ROUNDS)}
+SELECT vec_id, CAST(a.c AS INTEGER) AS "cluster", d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(f.v, ',')) AS centroid_sha256 FROM a{bisector_means.ROUNDS} a JOIN c{bisector_means.ROUNDS} f ON a.c = f.c""",
     "op3_warc": """
 WITH own AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
