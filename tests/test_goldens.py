@@ -1,6 +1,7 @@
 """Values worked out by hand from the rules."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,6 +176,48 @@ def test_components(spark, partitions):
     assert roots[3] == 1 and roots[5] == 4 and roots[60] == 10 and len(roots) == 56
 
 
+def union_find(edges):
+    """The smallest node that each node is connected with."""
+    root = {}
+
+    def top(n):
+        root.setdefault(n, n)
+        while root[n] != n:
+            root[n] = root[root[n]]
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        low, high = sorted((top(a), top(b)))
+        root[high] = low
+    return {n: top(n) for n in root}
+
+
+@pytest.mark.parametrize("held", [10, 300, 1_000_000])
+def test_components_like_union_find(spark, held):
+    """A path, a star, random edges, repeated and self edges and nulls, with tasks that hold few nodes."""
+    rng = random.Random(4)
+    edges = [(i + 1, i) for i in range(400)] + [(1000, 1001 + i) for i in range(400)] + [tuple(rng.choices(range(2000, 2600), k=2)) for _ in range(350)] + [(7, 7), (5000, 5000), (7, 8)]
+    rng.shuffle(edges)
+    frame = spark.createDataFrame([*edges, (None, 9000), (9001, None)], "a long, b long").repartition(5)
+    assert {r["node"]: r["root"] for r in graph.components(frame, held).collect()} == union_find(edges)
+
+
+def test_components_of_a_long_path_and_a_large_star(spark):
+    path = spark.range(100_000).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
+    star = spark.range(200_000).select((F.col("id") + 500_000).alias("a"), F.lit(400_000).cast("long").alias("b"))
+    found = graph.components(path.unionByName(star).repartition(8, F.xxhash64("a")), 20_000).groupBy("root").agg(F.count("*").alias("n")).collect()
+    assert {r["root"]: r["n"] for r in found} == {0: 100_001, 400_000: 200_001}
+
+
+def test_components_of_orders(spark):
+    from tidewatch.plans.analysis import components_orders
+
+    sf_dir = "/root/testdata/sf0.001"
+    edges = [(r["l_orderkey"], -1 - r["l_suppkey"]) for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").collect()]
+    assert {r["node"]: r["root"] for r in components_orders(spark, sf_dir).collect()} == union_find(edges)
+
+
 def test_ratio_pairs(spark):
     rows = spark.createDataFrame([("abcd", "bcde", 0.75), ("abcde", "abxde", 0.8)], "a string, b string, w double")
     assert all(r["x"] == pytest.approx(r["w"]) for r in rows.select(similarity.ratio("a", "b").alias("x"), "w").collect())

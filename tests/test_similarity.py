@@ -126,19 +126,53 @@ def test_a_removed_text_removes_nothing(spark):
     assert sorted(r["comment_id"] for r in similarity.near_dup_dedup(spark.createDataFrame(rows, COMMENTS)).collect()) == [0, 2]
 
 
-def test_long_texts_share_a_band(spark):
-    """Recall of pairs of texts of 300 characters of a large alphabet, by all pairs."""
-    rng, rows = random.Random(7), []
-    for _ in range(12):
-        base = [chr(0x4E00 + rng.randint(0, 1999)) for _ in range(300)]
-        for _ in range(6):
-            own = list(base)
-            for at in rng.sample(range(300), rng.randint(0, 12)):
-                own[at] = chr(0x4E00 + rng.randint(0, 1999))
-            rows.append(("c", len(rows), 1, "".join(own), len(rows)))
+@pytest.mark.parametrize(("length", "signs"), [(150, 3000), (198, 26), (205, 26), (210, 3000), (300, 3000), (300, 60), (480, 3000), (480, 26), (1500, 40)])
+def test_pairs_of_any_length_are_found(spark, length, signs):
+    """Edited copies at and around the threshold, of texts of large and small alphabets; ratios by all pairs."""
+    rng, rows = random.Random(length + signs), []
+    weights = [1 / (k + 1) for k in range(signs)]
+    text = lambda n: rng.choices(range(signs), weights if signs < 100 else None, k=n)
+    for share in (0.0, 0.04, 0.08, 0.12, 0.16, 0.2, 0.24, 0.28):
+        base = text(length)
+        for own in (base, list(base)):
+            for at in rng.sample(range(length), int(share * length)) if own is not base else ():
+                own[at] = text(1)[0]
+            cut = rng.randint(0, 8)
+            rows.append(("c", len(rows), 1, "".join(chr(0x4E00 + c) for c in own[cut:]), len(rows)))
+    rows.append(("c", len(rows), 1, chr(0x4E00) * length, len(rows)))
+    rows.append(("c", len(rows), 1, chr(0x4E00) * (length - 9) + "x", len(rows)))
     wanted = all_pairs(rows, 0.75)
-    found = {(r["content_id"], r["a"], r["b"]) for r in similarity.similar_pairs(spark.createDataFrame(rows, COMMENTS)).collect()}
-    assert len(wanted) > 150 and found <= wanted.keys() and len(found) >= 0.98 * len(wanted)
+    found = {(r["content_id"], r["a"], r["b"]): r["ratio"] for r in similarity.similar_pairs(spark.createDataFrame(rows, COMMENTS)).collect()}
+    assert wanted and found == pytest.approx(wanted)
+
+
+def test_bounds_keep_all_pairs_of_documents(spark):
+    """All pairs of the smallest table's documents by the ratio alone."""
+    from tidewatch.sources.adapters import comments_text
+
+    docs = comments_text(spark, "/root/testdata/sf0.001")
+    bodies = {(r["content_id"], r["rep"]): r["body"] for r in similarity.representatives(similarity.bodies(docs)).collect() if len(r["body"]) < 4_000}
+    found = {(r["content_id"], r["a"], r["b"]) for r in similarity.similar_pairs(docs).collect()}
+    fast = lambda a, b: min(len(a), len(b)) * 1.25 >= 0.75 * max(len(a), len(b)) and difflib.SequenceMatcher(None, a, b).quick_ratio() >= 0.75 and difflib.SequenceMatcher(None, a, b).ratio() >= 0.75
+    wanted = {(c, i, j) for (c, i), a in bodies.items() for (d, j), b in bodies.items() if c == d and i < j and fast(a, b)}
+    assert {p for p in found if (p[0], p[1]) in bodies and (p[0], p[2]) in bodies} == wanted
+
+
+def test_bags_of_very_long_texts_do_not_overflow():
+    bags, _ = similarity.character_bags(["x" * 40_000, "y" * 3_000_000])
+    assert bags.sum(1).tolist() == [40_000, 3_000_000]
+
+
+def test_long_chains_are_settled_in_order(spark):
+    """A chain of 100,000 in which every other one goes, beside random pairs, as a loop does it."""
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(100_000)] + sorted({tuple(sorted(rng.sample(range(200_000, 200_400), 2))) for _ in range(900)})
+    gone = set()
+    for a, b in sorted(edges, key=lambda e: (e[1], e[0])):
+        if a not in gone:
+            gone.add(b)
+    pairs = spark.createDataFrame([(a, b, b) for a, b in edges], "earlier long, later long, seq long").repartition(6)
+    assert {r["node"] for r in similarity.kept_in_order(pairs).collect()} == gone
 
 
 def test_whole_texts_are_compared(spark):

@@ -1,14 +1,18 @@
 """Near-duplicate comments of one content, their clusters, and digests of a user's texts.
 
 Texts are compared by the matching-blocks ratio of the standard library, 2 * matches / total length, after
-``preprocess``, whole. Equal texts are one representative. Two nets find the pairs of representatives:
-
-* pairs whose shorter text has at most ``SHORT`` characters, as comments have: all pairs of a content, in blocks of hashed
-  rows, block against block. Inside a task the length band min / max >= t / (2 - t), the bags of characters and the longest
-  common subsequence, none of which a pair at the threshold fails, come before the ratio. No pair is lost, and only pairs at
-  the threshold leave the task;
-* longer texts share a band of a MinHash signature over runs of five characters; all of a band are compared with all, in
-  the same blocks. A pair that shares no band is lost.
+``preprocess``, whole. Equal texts are one representative. All pairs of representatives of a content at the threshold are
+found, at every length: hashed rows meet in blocks, block against block, inside a task that passes on similar pairs only. Before
+the ratio come bounds that no pair at the threshold fails:
+
+* lengths, min / max >= t / (2 - t), and the characters that two texts have in common;
+* runs of q characters in common. Two texts of total length T at the threshold match M >= t * T / 2 characters in at most
+  K blocks, and a block of s characters holds s - q + 1 runs, so they share M - (q - 1) * K runs or more. Between two blocks
+  a character stays unmatched, so K <= T - 2 * M + 1; and if the later text has 200 characters or more, the ratio starts
+  blocks only at characters that make up at most about 1 in 100 of it, so K is at most their common number and one more (a block
+  at the very start). Shared runs are bounded from above for all pairs of two sub-blocks at once, by a product of matrices
+  of hashed counts, then counted pair by pair;
+* the longest common subsequence.
 
 Clusters are the connected components of the pairs found.
 """
@@ -27,15 +31,15 @@ from tidewatch.functions.text import any_hit, preprocess, topic_runs
 from tidewatch.operators.graph import components
 from tidewatch.sources.storage import Workspace, written
 
-GRAM = 5
-BANDS, ROWS = 64, 4
-MIN_LENGTH, SLICE = 5, 8_192
-#: Characters of a text whose similar texts are all found; from here on the ratio passes over frequent characters.
-SHORT = 199
-#: Rows of a block of a large set.
-BLOCK = 1_024
+MIN_LENGTH = 5
+#: From this length of the later text on, the ratio starts no block at its frequent characters.
+JUNK_FROM = 200
 #: Columns of the character bags; several characters may share one.
 BAG = 64
+#: Lengths of the runs whose shared numbers are bounded, and the columns of their hashed counts.
+RUNS, COLUMNS = (8, 5, 2, 12), 8_192
+#: Rows of a sub-block, whose hashed counts are held as a matrix; share of its pairs below which they are compared one by one.
+SUB, FEW = 256, 0.002
 
 
 @F.pandas_udf(T.DoubleType())
@@ -44,29 +48,6 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def band_hashes(texts: pd.Series) -> pd.Series:
-    """One hash for each band of the signature over runs of GRAM characters."""
-    seeds = np.random.default_rng(5).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-    out = []
-    for text in texts:
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        grams = np.zeros(max(1, len(codes) - GRAM + 1), np.uint64)
-        for i in range(min(GRAM, len(codes))):
-            grams = grams * np.uint64(1_099_511_628_211) + codes[i : i + len(grams)]
-        least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-        for start in range(0, len(grams), SLICE):  # bounds the memory of a long text
-            part = grams[None, start : start + SLICE]
-            mixed = (part ^ (part >> np.uint64(31))) * seeds[:, None]
-            least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(1))
-        least = least.reshape(BANDS, ROWS)
-        total = np.zeros(BANDS, np.uint64)
-        for r in range(ROWS):
-            total = (total ^ least[:, r]) * np.uint64(0x9E3779B97F4A7C15)
-        out.append(total.view(np.int64).tolist())
-    return pd.Series(out)
-
-
 def bodies(comments: DataFrame) -> DataFrame:
     """(content_id, comment_id, seq, key, body) of the comments that are long enough to compare; the key stands for the body."""
     body = preprocess(F.col("text"))
@@ -79,12 +60,109 @@ def representatives(rows: DataFrame) -> DataFrame:
     return rows.groupBy("content_id", "key", "body").agg(F.min_by("comment_id", "seq").alias("rep"), F.min("seq").alias("seq"), F.count("*").alias("copies"))
 
 
-def character_bags(texts: list[str]) -> np.ndarray:
-    """Numbers of characters by code modulo BAG; the overlap of two rows is at least that of the texts' characters."""
-    out = np.zeros((len(texts), BAG), np.int16)
-    for row, text in zip(out, texts, strict=True):
-        row += np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % BAG, minlength=BAG).astype(np.int16)
-    return out
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def character_bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of characters by code modulo BAG, of all and of those at which the ratio starts blocks in a later text; the
+    overlap of two rows is at least that of the texts' characters."""
+    bags, seeds = np.zeros((len(texts), BAG), np.int32), np.zeros((len(texts), BAG), np.int32)
+    for row, seed, text in zip(bags, seeds, texts, strict=True):
+        codes, counts = np.unique(codes_of(text), return_counts=True)
+        np.add.at(row, codes % BAG, counts)
+        kept = counts <= len(text) // 100 + 1 if len(text) >= JUNK_FROM else np.ones(len(counts), bool)
+        np.add.at(seed, codes[kept] % BAG, counts[kept])
+    return bags, seeds
+
+
+def run_hashes(text: str, q: int) -> np.ndarray:
+    """A 64-bit value for each run of ``q`` characters."""
+    codes = codes_of(text).astype(np.uint64)
+    out = np.zeros(max(0, len(codes) - q + 1), np.uint64)
+    for i in range(q):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(out)]
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return out ^ (out >> np.uint64(29))
+
+
+class Cell:
+    """Texts of a cell with what the bounds need of them. Rows are in order of length, so that sub-blocks whose lengths are too
+    far apart are passed over; ``ranks`` tell which text of a pair is the later one."""
+
+    def __init__(self, texts: list[str], ranks: np.ndarray, threshold: float):
+        self.texts, self.ranks, self.threshold = texts, ranks, threshold
+        self.lengths = np.array([len(t) for t in texts], np.int64)
+        self.bags, self.seeds = character_bags(texts)
+        self.columns: dict[tuple[int, int], np.ndarray] = {}
+        self.runs: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def columns_of(self, i: int, q: int) -> np.ndarray:
+        if (i, q) not in self.columns:
+            self.columns[i, q] = (run_hashes(self.texts[i], q) % np.uint64(COLUMNS)).astype(np.uint16)
+        return self.columns[i, q]
+
+    def matrix(self, rows: np.ndarray, q: int) -> np.ndarray:
+        out = np.empty((len(rows), COLUMNS), np.float32)
+        for k, i in enumerate(rows.tolist()):
+            out[k] = np.bincount(self.columns_of(i, q), minlength=COLUMNS)
+        return out
+
+    def shared_columns(self, i: int, j: int, q: int) -> int:
+        """A bound of ``shared_runs`` by the hashed counts."""
+        a, b = (np.bincount(self.columns_of(k, q), minlength=COLUMNS) for k in (i, j))
+        return int(np.minimum(a, b).sum())
+
+    def shared_runs(self, i: int, j: int, q: int) -> int:
+        """Common runs of ``q`` characters, each as often as both texts have it."""
+        for k in (i, j):
+            if (k, q) not in self.runs:
+                if len(self.runs) > 4 * SUB:
+                    self.runs = {x: v for x, v in self.runs.items() if x[0] in (i, j)}
+                self.runs[k, q] = np.unique(run_hashes(self.texts[k], q), return_counts=True)
+        (a, n_a), (b, n_b) = self.runs[i, q], self.runs[j, q]
+        _, at, to = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        return int(np.minimum(n_a[at], n_b[to]).sum())
+
+    def candidates(self, left: np.ndarray, right: np.ndarray):
+        """(i, j) of rows of two sub-blocks that pass all bounds but the subsequence; of each pair once if they are the same."""
+        t = self.threshold
+        n, m = self.lengths[left][:, None], self.lengths[right][None, :]
+        if min(n.max(), m.max()) * (2 - t) < t * max(n.min(), m.min()) - 1e-9:
+            return
+        total = n + m
+        later = self.ranks[left][:, None] < self.ranks[right][None, :]  # whether the right one is the later
+        fit = np.minimum(n, m) * (2 - t) >= t * np.maximum(n, m) - 1e-9
+        fit &= later if left is right else True
+        overlap = lambda a, b: np.stack([np.minimum(row, b).sum(1) for row in a])
+        fit &= 2 * overlap(self.bags[left], self.bags[right]) >= t * total - 1e-9
+        if not fit.any():
+            return
+        starts = np.where(later, overlap(self.bags[left], self.seeds[right]), overlap(self.seeds[left], self.bags[right])) + 1
+        blocks = np.minimum((1 - t) * total + 1, np.where(np.where(later, m, n) >= JUNK_FROM, starts, total))
+        needed = [t * total / 2 - (q - 1) * blocks for q in RUNS]
+        for q, need in zip(RUNS, needed, strict=True):
+            if fit.sum() > FEW * fit.size:
+                a = self.matrix(left, q)
+                fit &= a @ (a if left is right else self.matrix(right, q)).T >= need * (1 - 1e-5) - 1e-3
+        for x, y in zip(*np.nonzero(fit), strict=True):
+            i, j = int(left[x]), int(right[y])
+            least = [(q, need[x, y] - 1e-9) for q, need in zip(RUNS, needed, strict=True) if need[x, y] > 0]
+            if all(self.shared_columns(i, j, q) >= n_least for q, n_least in least) and all(self.shared_runs(i, j, q) >= n_least for q, n_least in least):
+                yield (i, j) if later[x, y] else (j, i)
+
+    def pairs(self, sides: np.ndarray):
+        """(i, j, ratio) of the pairs at the threshold, j the later one; where rows have two sides, of pairs across them."""
+        groups = [np.nonzero(sides == s)[0] for s in np.unique(sides)]
+        cuts = [[g[k : k + SUB] for k in range(0, len(g), SUB)] for g in groups]
+        for i, left in enumerate(cuts[0]):
+            for right in cuts[1] if len(cuts) > 1 else cuts[0][i:]:
+                for a, b in self.candidates(left, right):
+                    least = self.threshold * (self.lengths[a] + self.lengths[b]) - 1e-9
+                    if 2 * common_subsequence(self.texts[b], places_of(self.texts[a]), len(self.texts[a])) >= least:
+                        found = difflib.SequenceMatcher(None, self.texts[a], self.texts[b]).ratio()
+                        if found >= self.threshold:
+                            yield a, b, found
 
 
 def common_subsequence(a: str, places: dict[str, int], n: int) -> int:
@@ -103,88 +181,41 @@ def places_of(text: str) -> dict[str, int]:
     return places
 
 
-def cell_pairs(reps: list[int], texts: list[str], sides: np.ndarray, threshold: float, short: int | None, keys: np.ndarray, band: int):
-    """(a, b, ratio), a < b, of the pairs of a cell at the threshold; ``sides`` are the blocks of the rows, and where a cell
-    has two, only pairs across them count. With ``short``, the shorter text of a pair has at most so many characters. With
-    ``keys``, the keys of all bands of each row, a pair counts in the first band that it shares, so once."""
-    n = np.array([len(t) for t in texts])
-    bags = character_bags(texts)
-    across = len(np.unique(sides)) > 1
-    for i in range(len(texts) - 1):
-        rest = slice(i + 1, None)
-        low, high = np.minimum(n[rest], n[i]), np.maximum(n[rest], n[i])
-        fit = low * (2 - threshold) >= threshold * high - 1e-9
-        if short is not None:
-            fit &= low <= short
-        if across:
-            fit &= sides[rest] != sides[i]
-        near = np.nonzero(fit)[0] + i + 1
-        if keys.shape[1]:
-            near = near[(keys[near] == keys[i]).argmax(1) == band]
-        near = near[2 * np.minimum(bags[near], bags[i]).sum(1) >= threshold * (n[near] + n[i]) - 1e-9]
-        if not len(near):
-            continue
-        places = places_of(texts[i])
-        for j in near.tolist():
-            if 2 * common_subsequence(texts[j], places, len(texts[i])) < threshold * (n[i] + n[j]) - 1e-9:
-                continue
-            a, b = (i, j) if reps[i] < reps[j] else (j, i)
-            found = difflib.SequenceMatcher(None, texts[a], texts[b]).ratio()
-            if found >= threshold:
-                yield reps[a], reps[b], found
-
-
-CELL = ["content_id", "band", "key", "i", "j"]
-
-
-def pairs_in_sets(rows: DataFrame, n_set: DataFrame, threshold: float, short: int | None, block: int | None) -> DataFrame:
-    """(content_id, a, b, ratio) of the rows (content_id, band, key, keys, rep, body) that share a set (content_id, band, key)
-    with ``n_set`` rows; large sets are dealt to cells of two blocks of ``block`` rows, or of 8 times the square root of
-    their number, so that both the cells and the rows of a cell grow slowly."""
+CELL = ["content_id", "i", "j"]
+
+
+def similar_pairs(comments: DataFrame, threshold: float = 0.75, reps: DataFrame | None = None, block: int | None = None) -> DataFrame:
+    """(content_id, a, b, ratio) of all representatives at or above the threshold; a is the smaller id.
+
+    The texts of a content are dealt to cells of two blocks of ``block`` rows, or of 8 times the square root of their number,
+    so that both the cells and the rows of a cell grow slowly."""
     import pyarrow as pa
 
+    reps = Workspace(comments.sparkSession).write(representatives(bodies(comments)), "representatives") if reps is None else reps
+    n_set = reps.groupBy("content_id").agg(F.count("*").alias("n_set"))
     n_blocks = F.ceil(F.col("n_set") / block if block else F.sqrt("n_set") / 8).cast("int")
-    dealt = rows.join(n_set, ["content_id", "band", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), n_blocks).cast("int"))
+    dealt = reps.join(n_set, "content_id").withColumn("own", F.pmod(F.xxhash64("rep"), n_blocks).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    dealt = dealt.select("content_id", "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "keys", "rep", "body")
-    content_type = rows.schema["content_id"].dataType.simpleString()
+    dealt = dealt.select("content_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "body")
+    content_type = reps.schema["content_id"].dataType.simpleString()
 
     def compare(table: pa.Table) -> pa.Table:
         # Cells of two blocks hold the rows of both; where one of them is empty there is nothing to compare.
-        sides = table.column("own").to_numpy()
+        texts, firsts = table.column("body").to_pylist(), table.column("rep").to_numpy()
+        order = np.lexsort((firsts, [len(x) for x in texts]))
+        texts, ids, sides = [texts[k] for k in order], firsts[order], table.column("own").to_numpy()[order]
         two = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
-        rows_of_cell = table.column("rep").to_pylist(), table.column("body").to_pylist(), sides
-        found = [] if two and len(np.unique(sides)) < 2 else list(cell_pairs(*rows_of_cell, threshold, short, keys, table.column("band")[0].as_py()))
+        idle = two and len(np.unique(sides)) < 2 or len(ids) < 2
+        found = [] if idle else [(ids[i], ids[j], r) for i, j, r in Cell(texts, ids, threshold).pairs(sides)]
         content = table.column("content_id").combine_chunks().slice(0, 1).take(pa.array([0] * len(found), pa.int32()))
         columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
         return pa.table([content, *columns], ["content_id", "a", "b", "ratio"])
 
-    # Cells are small and slow, so they are not merged into few tasks by their size.
-    n_tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Cells are small and slow: they are not merged into few tasks by their size, and dealt to several tasks for each core.
+    n_tasks = 8 * int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n_tasks, *CELL).groupBy(*CELL).applyInArrow(compare, f"content_id {content_type}, a long, b long, ratio double")
 
 
-def similar_pairs(comments: DataFrame, threshold: float = 0.75, reps: DataFrame | None = None, block: int | None = None) -> DataFrame:
-    """(content_id, a, b, ratio) of representatives at or above the threshold; a is the smaller id."""
-    space = Workspace(comments.sparkSession)
-    reps = space.write(representatives(bodies(comments)), "representatives") if reps is None else reps
-    length = F.length("body")
-    # Short texts and those that a short one can resemble are one set of their content.
-    short = reps.filter(length * threshold <= SHORT * (2 - threshold)).select("content_id", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("key"), F.array().cast("array<long>").alias("keys"), "rep", "body")
-    short_sizes = short.groupBy("content_id", "band", "key").agg(F.count("*").alias("n_set"))
-    found = pairs_in_sets(short, short_sizes, threshold, SHORT, block)
-    n_tasks = int(comments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sketched = space.write(reps.filter(length > SHORT).repartition(n_tasks, "rep").select("content_id", "rep", "body", band_hashes("body").alias("keys")), "sketched-texts")
-    banded = sketched.select("content_id", "rep", F.posexplode("keys").alias("band", "key"))
-    sizes = space.write(banded.groupBy("content_id", "band", "key").agg(F.count("*").alias("n_set")).filter("n_set > 1"), "band-sizes")
-    # Only what shares a band meets its text again.
-    shared = banded.join(sizes.drop("n_set"), ["content_id", "band", "key"])
-    held = shared.join(sketched, ["content_id", "rep"])
-    long = pairs_in_sets(held, sizes, threshold, None, block or BLOCK)
-    return found.unionByName(long)
-
-
 def cluster_members(comments: DataFrame, threshold: float = 0.75, least: int = 3) -> DataFrame:
     """(content_id, comment_id, cluster_id, size) of comments in clusters of ``least`` or more; named by their first id."""
     space = Workspace(comments.sparkSession)
@@ -230,21 +261,32 @@ def exact_text_dedup(comments: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def kept_in_order(pairs: DataFrame) -> DataFrame:
-    """(node, kept) for the nodes of pairs (earlier, later): in order, a node goes if it resembles a kept earlier one.
+    """Nodes (node) of pairs (earlier, later, seq) that go: in the order of ``seq``, that of the later one, a node goes if it
+    resembles a kept earlier one.
+
+    Components of the pairs do not depend on each other. The pairs of a component come in order to one task, which holds the
+    nodes gone so far of that component only; its pairs are streamed. The number of jobs does not depend on the pairs."""
+    import pyarrow as pa
 
-    Each round settles the nodes whose earlier ones are settled enough: one of them kept, or all of them gone."""
     space = Workspace(pairs.sparkSession)
-    edges = space.write(pairs.select("earlier", "later").distinct(), "ordered-pairs")
-    nodes = edges.select(F.col("earlier").alias("node")).union(edges.select("later")).distinct()
-    first = nodes.join(edges.select(F.col("later").alias("node")).distinct().withColumn("waits", F.lit(True)), "node", "left")
-    state = space.write(first.select("node", F.when(F.col("waits").isNull(), True).alias("kept")), "kept-nodes")
-    while state.filter("kept IS NULL").limit(1).count():
-        met = edges.join(state.select(F.col("node").alias("earlier"), F.col("kept").alias("known")), "earlier")
-        said = met.groupBy(F.col("later").alias("node")).agg(F.max(F.coalesce("known", F.lit(False))).alias("any_kept"), F.min(F.coalesce(~F.col("known"), F.lit(False))).alias("all_gone"))
-        new = state.join(said, "node", "left").select("node", F.coalesce("kept", F.when(F.col("any_kept"), False).when(F.col("all_gone"), True)).alias("kept"))
-        state = space.write(new, "kept-nodes")
-        space.drop("kept-nodes*")
-    return state
+    edges = space.write(pairs, "ordered-pairs")
+    roots = components(edges.select(F.col("earlier").alias("a"), F.col("later").alias("b"))).select(F.col("node").alias("later"), "root")
+
+    def settle(batches):
+        component, at, gone = None, None, set()
+        for batch in batches:
+            out = []
+            for root, earlier, later in zip(*(batch.column(c).to_pylist() for c in ("root", "earlier", "later")), strict=True):
+                if root != component:
+                    component, at, gone = root, None, set()
+                if earlier not in gone and later != at:
+                    gone.add(later)
+                    out.append(later)
+                    at = later
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["node"])
+
+    ordered = edges.join(roots, "later").select("root", "earlier", "later", "seq").repartition("root").sortWithinPartitions("root", "seq", "later")
+    return ordered.select("root", "earlier", "later").mapInArrow(settle, "node long")
 
 
 def near_dup_dedup(comments: DataFrame, threshold: float = 0.80) -> DataFrame:
@@ -256,9 +298,9 @@ def near_dup_dedup(comments: DataFrame, threshold: float = 0.80) -> DataFrame:
     sides = [order.select("content_id", F.col("rep").alias(c), F.col("seq").alias(f"seq_{c}")) for c in ("a", "b")]
     pairs = similar_pairs(comments, threshold, reps).join(sides[0], ["content_id", "a"]).join(sides[1], ["content_id", "b"])
     first = F.col("seq_a") < F.col("seq_b")
-    pairs = pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("later"))
-    gone = kept_in_order(pairs).filter("NOT kept").select(F.col("node").alias("comment_id"))
-    kept = reps.select("content_id", F.col("rep").alias("comment_id")).join(gone, "comment_id", "left_anti").select("content_id", "comment_id")
+    either = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    gone = kept_in_order(pairs.select(either("a", "b").alias("earlier"), either("b", "a").alias("later"), either("seq_b", "seq_a").alias("seq")))
+    kept = reps.select("content_id", F.col("rep").alias("comment_id")).join(gone.select(F.col("node").alias("comment_id")), "comment_id", "left_anti").select("content_id", "comment_id")
     length = F.length(preprocess(F.col("text")))
     short = comments.filter(F.coalesce(length, F.lit(0)) < MIN_LENGTH).select("content_id", "comment_id")
     return kept.unionByName(short)

@@ -104,6 +104,14 @@ def components_edges(spark, sf_dir):
     return components(answers.select(F.col("comment_id").alias("a"), F.col("parent_id").cast("long").alias("b")))
 
 
+@query()
+def components_orders(spark, sf_dir):
+    """All contents and the accounts that commented on them (as negative numbers), connected by each comment."""
+    from tidewatch.operators.graph import components
+
+    return components(A.comments_rel(spark, sf_dir).select(F.col("content_id").alias("a"), (-1 - F.col("user_id")).alias("b")))
+
+
 @query(f"WITH {TEXTS}, t AS (SELECT user_id, unnest(regexp_extract_all(text, '([一-鿿]{{2,}}|[a-zA-Z0-9]{{2,}})')) AS topic FROM texts), c AS (SELECT user_id, topic, count(*) AS n FROM t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, encode(topic)) AS rank FROM c) SELECT user_id, topic, n, rank FROM r WHERE rank <= 10")
 def top_topics(spark, sf_dir):
     return similarity.top_topics(A.comments_text(spark, sf_dir), ["user_id"]).withColumn("rank", F.col("rank").cast("long"))
