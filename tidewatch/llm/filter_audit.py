@@ -134,9 +134,10 @@ def masks(docs: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
         judged = rows.select("doc_id", "part", failures(F.col("text")).alias("mask"), F.struct(F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("n")).alias("same"))
     judged = space.write(judged, "judged-texts")
     unsettled = judged.filter("same IS NOT NULL")
-    first = unsettled.groupBy("same").agg(F.min("doc_id").alias("first_id"))
-    later = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))
-    settled = unsettled.join(first, "same").select("doc_id", "part", F.when(later, F.col("mask") + 16).otherwise(F.col("mask")).alias("mask"))
+    # Rows meet their text's smallest id by text and id, so that the copies of one text are dealt to all tasks.
+    first = unsettled.groupBy("same").agg(F.min("doc_id").alias("doc_id")).withColumn("is_first", F.lit(True))
+    later = F.col("doc_id").isNotNull() & F.col("is_first").isNull()
+    settled = unsettled.join(first, ["same", "doc_id"], "left").select("doc_id", "part", F.when(later, F.col("mask") + 16).otherwise(F.col("mask")).alias("mask"))
     return judged.filter("same IS NULL").select("doc_id", "part", "mask").unionByName(settled)
 
 
