@@ -24,9 +24,10 @@ def longest_common(a, b):
 
 
 def brute_classes(rows, threshold=0.8, align=longest_common):
-    """Smallest id of each text's component: all pairs that share SHARED sketches, and an alignment of all their words."""
+    """Smallest id of each text's component, by alignments of all words: of all pairs of short texts, whether or not they share
+    sketches, and of pairs of longer ones that share SHARED."""
     words = {i: words_of((t or "").encode()) for i, t in rows}
-    sketches = {i: neardup.sketches(neardup.kmers(neardup.word_hashes(w))) if w else None for i, w in words.items()}
+    sketches = {i: neardup.text_sketches(neardup.word_hashes(w)) for i, w in words.items()}
     root = {i: i for i in words}
 
     def find(i):
@@ -38,7 +39,7 @@ def brute_classes(rows, threshold=0.8, align=longest_common):
     for a, b in combinations(sorted(words), 2):
         if words[a] == words[b]:
             same = bool(words[a]) or (text[a] or "") == (text[b] or "")
-        elif not words[a] or not words[b] or (sketches[a] == sketches[b]).sum() < neardup.SHARED:
+        elif not words[a] or not words[b] or min(len(words[a]), len(words[b])) > 60 and neardup.shared_sketches(sketches[a], sketches[b]) < neardup.SHARED:
             same = False
         else:
             common = align(words[a], words[b])
@@ -95,11 +96,26 @@ def loose_families(seed=11):
     return rows
 
 
+def short_families(seed=21):
+    """Edits of short texts of all lengths around the bounds of the further k-mers, from a small vocabulary."""
+    rng, rows = random.Random(seed), []
+    for n in (1, 2, 4, 5, 8, 9, 12, 13, 15, 16, 20, 40, 58, 60, 61, 74, 76):
+        base = [f"w{rng.randint(0, 60)}" for _ in range(n)]
+        for _ in range(6):
+            own = list(base)
+            for _ in range(rng.randint(0, 1 + n // 9)):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randint(0, 1)] = [f"n{rng.randint(0, 99)}"] * rng.randint(0, 1)
+                own = own or ["w"]
+            rows.append((len(rows), " ".join(own)))
+    return rows
+
+
 def classes_of(spark, rows):
     return {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs_of(spark, rows)).collect()}
 
 
-@pytest.mark.parametrize("rows", [near_copies(), chain_and_boilerplate(), loose_families()], ids=["groups", "chain and boilerplate", "loose families"])
+@pytest.mark.parametrize("rows", [near_copies(), chain_and_boilerplate(), loose_families(), short_families()], ids=["groups", "chain and boilerplate", "loose families", "short families"])
 def test_like_brute_force(spark, rows):
     assert classes_of(spark, rows) == brute_classes(rows)
 
@@ -116,6 +132,21 @@ def test_all_documents_like_brute_force(spark):
     assert classes_of(spark, rows) == wanted and len(set(wanted.values())) < len(rows)
 
 
+@pytest.mark.parametrize(("n", "edits"), [(4, 0), (5, 0), (9, 1), (10, 1), (12, 1), (15, 1), (20, 2), (30, 3), (48, 5), (60, 6)])
+def test_candidates_of_short_texts(n, edits):
+    """Share of candidates among pairs with words replaced, or one word put in, at the threshold of similarity."""
+    rng, found, pairs = random.Random(n), 0, 0
+    for _ in range(300):
+        base = [f"w{rng.randint(0, 9999)}" for _ in range(n)]
+        at = rng.randint(0, n)
+        other = edited(rng, base, edits) if edits else base[:at] + ["new"] + base[at:]
+        hashes = [neardup.word_hashes([w.encode() for w in t]) for t in (base, other)]
+        assert neardup.similarity(*hashes, 0.8) >= 0.8 - 1e-9
+        pairs += 1
+        found += neardup.shared_sketches(*map(neardup.text_sketches, hashes)) >= neardup.SHARED
+    assert found / pairs >= 0.99
+
+
 def test_candidates_find_similar_pairs():
     """Share of pairs with a share of words replaced that have SHARED equal sketches."""
     rng = random.Random(6)

@@ -2,8 +2,11 @@
 
 A text's k-mers are its runs of five words, each labelled with its occurrence number. A sketch takes, under one of
 ``SKETCHES`` hash functions, the two smallest labelled k-mers and keeps them in the order in which the text has them, so
-equal sketches speak for a small edit distance, not only for equal sets. Texts that have ``SHARED`` equal sketches or more
-are candidates. Two candidates are linked if, in the best alignment of their word sequences, the aligned words are at
+equal sketches speak for a small edit distance, not only for equal sets. One replaced word takes five k-mers away, which
+is much of a short text; texts of up to 75 words therefore have as many sketches again over runs of two words, those of up to
+15 words a third time over single words. A text may be a candidate of one that is a quarter longer, so both of a pair
+whose shorter text has up to 60 (12) words have them. Texts that have ``SHARED`` equal sketches or more are candidates.
+Two candidates are linked if, in the best alignment of their word sequences, the aligned words are at
 least ``threshold`` of all (aligned / (both - aligned)); only alignments within the band that such a similarity allows are
 computed. Classes are the connected components of the links.
 
@@ -14,8 +17,8 @@ candidates of different components meet, in blocks of hashed nodes, block agains
 blocks compares bags of words before it aligns, skips what its own links have connected meanwhile, and returns links, not
 pairs. No set is held by one task, and no candidate pair of different components stays open.
 
-Defined results: texts without words are equal if they are the same text, null counting as empty; texts of fewer than
-five words have one k-mer, and so are equal or apart; very long texts are sketched and aligned whole; a class is named by
+Defined results: texts without words are equal if they are the same text, null counting as empty; a text with fewer words
+than a run has one k-mer of that kind; very long texts are sketched and aligned whole; a class is named by
 its smallest id, null if all its ids are null; repeated rows are one node; ties between hubs go to the smaller node; an
 empty table gives an empty result; other columns may have any name.
 """
@@ -31,8 +34,10 @@ from tidewatch.llm.common import Workspace, binary_column, words_of
 K = 5
 SKETCHES = 32
 THRESHOLD = 0.8
-#: Equal sketches of two candidates. Of pairs whose k-mers have a similarity of 0.8 one in 10 ** 12 has fewer; of pairs with
-#: one word in ten replaced, 4 in 100.
+#: Further k-mers of short texts: runs of so many words, in texts of up to so many words.
+SHORTER = ((2, 75), (1, 15))
+#: Equal sketches of two candidates. Of pairs whose k-mers have a similarity of 0.8 one in 10 ** 12 has fewer; of pairs of more
+#: than 60 words with one word in ten replaced, 4 in 100.
 SHARED = 2
 #: Rows of a block of a large set, and pairs of rows that are held at once.
 BLOCK = 1_024
@@ -67,16 +72,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def kmers(hashes: np.ndarray) -> np.ndarray:
-    """A 64-bit value for each run of K words; one for a shorter text, none for an empty one."""
+def kmers(hashes: np.ndarray, k: int = K) -> np.ndarray:
+    """A 64-bit value for each run of ``k`` words; one for a shorter text, none for an empty one."""
     values = hashes.astype(np.uint64) + np.uint64(1)
-    if 0 < len(values) < K:
-        values = np.pad(values, (0, K - len(values)))
-    n = len(values) - K + 1
+    if 0 < len(values) < k:
+        values = np.pad(values, (0, k - len(values)))
+    n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     total = np.zeros(n, np.uint64)
-    for i in range(K):
+    for i in range(k):
         total = mixed((total + values[i : i + n]) * MULTIPLIERS[i])
     return total
 
@@ -110,6 +115,17 @@ def sketches(grams: np.ndarray) -> np.ndarray:
     return mixed(own[pairs[:, 0]] * MULTIPLIERS[2] + own[pairs[:, 1]] + SEEDS).view(np.int64)
 
 
+def text_sketches(hashes: np.ndarray) -> np.ndarray:
+    """The sketches of a text's word hashes: SKETCHES of them for each kind of k-mers that a text of its length has."""
+    kinds = [K, *[k for k, most in SHORTER if len(hashes) <= most]]
+    return np.concatenate([sketches(kmers(hashes, k)) for k in kinds]) if len(hashes) else np.zeros(0, np.int64)
+
+
+def shared_sketches(a: np.ndarray, b: np.ndarray) -> int:
+    n = min(len(a), len(b))
+    return int((a[:n] == b[:n]).sum())
+
+
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Length of the longest common subsequence of a and b among alignments that shift by at most ``band``.
 
@@ -194,7 +210,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 words = words_of(text)
                 nodes.append(content_key(words, text))
                 sizes.append(len(words))
-                found.append(sketches(kmers(word_hashes(words))) if words else [])
+                found.append(text_sketches(word_hashes(words)))
             arrays = [batch.column("id"), batch.column("text_hash"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "text_hash", "node", "n", "sketch"])
 
@@ -238,7 +254,7 @@ def close_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     """The pairs (a, b) of nodes that share SHARED sketches and whose lengths allow the threshold."""
     sides = [texts.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in ("a", "b")]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
-    shared = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+    shared = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0))), F.lit(0), lambda x, y: x + y)
     return both.filter((F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9) & (shared >= SHARED)).select("a", "b")
 
 
@@ -273,12 +289,16 @@ class Cell:
         self.one_block, self.threshold = i == j, threshold
         self.own, self.n = (table.column(c).to_numpy() for c in ("own", "n"))
         self.root = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
-        self.sketch = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
+        lists = table.column("sketch").combine_chunks()
+        sizes = lists.value_lengths().to_numpy().astype(int)
+        # Sketches that a longer text does not have are equal to no other.
+        self.sketch = -1 - np.arange(len(sizes))[:, None].repeat(sizes.max(), 1)
+        self.sketch[np.arange(sizes.max()) < sizes[:, None]] = lists.flatten().to_numpy()
 
     def candidates(self):
         """Arrays of rows x and y of different roots, and in cells of two blocks of different blocks. Rows meet where a
         further sketch is equal, and a pair is given by the first two sketches that it shares, so by one set and once."""
-        for other in range(self.no + 1, SKETCHES):
+        for other in range(self.no + 1, self.sketch.shape[1]):
             at = np.argsort(self.sketch[:, other], kind="stable")
             values, back = self.sketch[at, other], 1
             left = np.arange(len(at))
