@@ -10,10 +10,14 @@ from tidewatch.operators.scoring import WEIGHTS, risk
 
 REASON = "array<struct<type:string,content_id:string,score:double>>"
 
+#: Times of a registry row, and which of two stays; nulls give way.
+TIMES = {"added_at": F.least, "updated_at": F.greatest}
+
 
 def merge(old: DataFrame, delta: DataFrame) -> DataFrame:
     """One upsert: highest score, risk by score, manual before auto, reasons appended, sources united, empty fields filled,
-    notes appended. Both have user_id, user_name, avatar, score, added_by, reasons, sources, notes; one row for each user."""
+    notes appended. Both have user_id, user_name, avatar, score, added_by, reasons, sources, notes; one row for each user.
+    Where they have times, ``added_at`` is the earliest and ``updated_at`` the latest of both."""
     new = delta.select("user_id", *[F.col(c).alias(f"new_{c}") for c in delta.columns if c != "user_id"])
     rows = old.join(new, "user_id", "full_outer")
 
@@ -21,9 +25,11 @@ def merge(old: DataFrame, delta: DataFrame) -> DataFrame:
         return F.coalesce(F.nullif(F.col(name), F.lit("")), F.nullif(F.col(f"new_{name}"), F.lit("")))
 
     score = F.greatest("score", "new_score")
-    no_reasons, no_sources = F.array().cast(REASON), F.array().cast("array<string>")
+    no_reasons, no_sources = F.array().cast(delta.schema["reasons"].dataType), F.array().cast("array<string>")
     notes = F.concat_ws("; ", F.nullif(F.col("notes"), F.lit("")), F.nullif(F.col("new_notes"), F.lit("")))
     manual = F.coalesce((F.col("added_by") == "manual") | (F.col("new_added_by") == "manual"), F.coalesce("added_by", "new_added_by") == "manual")
+    held = {name: [F.col(c) for c in (name, f"new_{name}") if c in rows.columns] for name in TIMES}
+    times = [(TIMES[name](*columns) if len(columns) > 1 else columns[0]).alias(name) for name, columns in held.items() if columns]
     return rows.select(
         "user_id",
         F.coalesce(filled("user_name"), F.concat(F.lit("UID"), F.col("user_id").cast("string"))).alias("user_name"),
@@ -34,12 +40,14 @@ def merge(old: DataFrame, delta: DataFrame) -> DataFrame:
         F.concat(F.coalesce("reasons", no_reasons), F.coalesce("new_reasons", no_reasons)).alias("reasons"),
         F.array_union(F.coalesce("sources", no_sources), F.coalesce("new_sources", no_sources)).alias("sources"),
         notes.alias("notes"),
+        *times,
     )
 
 
-def collected(scored: DataFrame, limit: float = 70, added_by: str = "auto") -> DataFrame:
+def collected(scored: DataFrame, limit: float = 70, added_by: str = "auto", at: str | None = None) -> DataFrame:
     """The delta of an analysis: one row for each user at or above the limit, with a reason for each content; where the rows
-    have features, a reason's type names the three largest."""
+    have features, a reason's type names the three largest. With ``at``, the column of the time of an analysis, reasons
+    have that as ``recorded_at``, and the row was added with the first and updated with the last of them."""
     known = [f for f in WEIGHTS if f in scored.columns]
     if known:
         entries = F.array_sort(F.array(*[F.struct((-F.coalesce(F.col(f), F.lit(0.0))).alias("minus"), F.lit(f).alias("name")) for f in known]))
@@ -47,10 +55,13 @@ def collected(scored: DataFrame, limit: float = 70, added_by: str = "auto") -> D
         scored = scored.withColumn("kind", F.concat_ws(": ", F.lit("engine"), F.nullif(F.array_join(F.transform(best, lambda e: e["name"]), ", "), F.lit(""))))
     else:
         scored = scored.withColumn("kind", F.lit("engine"))
-    reason = F.struct(F.col("kind").alias("type"), F.col("content_id").cast("string").alias("content_id"), F.col("score").cast("double").alias("score"))
+    kind = REASON.replace(">>", ",recorded_at:timestamp>>") if at else REASON
+    recorded = [F.col(at).cast("timestamp").alias("recorded_at")] if at else []
+    reason = F.struct(F.col("kind").alias("type"), F.col("content_id").cast("string").alias("content_id"), F.col("score").cast("double").alias("score"), *recorded)
     rows = scored.filter(F.col("score") >= limit)
-    return rows.groupBy("user_id").agg(F.max("score").alias("score"), F.array_sort(F.collect_list(reason)).alias("reasons"), F.array_sort(F.collect_set(F.col("content_id").cast("string"))).alias("sources")).select(
-        "user_id", F.lit("").alias("user_name"), F.lit("").alias("avatar"), F.col("score").cast("double").alias("score"), F.lit(added_by).alias("added_by"), F.expr(f"CAST(reasons AS {REASON})").alias("reasons"), "sources", F.lit("").alias("notes")
+    times = [pick(F.col(at).cast("timestamp")).alias(name) for name, pick in (("added_at", F.min), ("updated_at", F.max))] if at else []
+    return rows.groupBy("user_id").agg(F.max("score").alias("score"), F.array_sort(F.collect_list(reason)).alias("reasons"), F.array_sort(F.collect_set(F.col("content_id").cast("string"))).alias("sources"), *times).select(
+        "user_id", F.lit("").alias("user_name"), F.lit("").alias("avatar"), F.col("score").cast("double").alias("score"), F.lit(added_by).alias("added_by"), F.expr(f"CAST(reasons AS {kind})").alias("reasons"), "sources", F.lit("").alias("notes"), *(TIMES if at else ())
     )
 
 

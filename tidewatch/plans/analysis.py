@@ -363,6 +363,13 @@ def user_features(spark, sf_dir):
     return all_features(spark, sf_dir)
 
 
+@query()
+def user_features_with_clusters(spark, sf_dir):
+    """All features, with the share of clustered comments from the clusters of the same comments."""
+    rows = with_times(spark, sf_dir)
+    return flagship.user_features(rows, A.users(spark, sf_dir), A.posts(spark, sf_dir), LEXICONS, AS_OF, similarity.cluster_members(rows))
+
+
 SCORE_SQL = f"""WITH {USERS}, f AS (SELECT user_id, CASE WHEN level = 0 THEN 1.0 WHEN level = 1 THEN 0.8 WHEN level = 2 THEN 0.6 WHEN level = 3 THEN 0.3 WHEN level = 4 THEN 0.1 ELSE 0 END AS f3,
  CASE WHEN avatar = '' THEN 0.5 ELSE 0 END + CASE WHEN verify_type = -1 THEN 0.5 ELSE 0 END AS f4, ((avatar = '')::INT + (coalesce(post_count, 0) = 0)::INT + (upload_count = 0)::INT) AS k, (user_id % 11 = 0)::INT AS f15, user_id % 3 AS content_id FROM users),
 b AS (SELECT *, CASE WHEN k >= 5 THEN 0.35 WHEN k = 4 THEN 0.3 WHEN k = 3 THEN 0.25 WHEN k = 2 THEN 0.2 ELSE 0 END AS b1, CASE WHEN k / 5 >= 0.5 AND f4 >= 0.25 THEN 0.15 ELSE 0 END AS b2, CASE WHEN f15 = 1 THEN 0.2 ELSE 0 END AS b4 FROM f),
@@ -573,10 +580,11 @@ def registry_list(spark, sf_dir):
     return keyed.page(rows, [F.desc("score"), F.col("user_id")], 1, 20).select("user_id", "score", "total")
 
 
-@query(REG_SQL + ", r AS (SELECT user_id, reasons_count, row_number() OVER (ORDER BY reasons_count DESC, user_id) AS k FROM reg), t AS (SELECT user_id, row_number() OVER (ORDER BY user_id * 7919 % 1000, user_id) AS k FROM reg), n AS (SELECT count(*) AS total, CAST(ceil(count(*) / 25) AS BIGINT) AS total_pages FROM reg) SELECT 'reasons' AS sorted_by, user_id, total, total_pages FROM r, n WHERE k BETWEEN 26 AND 50 UNION ALL SELECT 'time', user_id, total, total_pages FROM t, n WHERE k <= 25")
+@query(REG_SQL + ", r AS (SELECT user_id, reasons_count, row_number() OVER (ORDER BY reasons_count DESC, user_id) AS k FROM reg), t AS (SELECT user_id, row_number() OVER (ORDER BY greatest(CASE WHEN user_id % 3 <> 1 THEN user_id * 7919 % 1000 END, CASE WHEN user_id % 3 <> 2 THEN user_id * 104729 % 1000 END), user_id) AS k FROM reg), n AS (SELECT count(*) AS total, CAST(ceil(count(*) / 25) AS BIGINT) AS total_pages FROM reg) SELECT 'reasons' AS sorted_by, user_id, total, total_pages FROM r, n WHERE k BETWEEN 26 AND 50 UNION ALL SELECT 'time', user_id, total, total_pages FROM t, n WHERE k <= 25")
 def registry_pages(spark, sf_dir):
-    """The second page by number of reasons, and the first by time, oldest first."""
-    rows = merged_registry(spark, sf_dir).withColumn("updated_at", F.timestamp_seconds(F.col("user_id") * 7919 % 1000))
+    """The second page by number of reasons, and the first by the time that the merged registry keeps, oldest first."""
+    sides = [side.withColumn("updated_at", F.timestamp_seconds(F.col("user_id") * factor % 1000)) for side, factor in zip(registry_sides(spark, sf_dir), (7919, 104_729), strict=True)]
+    rows = registry.merge(*sides)
     pages = {"reasons": registry.listing_page(rows, 2, 25, "reasons"), "time": registry.listing_page(rows, 1, 25, "time", descending=False)}
     found = [page.select(F.lit(name).alias("sorted_by"), "user_id", "total", "total_pages") for name, page in pages.items()]
     return found[0].unionByName(found[1])
