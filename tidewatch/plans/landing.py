@@ -63,6 +63,16 @@ def read_posts(spark, sf_dir):
     return files.read_posts(spark, path)
 
 
+@query(f"WITH {TEXTS} SELECT CAST(comment_id AS VARCHAR) AS post_id, user_id, text, comment_id % 3 = 0 AS is_repost FROM texts WHERE content_id <> 'en'")
+def read_named_posts(spark, sf_dir):
+    """Files with an array of a user's posts: the id comes from the file name. A file has the posts of up to 500 numbers."""
+    each = F.struct(F.col("post_id").cast("string").alias("dynamic_id"), F.col("text").alias("content"), "is_repost")
+    lists = A.posts(spark, sf_dir).groupBy("user_id", F.floor(F.col("post_id") / 500).cast("string").alias("part")).agg(F.to_json(F.collect_list(each)).alias("value"))
+    path = shared_dir(spark, "named-posts")
+    files.write_named(lists.select("value", F.concat(F.col("user_id").cast("string"), F.lit("_posts_"), "part").alias("name")), path)
+    return files.read_posts(spark, path, by_file=True)
+
+
 @query(f"WITH {USERS} SELECT 'BV' || user_id AS content_id, user_id AS owner_id, name AS title FROM users")
 def read_named_contents(spark, sf_dir):
     """Files that do not name their content: the key comes from the file name."""
@@ -80,6 +90,9 @@ def quarantine_corrupt(spark, sf_dir):
     body = F.to_json(F.struct("comment_id", "user_id"))
     line = F.when(F.col("user_id") % 7 == 0, F.expr("substring(to_json(struct(comment_id, user_id)), 1, 12)")).otherwise(body)
     good, bad = files.split_corrupt(spark, landed(rows.select(line.alias("value")), "lines-json"), "comment_id long, user_id long")
+    path = shared_dir(spark, "quarantine")
+    files.quarantine(bad, path)
+    bad = spark.read.parquet(path).filter("file IS NOT NULL AND found_at IS NOT NULL")
     return good.agg(F.count("*").alias("readable")).withColumn("quarantined", bad.agg(F.count("*").alias("n")).scalar())
 
 
@@ -147,14 +160,26 @@ def extract_page_state(spark, sf_dir):
     return A.table(spark, sf_dir, "pages").select("page_id", normalize.page_state(F.col("html"), r'var t="([^"]*)"').alias("state"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 4 <> 3 THEN '{\"url\":\"' || replace(url, '/', '/') || '\",\"note\":\"a }; b\"}' END AS state FROM pages WHERE NOT contains(url, '\"')")
+@query("SELECT page_id, CASE WHEN page_id % 4 <> 3 THEN '{\"url\":' || CAST(to_json(url) AS VARCHAR) || ',\"note\":\"a }; \\\" </script> b\",\"in\":{\"n\":1}}' END AS state FROM pages")
 def extract_initial_state(spark, sf_dir):
-    """The default pattern, on a state whose strings hold what ends it elsewhere; every fourth page has none."""
-    pages = A.table(spark, sf_dir, "pages").filter(~F.col("url").contains('"'))
+    """The state of every page, whose strings hold what ends it elsewhere; every fourth page has none."""
+    pages = A.table(spark, sf_dir, "pages")
     kind = F.col("page_id") % 4
-    state = F.concat(F.lit('<script>window.__INITIAL_STATE__ = {"url":"'), "url", F.lit('","note":"a }; b"}'))
+    url = F.regexp_extract(F.to_json(F.struct(F.col("url").alias("u"))), r'(?s)^\{"u":(.*)\}$', 1)
+    state = F.concat(F.lit('<script>window.__INITIAL_STATE__ = {"url":'), url, F.lit(',"note":"a }; \\" </script> b","in":{"n":1}}'))
     end = F.when(kind == 0, ";(function(){var s;}());</script>").when(kind == 1, ";</script><p>};</p>").otherwise("</script>")
-    return pages.select("page_id", normalize.page_state(F.concat("html", F.when(kind != 3, F.concat(state, end)).otherwise(""))).alias("state"))
+    return pages.select("page_id", normalize.initial_state(F.concat("html", F.when(kind != 3, F.concat(state, end)).otherwise(""))).alias("state"))
+
+
+@query("SELECT page_id, 'n}' || page_id AS name, '' AS avatar, url AS sign, CAST(page_id % 7 AS INTEGER) AS level, page_id * 3 AS follower, CAST(page_id % 2 AS INTEGER) AS vip_status, CASE WHEN page_id % 5 <> 0 THEN CAST(page_id % 3 AS INTEGER) END AS official_type, coalesce(CASE WHEN page_id % 5 <> 0 THEN 'a \"b\"' END, '') AS official_title, page_id % 11 AS upload_count FROM pages WHERE page_id % 4 <> 3")
+def state_profiles(spark, sf_dir):
+    """Profile rows from the state objects of the pages; every fourth page's user has no name."""
+    key = F.col("page_id")
+    official = F.when(key % 5 != 0, F.struct((key % 3).alias("type"), F.lit('a "b"').alias("title")))
+    up = F.struct(F.when(key % 4 != 3, F.concat(F.lit("n}"), key.cast("string"))).otherwise("").alias("name"), F.col("url").alias("sign"), (key % 7).alias("level"), (key * 3).alias("follower"), F.struct((key % 2).alias("status")).alias("vip"), official.alias("official"), (key % 11).alias("archive_count"))
+    html = F.concat("html", F.lit("<script>window.__INITIAL_STATE__="), F.to_json(F.struct(up.alias("up"))), F.lit(";</script>"))
+    pages = A.table(spark, sf_dir, "pages").select("page_id", html.alias("html"), "url")
+    return normalize.state_profile(pages.drop("url")).select("page_id", "name", "avatar", "sign", "level", "follower", "vip_status", "official_type", "official_title", "upload_count")
 
 
 @query("SELECT page_id, CAST(page_id % 7 AS INTEGER) AS level, coalesce(nullif(split_part(url, '/', 3), ''), 'x') AS sign FROM pages")
@@ -186,7 +211,12 @@ def parse_overlay_xml(spark, sf_dir):
 
 @query("SELECT event_id AS overlay_id, CAST(user_id AS INTEGER) AS progress_ms, event_type AS text, CAST(user_id % 11 AS INTEGER) AS weight, CAST(event_id % 3 AS INTEGER) AS pool, CAST(event_id AS VARCHAR) AS id_text, 5 AS attributes FROM events")
 def decode_overlay_segments(spark, sf_dir):
-    """Binary segments of one element each, assembled from the events."""
+    rows = event_segments(spark, sf_dir).select(F.col("comment_id").cast("string").alias("path"), F.unhex("segment").alias("content"))
+    return normalize.decode_overlay_segments(rows).select("overlay_id", "progress_ms", "text", "weight", "pool", "id_text", "attributes")
+
+
+def event_segments(spark, sf_dir):
+    """The events, each with a segment of one element as hexadecimal digits."""
 
     def varint(value):
         """Up to three bytes of seven bits, written in full."""
@@ -198,9 +228,22 @@ def decode_overlay_segments(spark, sf_dir):
 
     numbers = [("08", F.col("comment_id")), ("10", F.col("user_id")), ("48", F.col("user_id") % 11), ("58", F.col("comment_id") % 3), ("68", F.lit(5).cast("long"))]
     body = F.concat(*[F.concat(F.lit(tag), varint(value)) for tag, value in numbers], text_field("3A", F.col("content_id")), text_field("62", F.col("comment_id").cast("string")))
-    segment = F.unhex(F.concat(F.lit("0A"), F.lpad(F.hex(F.length(body) / 2), 2, "0"), body))
-    rows = A.comments_time(spark, sf_dir).select(F.col("comment_id").cast("string").alias("path"), segment.alias("content"))
-    return normalize.decode_overlay_segments(rows).select("overlay_id", "progress_ms", "text", "weight", "pool", "id_text", "attributes")
+    return A.comments_time(spark, sf_dir).withColumn("segment", F.concat(F.lit("0A"), F.lpad(F.hex(F.length(body) / 2), 2, "0"), body))
+
+
+@query("SELECT 'element' AS kind, event_id AS overlay_id, CAST(event_id // 200 AS VARCHAR) AS file, event_type AS text FROM events UNION ALL SELECT DISTINCT 'damage', NULL, CAST(event_id // 200 AS VARCHAR), 'cut value' FROM events WHERE event_id // 200 % 7 = 3")
+def segment_files(spark, sf_dir):
+    """Binary files of up to 200 elements, of which some have a cut one more at their end: all whole elements are read, and each
+    damaged file stands in the quarantine with its bytes."""
+    key = F.floor(F.col("comment_id") / 200).cast("long")
+    lists = event_segments(spark, sf_dir).groupBy(key.alias("key")).agg(F.array_join(F.collect_list("segment"), "").alias("hex"))
+    cut = F.when(F.col("key") % 7 == 3, "0A40").otherwise("")
+    path = shared_dir(spark, "segment-files")
+    files.write_named(lists.select(F.col("key").cast("string").alias("name"), F.unhex(F.concat("hex", cut)).alias("value")), path, ".bin")
+    good, bad = normalize.split_segments(normalize.read_segments(spark, path))
+    name = F.regexp_extract("path", r"([0-9]+)\.bin$", 1).alias("file")
+    rows = good.select(F.lit("element").alias("kind"), "overlay_id", name, "text")
+    return rows.unionByName(bad.filter("damaged IS NOT NULL").select(F.lit("damage").alias("kind"), F.lit(None).cast("long").alias("overlay_id"), name, F.col("damage").alias("text")))
 
 
 @query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS seen_at, o_custkey AS like_count, CAST(o_orderkey AS VARCHAR) AS content_id, CASE WHEN o_orderkey % 3 <> 0 THEN left('said ' || o_orderstatus || repeat(' x', CAST(o_orderkey % 300 AS INTEGER)), 500) END AS body FROM orders")

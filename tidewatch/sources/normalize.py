@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewatch.sources.storage import written
 
 CONTENT = (
     "bvid string, aid long, title string, pic string, owner struct<mid:long,name:string>, stat struct<view:long,reply:long,`like`:long>, "
@@ -98,6 +102,56 @@ def page_state(html: Column, pattern: str = r"(?s)window\.__INITIAL_STATE__\s*=\
     return F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
 
 
+STATE_START = re.compile(r"window\.__INITIAL_STATE__\s*=\s*(?=\{)")
+STATE_PART = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.DOTALL)
+
+
+def balanced_object(text: str | None) -> str | None:
+    """The state object that a page embeds, to the brace that closes it; braces inside strings do not count. None without
+    one, or if it does not end."""
+    start = STATE_START.search(text or "")
+    if start is None:
+        return None
+    depth = 0
+    for part in STATE_PART.finditer(text, start.end()):
+        depth += {"{": 1, "}": -1}.get(part[0], 0)
+        if part[0] == "}" and not depth:
+            return text[start.end() : part.end()]
+    return None
+
+
+@F.pandas_udf(T.StringType())
+def initial_state(html: pd.Series) -> pd.Series:
+    """``balanced_object`` of each page."""
+    return html.map(balanced_object)
+
+
+STATE_USER = "name string, face string, sign string, level int, sex string, birthday string, archive_count long, follower long, vip struct<status:int>, official struct<type:int,title:string>"
+
+
+def state_profile(pages: DataFrame, html: str = "html") -> DataFrame:
+    """The columns of ``pages`` but the html, and the profile in the state that the page embeds; rows without a name are left out."""
+    state = F.from_json(initial_state(html), f"up struct<{STATE_USER.replace(', ', ',').replace(' ', ':')}>")["up"]
+    rows = pages.withColumn("_u", state).filter("_u.name <> ''")
+    none, empty = F.lit(0), F.lit("")
+    return rows.select(
+        *[c for c in pages.columns if c != html],
+        F.col("_u.name").alias("name"),
+        F.coalesce("_u.face", empty).alias("avatar"),
+        F.coalesce("_u.sign", empty).alias("sign"),
+        F.coalesce("_u.level", none).alias("level"),
+        F.coalesce("_u.sex", empty).alias("sex"),
+        F.coalesce("_u.birthday", empty).alias("birthday"),
+        F.coalesce("_u.follower", none).alias("follower"),
+        F.lit(0).cast("long").alias("following"),
+        F.coalesce("_u.vip.status", none).alias("vip_status"),
+        F.col("_u.official.type").alias("official_type"),
+        F.coalesce("_u.official.title", empty).alias("official_title"),
+        F.lit(0).cast("long").alias("post_count"),
+        F.coalesce("_u.archive_count", none).alias("upload_count"),
+    )
+
+
 def page_fields(html: Column) -> tuple[Column, Column]:
     """Sign (after the last full stop of the description) and level (of a class name) of a profile page."""
     description = F.regexp_extract(html, r"<meta name=\"description\" content=\"([^\"]*)\"", 1)
@@ -168,9 +222,14 @@ def split_ids(rows: DataFrame, text: str) -> DataFrame:
 OVERLAY_SEGMENT = "path string, overlay_id long, progress_ms int, mode int, font_size int, color long, sender_hash string, text string, sent_s long, weight int, action string, pool int, id_text string, attributes int"
 #: Field numbers of an overlay element in a segment.
 SEGMENT_FIELDS = {1: "overlay_id", 2: "progress_ms", 3: "mode", 4: "font_size", 5: "color", 6: "sender_hash", 7: "text", 8: "sent_s", 9: "weight", 10: "action", 11: "pool", 12: "id_text", 13: "attributes"}
+SEGMENT_TEXTS, SEGMENT_LONGS = {"sender_hash", "text", "action", "id_text"}, {"overlay_id", "color", "sent_s"}
+
+
+Damage = tuple[int, str]
 
 
 def varint(data: bytes, at: int) -> tuple[int, int]:
+    """A variable-length number and where the next byte is; an IndexError if the bytes end within it."""
     value = shift = 0
     while True:
         byte = data[at]
@@ -181,37 +240,88 @@ def varint(data: bytes, at: int) -> tuple[int, int]:
             return value, at
 
 
-def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
-    """Field numbers and values of one message: varints, fixed widths and length-delimited values."""
+def fields(data: bytes, damage: list[Damage], base: int = 0) -> Iterator[tuple[int, int | bytes, int]]:
+    """Field number, value (varint or length-delimited) and place of what can be read of a message. Reading ends at the
+    first damage, whose place (from ``base``) and reason are added to the list; the part of a cut value is given."""
     at = 0
     while at < len(data):
-        key, at = varint(data, at)
-        kind = key & 7
-        if kind == 0:
-            value, at = varint(data, at)
-        elif kind == 2:
-            size, at = varint(data, at)
-            value, at = data[at : at + size], at + size
-        elif kind in (1, 5):
-            size = 8 if kind == 1 else 4
-            value, at = data[at : at + size], at + size
-        else:
-            raise ValueError(f"wire type {kind}")
-        yield key >> 3, value
-
-
-def decode_overlay_segments(files: DataFrame) -> DataFrame:
-    """Timed comments of binary segment files (path, content): repeated messages in field 1."""
+        began = at
+        try:
+            key, at = varint(data, at)
+            kind = key & 7
+            if kind == 0:
+                value, at = varint(data, at)
+            elif kind == 2:
+                size, at = varint(data, at)
+                value, at = data[at : at + size], at + size
+            else:
+                damage.append((base + began, f"wire type {kind}"))
+                return
+        except IndexError:
+            damage.append((base + began, "cut number"))
+            return
+        if at > len(data):
+            damage.append((base + began, "cut value"))
+        yield key >> 3, value, base + min(at, len(data)) - (len(value) if kind == 2 else 0)
+
+
+def segment_elements(content: bytes) -> tuple[list[dict], list[Damage]]:
+    """The overlay elements of a segment (repeated messages in field 1), and what is damaged in it. Bytes that are no UTF-8
+    are replaced, fields of another kind than theirs are left out."""
+    damage: list[Damage] = []
+    rows = []
+    for number, element, place in fields(content, damage):
+        if number != 1 or not isinstance(element, bytes):
+            continue
+        row = {}
+        for n, value, at in fields(element, damage, place):
+            name = SEGMENT_FIELDS.get(n)
+            if name is None or isinstance(value, bytes) != (name in SEGMENT_TEXTS):
+                continue
+            if isinstance(value, bytes):
+                text = value.decode(errors="replace")
+                if "\ufffd" in text and text.encode() != value:
+                    damage.append((at, f"bytes of {name}"))
+                row[name] = text
+            elif value < 1 << (63 if name in SEGMENT_LONGS else 31):
+                row[name] = value
+            else:
+                damage.append((at, f"size of {name}"))
+        if row:
+            rows.append(row)
+    return rows, sorted(damage)
+
+
+def read_segments(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of binary segment files."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def decode_segments(files: DataFrame) -> DataFrame:
+    """Of segment files (path, content) all that can be read: rows of elements, and for each damage a row with ``damage_at``
+    (byte), ``damage`` (reason) and ``damaged`` (the file's bytes, in its first such row)."""
     names = [c.split()[0] for c in OVERLAY_SEGMENT.split(", ")]
+    more = ["damage_at", "damage", "damaged"]
 
     def run(frames):
         for frame in frames:
             rows = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                for number, element in fields(content):
-                    if number == 1:
-                        seen = {SEGMENT_FIELDS[n]: v.decode() if isinstance(v, bytes) else v for n, v in fields(element) if n in SEGMENT_FIELDS}
-                        rows.append({"path": path} | seen)
-            yield pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None)
+                found, damage = segment_elements(content or b"")
+                rows += [{"path": path} | row for row in found]
+                rows += [{"path": path, "damage_at": at, "damage": reason, "damaged": None if k else content} for k, (at, reason) in enumerate(damage)]
+            yield pd.DataFrame(rows, columns=names + more).astype(object).where(lambda d: d.notna(), None)
+
+    return files.select("path", "content").mapInPandas(run, f"{OVERLAY_SEGMENT}, damage_at long, damage string, damaged binary")
+
+
+def decode_overlay_segments(files: DataFrame) -> DataFrame:
+    """Timed comments of binary segment files (path, content), also of damaged ones as far as they can be read."""
+    return decode_segments(files).filter("damage IS NULL").drop("damage_at", "damage", "damaged")
+
 
-    return files.select("path", "content").mapInPandas(run, OVERLAY_SEGMENT)
+def split_segments(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Elements, and the quarantine (path, damage_at, damage, damaged) of segment files, which are decoded once."""
+    decoded = written(decode_segments(files), "decoded-segments")
+    good = decoded.filter("damage IS NULL").drop("damage_at", "damage", "damaged")
+    return good, decoded.filter("damage IS NOT NULL").select("path", "damage_at", "damage", "damaged")
