@@ -286,6 +286,25 @@ def test_license_join_is_exact(spark):
         assert found[i] == brute_notices(text) | {label for phrase, label in bases.items() if f" {phrase} " in f" {text} "}
 
 
+@pytest.mark.parametrize("n", [32, 33, 128, 129, 200, 700])
+def test_license_templates_of_any_length(spark, n):
+    """A body of so many words among others is found wherever it begins, with one word in ten replaced; with three it is not."""
+    rng = random.Random(n)
+    body = [f"t{rng.randint(0, 400)}" for _ in range(n)]
+    rows = []
+    for share, before in ((0.1, 0), (0.1, 37), (0.1, 3 * n), (0.3, 11)):
+        own = list(body)
+        for at in rng.sample(range(n), int(share * len(set(body)))):
+            own[at] = "zz"
+        rows.append((len(rows), " ".join(["x"] * before + own + ["y"] * n)))
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(docs_of(spark, rows), templates=[(" ".join(body), "body"), ("some other notice", "other")]).collect()}
+    for i, text in rows:
+        own, step, words = set(body), licenses.step_of(" ".join(body)), text.split()
+        best = max(len(own & set(words[k : k + 2 * step])) / len(own) for k in range(0, max(len(words) - step, 1), step))
+        assert (found[i]["labels"], found[i]["score"]) == (("body", pytest.approx(best)) if best >= 0.8 - 1e-9 else ("", 0.0))
+    assert [found[i]["labels"] for i in range(3)] == ["body"] * 3
+
+
 def test_license_notices_as_usually_wrapped(spark):
     """Notices broken at 80 columns and at 40, and behind comment signs, in the middle of other text."""
     import textwrap

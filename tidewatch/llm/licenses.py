@@ -12,7 +12,7 @@ windows of the smallest step that holds it. Both are sets of words. A block meet
 * what remains is compared exactly.
 
 Everything runs in DataFrame functions. Texts are read twice, for the word counts and for the rest. The templates are a
-fixed list in code, so their index is broadcast.
+argument, a list of any lengths that the driver holds, so their index is broadcast.
 
 Defined results: a null or empty text has no words, no labels and score 0; very long texts are scanned whole; null ids are
 kept; rows that repeat an id and a text each give the same row; words in equally many documents are ordered by text; an
@@ -59,8 +59,8 @@ TEMPLATES = [
     ("all rights reserved no part of this publication may be reproduced without permission", "all-rights-reserved"),
 ]
 THRESHOLD = 0.8
-#: Words between the starts of windows; the longest template has at most as many words as the last.
-STEPS = (32, 128)
+#: Words between the starts of windows for the shortest templates, and how much longer the next ones are.
+STEP, TIMES = 32, 4
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -111,9 +111,12 @@ def with_phrases(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, also
     )
 
 
-def step_of(template: str, steps: tuple[int, ...] = STEPS) -> int:
-    """The smallest step whose windows hold any run of as many words as the template has."""
-    return next(s for s in steps if len(template.split()) <= s)
+def step_of(template: str) -> int:
+    """The smallest step (32, 128, 512, ...) whose windows hold any run of as many words as the template has."""
+    step = STEP
+    while step < len(template.split()):
+        step *= TIMES
+    return step
 
 
 def document_frequencies(docs: DataFrame, words: list[str]) -> dict[str, int]:
