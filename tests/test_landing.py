@@ -89,3 +89,35 @@ def test_bad_lines_are_set_aside_with_their_file(spark, tmp_path):
     assert sorted(r["k"] for r in good.collect()) == [1, 3, 4]
     aside = spark.read.parquet(f"file://{tmp_path}/aside").groupBy("line", F.regexp_extract("file", r"(\w)\.json$", 1).alias("f")).count().collect()
     assert {(r["line"], r["f"], r["count"]) for r in aside} == {('{"k": 2', "a", 2), ("no json", "b", 2)}
+
+
+def rows_read(frame):
+    """The rows that the scan of a frame gives, from the metrics of its plan, and the rows of the result."""
+    n = len(frame.collect())
+    plan = frame._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    scans = [leaves.apply(i) for i in range(leaves.length())]
+    return sum(s.metrics().apply("numOutputRows").value() for s in scans), n
+
+
+def test_lookups_by_other_columns_skip_most_row_groups(spark, tmp_path):
+    n, path = 40_000, f"file://{tmp_path}/store"
+    rows = spark.range(n).select("id", (F.col("id") % 997).alias("content_id"), (F.xxhash64("id") % 500).alias("user_id"), F.timestamp_seconds(F.abs(F.xxhash64("id", F.lit(1))) % 1_000_000).alias("created_at"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    files.write_bucketed(rows, path, "content_id", 4, near=["user_id", "created_at"], bloom=("id",), block_bytes=60_000)
+    conditions = {
+        "user": (F.col("user_id") == 77, 0.35),
+        "time": ((F.col("created_at") >= F.timestamp_seconds(F.lit(500_000))) & (F.col("created_at") < F.timestamp_seconds(F.lit(510_000))), 0.35),
+        "both": ((F.col("user_id") == 77) & (F.col("created_at") < F.timestamp_seconds(F.lit(100_000))), 0.15),
+        "id": (F.col("id") == 12_345, 0.1),
+    }
+    for name, (condition, most) in conditions.items():
+        read, found = rows_read(files.lookup_indexed(spark, path, condition))
+        assert found == rows.filter(condition).count() and read <= most * n, (name, read)
+    assert rows_read(spark.read.parquet(path).filter(F.col("text") == "x"))[1] == 0
+
+
+def test_z_order_of_nulls_and_constants(spark, tmp_path):
+    rows = spark.createDataFrame([(i, None if i % 3 else i, 5) for i in range(50)], "k long, a long, b int")
+    files.write_bucketed(rows, f"file://{tmp_path}/s", "k", 2, near=["a", "b"])
+    assert files.read_bucketed(spark, f"file://{tmp_path}/s").count() == 50
+    files.write_bucketed(rows.limit(0), f"file://{tmp_path}/none", "k", 2, near=["a", "b"])

@@ -286,3 +286,14 @@ def store_lookup(spark, sf_dir):
     path = shared_dir(spark, "comment-store")
     files.write_bucketed(A.comments_rel(spark, sf_dir).drop("seq"), path, "content_id", 32, F.col("created_at"))
     return files.lookup_bucketed(spark, path, "content_id", [7, 32, 99], 32).select("comment_id", "content_id", "user_id", "like_count")
+
+
+@query(f"WITH {COMMENTS} SELECT 'user' AS found_by, comment_id, content_id, user_id, like_count FROM comments WHERE user_id = 7 UNION ALL SELECT 'id', comment_id, content_id, user_id, like_count FROM comments WHERE comment_id IN (11, 323, 999999999) UNION ALL SELECT 'time', comment_id, content_id, user_id, like_count FROM comments WHERE created_at >= DATE '1995-03-01' AND created_at < DATE '1995-03-08'")
+def store_lookup_by_user(spark, sf_dir):
+    """Lookups by columns that are not the store's key: by user, by comment id and by time."""
+    path = shared_dir(spark, "indexed-comment-store")
+    rows = A.comments_rel(spark, sf_dir).drop("seq")
+    files.write_bucketed(rows, path, "content_id", 8, near=["user_id", "created_at"], bloom=("comment_id", "user_id"), block_bytes=1 << 20)
+    lookups = {"user": F.col("user_id") == 7, "id": F.col("comment_id").isin(11, 323, 999_999_999), "time": (F.col("created_at") >= "1995-03-01") & (F.col("created_at") < "1995-03-08")}
+    found = [files.lookup_indexed(spark, path, c).select(F.lit(name).alias("found_by"), "comment_id", "content_id", "user_id", "like_count") for name, c in lookups.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
