@@ -1,11 +1,12 @@
 """Damaged and odd landed files: what can be read is read, the rest is set aside."""
 
+import io
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.sources import files, normalize
+from tidewatch.sources import files, landed, normalize
 
 
 def number(value):
@@ -121,3 +122,110 @@ def test_z_order_of_nulls_and_constants(spark, tmp_path):
     files.write_bucketed(rows, f"file://{tmp_path}/s", "k", 2, near=["a", "b"])
     assert files.read_bucketed(spark, f"file://{tmp_path}/s").count() == 50
     files.write_bucketed(rows.limit(0), f"file://{tmp_path}/none", "k", 2, near=["a", "b"])
+
+
+# landed files as a data source
+
+
+def values_of(data, piece=16):
+    return list(landed.elements(io.BytesIO(data), piece))
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ('[{"a": 1}, {"a": "]}"}, 12, "x\\"y", null, [1, [2]]]', ['{"a": 1}', '{"a": "]}"}', "12", '"x\\"y"', "null", "[1, [2]]"]),
+        ('{"code": 0, "n": {"comments": [1]}, "replies": [{"b": "é日"}]}', ['{"b": "é日"}']),
+        ('{"a": 1}', []),
+        ("{}", []),
+        (" [ ] ", []),
+        ("", []),
+    ],
+)
+@pytest.mark.parametrize("piece", [1, 3, 1_000])
+def test_elements_in_pieces(text, wanted, piece):
+    assert values_of(text.encode(), piece) == [(v, None) for v in wanted]
+
+
+@pytest.mark.parametrize(("text", "n"), [('[1, 2, {"a": ', 2), ("[1 2]", 1), ("nothing", 0), ('[1, "x', 1), ("[1,", 1)])
+def test_broken_arrays_end_with_a_reason(text, n):
+    found = values_of(text.encode())
+    assert [e for _, e in found[:n]] == [None] * n and len(found) == n + 1 and found[n][1]
+
+
+def test_a_large_array_is_read_in_bounded_memory():
+    import tracemalloc
+
+    class Endless:
+        """An array of 200 MB that is made while it is read."""
+
+        def __init__(self):
+            self.left = 200
+
+        def read(self, n):
+            if not self.left:
+                return b""
+            self.left -= 1
+            body = b",".join([b'{"text": "%s"}' % (b"x" * 980)] * 1_000)
+            return (b"[" if self.left == 199 else b",") + body + (b"]" if not self.left else b"")
+
+    tracemalloc.start()
+    assert sum(1 for _ in landed.elements(Endless())) == 200_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+
+
+def test_landed_format(spark, tmp_path):
+    landed.register(spark)
+    for key in ("7", "8", "9"):
+        (tmp_path / f"{key}_comments.json").write_text('[{"k": %s}, {"k": 1%s}]' % (key, key))
+    (tmp_path / "5_x.json").write_text('{"replies": [{"k": 5}, {"k"')
+    (tmp_path / "_hidden.json").write_text("[1]")
+    rows = spark.read.format("landed").load(f"file://{tmp_path}")
+    assert sorted((r["key"], r["n"], r["value"]) for r in rows.filter("error IS NULL").collect()) == sorted([(k, n, '{"k": %s%s}' % ("1" * n, k)) for k in "789" for n in (0, 1)] + [("5", 0, '{"k": 5}')])
+    assert [r["key"] for r in rows.filter("error IS NOT NULL").collect()] == ["5"]
+    one = spark.read.format("landed").load(f"file://{tmp_path}").filter("key IN ('7', '9') AND n = 0")
+    assert sorted(r["key"] for r in one.collect()) == ["7", "9"] and one.rdd.getNumPartitions() == 2
+
+
+def test_landed_batches_commit_or_leave_nothing(spark, tmp_path):
+    landed.register(spark)
+    rows = spark.range(50).select(F.to_json(F.struct("id")).alias("value")).repartition(4)
+    save = lambda frame: frame.write.format("landed").mode("append").save(f"file://{tmp_path}")
+    save(rows)
+    back = spark.read.format("landed").load(f"file://{tmp_path}")
+    assert sorted(back.select(F.get_json_object("value", "$.id").cast("int")).toPandas().iloc[:, 0]) == list(range(50))
+    with pytest.raises(Exception, match="broken"):
+        save(rows.select(F.when(F.col("value").contains("49"), F.raise_error(F.lit("broken")).cast("string")).otherwise(F.col("value")).alias("value")))
+    assert back.count() == 50 and not [p for p in tmp_path.iterdir() if p.name.startswith(".")]
+
+
+def test_landed_stream_goes_on_after_a_restart(spark, tmp_path):
+    landed.register(spark)
+    (tmp_path / "in").mkdir()
+
+    def run():
+        stream = spark.readStream.format("landed").option("files_per_batch", 1).load(f"file://{tmp_path}/in")
+        query = stream.select("key", "value").writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/check").trigger(processingTime="0 seconds").start()
+        try:
+            for _ in range(3):
+                query.processAllAvailable()
+        finally:
+            query.stop()
+        return sorted((r["key"], r["value"]) for r in spark.read.schema("key string, value string").parquet(f"file://{tmp_path}/out").collect())
+
+    (tmp_path / "in" / "1.json").write_text("[1, 2]")
+    assert run() == [("1", "1"), ("1", "2")]
+    (tmp_path / "in" / "2.json").write_text("[3]")
+    (tmp_path / "in" / "3.json").write_text("[4]")
+    assert run() == [("1", "1"), ("1", "2"), ("2", "3"), ("3", "4")]
+
+
+def test_comment_files_of_all_forms(spark, tmp_path):
+    forms = {"BV1": '[{"rpid": 1, "content": "a", "ctime": 60}, {"rpid": 2, "message": "b", "like_count": 3}]', "BV2": '{"comments": [{"rpid": 3, "root": 1, "mid": 9}]}', "BV3": '{"page": {"n": 1}, "replies": [{"rpid": 4}]}', "BV4": '[{"rpid": 5}, {"rpid"'}
+    for name, text in forms.items():
+        (tmp_path / f"{name}_comments.json").write_text(text)
+    found = {r["comment_id"]: r for r in files.read_comments(spark, f"file://{tmp_path}").collect()}
+    assert sorted(found) == [1, 2, 3, 4, 5] and [found[i]["text"] for i in (1, 2, 3)] == ["a", "b", None]
+    assert (found[2]["like_count"], found[3]["root_id"], found[3]["user_id"], found[4]["root_id"]) == (3, 1, 9, 0)

@@ -47,6 +47,24 @@ def read_comments(spark, sf_dir):
     return files.read_comments(spark, path, whole_files=False).select("comment_id", "root_id", "text", "user_name")
 
 
+@query("SELECT CAST((conv_id + 1) // 50 AS VARCHAR) AS key, (conv_id + 1) * 100 + turn AS comment_id, text, role AS user_name FROM conversations WHERE (conv_id + 1) // 50 <> 1")
+def read_landed_arrays(spark, sf_dir):
+    """Files of an array each (or an object with one), for 50 threads, by the format of landed files; one file is left out by its name."""
+    from tidewatch.sources import landed as source
+
+    source.register(spark)
+    rows = A.threads(spark, sf_dir)
+    part = F.floor(F.col("comment_id") / 5_000).cast("long")
+    each = F.struct(F.col("comment_id").alias("rpid"), F.col("text").alias("content"), F.col("user_name").alias("uname"))
+    lists = rows.groupBy(part.alias("part")).agg(F.to_json(F.collect_list(each)).alias("list"))
+    body = F.when(F.col("part") % 2 == 0, F.col("list")).otherwise(F.concat(F.lit('{"code": 0, "comments": '), "list", F.lit("}")))
+    path = shared_dir(spark, "landed-arrays")
+    files.write_named(lists.select(body.alias("value"), F.concat(F.col("part").cast("string"), F.lit("_comments")).alias("name")), path)
+    value = F.from_json("value", "rpid long, content string, uname string")
+    found = spark.read.format("landed").load(path).filter("key <> '1' AND error IS NULL").select("key", value.alias("c"))
+    return found.select("key", F.col("c.rpid").alias("comment_id"), F.col("c.content").alias("text"), F.col("c.uname").alias("user_name"))
+
+
 @query(f"WITH {USERS} SELECT user_id, name, sign, level, follower FROM users WHERE user_id IN (SELECT l_suppkey FROM lineitem)")
 def read_users(spark, sf_dir):
     rows = A.users(spark, sf_dir).select(F.col("user_id").alias("mid"), "name", F.col("avatar").alias("face"), "sign", "level", "follower", "following")
