@@ -229,3 +229,12 @@ def test_comment_files_of_all_forms(spark, tmp_path):
     found = {r["comment_id"]: r for r in files.read_comments(spark, f"file://{tmp_path}").collect()}
     assert sorted(found) == [1, 2, 3, 4, 5] and [found[i]["text"] for i in (1, 2, 3)] == ["a", "b", None]
     assert (found[2]["like_count"], found[3]["root_id"], found[3]["user_id"], found[4]["root_id"]) == (3, 1, 9, 0)
+
+
+def test_profiles_of_odd_payloads(spark):
+    texts = ['{"mid": "7", "name": "a", "level": "x", "follower": 12.0, "new": {"k": [1]}}', '{"mid": 8, "face": null, "sign": 5, "level": 4}', "no json", None, "[1]", '{"mid": {"a": 1}}']
+    rows = [tuple(r) for r in normalize.normalize_user(spark.createDataFrame([(t,) for t in texts], "data string")).select("user_id", "name", "avatar", "sign", "level", "follower", "post_count").collect()]
+    none = (None, None, "", "", 0, 0, -1)
+    assert rows == [(7, "a", "", "", 0, 12, -1), (8, None, "", "5", 4, 0, -1), none, none, none, none]
+    kept = normalize.normalize_user(spark.createDataFrame([(texts[0],)], "data string"), keep=True)
+    assert kept.select(F.try_variant_get("payload", "$.new.k[0]", "int")).first()[0] == 1

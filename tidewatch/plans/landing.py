@@ -291,3 +291,13 @@ def parse_id_seed(spark, sf_dir):
 def split_ids(spark, sf_dir):
     rows = A.table(spark, sf_dir, "customer").select(F.concat((F.col("c_custkey")).cast("string"), F.lit(", \n"), F.col("c_nationkey").cast("string")).alias("ids"))
     return normalize.split_ids(rows, "ids")
+
+
+@query(f"WITH {USERS} SELECT verify_type AS source, count(*) AS n, count(*) FILTER (user_id % 10 = 7) AS unreadable, CASE WHEN verify_type = 0 THEN 'OBJECT<level: VARIANT, mid: BIGINT, name: STRING>' ELSE 'OBJECT<extra: OBJECT<a: BIGINT>, level: BIGINT, mid: BIGINT, name: STRING>' END AS schema FROM users GROUP BY 1")
+def payload_drift(spark, sf_dir):
+    """Two sources of profiles: one writes some levels as text, the other has a field more; some payloads are cut."""
+    key, first = F.col("user_id"), F.col("verify_type") == 0
+    level = F.when(first & (key % 2 == 0), F.concat(F.lit('"'), F.col("level").cast("string"), F.lit('"'))).otherwise(F.col("level").cast("string"))
+    body = F.concat(F.lit('{"mid": '), key.cast("string"), F.lit(', "name": "n", "level": '), level, F.when(first, "").otherwise(', "extra": {"a": 1}'), F.when(key % 10 == 7, "").otherwise("}"))
+    rows = A.users(spark, sf_dir).select(F.col("verify_type").alias("source"), body.alias("payload"))
+    return normalize.schema_drift(rows, "payload", ["source"])

@@ -65,27 +65,46 @@ def normalize_comments(payloads: DataFrame, text: str = "data", root: Column | N
     )
 
 
-def normalize_user(payloads: DataFrame, text: str = "data") -> DataFrame:
-    field = lambda path, kind: F.get_json_object(text, f"$.{path}").try_cast(kind)
-    return payloads.select(
+def parsed(payloads: DataFrame, text: str) -> DataFrame:
+    """The payloads with ``v``, their JSON as a variant, parsed once; null where it is no JSON."""
+    return payloads.withColumn("v", F.try_parse_json(text))
+
+
+def field(path: str, kind: str = "string") -> Column:
+    """A field of the parsed payload in the wanted type; null if it is missing, null or of a type that does not fit."""
+    return F.try_variant_get("v", f"$.{path}", kind)
+
+
+def normalize_user(payloads: DataFrame, text: str = "data", keep: bool = False) -> DataFrame:
+    """Profile rows; with ``keep``, the whole payload stays beside them as a variant, unknown fields included."""
+    none, empty = F.lit(0), F.lit("")
+    return parsed(payloads, text).select(
         field("mid", "long").alias("user_id"),
-        F.get_json_object(text, "$.name").alias("name"),
-        F.coalesce(F.get_json_object(text, "$.face"), F.lit("")).alias("avatar"),
-        F.coalesce(F.get_json_object(text, "$.sign"), F.lit("")).alias("sign"),
-        F.coalesce(field("level", "int"), F.lit(0)).alias("level"),
-        F.coalesce(field("follower", "long"), F.lit(0)).alias("follower"),
-        F.coalesce(field("following", "long"), F.lit(0)).alias("following"),
+        field("name").alias("name"),
+        F.coalesce(field("face"), empty).alias("avatar"),
+        F.coalesce(field("sign"), empty).alias("sign"),
+        F.coalesce(field("level", "int"), none).alias("level"),
+        F.coalesce(field("follower", "long"), none).alias("follower"),
+        F.coalesce(field("following", "long"), none).alias("following"),
         F.coalesce(field("post_count", "long"), F.lit(-1)).alias("post_count"),
+        *([F.col("v").alias("payload")] if keep else []),
     )
 
 
+def schema_drift(payloads: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """For each source (``keys``) the number of payloads, of those that are no JSON, and the schema that all others have
+    together, in which a field of clashing types is a VARIANT; sources whose schemas differ have drifted apart."""
+    rows = parsed(payloads, text).groupBy(*keys)
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull() & F.col(text).isNotNull()).alias("unreadable"), F.schema_of_variant_agg("v").alias("schema"))
+
+
 def normalize_posts(payloads: DataFrame, text: str = "data", archive_first: bool = False) -> DataFrame:
     """Post text from the module's text or description; reposts carry an origin, a type or (in the variant) a label."""
-    get = lambda path: F.get_json_object(text, f"$.{path}")
-    plain = F.coalesce(get("modules.module_dynamic.text"), get("modules.module_dynamic.desc.text"))
-    body = F.coalesce(F.nullif(get("modules.module_dynamic.major.archive.title"), F.lit("")), plain) if archive_first else plain
-    is_repost = F.coalesce(get("action").contains("转发"), F.lit(False)) if archive_first else (F.coalesce(get("type"), F.lit("")).contains("FORWARD") | get("orig").isNotNull())
-    return payloads.select(get("id_str").alias("post_id"), get("mid").try_cast("long").alias("user_id"), F.coalesce(body, F.lit("")).alias("text"), is_repost.alias("is_repost"), F.coalesce(get("type"), F.lit("")).alias("post_type"))
+    plain = F.coalesce(field("modules.module_dynamic.text"), field("modules.module_dynamic.desc.text"))
+    body = F.coalesce(F.nullif(field("modules.module_dynamic.major.archive.title"), F.lit("")), plain) if archive_first else plain
+    kind, origin = F.coalesce(field("type"), F.lit("")), field("orig", "variant")
+    is_repost = F.coalesce(field("action").contains("转发"), F.lit(False)) if archive_first else kind.contains("FORWARD") | (origin.isNotNull() & ~F.coalesce(F.is_variant_null(origin), F.lit(False)))
+    return parsed(payloads, text).select(field("id_str").alias("post_id"), field("mid", "long").alias("user_id"), F.coalesce(body, F.lit("")).alias("text"), is_repost.alias("is_repost"), kind.alias("post_type"))
 
 
 def normalize_listing(payloads: DataFrame, text: str = "data") -> DataFrame:
