@@ -5,8 +5,10 @@ treats words as the alphabet. For each pattern length a shift table holds, by th
 that the search may skip; where the shift is zero, the hash selects the bucket of patterns that end so, and a direct
 comparison of the words confirms an occurrence. Tables are numpy arrays of word numbers and places.
 
-A benchmark beyond ``max_block_bytes`` is dealt into several blocks. Driver and tasks hold one block at a time: its tables
-are built, sent, and its result is written before the next. A block of 1.5 MB of text takes about 12 MB in a worker.
+A benchmark beyond ``max_block_bytes`` is dealt into several blocks. Tasks build the tables of a block each and leave them as
+a file of the shared folder; the driver gets the number of blocks only. The documents are read once: a task holds
+``HELD_BYTES`` of texts and searches them with the tables of one block after the other, so documents are neither written
+nor shuffled for it. A block of 1.5 MB of text takes about 12 MB in a worker.
 
 Defined results: a null or empty text has no words (zero hits, not contaminated); a very long text is searched whole; null
 ids stay null; repeated rows each give a row; an item whose id is null matches and appears as an empty id; items that share
@@ -17,6 +19,8 @@ table are ignored and may have any name.
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,11 +28,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Workspace, binary_column, words_of
+from tidewatch.llm.common import binary_column, make_dir, move_file, open_file, shared_dir, words_of
 
 WINDOW = 13
 BLOCK_WORDS = 3
 MAX_BLOCK_BYTES = 8 << 20
+#: Texts that a task holds while it goes through the blocks.
+HELD_BYTES = 32 << 20
 
 
 class WindowTable:
@@ -128,54 +134,56 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> Iterator[tuple[bytes,
             yield tuple(words[i : i + size])
 
 
-def search_blocks(benchmark: DataFrame, item_col: str, text_col: str, max_block_bytes: int) -> tuple[int, Iterator[WindowSearch]]:
-    """The number of blocks of the benchmark, and their search tables one by one; a block's texts have about
+def write_tables(benchmark: DataFrame, item_col: str, text_col: str, max_block_bytes: int) -> tuple[str, int]:
+    """The folder with a file of search tables for each block, and the number of blocks; a block's texts have about
     ``max_block_bytes`` at most."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    import pyarrow as pa
+
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = -(-total // max_block_bytes) or 1
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)))
+    folder = shared_dir(spark, "search-tables")
+    make_dir(folder)
 
-    def build():
-        for number in range(n_blocks):
-            yield WindowSearch([(row["item"] or "", words_of((row["text"] or "").encode())) for row in dealt.filter(F.col("block") == number).toLocalIterator()])
+    def build(table: pa.Table) -> pa.Table:
+        number = table.column("block")[0].as_py()
+        search = WindowSearch([(item, words_of(text.encode())) for item, text in zip(table.column("item").to_pylist(), table.column("text").to_pylist(), strict=True)])
+        part = f"{folder}/part-{uuid.uuid4().hex}"
+        with open_file(part, "wb") as out:
+            out.write(pickle.dumps(search))
+        move_file(part, table_file(folder, number))
+        return pa.table({"block": pa.array([number], pa.int64())})
 
-    return n_blocks, build()
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)).cast("long"))
+    n_tasks = min(n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    built = dealt.repartition(n_tasks, "block").groupBy("block").applyInArrow(build, "block long")
+    built.write.format("noop").mode("overwrite").save()
+    return folder, n_blocks
 
 
-SCAN = "id {id}, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+def table_file(folder: str, number: int) -> str:
+    return f"{folder}/block-{number}"
 
 
-def scan(docs: DataFrame, search: WindowSearch, keep_text: bool) -> DataFrame:
-    """Adds one block's spans and items to those found so far."""
-    import pyarrow as pa
+#: The tables that a worker read last, by file.
+_last_tables: dict[str, WindowSearch | None] = {}
 
-    held = docs.sparkSession.sparkContext.broadcast(search)
-    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def run(batches):
-        find = held.value.search
-        for batch in batches:
-            n_words, spans, items = [], [], []
-            before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)
-            for text, (old_spans, old_items) in zip(binary_column(batch, "text"), before, strict=True):
-                words = words_of(text)
-                own, found = find(words)
-                n_words.append(len(words))
-                spans.append([{"start": a, "end": b} for a, b in merged(own + [(s["start"], s["end"]) for s in old_spans or ()])])
-                items.append(sorted(found.union(old_items or ())))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    batch.column("text") if keep_text else pa.nulls(len(n_words), pa.string()),
-                    pa.array(n_words, pa.int64()),
-                    pa.array(spans, span_type),
-                    pa.array(items, pa.list_(pa.string())),
-                ],
-                ["id", "text", "n_words", "spans", "items"],
-            )
-
-    return docs.mapInArrow(run, SCAN.format(id=docs.schema["id"].dataType.simpleString()))
+def read_tables(folder: str, number: int) -> WindowSearch | None:
+    """The tables of a block; None for one without items."""
+    path = table_file(folder, number)
+    if path not in _last_tables:
+        _last_tables.clear()
+        try:
+            with open_file(path, "rb") as file:
+                _last_tables[path] = pickle.loads(file.read())
+        except FileNotFoundError:
+            _last_tables[path] = None
+    return _last_tables[path]
+
+
+SPANS = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
 def find_benchmark_spans(
@@ -186,23 +194,50 @@ def find_benchmark_spans(
     item_col: str = "item_id",
     item_text_col: str = "text",
     max_block_bytes: int = MAX_BLOCK_BYTES,
+    held_bytes: int = HELD_BYTES,
 ) -> DataFrame:
     """Per document row: id, n_words, merged spans of hit words, items (as strings, sorted) with occurring windows."""
-    found = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(text_col).alias("text"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"),
-        F.lit(None).cast("array<string>").alias("items"),
-    )
-    space = Workspace(docs.sparkSession)
-    n_blocks, blocks = search_blocks(benchmark, item_col, item_text_col, max_block_bytes)
-    for k, search in enumerate(blocks):
-        found = scan(found, search, keep_text=k + 1 < n_blocks)
-        if k + 1 < n_blocks:
-            found = space.write(found, "searched-blocks")
-            space.drop("searched-blocks*")
-    return found.select(F.col("id").alias(id_col), "n_words", "spans", "items")
+    import pyarrow as pa
+
+    folder, n_blocks = write_tables(benchmark, item_col, item_text_col, max_block_bytes)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def searched(texts: list[bytes | None]):
+        spans, items, n_words = [[] for _ in texts], [set() for _ in texts], [0] * len(texts)
+        for number in range(n_blocks):
+            search = read_tables(folder, number)
+            for i, text in enumerate(texts):
+                words = words_of(text)
+                n_words[i] = len(words)
+                if search is not None:
+                    own, found = search.search(words)
+                    spans[i] += own
+                    items[i] |= found
+        return n_words, [[{"start": a, "end": b} for a, b in merged(s)] for s in spans], [sorted(i) for i in items]
+
+    def run(batches):
+        held: list = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= held_bytes:
+                yield from given(held)
+                held, size = [], 0
+        yield from given(held)
+
+    def given(held):
+        texts = [text for batch in held for text in binary_column(batch, "text")]
+        found = searched(texts)
+        at = 0
+        for batch in held:
+            own = [pa.array(column[at : at + batch.num_rows], kind) for column, kind in zip(found, (pa.int64(), span_type, pa.list_(pa.string())), strict=True)]
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *own], ["id", "n_words", "spans", "items"])
+
+    shape = f"id {rows.schema['id'].dataType.simpleString()}, {SPANS}"
+    return rows.mapInArrow(run, shape).select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
 
 def judged(found: DataFrame) -> DataFrame:
