@@ -158,6 +158,19 @@ def test_bounds_keep_all_pairs_of_documents(spark):
     assert {p for p in found if (p[0], p[1]) in bodies and (p[0], p[2]) in bodies} == wanted
 
 
+def test_ratio_ends_early_only_below_the_threshold():
+    rng = random.Random(1)
+    for _ in range(1_500):
+        signs, length = rng.choice([3, 5, 30, 2000]), rng.choice([1, 5, 40, 150, 230, 400])
+        a = [chr(97 + rng.randrange(signs)) for _ in range(length)]
+        b = list(a)
+        for _ in range(rng.randint(0, length // 2)):
+            b[rng.randrange(length)] = chr(97 + rng.randrange(signs))
+        a, b = "".join(a[rng.randint(0, length // 6) :]), "".join(b)
+        wanted = difflib.SequenceMatcher(None, a, b).ratio()
+        assert similarity.ratio_from(a, b, 0.75) == (wanted if wanted >= 0.75 else None)
+
+
 def test_bags_of_very_long_texts_do_not_overflow():
     bags, _ = similarity.character_bags(["x" * 40_000, "y" * 3_000_000])
     assert bags.sum(1).tolist() == [40_000, 3_000_000]

@@ -20,6 +20,7 @@ Clusters are the connected components of the pairs found.
 from __future__ import annotations
 
 import difflib
+import heapq
 
 import numpy as np
 import pandas as pd
@@ -108,11 +109,6 @@ class Cell:
             out[k] = np.bincount(self.columns_of(i, q), minlength=COLUMNS)
         return out
 
-    def shared_columns(self, i: int, j: int, q: int) -> int:
-        """A bound of ``shared_runs`` by the hashed counts."""
-        a, b = (np.bincount(self.columns_of(k, q), minlength=COLUMNS) for k in (i, j))
-        return int(np.minimum(a, b).sum())
-
     def shared_runs(self, i: int, j: int, q: int) -> int:
         """Common runs of ``q`` characters, each as often as both texts have it."""
         for k in (i, j):
@@ -141,15 +137,18 @@ class Cell:
         starts = np.where(later, overlap(self.bags[left], self.seeds[right]), overlap(self.seeds[left], self.bags[right])) + 1
         blocks = np.minimum((1 - t) * total + 1, np.where(np.where(later, m, n) >= JUNK_FROM, starts, total))
         needed = [t * total / 2 - (q - 1) * blocks for q in RUNS]
+        counted = {}
         for q, need in zip(RUNS, needed, strict=True):
             if fit.sum() > FEW * fit.size:
                 a = self.matrix(left, q)
-                fit &= a @ (a if left is right else self.matrix(right, q)).T >= need * (1 - 1e-5) - 1e-3
+                counted[q] = a, a if left is right else self.matrix(right, q)
+                fit &= counted[q][0] @ counted[q][1].T >= need * (1 - 1e-5) - 1e-3
         for x, y in zip(*np.nonzero(fit), strict=True):
             i, j = int(left[x]), int(right[y])
             least = [(q, need[x, y] - 1e-9) for q, need in zip(RUNS, needed, strict=True) if need[x, y] > 0]
-            if all(self.shared_columns(i, j, q) >= n_least for q, n_least in least) and all(self.shared_runs(i, j, q) >= n_least for q, n_least in least):
-                yield (i, j) if later[x, y] else (j, i)
+            if all(np.minimum(counted[q][0][x], counted[q][1][y]).sum() >= n_least - 1e-3 for q, n_least in least if q in counted):
+                if all(self.shared_runs(i, j, q) >= n_least for q, n_least in least):
+                    yield (i, j) if later[x, y] else (j, i)
 
     def pairs(self, sides: np.ndarray):
         """(i, j, ratio) of the pairs at the threshold, j the later one; where rows have two sides, of pairs across them."""
@@ -160,11 +159,34 @@ class Cell:
                 for a, b in self.candidates(left, right):
                     least = self.threshold * (self.lengths[a] + self.lengths[b]) - 1e-9
                     if 2 * common_subsequence(self.texts[b], places_of(self.texts[a]), len(self.texts[a])) >= least:
-                        found = difflib.SequenceMatcher(None, self.texts[a], self.texts[b]).ratio()
-                        if found >= self.threshold:
+                        found = ratio_from(self.texts[a], self.texts[b], self.threshold)
+                        if found is not None:
                             yield a, b, found
 
 
+def ratio_from(a: str, b: str, threshold: float) -> float | None:
+    """The ratio of two texts, or None as soon as it is sure to be below the threshold. Longest blocks are found as the standard
+    library does it, the part with the most left to match first; which part comes first changes nothing in their sum."""
+    matcher, total = difflib.SequenceMatcher(None, a, b), len(a) + len(b)
+    matched, open_ = 0, min(len(a), len(b))
+    parts = [(-open_, 0, len(a), 0, len(b))]
+    while parts:
+        if 2 * (matched + open_) < threshold * total - 1e-9:
+            return None
+        most, a_low, a_high, b_low, b_high = heapq.heappop(parts)
+        open_ += most
+        i, j, size = matcher.find_longest_match(a_low, a_high, b_low, b_high)
+        if size:
+            matched += size
+            for part in ((a_low, i, b_low, j), (i + size, a_high, j + size, b_high)):
+                left = min(part[1] - part[0], part[3] - part[2])
+                if left:
+                    heapq.heappush(parts, (-left, *part))
+                    open_ += left
+    found = 2.0 * matched / total if total else 1.0
+    return found if found >= threshold else None
+
+
 def common_subsequence(a: str, places: dict[str, int], n: int) -> int:
     """Length of the longest common subsequence of ``a`` and a text of ``n`` characters whose ``places`` are given as bits."""
     full = state = (1 << n) - 1
