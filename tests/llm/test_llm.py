@@ -70,10 +70,11 @@ def plain_losses(rows, targets, every=None, mu=lm_score.MU, alpha=lm_score.ALPHA
     return out
 
 
-@pytest.mark.parametrize("sizes", [(1 << 20, 1 << 20), (5, 3)])
+@pytest.mark.parametrize("sizes", [(1 << 20, 1 << 20, 1), (5, 3, 0), (5, 3, 256)])
 def test_lm_score_like_plain_counts(spark, sizes):
+    """One shard, several with several buckets, and several with keys as rows."""
     rows = [(i, t) for i, t in enumerate(["a b c a b", "a b a", "c c c d", "d a b", "x y z", "", None, "a a a a", "a b a"])]
-    scored = lm_score.cross_entropy_difference(docs_of(spark, rows), spark.createDataFrame([(0,), (1,), (99,), (None,)], "t long"), shard_tokens=sizes[0], bucket_keys=sizes[1])
+    scored = lm_score.cross_entropy_difference(docs_of(spark, rows), spark.createDataFrame([(0,), (1,), (99,), (None,)], "t long"), shard_tokens=sizes[0], bucket_keys=sizes[1], least_keys=sizes[2])
     found = {r["doc_id"]: r for r in scored.collect()}
     assert len(found) == len(rows)
     for (i, _), (target, background) in zip(rows, plain_losses(rows, {0, 1}), strict=True):
@@ -92,6 +93,14 @@ def test_lm_score_of_all_documents(spark):
         assert found[i] == pytest.approx(wanted, abs=1e-9)
 
 
+def test_lm_score_of_documents_by_key_rows(spark):
+    """The same scores whether keys come packed by bucket or as rows."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    good = spark.read.parquet(f"{SF_DIR}/labels.parquet").filter("quality = 1").select("doc_id")
+    score = lambda least: {r["doc_id"]: (r["target_loss"], r["background_loss"]) for r in lm_score.cross_entropy_difference(docs, good, shard_tokens=20_000, bucket_keys=50_000, least_keys=least).collect()}
+    assert score(0) == score(1 << 40)
+
+
 def test_lm_score_does_not_remember_targets(spark):
     """Target documents that were counted score as those of their kind that were not."""
     rng, rows = random.Random(12), []

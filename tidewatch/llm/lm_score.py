@@ -16,7 +16,9 @@ Counts are exact (of 56-bit hashes of words and pairs), cover every document and
 * a bucket adds up what all shards sent and answers each of them. A key comes once from each shard, however frequent;
 * each shard scores its documents with the answers.
 
-Buckets grow in number with the corpus, not in size.
+Buckets grow in number with the corpus, not in size. A shard that has fewer than ``LEAST_KEYS`` keys for each of them would send
+mostly headers, and rows for every shard and bucket grow with the square of the corpus; from there on (some 10^10 tokens)
+shards send their keys as plain rows, which Spark adds up and joins by key, and the answers are packed by shard again.
 
 Defined results: a null or wordless text has no tokens and null losses and score; a very long text is a shard of its own;
 rows of null id are background only; repeated rows are counted as often as they stand there, and each is scored against
@@ -36,8 +38,12 @@ MU = 20.0
 ALPHA = 0.5
 SHARD_TOKENS = 1 << 20
 BUCKET_KEYS = 1 << 21
+#: Keys that a shard sends to a bucket at least, on average; with fewer, keys travel as rows of their own.
+LEAST_KEYS = 256
 WORD_CACHE = 500_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+#: Key rows of an Arrow batch.
+ROWS_SENT = 1 << 16
 #: Stands before the first word of a document.
 START = np.uint64(0x27D4EB2F165667C5)
 #: Bits of a key.
@@ -258,6 +264,44 @@ def answers(asked: DataFrame) -> DataFrame:
     return asked.groupBy("kind", "bucket").applyInArrow(run, "kind int, bucket int, shard long, n binary, n_target binary, n_keys long")
 
 
+def key_rows(shards: DataFrame) -> DataFrame:
+    """(kind, key, shard, place, n, n_target): a row for each distinct key of a shard, with its place among them."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for number, _, _, shard in shard_rows(batch):
+                for kind in (WORD, PAIR):
+                    keys, (n, n_target) = shard.keys[kind], shard.sums(kind)
+                    for a in range(0, len(keys), ROWS_SENT):
+                        own = slice(a, a + ROWS_SENT)
+                        size = len(keys[own])
+                        columns = [np.full(size, kind, np.int32), keys[own].astype(np.int64), np.full(size, number, np.int64), np.arange(a, a + size, dtype=np.int32), n[own].astype(np.int64), n_target[own].astype(np.int64)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "shard", "place", "n", "n_target"])
+
+    return shards.mapInArrow(run, "kind int, key long, shard long, place int, n long, n_target long")
+
+
+def row_answers(asked: DataFrame) -> DataFrame:
+    """What ``answers`` gives, from ``key_rows``: one row for each kind and shard, and for each kind one of the distinct keys."""
+    import pyarrow as pa
+
+    sums = asked.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    met = asked.select("kind", "key", "shard", "place").join(sums.hint("merge"), ["kind", "key"])
+
+    def pack(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("place").to_numpy())
+        packed = [pa.array([planes(table.column(c).to_numpy()[order])], pa.binary()) for c in ("n", "n_target")]
+        first = table.slice(0, 1)
+        return pa.table([first.column("kind"), pa.array([0], pa.int32()), first.column("shard"), *packed, pa.array([None], pa.int64())], ["kind", "bucket", "shard", "n", "n_target", "n_keys"])
+
+    shape = "kind int, bucket int, shard long, n binary, n_target binary, n_keys long"
+    own = met.groupBy("shard", "kind").applyInArrow(pack, shape)  # a group is a shard's keys
+    none = lambda kind: F.lit(None).cast(kind)
+    distinct = sums.groupBy("kind").agg(F.count("*").alias("n_keys")).select("kind", F.lit(0).alias("bucket"), none("long").alias("shard"), none("binary").alias("n"), none("binary").alias("n_target"), "n_keys")
+    return own.unionByName(distinct)
+
+
 def scored(shards: DataFrame, facts: dict, mu: float, alpha: float) -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, score) of shards with their ``answers``."""
     import pyarrow as pa
@@ -289,6 +333,7 @@ def cross_entropy_difference(
     alpha: float = ALPHA,
     shard_tokens: int = SHARD_TOKENS,
     bucket_keys: int = BUCKET_KEYS,
+    least_keys: int = LEAST_KEYS,
 ) -> DataFrame:
     """Scores every row of ``docs``; ``targets`` has one column, the ids of the target documents."""
     spark = docs.sparkSession
@@ -302,13 +347,17 @@ def cross_entropy_difference(
     written = F.filter("sizes", lambda n: n > 0)
     sums = marked.agg(total(written).alias("n"), total(in_target).alias("n_target"), F.sum(F.size(written)).alias("docs"), F.sum(F.when(F.col("flags").isNotNull(), F.size(in_target))).alias("target_docs")).first()
     tokens, texts = [sums["n"] or 0, sums["n_target"] or 0], [sums["docs"] or 0, sums["target_docs"] or 0]
+    n_buckets = max(1, -(-tokens[0] // bucket_keys))
     with rows_per_batch(spark, 1):  # a row is a whole shard
-        given = space.write(answers(requests(marked, max(1, -(-tokens[0] // bucket_keys)))), "answers")
+        if shard_tokens >= least_keys * n_buckets:
+            given = space.write(answers(requests(marked, n_buckets)), "answers")
+        else:
+            given = space.write(row_answers(space.write(key_rows(marked), "key-rows")), "answers")
     n_words = given.filter(f"kind = {WORD}").agg(F.sum("n_keys")).first()[0] or 0
     facts = {"tokens": tokens, "docs": texts, "n_words": n_words, "scale": tokens[1] / tokens[0] if tokens[1] else 1.0}
     # All answers to one shard, as many bytes as its keys ask for.
     own_answers = given.filter("shard IS NOT NULL").groupBy("shard").agg(F.collect_list(F.struct("kind", "bucket", "n", "n_target")).alias("answers"))
     with rows_per_batch(spark, 1):
         out = space.write(scored(marked.join(own_answers.hint("merge"), "shard", "left"), facts, mu, alpha), "lm-scores")
-    space.drop("marked-shards", "answers")
+    space.drop("marked-shards", "answers", "key-rows")
     return out.withColumnRenamed("id", id_col)
