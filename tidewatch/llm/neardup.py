@@ -42,7 +42,7 @@ SHARED = 2
 #: Rows of a block of a large set, and pairs of rows that are held at once.
 BLOCK = 1_024
 HELD_PAIRS = 200_000
-WORD_CACHE = 500_000
+WORD_CACHE = 100_000
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 SEEDS = np.random.default_rng(20).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 #: Hash values that are held at once.
