@@ -249,6 +249,17 @@ def test_nearest_of_odd_rows(spark):
     assert nearest.largest_inner_products(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_of_norms_and_widths_that_differ_much(spark):
+    """Rows whose norms spread widely, and clusters of very different widths: an estimate by a normal distribution fails there."""
+    rng = np.random.default_rng(5)
+    each = rng.standard_normal((4000, 32))
+    spread = each / np.linalg.norm(each, axis=1, keepdims=True) * rng.lognormal(0, 1, (4000, 1))
+    widths = np.repeat(rng.standard_normal((40, 32)), 100, 0) + each * np.exp(rng.normal(-1, 1, (4000, 1)))
+    for vectors in (spread, widths, rng.standard_cauchy((4000, 32))):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        assert recall(spark, df, list(range(0, 4000, 40))) >= 0.99
+
+
 def test_nearest_with_many_copies(spark):
     df = spark.range(9000).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))).otherwise(F.array(F.cos("id"), F.sin("id"), F.rand(1))).alias("embedding"))
     found = nearest.largest_inner_products(df, df.filter("vec_id = 300")).orderBy("rank").collect()

@@ -4,13 +4,15 @@ Inner products become distances by one more component, sqrt(M^2 - |x|^2) with M
 nearest by distance has the largest inner product. A random rotation spreads the distance evenly over the components.
 About sqrt(n) lists hold the rows that are nearest to their centroids.
 
-A query first measures the rows around its nearest list; the distance of the k-th is its radius from then on. With it, a
-normal approximation of each list's distances tells how many rows of the list to expect within the radius, and the lists
-that hold but ``loss`` of all expected rows are left out: few lists are probed where rows are clustered, most where they
-are not. Inside the probed lists, candidates are compared block of columns by block of columns. After t of d components, a
-candidate is abandoned if its partial distance rejects the hypothesis that its full distance is within the radius:
-partial > radius * (1 + epsilon / sqrt(t))^2 * t / d. What is left is scored exactly, in double precision on the original
-vectors.
+A query first measures the rows around its nearest list; the distance of the k-th is its radius from then on. A list is left
+out if no row of it can be within the radius: its products are at most that with the centroid and the query's norm times
+the list's reach, the largest distance of its rows from the centroid. So are rows whose norm is too small. (With a
+``loss`` above 0, a normal approximation of each list's distances tells how many rows to expect within the radius
+instead, and lists that hold but that share of them are left out too; where norms or widths of clusters differ much, it is far
+off.) Inside the probed lists, candidates are compared block of columns by block of columns. After t of d components, a
+candidate is abandoned if its partial distance is beyond the radius, or rejects the hypothesis that its full distance is
+within it: partial > radius * (1 + epsilon / sqrt(t))^2 * t / d. What is left is scored exactly, in double precision on the
+original vectors.
 
 Neighbouring lists share a unit of about ``UNIT_ROWS`` rows; a longer list (copies of one vector) is cut into several. A
 query goes to each unit that it probes once, the queries of a unit are cut into chunks of ``CHUNK_QUERIES``, and only
@@ -40,7 +42,11 @@ CHUNK_QUERIES = 4_096
 COLUMN_BLOCK = 16
 EPSILON = 1.3
 LOSS = 0.08
+#: What the operator takes: 4 deviations at the first block, and no list is left out on an estimate.
+SURE_EPSILON, SURE_LOSS = 2.1, 0.0
 SEED = 11
+#: Share of open candidates from which on a block of columns is read for all rows at once.
+DENSE = 0.75
 #: Queries that a task measures at once.
 HELD_QUERIES = 256
 
@@ -55,7 +61,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 class ListIndex:
     """Rotation, centroids, and of each list the number of rows, the mean and the variance of their squared distance from
-    the centroid, and the units that hold them."""
+    the centroid, its reach, and the units that hold them."""
 
     def __init__(self, sample: np.ndarray, largest_norm: float, n_lists: int):
         rng = np.random.default_rng(SEED)
@@ -75,9 +81,11 @@ class ListIndex:
         self.centroids = self.centroids[np.argsort(around @ np.linalg.svd(around, full_matrices=False)[2][0], kind="stable")]
         self.measured(np.zeros(n_lists), np.zeros(n_lists), np.zeros(n_lists))
 
-    def measured(self, sizes: np.ndarray, sums: np.ndarray, squares: np.ndarray) -> None:
-        """Takes the number of rows of each list, and the sums of their squared distances and of the squares of these."""
+    def measured(self, sizes: np.ndarray, sums: np.ndarray, squares: np.ndarray, reach: np.ndarray | None = None) -> None:
+        """Takes the number of rows of each list, the sums of their squared distances and of the squares of these, and the
+        largest squared distance without the added component (unknown: no list is left out by it)."""
         self.sizes = sizes
+        self.reach = np.full(len(sizes), np.inf) if reach is None else np.sqrt(reach)
         self.spread = sums / np.maximum(sizes, 1)
         self.variance = np.maximum(squares / np.maximum(sizes, 1) - self.spread**2, 0)
         self.first_unit, self.n_units, held, unit = np.zeros(len(sizes), int), np.ones(len(sizes), int), 0.0, 0
@@ -105,15 +113,29 @@ class ListIndex:
         deviation = np.sqrt(4 * from_centroid * self.spread / points.shape[1] + self.variance + 1e-12)
         return self.sizes * normal_share((radius[:, None] - from_centroid - self.spread) / deviation)
 
+    def added(self, points: np.ndarray) -> np.ndarray:
+        """The component that was added to rows before their rotation."""
+        return points @ self.rotation[-1]
+
+    def least_products(self, points: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """For each query, the inner product of a row at the squared radius."""
+        return (self.largest**2 + (points**2).sum(1) - radius) / 2
+
     def probed(self, points: np.ndarray, radius: np.ndarray, loss: float) -> np.ndarray:
-        """For each point, whether a list is probed: those of the most expected rows, until but ``loss`` of all is left out."""
+        """For each query, whether a list is probed: if any row of it can be within the radius; with a ``loss``, those of the
+        most expected rows among them, until but ``loss`` of all is left out."""
+        norms = np.sqrt((points**2).sum(1))[:, None]
+        most = points @ self.centroids.T + norms * self.reach * (1 + 1e-9)
+        within = most + 1e-9 * norms * self.largest >= self.least_products(points, radius)[:, None]
+        if not loss:
+            return within & (self.sizes > 0)
         expected = self.expected(points, radius)
         order = np.argsort(-expected, 1, kind="stable")
         before = np.cumsum(np.take_along_axis(expected, order, 1), 1) - np.take_along_axis(expected, order, 1)
         out = np.zeros(expected.shape, bool)
         np.put_along_axis(out, order, before < (1 - loss) * expected.sum(1)[:, None], 1)
         out[np.isinf(radius)] = True
-        return out & (self.sizes > 0)
+        return out & within & (self.sizes > 0)
 
 
 def normal_share(z: np.ndarray) -> np.ndarray:
@@ -152,20 +174,28 @@ def scan_unit(index: ListIndex, lists: np.ndarray, ids: np.ndarray, vectors: np.
     blocks = [np.ascontiguousarray(points[:, a:b]) for a, b in zip(starts, ends, strict=True)]
     squares = [(block**2).sum(1) for block in blocks]
     asked_squares = np.stack([(asked[:, a:b] ** 2).sum(1) for a, b in zip(starts, ends, strict=True)])
-    limits = [(1 + epsilon / np.sqrt(t)) ** 2 * t / d if t < d else 1.0 for t in ends]
+    limits = [min(1.0, (1 + epsilon / np.sqrt(t)) ** 2 * t / d) if t < d else 1.0 for t in ends]
+    norms, asked_norms = np.sqrt((vectors**2).sum(1)) * (1 + 1e-9), np.sqrt((queries**2).sum(1))
+    least = index.least_products(asked, radius)
     out, met, read = [], 0, 0
     for a in range(0, len(query_ids), HELD_QUERIES):
         some = slice(a, a + HELD_QUERIES)
         head = squares[0] + asked_squares[0][some, None] - 2 * asked[some, : ends[0]] @ blocks[0].T
         open_ = (head <= limits[0] * radius[some, None]) & (query_ids[some, None] != ids)
-        in_lists = probed[some][:, lists]
+        in_lists = probed[some][:, lists] & (asked_norms[some, None] * norms >= least[some, None])
         met += int(in_lists.sum())
         read += int(in_lists.sum()) * ends[0]
         open_ &= in_lists
+        first = 1
+        while first < len(ends) and open_.mean() > DENSE:
+            head += squares[first] + asked_squares[first][some, None] - 2 * asked[some, starts[first] : ends[first]] @ blocks[first].T
+            read += open_.size * (ends[first] - starts[first])
+            open_ &= head <= limits[first] * radius[some, None]
+            first += 1
         for q, (own, partial) in enumerate(zip(open_, head, strict=True), a):
             left = np.nonzero(own)[0]
             partial = partial[left]
-            for n in range(1, len(ends)):
+            for n in range(first, len(ends)):
                 partial = partial + squares[n][left] + asked_squares[n, q] - 2 * (blocks[n][left] @ asked[q, starts[n] : ends[n]])
                 read += len(left) * (ends[n] - starts[n])
                 keep = partial <= limits[n] * radius[q]
@@ -199,8 +229,8 @@ def largest_inner_products(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     k: int = 20,
-    loss: float = LOSS,
-    epsilon: float = EPSILON,
+    loss: float = SURE_LOSS,
+    epsilon: float = SURE_EPSILON,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the nearest rows of ``vectors`` found for each row of ``queries`` (same columns)."""
     import pyarrow as pa
@@ -223,17 +253,18 @@ def largest_inner_products(
             distance = held.value.distances(points)
             own = distance.argmin(1) if len(points) else np.zeros(0, int)
             off = np.maximum(distance[np.arange(len(points)), own] + (points**2).sum(1), 0)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(own, pa.int32()), pa.array(off, pa.float64())], ["id", "vec", "list", "off"])
+            without = np.maximum(off - (held.value.added(points) - held.value.added(held.value.centroids)[own]) ** 2, 0) + 1e-9 * off
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(own, pa.int32()), pa.array(off, pa.float64()), pa.array(without, pa.float64())], ["id", "vec", "list", "off", "without"])
 
-    dealt = space.write(rows.mapInArrow(listed, "id long, vec array<double>, list int, off double"), "listed-vectors")
-    sums = np.zeros((3, len(index.sizes)))
-    for row in dealt.groupBy("list").agg(F.count("*").alias("n"), F.sum("off").alias("s"), F.sum(F.col("off") * F.col("off")).alias("q")).collect():  # one row for each list
-        sums[:, row["list"]] = row["n"], row["s"], row["q"]
+    dealt = space.write(rows.mapInArrow(listed, "id long, vec array<double>, list int, off double, without double"), "listed-vectors")
+    sums = np.zeros((4, len(index.sizes)))
+    for row in dealt.groupBy("list").agg(F.count("*").alias("n"), F.sum("off").alias("s"), F.sum(F.col("off") * F.col("off")).alias("q"), F.max("without").alias("r")).collect():  # one row for each list
+        sums[:, row["list"]] = row["n"], row["s"], row["q"], row["r"]
     index.measured(*sums)
     sized = spark.sparkContext.broadcast(index)
     by_list = [F.array(*[F.lit(int(x)) for x in column]) for column in (index.first_unit, index.n_units)]
     unit = F.element_at(by_list[0], F.col("list") + 1) + F.pmod(F.xxhash64("id"), F.element_at(by_list[1], F.col("list") + 1)).cast("int")
-    units = dealt.withColumn("unit", unit).drop("off")
+    units = dealt.withColumn("unit", unit).drop("off", "without")
 
     def at_home(batches):
         for batch in batches:
