@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +230,30 @@ def test_empty_comments(spark):
     none = spark.createDataFrame([], COMMENTS)
     for df in (similarity.similar_pairs(none), similarity.cluster_members(none), similarity.near_dup_dedup(none), similarity.templating(none)):
         assert df.agg(F.count("*")).first()[0] == 0
+
+
+def test_no_text_is_written_for_each_block_it_meets(spark):
+    """Texts are shuffled and written as often at 4 blocks as at 32."""
+    rng = random.Random(4)
+    rows = [("c", i, 1, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400)), i) for i in range(320)]
+    reps = similarity.representatives(similarity.bodies(spark.createDataFrame(rows, COMMENTS))).localCheckpoint()
+    written = []
+    for block in (80, 10):
+        before = sum(s.shuffleWriteBytes() for s in stages(spark))
+        assert similarity.similar_pairs(reps, reps=reps, block=block).count() == 0
+        written.append(sum(s.shuffleWriteBytes() for s in stages(spark)) - before)
+    assert written[1] < 2 * written[0]
+
+
+def stages(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return [found.apply(k) for k in range(found.size())]
+
+
+def test_subsequences_of_many_pairs_at_once():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abc\u4e00d") for _ in range(n)) for n in (1, 5, 63, 64, 65, 127, 128, 129, 200, 300)]
+    i, j = (x.ravel() for x in np.meshgrid(range(len(texts)), range(len(texts))))
+    wanted = [similarity.common_subsequence(texts[y], similarity.places_of(texts[x]), len(texts[x])) for x, y in zip(i, j, strict=True)]
+    assert similarity.common_subsequences(texts, texts, i, j).tolist() == wanted
