@@ -238,3 +238,17 @@ def test_profiles_of_odd_payloads(spark):
     assert rows == [(7, "a", "", "", 0, 12, -1), (8, None, "", "5", 4, 0, -1), none, none, none, none]
     kept = normalize.normalize_user(spark.createDataFrame([(texts[0],)], "data string"), keep=True)
     assert kept.select(F.try_variant_get("payload", "$.new.k[0]", "int")).first()[0] == 1
+
+
+def test_segments_hold_numbers_of_any_size(spark, tmp_path):
+    """Ids beyond three bytes of seven bits, and texts beyond 127 bytes."""
+    from tidewatch.plans.landing import decode_overlay_segments, segment_files
+
+    ids = [0, 127, 128, 2**21 - 1, 2**21, 6_000_000, 2**35, 2**62]
+    rows = [(i, k + 2**21, "click" if k % 2 else "view" * 50, 1.5) for k, i in enumerate(ids)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds("user_id"))
+    events.write.parquet(f"file://{tmp_path}/events.parquet")
+    found = decode_overlay_segments(spark, f"file://{tmp_path}").collect()
+    assert sorted(map(tuple, found)) == sorted((i, u, t, u % 11, i % 3, str(i), 5) for i, u, t, _ in rows)
+    found = segment_files(spark, f"file://{tmp_path}").filter("kind = 'element'").collect()
+    assert sorted((r["overlay_id"], r["file"], r["text"]) for r in found) == sorted((i, str(i // 200), t) for i, _, t, _ in rows)

@@ -237,23 +237,25 @@ def event_segments(spark, sf_dir):
     """The events, each with a segment of one element as hexadecimal digits."""
 
     def varint(value):
-        """Up to three bytes of seven bits, written in full."""
-        parts = [F.lpad(F.hex(F.shiftright(value, 7 * i).bitwiseAND(127) + (128 if i < 2 else 0)), 2, "0") for i in range(3)]
-        return F.concat(*parts)
+        """Bytes of seven bits, as many as the number needs; all but the last with the high bit."""
+        value = value.cast("long")
+        left = [value] + [F.shiftright(value, 7 * i) for i in range(1, 10)]
+        parts = [F.lpad(F.hex(left[i].bitwiseAND(127) + F.when(left[i + 1] > 0, 128).otherwise(0)), 2, "0") for i in range(9)]
+        return F.concat(parts[0], *[F.when(left[i] > 0, parts[i]).otherwise("") for i in range(1, 9)])
 
     def text_field(tag, value):
-        return F.concat(F.lit(tag), F.lpad(F.hex(F.octet_length(value)), 2, "0"), F.hex(value.cast("binary")))
+        return F.concat(F.lit(tag), varint(F.octet_length(value)), F.hex(value.cast("binary")))
 
     numbers = [("08", F.col("comment_id")), ("10", F.col("user_id")), ("48", F.col("user_id") % 11), ("58", F.col("comment_id") % 3), ("68", F.lit(5).cast("long"))]
     body = F.concat(*[F.concat(F.lit(tag), varint(value)) for tag, value in numbers], text_field("3A", F.col("content_id")), text_field("62", F.col("comment_id").cast("string")))
-    return A.comments_time(spark, sf_dir).withColumn("segment", F.concat(F.lit("0A"), F.lpad(F.hex(F.length(body) / 2), 2, "0"), body))
+    return A.comments_time(spark, sf_dir).withColumn("segment", F.concat(F.lit("0A"), varint(F.length(body) / 2), body))
 
 
 @query("SELECT 'element' AS kind, event_id AS overlay_id, CAST(event_id // 200 AS VARCHAR) AS file, event_type AS text FROM events UNION ALL SELECT DISTINCT 'damage', NULL, CAST(event_id // 200 AS VARCHAR), 'cut value' FROM events WHERE event_id // 200 % 7 = 3")
 def segment_files(spark, sf_dir):
     """Binary files of up to 200 elements, of which some have a cut one more at their end: all whole elements are read, and each
     damaged file stands in the quarantine with its bytes."""
-    key = F.floor(F.col("comment_id") / 200).cast("long")
+    key = F.expr("comment_id DIV 200")
     lists = event_segments(spark, sf_dir).groupBy(key.alias("key")).agg(F.array_join(F.collect_list("segment"), "").alias("hex"))
     cut = F.when(F.col("key") % 7 == 3, "0A40").otherwise("")
     path = shared_dir(spark, "segment-files")

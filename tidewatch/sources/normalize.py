@@ -329,7 +329,7 @@ def decode_segments(files: DataFrame) -> DataFrame:
                 found, damage = segment_elements(content or b"")
                 rows += [{"path": path} | row for row in found]
                 rows += [{"path": path, "damage_at": at, "damage": reason, "damaged": None if k else content} for k, (at, reason) in enumerate(damage)]
-            yield pd.DataFrame(rows, columns=names + more).astype(object).where(lambda d: d.notna(), None)
+            yield pd.DataFrame(rows, columns=names + more, dtype=object).where(lambda d: d.notna(), None)
 
     return files.select("path", "content").mapInPandas(run, f"{OVERLAY_SEGMENT}, damage_at long, damage string, damaged binary")
 
