@@ -257,3 +257,23 @@ def test_subsequences_of_many_pairs_at_once():
     i, j = (x.ravel() for x in np.meshgrid(range(len(texts)), range(len(texts))))
     wanted = [similarity.common_subsequence(texts[y], similarity.places_of(texts[x]), len(texts[x])) for x, y in zip(i, j, strict=True)]
     assert similarity.common_subsequences(texts, texts, i, j).tolist() == wanted
+
+
+def test_ratios_at_a_threshold_are_those_of_the_library(spark):
+    """Bounds and early ends lose no ratio at the threshold, and texts that differ are not compared to their end."""
+    rng, rows = random.Random(8), []
+    words = ["".join(rng.choice("aeionrst") for _ in range(rng.randint(2, 5))) for _ in range(60)]
+    for k in range(120):
+        first = "".join(rng.choice(words) for _ in range(rng.choice([2, 20, 60, 120])))
+        second = edited(rng, first, rng.randint(0, len(first) // 2)) if k % 3 else "".join(rng.choice(words) for _ in range(40))
+        rows.append((k, first, second))
+    frame = spark.createDataFrame(rows, "k long, a string, b string").withColumn("ratio", similarity.ratio_at(0.6)("a", "b"))
+    found = {r["k"]: r["ratio"] for r in frame.collect()}
+    wanted = {k: difflib.SequenceMatcher(None, a, b).ratio() for k, a, b in rows}
+    assert found == {k: v if v >= 0.6 else None for k, v in wanted.items()} and 20 < sum(v >= 0.6 for v in wanted.values()) < 100
+
+
+def test_templates_are_compared_by_many_tasks(spark):
+    rows = [("c", i, i % 40, f"a text of user {i % 40} and no other", i) for i in range(400)]
+    frame = similarity.templating(spark.createDataFrame(rows, COMMENTS))
+    assert "REPARTITION_BY_NUM" in frame._jdf.queryExecution().executedPlan().toString() and frame.count() == 40

@@ -435,16 +435,51 @@ def sentiment_share(comments: DataFrame, keys: list[str], positive: list[str], n
     return comments.groupBy(*keys).agg(share(good & ~bad).alias("positive"), share(bad & ~good).alias("negative"), share(good == bad).alias("neutral"))
 
 
+def ratio_at(threshold: float):
+    """Column function: the ratio of two texts, the earlier one first, or null below the threshold. Bounds on lengths, characters
+    and shared runs come before it, as for ``similar_pairs``; what they need of a text is kept while its batch lasts."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        known: dict[str, Block] = {}
+
+        def one(first: str, second: str) -> float | None:
+            total, least = len(first) + len(second), threshold * (len(first) + len(second)) - 1e-9
+            if 2 * min(len(first), len(second)) < least:
+                return None
+            for x in (first, second):
+                if x not in known:
+                    if len(known) >= 64:  # pairs come in order, so the oldest text has met its others
+                        del known[next(iter(known))]
+                    known[x] = Block([x], np.zeros(1, np.int64))
+            left, right = (known.get(x) or Block([x], np.zeros(1, np.int64)) for x in (first, second))
+            if 2 * np.minimum(left.bags[0], right.bags[0]).sum() < least:
+                return None
+            starts = np.minimum(left.bags[0], right.seeds[0]).sum() + 1 if len(second) >= JUNK_FROM else total
+            blocks = min((1 - threshold) * total + 1, starts)
+            for q in RUNS:
+                need = least / 2 - (q - 1) * blocks
+                if need > 0 and shared_runs(left, 0, right, 0, q) < need - 1e-9:
+                    return None
+            return ratio_from(first, second, threshold)
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return run
+
+
 def templating(comments: DataFrame, threshold: float = 0.60, flag_at: float = 0.70, ahead: int = 9, cut: int | None = None, most: int = 2, example_cut: int = 50) -> DataFrame:
     """Mean ratio of a user's texts and their next ``ahead`` ones that reach the threshold, whether it speaks of a template,
     and the first ``most`` such pairs, cut."""
     body = preprocess(F.col("text"))
     body = body if cut is None else F.substring(body, 1, cut)
     rows = comments.select("content_id", "user_id", "seq", body.alias("body")).filter(F.length("body") >= MIN_LENGTH)
+    # A number of tasks that is given is not made smaller by their size: comparing costs far more than its rows weigh.
+    rows = rows.repartition(8 * int(comments.sparkSession.conf.get("spark.sql.shuffle.partitions")), "content_id", "user_id")
     own = Window.partitionBy("content_id", "user_id").orderBy("seq")
     following = rows.withColumn("following", F.array(*[F.lead("body", k).over(own) for k in range(1, ahead + 1)]))
     pairs = following.select("content_id", "user_id", "seq", "body", F.posexplode(F.array_compact("following")).alias("k", "other"))
-    near = pairs.withColumn("ratio", ratio("body", "other")).filter(F.col("ratio") >= threshold)
+    near = pairs.withColumn("ratio", ratio_at(threshold)("body", "other")).filter(F.col("ratio") >= threshold)
     near = near.select("content_id", "user_id", "ratio", *[F.substring(c, 1, example_cut).alias(c) for c in ("body", "other")], F.row_number().over(Window.partitionBy("content_id", "user_id").orderBy("seq", "k")).alias("place"))
     example = F.when(F.col("place") <= most, F.struct("place", F.concat_ws(" / ", "body", "other").alias("texts")))
     sums = near.groupBy("content_id", "user_id").agg(F.count("*").alias("n_pairs"), F.round(F.avg("ratio"), 6).alias("mean_ratio"), F.array_sort(F.collect_list(example)).alias("examples"))
