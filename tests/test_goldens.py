@@ -246,3 +246,19 @@ def test_replayed_upsert(spark):
     once = keyed.upsert(rows.limit(0), rows, ["k"])
     twice = keyed.upsert(once, rows, ["k"])
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == [(1, "b", 2), (2, "c", 3)]
+
+
+def test_joined_edges_take_little_memory():
+    """A million edges of half a million nodes: as few numbers as a task holds at once, and no objects."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    edges = [pa.RecordBatch.from_arrays([pa.array(rng.integers(0, 500_000, 10_000)), pa.array(-1 - rng.integers(0, 500, 10_000))], ["a", "b"]) for _ in range(100)]
+    tracemalloc.start()
+    found = sum(batch.num_rows for batch in graph.contraction(200_000)(iter(edges)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > 400_000 and peak < 40_000_000, peak
