@@ -252,3 +252,9 @@ def test_segments_hold_numbers_of_any_size(spark, tmp_path):
     assert sorted(map(tuple, found)) == sorted((i, u, t, u % 11, i % 3, str(i), 5) for i, u, t, _ in rows)
     found = segment_files(spark, f"file://{tmp_path}").filter("kind = 'element'").collect()
     assert sorted((r["overlay_id"], r["file"], r["text"]) for r in found) == sorted((i, str(i // 200), t) for i, _, t, _ in rows)
+
+
+def test_more_tasks_than_buckets_write_a_store(spark, tmp_path):
+    rows = spark.range(20_000).select("id", (F.col("id") % 97).alias("k"), F.xxhash64("id").alias("user_id"))
+    files.write_bucketed(rows, f"file://{tmp_path}/s", "k", 2, near=["user_id", "id"])
+    assert len(list((tmp_path / "s").glob("bucket=*/*.parquet"))) > 4 and files.read_bucketed(spark, f"file://{tmp_path}/s").count() == 20_000
