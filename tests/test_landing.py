@@ -258,3 +258,13 @@ def test_more_tasks_than_buckets_write_a_store(spark, tmp_path):
     rows = spark.range(20_000).select("id", (F.col("id") % 97).alias("k"), F.xxhash64("id").alias("user_id"))
     files.write_bucketed(rows, f"file://{tmp_path}/s", "k", 2, near=["user_id", "id"])
     assert len(list((tmp_path / "s").glob("bucket=*/*.parquet"))) > 4 and files.read_bucketed(spark, f"file://{tmp_path}/s").count() == 20_000
+
+
+def test_only_the_state_of_a_page_goes_to_python(spark):
+    state = 'window.__INITIAL_STATE__={"a":"}","b":{}}'
+    pages = [("x" * 100_000 + state + "; rest", '{"a":"}","b":{}}'), ("window.__INITIAL_STATE__=null " + state, '{"a":"}","b":{}}'), ("no state", None), (None, None)]
+    frame = spark.createDataFrame(pages, "html string, wanted string")
+    rows = frame.select(normalize.initial_state("html").alias("found"), "wanted")
+    assert all(r["found"] == r["wanted"] for r in rows.collect())
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "locate(window.__INITIAL_STATE__" in plan and "substr" in plan

@@ -140,11 +140,18 @@ def balanced_object(text: str | None) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def initial_state(html: pd.Series) -> pd.Series:
+def state_objects(html: pd.Series) -> pd.Series:
     """``balanced_object`` of each page."""
     return html.map(balanced_object)
 
 
+def initial_state(html: Column | str) -> Column:
+    """``balanced_object`` of each page; what stands before its first state, and pages without one, do not go to Python."""
+    page = F.col(html) if isinstance(html, str) else html
+    at = F.locate("window.__INITIAL_STATE__", page)
+    return state_objects(F.when(at > 0, F.substr(page, at)))
+
+
 STATE_USER = "name string, face string, sign string, level int, sex string, birthday string, archive_count long, follower long, vip struct<status:int>, official struct<type:int,title:string>"
 
 
