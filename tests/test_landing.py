@@ -1,5 +1,6 @@
 """Damaged and odd landed files: what can be read is read, the rest is set aside."""
 
+import gzip
 import io
 import random
 
@@ -268,3 +269,35 @@ def test_only_the_state_of_a_page_goes_to_python(spark):
     assert all(r["found"] == r["wanted"] for r in rows.collect())
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "locate(window.__INITIAL_STATE__" in plan and "substr" in plan
+
+
+def test_named_files_are_read_by_a_fixed_number_of_tasks(spark, tmp_path):
+    """Tasks do not grow with files, writers are more than the one split the rows come from, and every file's name is its key."""
+    for folders in (0, 16):
+        path = f"file://{tmp_path}/{folders}"
+        rows = spark.range(0, 400, 1, 1).select(F.to_json(F.struct(F.col("id").alias("owner_mid"))).alias("value"), F.concat(F.lit("BV"), F.col("id").cast("string")).alias("name"))
+        files.write_named(rows, path, folders=folders)
+        assert len(list((tmp_path / str(folders)).rglob("BV*.json"))) == 400
+        found = files.read_contents(spark, path)
+        assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert sorted(map(tuple, found.select("content_id", "owner_id").collect())) == sorted((f"BV{i}", i) for i in range(400))
+
+
+def test_objects_of_files_as_sparks_reader_gives_them(spark, tmp_path):
+    texts = {
+        "plain.json": b'{"a": 1, "b": "x"}', "wrong.json": b'{"a": "no", "b": "x"}', "many.json": b'[{"a": 1}, {"a": "no", "b": "y"}, {"a": 3}]', "none.json": b"[]", "bad.json": b'{"a": 1, ', "text.json": b"hello",
+        "empty.json": b"", "blank.json": b" \n\t ", "two.json": b'{"a": 1}\n{"a": 2}', "mark.json": b'\xef\xbb\xbf{"a": 5}', "wide.json": '{"b": "中"}'.encode("utf-16"), "null.json": b"null", "number.json": b"3",
+        "packed.json.gz": gzip.compress(b'{"a": 6}'), "_hidden.json": b'{"a": 7}', ".hidden.json": b'{"a": 8}', "other/deep.json": b'{"a": 9}',
+    }
+    for name, data in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    wanted = spark.read.schema("a long, b string").option("multiLine", True).json(f"file://{tmp_path}").select("a", "b", "_metadata.file_name")
+    key = lambda df: sorted(map(str, map(tuple, df.collect())))
+    assert key(files.read_objects(spark, f"file://{tmp_path}", "a long, b string")) == key(wanted)
+    assert key(files.read_objects(spark, f"{tmp_path}/plain.json", "a long, b string")) == ["(1, 'x', 'plain.json')"]
+    (tmp_path / "a b%20.json").write_bytes(b'{"a": 10}')
+    assert files.read_objects(spark, str(tmp_path), "a long").filter("a = 10").first()["file_name"] == "a b%20.json"  # the name itself
+    (tmp_path / "day=3").mkdir()
+    (tmp_path / "plain.json").rename(tmp_path / "day=3" / "plain.json")
+    assert files.read_objects(spark, str(tmp_path), "a long, b string").filter("file_name = 'plain.json'").count() == 1

@@ -97,7 +97,7 @@ def read_named_contents(spark, sf_dir):
     rows = A.users(spark, sf_dir)
     path = shared_dir(spark, "named-contents")
     keyed = rows.select(F.to_json(F.struct(F.col("user_id").alias("owner_mid"), F.col("name").alias("title"))).alias("value"), F.concat(F.lit("BV"), F.col("user_id").cast("string")).alias("name"))
-    files.write_named(keyed, path)
+    files.write_named(keyed, path, folders=1_024)
     return files.read_contents(spark, path).select("content_id", "owner_id", "title")
 
 
