@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import scoring, timeseries
+from tidewatch.operators import features, scoring, timeseries
 from tidewatch.plans import analysis, flagship
 from tidewatch.sources import adapters as A
 from tidewatch.sources.files import read_rows, write_rows
@@ -78,3 +78,18 @@ def test_all_features_are_the_single_ones(spark):
         own = {u: s for (c, u), s in scores.items() if c == report["content_id"]}
         assert report["total_users"] == len(own) and report["high"] + report["medium"] + report["low"] == len(own)
         assert [x["rank"] for x in report["suspects"]] == list(range(1, min(20, len(own)) + 1)) and {x["user_id"] for x in report["suspects"]} <= own.keys()
+
+
+def test_no_task_holds_many_of_the_users_of_contents(spark, monkeypatch):
+    """Rows of nearly as many keys as rows are dealt to more tasks the more there are; copies and unknown users change nothing."""
+    monkeypatch.setattr(features, "TASK_ROWS", 100, raising=False)
+    comments = spark.range(4_000).select((F.col("id") % 1_000).alias("content_id"), (F.col("id") % 2_000 % 601).alias("user_id"), (F.col("id") % 7).alias("like_count"), F.col("id").alias("seq"))
+    users = spark.range(500).select(F.col("id").alias("user_id"), (F.col("id") % 7).alias("level"))
+    held = lambda rows: [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    stats = features.comment_stats(comments)
+    assert sum(held(stats)) == 2_000 and max(held(stats)) < 200
+    joined = features.comment_stats_of(comments, users)
+    assert sum(held(joined)) == 2_000 and max(held(joined)) < 200
+    assert joined.filter("level IS NULL").count() == sum(c % 601 >= 500 for c in range(2_000))
+    wanted = {(c % 1_000, c % 601): (2, (c % 7 + (c + 2_000) % 7) / 2, c % 7) for c in range(2_000)}
+    assert {(r["content_id"], r["user_id"]): (r["cc"], r["avg_like"], r["first_like"]) for r in stats.collect()} == wanted

@@ -247,7 +247,7 @@ f AS (SELECT content_id, s.user_id, greatest(0, 1 - al / 10) AS f8, least(1, CAS
 t AS (SELECT content_id, round(100 * (0.5 * f3 + 0.5 * f8), 1) AS score FROM f)
 SELECT content_id, count(*) AS total_users, count(*) FILTER (score >= 60) AS high, count(*) FILTER (score >= 30 AND score < 60) AS medium, count(*) FILTER (score < 30) AS low, round(avg(score), 1) AS avg_score FROM t GROUP BY 1""")
 def risk_statistics(spark, sf_dir):
-    stats = features.comment_stats(A.comments_rel(spark, sf_dir)).join(A.users(spark, sf_dir).select("user_id", "level"), "user_id", "left")
+    stats = features.comment_stats_of(A.comments_rel(spark, sf_dir), A.users(spark, sf_dir).select("user_id", "level"))
     f3, f8 = features.level_score(F.coalesce("level", F.lit(3)), F.col("cc")), features.like_ratio(F.col("avg_like"))
     return scoring.risk_statistics(stats.withColumn("score", F.round(100 * (0.5 * f3 + 0.5 * f8), 1)), ["content_id"])
 
