@@ -277,3 +277,83 @@ def test_templates_are_compared_by_many_tasks(spark):
     rows = [("c", i, i % 40, f"a text of user {i % 40} and no other", i) for i in range(400)]
     frame = similarity.templating(spark.createDataFrame(rows, COMMENTS))
     assert "REPARTITION_BY_NUM" in frame._jdf.queryExecution().executedPlan().toString() and frame.count() == 40
+
+
+def texts_around_seeds(rng, t):
+    """Texts whose rare characters stand far apart, and copies that differ in the midst between those, so that what matches hangs on
+    them on either side; others that are cut, turned, swapped or changed anywhere."""
+    syllables = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 4))) for _ in range(rng.choice([10, 40]))]
+    between, texts = rng.choice([4, 9, 14, 20, 40]), []
+    text = lambda n: "".join(rng.choice(syllables) for _ in range(n))[:n]
+    for _ in range(5):
+        parts = [text(rng.randint(between // 2, between * 3 // 2)) for _ in range(rng.randint(220, 700) // between)]
+        base = "".join(p + rng.choice("XYZQ,.!;") for p in parts)
+        texts.append(base)
+        for k in range(4):
+            share = rng.uniform(0.5, 1.1) * (1 - t)
+            own = list(base)
+            if k == 0:
+                changed = [p[: int(len(p) * (1 - share) / 2)] + "k" * int(len(p) * share) + p[-int(len(p) * (1 - share) / 2) :] for p in parts]
+                own = [p + base[sum(len(x) + 1 for x in parts[:i]) + len(parts[i])] for i, p in enumerate(changed)]
+            elif k == 1:
+                for at in rng.sample(range(len(own)), int(share * len(own))):
+                    own[at] = rng.choice("abcX")
+            elif k == 2:
+                own = own[int(2 * share * len(own)) :] + list(text(rng.randint(0, 30)))
+            else:
+                at = rng.randrange(len(own))
+                own = own[at:] + own[:at]
+            texts.append("".join(own))
+    texts = list(dict.fromkeys(t for t in texts if t))
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_runs_at_seeds_lose_no_pair(seed):
+    """All pairs of the library, in one block or in two of which each has parts."""
+    rng = random.Random(seed)
+    t = rng.choice([0.6, 0.75, 0.8, 0.9])
+    texts = texts_around_seeds(rng, t)
+    wanted = {(i, j): r for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and (r := difflib.SequenceMatcher(None, a, b).ratio()) >= t}
+    whole = similarity.Texts(texts, np.arange(len(texts)))
+    assert {(int(a), int(b)): r for a, b, r in similarity.similar(whole, whole, t)} == pytest.approx(wanted)
+    rows = np.arange(len(texts))
+    blocks, found = [whole.some(rows[:9]), whole.some(rows[9:])], []
+    for i, earlier in enumerate(blocks):
+        for j, later in enumerate(blocks):
+            for part in range(2):
+                own = later.some(np.arange(part, len(later.texts), 2))
+                found += [(int(a), int(b)) for a, b, _ in similarity.similar(earlier, own, t, None if i == j else i < j)]
+    assert sorted(found) == sorted(wanted)
+
+
+def test_unlike_texts_are_not_compared(monkeypatch):
+    """Of 400 texts of one language the copies are found without any step that takes each text with each other one."""
+    rng = random.Random(9)
+    syllables = ["".join(rng.choice("aeionrsthl") for _ in range(rng.randint(1, 4))) for _ in range(40)]
+    sentence = lambda: rng.choice("TAOWB") + "".join(rng.choice(syllables) for _ in range(rng.randint(6, 20))) + "."
+    texts = ["".join(sentence() for _ in range(40)) for _ in range(400)]
+    texts += [edited(rng, texts[k], 20) for k in range(5)]
+    checked, runs = [], similarity.shared_runs
+    monkeypatch.setattr(similarity.Block, "matrix", None)
+    monkeypatch.setattr(similarity, "shared_runs", lambda *pair: checked.append(pair) or runs(*pair))
+    whole = similarity.Texts(texts, np.arange(len(texts)))
+    wanted = {(k, 400 + k) for k in range(5) if difflib.SequenceMatcher(None, texts[k], texts[400 + k]).ratio() >= 0.75}
+    assert len(wanted) >= 3 and {(int(a), int(b)) for a, b, _ in similarity.similar(whole, whole, 0.75)} == wanted
+    assert len(checked) < 200
+
+
+@pytest.mark.parametrize("together", [1 << 18, 0])
+def test_longest_blocks_are_those_of_the_library(monkeypatch, together):
+    monkeypatch.setattr(similarity, "MATCHED", together)
+    rng = random.Random(10)
+    for _ in range(400):
+        signs, length = rng.choice([3, 5, 30, 2000]), rng.choice([0, 1, 5, 40, 199, 200, 400, 900])
+        a = [chr(97 + min(int(rng.expovariate(4 / signs)), signs)) for _ in range(length)]
+        b = list(a)
+        for _ in range(rng.randint(0, length // 3)):
+            b[rng.randrange(length)] = chr(97 + rng.randrange(signs))
+        a, b = "".join(a[rng.randint(0, length // 6) :]), "".join(b)
+        wanted = difflib.SequenceMatcher(None, a, b).ratio()
+        assert similarity.ratio_from(a, b, 0.4) == (wanted if wanted >= 0.4 else None)
