@@ -251,6 +251,25 @@ def stages(spark):
     return [found.apply(k) for k in range(found.size())]
 
 
+def test_pairs_of_a_cell_are_dealt_in_lots(spark, monkeypatch):
+    """The copies of one text, which lie in one cell, are checked by many tasks."""
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(150))
+    rows = [("c", i, 1, edited(rng, base, 12), i) for i in range(40)]
+    monkeypatch.setattr(similarity, "CHECKED", 6_000)
+    before = {s.stageId() for s in stages(spark)}
+    found = {(r["a"], r["b"]): r["ratio"] for r in similarity.similar_pairs(spark.createDataFrame(rows, COMMENTS)).collect()}
+    wanted = all_pairs(rows, 0.75)
+    assert len(wanted) > 300 and found == pytest.approx({k[1:]: v for k, v in wanted.items()})
+    most = [task.taskMetrics().get().shuffleReadMetrics().recordsRead() for s in stages(spark) if s.stageId() not in before for task in tasks(spark, s) if task.taskMetrics().isDefined()]
+    assert sum(n > 10 for n in most) > 8
+
+
+def tasks(spark, stage):
+    found = spark.sparkContext._jsc.sc().statusStore().taskList(stage.stageId(), stage.attemptId(), 10_000)
+    return [found.apply(k) for k in range(found.size())]
+
+
 def test_subsequences_of_many_pairs_at_once():
     rng = random.Random(6)
     texts = ["".join(rng.choice("abc\u4e00d") for _ in range(n)) for n in (1, 5, 63, 64, 65, 127, 128, 129, 200, 300)]
@@ -335,9 +354,9 @@ def test_unlike_texts_are_not_compared(monkeypatch):
     sentence = lambda: rng.choice("TAOWB") + "".join(rng.choice(syllables) for _ in range(rng.randint(6, 20))) + "."
     texts = ["".join(sentence() for _ in range(40)) for _ in range(400)]
     texts += [edited(rng, texts[k], 20) for k in range(5)]
-    checked, runs = [], similarity.shared_runs
+    checked, ratio = [], similarity.ratio_from
     monkeypatch.setattr(similarity.Block, "matrix", None)
-    monkeypatch.setattr(similarity, "shared_runs", lambda *pair: checked.append(pair) or runs(*pair))
+    monkeypatch.setattr(similarity, "ratio_from", lambda *pair: checked.append(pair) or ratio(*pair))
     whole = similarity.Texts(texts, np.arange(len(texts)))
     wanted = {(k, 400 + k) for k in range(5) if difflib.SequenceMatcher(None, texts[k], texts[400 + k]).ratio() >= 0.75}
     assert len(wanted) >= 3 and {(int(a), int(b)) for a, b, _ in similarity.similar(whole, whole, 0.75)} == wanted
